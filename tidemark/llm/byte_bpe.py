@@ -25,10 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import Cache, checkpointed, small
 
-#: Pieces kept in a worker's cache; beyond it the cache starts anew.
-CACHE = 400_000
 #: Characters before a chunk's end where boundaries aren't trusted; above the pattern's longest fixed string and lookahead.
 MARGIN = 8
 
@@ -69,20 +67,9 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Pieces(dict):
-    """pre-token -> its ids as little-endian unsigned 32-bit integers; filled as pre-tokens appear."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(merge(piece.encode("utf-8"), self.ranks), "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+def pieces(ranks: dict[bytes, int]) -> Cache:
+    """pre-token -> its ids as little-endian unsigned 32-bit integers."""
+    return Cache(lambda piece: np.array(merge(piece.encode("utf-8"), ranks), "<u4").tobytes())
 
 
 _loaded: dict = {}
@@ -92,7 +79,7 @@ def _encoder(path: str, pattern: str):
     if (path, pattern) not in _loaded:
         import regex
 
-        _loaded[path, pattern] = regex.compile(pattern).findall, Pieces(read_ranks(path)).__getitem__
+        _loaded[path, pattern] = regex.compile(pattern).findall, pieces(read_ranks(path)).__getitem__
     return _loaded[path, pattern]
 
 
@@ -127,7 +114,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str, chunk_ch
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ids = _encoder(path, pattern)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(ids, split(t))) for t in b.column(1).to_pylist()], pa.binary())], ["k", "ids"])
 
     kind = dict(rows.dtypes)["k"]
@@ -141,7 +128,7 @@ def _encode_long(long: DataFrame, kind: str, path: str, pattern: str, size: int,
     chunks = numbered.select("k", "row", F.explode(cut).alias("p")).select("k", "row", "p.i", "p.c").repartition("row", "i")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             heads, tails = [], []
             for c in b.column("c").to_pylist():
                 found = boundaries(c, pattern)
@@ -164,7 +151,7 @@ def _encode_long(long: DataFrame, kind: str, path: str, pattern: str, size: int,
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ids = _encoder(path, pattern)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("k", "row", "piece")), pa.array([b"".join(map(ids, split(s))) for s in b.column("s").to_pylist()], pa.binary())], ["k", "row", "piece", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
@@ -187,7 +174,7 @@ def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFram
                 table[rank] = token
             _loaded["bytes", path] = table
         token = _loaded["bytes", path].__getitem__
-        for b in batches:
+        for b in small(batches):
             out_ = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out_, pa.binary())], [*names, out])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +65,34 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: bounds what a worker holds as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+class Cache(dict):
+    """``compute(key)`` for every key asked for, remembered in two generations of at most ``limit`` keys each.
+
+    A full generation becomes the old one; what is asked for again moves to the
+    new one, so frequent keys stay and memory is bounded.
+    """
+
+    def __init__(self, compute, limit: int = 100_000, longest: int = 48):
+        super().__init__()
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
