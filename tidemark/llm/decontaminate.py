@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes
+from tidemark.llm.common import as_bytes, small
 
 #: Byte -> itself in a word (A-Z lower-cased), else a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -140,7 +140,7 @@ def _pass(docs: DataFrame, text: str, items: DataFrame, window: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, names, window = tables.value
         built = build(items, window)
-        for b in batches:
+        for b in small(batches):
             n, hits, owners = [], [], []
             for data in as_bytes(b.column(columns.index(text))).to_pylist():
                 found = words(data)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small
+
 MARK = "▁"
 #: Longer pre-tokens are counted without the trie, by the same recurrence.
 LONG = 64
@@ -107,7 +109,7 @@ def count(df: DataFrame, text: str, scores_of, source: str, out: str = "n_tokens
         if (source, max_nodes) not in _tries:
             _tries[source, max_nodes] = Trie(scores_of(source), max_nodes=max_nodes)
         tokens = _tries[source, max_nodes].__getitem__
-        for b in batches:
+        for b in small(batches):
             pre, total = [], []
             for t in b.column(names.index(text)).to_pylist():
                 words = t.split() if t else []

@@ -2,10 +2,11 @@
 
 ``tokenise`` gives ids by a file of the tokenizers library.  ``write`` sorts
 documents by key and writes one file per range of keys; ``read`` gives every
-document back.  A file holds, little-endian:
+document back.  A file is a row of segments of about a million ids, so that
+writers and readers hold one segment at a time.  A segment is, little-endian:
 
     magic "S8B1", u32 number of documents, u64 number of ids, u64 number of words
-    per document: i64 key, u64 end of its ids within the file
+    per document: i64 key, u64 end of its ids within the segment
     per block of 128 ids: u64 number of words before it
     the words
 
@@ -30,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Cache, small
+
 BLOCK = 128
+SEGMENT = 1 << 20
 # Fixed values of the format: bits of an id and ids in a word, by selector.
 WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17, 20, 30, 60])
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 3, 2, 1])
@@ -134,41 +138,29 @@ def _heads(sel: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return head
 
 
-def file_bytes(keys: list[int], ends: np.ndarray, ids: np.ndarray) -> bytes:
+def segment(keys: list[int], packed: list[bytes]) -> bytes:
+    """One segment of documents' ids (each little-endian u32)."""
+    ids = np.frombuffer(b"".join(packed), "<u4")
     offsets, words = pack(ids)
     table = np.empty(len(keys), [("key", "<i8"), ("end", "<u8")])
-    table["key"], table["end"] = keys, ends
+    table["key"], table["end"] = keys, np.cumsum([len(p) // 4 for p in packed])
     return b"".join((MAGIC, struct.pack("<IQQ", len(keys), len(ids), len(words)), table.tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
-def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """keys, ends, ids."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a file of packed ids")
-    docs, n, n_words = struct.unpack_from("<IQQ", data, 4)
-    at = 24
-    table = np.frombuffer(data, [("key", "<i8"), ("end", "<u8")], docs, at)
-    at += 16 * docs
-    blocks = -(-n // BLOCK)
-    offsets = np.frombuffer(data, "<u8", blocks, at)
-    words = np.frombuffer(data, "<u8", n_words, at + 8 * blocks)
-    return table["key"], table["end"], unpack(words, offsets, n)
-
-
-class Words(dict):
-    """Lower-cased word -> its ids, packed; a miss asks the library."""
-
-    def __init__(self, tokenizer, limit: int = 400_000):
-        super().__init__()
-        self.encode, self.limit = tokenizer.encode, limit
-
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+def segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """keys, ends and ids of each segment of a file."""
+    while head := stream.read(24):
+        if len(head) < 24 or head[:4] != MAGIC:
+            raise ValueError("not a file of packed ids")
+        docs, n, n_words = struct.unpack_from("<IQQ", head, 4)
+        blocks = -(-n // BLOCK)
+        data = stream.read(16 * docs + 8 * (blocks + n_words))
+        if len(data) < 16 * docs + 8 * (blocks + n_words):
+            raise ValueError("the file ends within a segment")
+        table = np.frombuffer(data, [("key", "<i8"), ("end", "<u8")], docs)
+        offsets = np.frombuffer(data, "<u8", blocks, 16 * docs)
+        words = np.frombuffer(data, "<u8", n_words, 16 * docs + 8 * blocks)
+        yield table["key"], table["end"], unpack(words, offsets, n)
 
 
 _loaded: dict = {}
@@ -198,7 +190,7 @@ def _tokenizer(path: str):
         by_word = steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and normal == ["NFC", "Replace", "Lowercase"]
         whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         if by_word:
-            split, word = regex.compile(steps[0]["pattern"]["Regex"]).findall, Words(tokenizer).__getitem__
+            split, word = regex.compile(steps[0]["pattern"]["Regex"]).findall, Cache(whole).__getitem__
             odd = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u02AF\\u1E00-\\u1EFF\\u2010-\\u2027\\u20A0-\\u20BF]|İ").search
 
             def encode(t: str) -> bytes:
@@ -212,7 +204,7 @@ def _tokenizer(path: str):
 
 
 def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
-    """Tokenise and write the files of ids below ``path``; returns their list: file, first key, docs, n_ids.
+    """Tokenise and write the files of ids below ``path``; returns their list: file, part, docs, n_ids.
 
     The texts, not the ids, are dealt by range of keys: the sampling of the
     ranges then reads keys only, and each text is tokenised once.
@@ -228,46 +220,37 @@ def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id:
         encode, end = _tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        made, out = [], []
-
-        def save(keys: list[int], packed: list[bytes]) -> None:
-            ends = np.cumsum([len(p) // 4 for p in packed], dtype=np.uint64)
-            name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{len(made):04d}.s8b"
-            partial = f"{folder}/.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(partial, compression=None) as f:
-                f.write(file_bytes(keys, ends, np.frombuffer(b"".join(packed), "<u4")))
-            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt, with the same ids
-                store.delete_file(name)
-            store.move(partial, name)
-            made.append(name)
-            out.append((name, len(made) - 1, TaskContext.get().partitionId(), keys[0], len(keys), int(ends[-1])))
-
-        keys, packed, size = [], [], 0
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.append(k)
-                packed.append(encode(t) + end)
-                size += len(packed[-1])
-                if size > 32 << 20:  # a file's size, and so a reader's memory
-                    save(keys, packed)
-                    keys, packed, size = [], [], 0
-        if keys:
-            save(keys, packed)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["file", "number", "part", "first_key", "docs", "n_ids"])
-
-    return ranged.mapInArrow(run, "file string, number int, part int, first_key long, docs long, n_ids long")
+        part = TaskContext.get().partitionId()
+        name, partial = f"{folder}/part-{part:06d}.s8b", f"{folder}/.{uuid.uuid4().hex}.tmp"
+        keys, packed, size, docs, n_ids = [], [], 0, 0, 0
+        with store.open_output_stream(partial, compression=None) as out:
+            for b in small(batches):
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    keys.append(k)
+                    packed.append(encode(t) + end)
+                    size += len(packed[-1]) // 4
+                    if size >= SEGMENT:
+                        out.write(segment(keys, packed))
+                        docs, n_ids = docs + len(keys), n_ids + size
+                        keys, packed, size = [], [], 0
+            if keys:
+                out.write(segment(keys, packed))
+                docs, n_ids = docs + len(keys), n_ids + size
+        if not docs:
+            store.delete_file(partial)
+            return
+        if store.get_file_info(name).type != fs.FileType.NotFound:  # an earlier attempt's, with the same ids
+            store.delete_file(name)
+        store.move(partial, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "part", "docs", "n_ids"])
+
+    return ranged.mapInArrow(run, "file string, part int, docs long, n_ids long")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
-    """``files`` with ``file_start``: ids in the files before.  One row per file of up to 32 MB: a small table.
-
-    Files are summed per part first, so that the one ordered window sees a row per part.
-    """
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
-    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("within", within).join(before, "part").withColumn("file_start", F.col("before") + F.col("within")).drop("before", "within")
+    """``files`` with ``file_start``: ids in the files before.  The window sees one short row per file."""
+    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("file_start", F.coalesce(before, F.lit(0)))
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -280,13 +263,12 @@ def read(files: DataFrame) -> DataFrame:
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 store, where = fs.FileSystem.from_uri(file) if "://" in file else (fs.LocalFileSystem(), file)
                 with store.open_input_stream(where, compression=None) as f:
-                    keys, ends, ids = parse_file(f.read())
-                flat = ids.astype("<u4").tobytes()
-                ends = ends.astype(np.int64)
-                begins = np.append(0, ends[:-1]).astype(np.int64)
-                for a in range(0, len(keys), 2000):
-                    z = slice(a, a + 2000)
-                    packed = [flat[4 * x : 4 * y] for x, y in zip(begins[z].tolist(), ends[z].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[z]), pa.array(begins[z] + base), pa.array(ends[z] - begins[z]), pa.array(packed, pa.binary())], ["key", "start", "n_tokens", "ids"])
+                    for keys, ends, ids in segments(f):
+                        flat = ids.astype("<u4").tobytes()
+                        ends = ends.astype(np.int64)
+                        begins = np.append(0, ends[:-1]).astype(np.int64)
+                        packed = [flat[4 * x : 4 * y] for x, y in zip(begins.tolist(), ends.tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(begins + base), pa.array(ends - begins), pa.array(packed, pa.binary())], ["key", "start", "n_tokens", "ids"])
+                        base += len(ids)
 
     return files.select("file", "file_start").mapInArrow(run, "key long, start long, n_tokens long, ids binary")

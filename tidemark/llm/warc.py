@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small
+
 #: Time of all records: the archives depend on their input alone.
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6f2f6a52-5b1c-4d8e-9a56-0d6f8f1f7a10")
@@ -81,7 +83,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payl
         partial, records = f"{folder}/.{task.taskAttemptId()}-{uuid.uuid4().hex}.tmp", 0
         with store.open_output_stream(partial, compression=None) as out:
             out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", name)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"))
-            for b in batches:
+            for b in small(batches):
                 for k, u, p, refers in zip(*(c.to_pylist() for c in b.columns)):
                     out.write(b"".join(transaction(k, u, p.encode(), refers)))
                     records += 3
