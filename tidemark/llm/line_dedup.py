@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import Cache, checkpointed, small
 
 DIGIT = re.compile(rb"[0-9]").search
 MASK = b"<*>"
@@ -67,52 +67,34 @@ def templates(tokens: list[bytes], depth: int) -> list[int]:
     return keys
 
 
-class Sketch(dict):
-    """word -> hash; filled as words appear."""
+_hash = Cache(lambda word: xxhash.xxh3_64_intdigest(word, 7) >> 1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word, 7) >> 1
-        return h
 
-
-_hash = Sketch()
-
-
-def _lines(df: DataFrame, text: str, depth: int, min_tokens: int, keys: bool) -> DataFrame:
-    """Per line of ``min_tokens``: leaf, sketch and digest of its text; with ``keys`` its templates too."""
+def _lines(df: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
+    """Per different line of ``min_tokens`` of a text: leaf, sketch, digest of the text, template keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _hash.__getitem__
-        for b in batches:
+        for b in small(batches):
             out: list[tuple] = []
-            for data in b.column(0).cast(pa.binary()).to_pylist():
-                if not data:
-                    continue
-                found = [t for line in data.split(b"\n") if len(t := masked(line)) >= min_tokens]
-                if not found:
-                    continue
-                sketch = min(map(of, {w for t in found for w in t}))
-                digest = number(data)
-                if keys:
-                    for t in {tuple(t) for t in found}:
-                        t = list(t)
-                        out.append((number(leaf_of(t, depth)), sketch, digest, templates(t, depth)))
-                else:
-                    out += [(leaf, sketch, digest) for leaf in {number(leaf_of(t, depth)) for t in found}]
-            cols = list(zip(*out)) or [()] * (4 if keys else 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])], ["leaf", "sketch", "digest", *["keys"] * keys])
+            for digest, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                found = [t for line in set(data.split(b"\n")) if len(t := masked(line)) >= min_tokens]
+                if found:
+                    sketch = min(map(of, {w for t in found for w in t}))
+                    out += [(number(leaf_of(t, depth)), sketch, digest, templates(t, depth)) for t in found]
+            leaf, sketch, digest, keys = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(sketch, pa.int64()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "sketch", "digest", "keys"])
 
-    return df.select(F.col(text).alias("t")).mapInArrow(run, "leaf long, sketch long, digest long" + ", keys array<long>" * keys)
+    rows = df.filter(F.length(text) > 0).select(F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "leaf long, sketch long, digest long, keys array<long>")
 
 
 def recurring(df: DataFrame, text: str, min_docs: int = 5, spread: float = 0.3, depth: int = 3, min_tokens: int = 5) -> DataFrame:
     """(digest of a text, its recurring template keys)."""
-    leaves = _lines(df, text, depth, min_tokens, False)
-    busy = leaves.select("leaf", "sketch").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    lines = checkpointed(_lines(df, text, depth, min_tokens))  # the texts are parsed once; 100 bytes or so a line
+    busy = lines.select("leaf", "sketch").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     # What is left is small: lines that agree in length and leading tokens with lines of other documents.
-    lines = checkpointed(_lines(df, text, depth, min_tokens, True).join(busy, "leaf", "left_semi").select("sketch", "digest", F.explode("keys").alias("key")).distinct())
+    lines = checkpointed(lines.join(busy, "leaf", "left_semi").select("sketch", "digest", F.explode("keys").alias("key")).distinct())
     # Per key and sketch first: a text's sketch is its own, so texts add up.
     by_sketch = lines.groupBy("key", "sketch").agg(F.count("*").alias("texts"))
     found = by_sketch.groupBy("key").agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
@@ -125,14 +107,9 @@ def dedup(df: DataFrame, text: str = "text", min_docs: int = 5, spread: float =
     names = [n for n in df.columns if n not in ("n_lines", "n_dropped")]
     drops = recurring(df, text, min_docs, spread, depth, min_tokens)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = [number(t) if t else None for t in b.column(names.index(text)).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.int64())], [*names, "_digest"])
-
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    rows = df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(digest, f"{fields}, _digest long")
+    rows = df.select(*[F.col(f"`{n}`") for n in names]).withColumn("_digest", F.when(F.length(text) > 0, F.xxhash64(text)))
     # A text may have any number of copies: its rows are dealt by digest and salt.
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     drops = drops.select(F.col("digest").alias("_digest"), "drop_keys", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
@@ -140,7 +117,7 @@ def dedup(df: DataFrame, text: str = "text", min_docs: int = 5, spread: float =
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
-        for b in batches:
+        for b in small(batches):
             texts, n, gone = [], [], []
             for data, keys in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist()):
                 lines = data.split(b"\n") if data else []
