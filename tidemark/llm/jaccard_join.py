@@ -37,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import Cache, checkpointed, small
 
 COORDINATES = 32
 WORD = re.compile(r"\w+").findall
@@ -46,15 +46,7 @@ A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word = _Words()
+_word = Cache(xxhash.xxh3_64_intdigest)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,7 +109,7 @@ def _sets(df: DataFrame, text: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in small(batches):
             out = []
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if rid in seen:
@@ -147,7 +139,7 @@ def grouped(df: DataFrame, by: list[str], each: Callable[[tuple, list[tuple]], l
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
             out.clear()
 
-        for b in batches:
+        for b in small(batches):
             columns = [c.to_pylist() for c in b.columns]
             for row in zip(*columns):
                 if row[: len(by)] != key:
@@ -185,18 +177,20 @@ def in_blocks(members: DataFrame, group: str, size, limit: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(rid, root) of every rid that ``edges`` (a, b) name: alternating large-star and small-star steps until nothing changes."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        after = checkpointed(small)
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        edges = checkpointed(small)
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("a").alias("rid"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("rid"), F.col("b").alias("root")).distinct())
+        before = now
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -208,49 +202,39 @@ def survival(threshold: float, depth: int) -> float:
 
 
 def children(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows (run, node, rid, sig) -> the next level's (run, node, rid)."""
-    first = F.pmod(F.xxhash64("run", "node", F.lit(1)), F.lit(COORDINATES)).cast("int")
-    second = F.pmod(F.xxhash64("run", "node", F.lit(2)), F.lit(COORDINATES)).cast("int")
-    lucky = F.pmod(F.xxhash64("run", "node", F.lit(3)), F.lit(1000)) < int(1000 * (1 / threshold - 1))
+    """rows (run, node, rid, root, sig) -> the next level's (run, node, rid, root)."""
+    pick = lambda i, n: F.pmod(F.xxhash64("run", "node", F.lit(i)), F.lit(n)).cast("int")
+    first, second, lucky = pick(1, COORDINATES), pick(2, COORDINATES), pick(3, 1000) < int(1000 * (1 / threshold - 1))
     at = F.when(lucky & (first != second), F.array(first, second)).otherwise(F.array(first))
-    return rows.withColumn("c", F.explode(at)).select("run", F.xxhash64("run", "node", "c", F.element_at("sig", F.col("c") + 1)).alias("node"), "rid")
+    return rows.withColumn("c", F.explode(at)).select("run", F.xxhash64("run", "node", "c", F.element_at("sig", F.col("c") + 1)).alias("node"), "rid", "root")
 
 
-def _leaves(sigs: DataFrame, runs: range, threshold: float, limit: int, depth: int, roots: DataFrame | None) -> tuple[DataFrame | None, int]:
-    """Nodes to compare: (run, node, rid, n), and the deepest level.  With ``roots``, nodes within one class are skipped."""
+def _leaves(sigs: DataFrame, runs: range, threshold: float, limit: int, depth: int) -> tuple[DataFrame, int]:
+    """Nodes to compare (run, node, rid, n), and the deepest level; ``sigs``: rid, root, sig.  Nodes within one root are skipped."""
     level = children(sigs.withColumn("run", F.explode(F.array(*map(F.lit, runs)))).withColumn("node", F.lit(0).cast("long")), threshold)
-    leaves, deepest = None, 0
+    leaves, columns = None, ["run", "node", "rid", "n"]
     for d in range(1, depth + 1):
-        # Counts are combined before the shuffle; nodes of one set go no further.
-        size = level.groupBy("run", "node").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = level.join(size, ["run", "node"])
-        if roots is not None:
-            classed = rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-            mixed = classed.groupBy("run", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("run", "node")
-            rows = rows.join(mixed, ["run", "node"], "left_semi")
-        rows = checkpointed(rows)
-        small = rows.filter(F.col("n") <= limit)
-        leaves, deepest = small if leaves is None else leaves.union(small), d
+        # Counts are combined before the shuffle; nodes of one set or one root go no further.
+        size = level.groupBy("run", "node").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1 and lo <> hi").drop("lo", "hi")
+        rows = checkpointed(level.join(size, ["run", "node"]))
         big = rows.filter(F.col("n") > limit)
-        if big.isEmpty():
-            break
-        big = big.join(sigs, "rid")
-        if d == depth:
-            leaves = leaves.union(big.select(*small.columns))
-            break
+        if d == depth or big.isEmpty():
+            return (rows.select(columns) if leaves is None else leaves.union(rows.select(columns))), d
+        big = big.join(sigs.select("rid", "sig"), "rid")
         # Share of pairs that agree in a coordinate, over four of them: the node's mean similarity.
         sample = big.select("run", "node", "n", F.posexplode(F.slice("sig", 1, 4)).alias("c", "v")).groupBy("run", "node", "n", "c", "v").count()
-        density = sample.groupBy("run", "node", "n").agg((F.sum(F.col("count") * F.col("count")) / (4.0 * F.col("n") * F.col("n"))).alias("density"))
-        dense = density.filter(F.col("density") >= 0.4).select("run", "node")
-        leaves = leaves.union(big.join(dense, ["run", "node"], "left_semi").select(*small.columns))
-        level = children(big.join(dense, ["run", "node"], "left_anti").select("run", "node", "rid", "sig"), threshold)
-    return leaves, deepest
+        density = sample.groupBy("run", "node").agg((F.sum(F.col("count") * F.col("count")) / (4.0 * F.max("n") * F.max("n"))).alias("density"))
+        big = checkpointed(big.join(density, ["run", "node"]))
+        settled = rows.filter(F.col("n") <= limit).select(columns).union(big.filter(F.col("density") >= DENSE).select(columns))
+        leaves = settled if leaves is None else leaves.union(settled)
+        level = children(big.filter(F.col("density") < DENSE), threshold)
+    raise ValueError("depth must be at least 1")
 
 
 def _spanning(rows: list[tuple], threshold: float, diagonal: bool) -> list[tuple[int, int]]:
-    """Links of a node (or of two blocks of one) that join its sets: at most one fewer than the sets."""
+    """Links of a node (or of two blocks of one) that join its sets: a star per class, so at most one fewer than the sets."""
     ids, others, a, b = split_sides(rows, diagonal)
-    if not others or diagonal and len(ids) < 2 or not ids:
+    if not ids or not others or diagonal and len(ids) < 2:
         return []
     if diagonal and len(ids) == 2:
         return [(ids[0], ids[1])] if links(a[:1], b[1:], threshold)[0, 0] else []
@@ -262,13 +246,11 @@ def _spanning(rows: list[tuple], threshold: float, diagonal: bool) -> list[tuple
             parent[i] = i = parent.get(p, p)
         return i
 
-    out = []
     for i, j in zip(x.tolist(), y.tolist()):
         p, q = root(ids[i]), root(others[j])
         if p != q:
             parent[max(p, q)] = min(p, q)
-            out.append((ids[i], others[j]))
-    return out
+    return [(r, i) for i in parent if (r := root(i)) != i]
 
 
 def _compare(leaves: DataFrame, sets: DataFrame, threshold: float, limit: int) -> DataFrame:
@@ -280,7 +262,7 @@ def _compare(leaves: DataFrame, sets: DataFrame, threshold: float, limit: int) -
     return grouped(with_sets, ["run", "node", "bi", "bj"], lambda key, rows: _spanning(rows, threshold, key[-1] == key[-2]), "a long, b long")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 8, count_links: bool = True) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, limit: int = 512, depth: int = 5, count_links: bool = True) -> DataFrame:
     """One row per row of ``df``: key, class_id, class_size and (with ``count_links``) n_links, the other rows that reach the threshold."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("rid"))
@@ -290,15 +272,18 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     sigs = checkpointed(sets.select("rid", "sig"))
     nodes = checkpointed(rows.filter("rid is not null").groupBy("rid").agg(F.min("k").alias("first"), F.count("*").alias("weight")).join(sigs.select("rid"), "rid"))
 
-    leaves, deepest = _leaves(sigs, range(1), threshold, limit, depth, None)
+    own = sigs.withColumn("root", F.col("rid"))
+    leaves, deepest = _leaves(own, range(1), threshold, limit, depth)
     edges = checkpointed(_compare(leaves, sets, threshold, limit))
+    wanted = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, deepest + 1)))
+    if wanted > 1 and not edges.isEmpty():
+        # Sets known to be in one class need no second comparison: each takes the least label it is linked to.
+        near = edges.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("m")), F.struct(F.col("b").alias("rid"), F.col("a").alias("m")))).alias("e")).groupBy("e.rid").agg(F.min("e.m").alias("m"))
+        own = checkpointed(sigs.join(near, "rid", "left").select("rid", F.least("rid", "m").alias("root"), "sig"))
+    if wanted > 1:
+        more, _ = _leaves(own, range(1, wanted), threshold, limit, depth)
+        edges = edges.union(checkpointed(_compare(more, sets, threshold, limit)))
     roots = components(edges)
-    done = 1
-    while done < (wanted := math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, max(2, deepest))))):
-        more, d = _leaves(sigs, range(done, wanted), threshold, limit, depth, roots)
-        done, deepest = wanted, max(deepest, d)
-        edges = checkpointed(edges.union(_compare(more, sets, threshold, limit)))
-        roots = components(edges)
 
     classes = checkpointed(nodes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
     per_class = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"), F.count("*").alias("m"))
@@ -318,6 +303,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
 
 
 SALTS = 4
+#: Mean similarity from which a large node is compared in blocks and not split.
+DENSE = 0.4
 
 
 def _count_links(members: DataFrame, sets: DataFrame, threshold: float, limit: int) -> DataFrame:
