@@ -10,8 +10,8 @@ matters and a leaf may spread over all tasks.
 
 A template recurs if it stands in at least ``min_docs`` documents of different
 content.  Copies and near copies of one document must not condemn all its
-lines, so content is told by a sketch, the smallest hash of a text's words:
-documents with one sketch count once, and the sketches must be at least
+lines, so content is told by a sketch, the smallest hash of a text's words
+outside the line: documents with one sketch count once, and the sketches must be at least
 ``spread`` of the different texts that hold the template.  Lines of recurring
 templates are dropped, all of them and in every document; lines of under
 ``min_tokens`` tokens are left alone, and so is every other line, in place.
@@ -47,8 +47,12 @@ def number(data: bytes) -> int:
 
 
 def masked(line: bytes) -> list[bytes]:
+    """A line's tokens with variable fields masked; a line that is mostly numbers stays as it is: its mask would be no template."""
     tokens = line.split()
-    return [MASK if DIGIT(t) else t for t in tokens] if DIGIT(line) else tokens
+    if not DIGIT(line):
+        return tokens
+    out = [MASK if DIGIT(t) else t for t in tokens]
+    return out if 2 * out.count(MASK) <= len(out) else tokens
 
 
 def leaf_of(tokens: list[bytes], depth: int) -> bytes:
@@ -78,10 +82,14 @@ def _lines(df: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
         for b in small(batches):
             out: list[tuple] = []
             for digest, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                found = [t for line in set(data.split(b"\n")) if len(t := masked(line)) >= min_tokens]
+                found = [(raw, line) for line in set(data.split(b"\n")) if len(raw := line.split()) >= min_tokens]
                 if found:
-                    sketch = min(map(of, {w for t in found for w in t}))
-                    out += [(number(leaf_of(t, depth)), sketch, digest, templates(t, depth)) for t in found]
+                    words = {w for raw, _ in found for w in raw}  # as they are: a text's numbers tell it from others
+                    least = min(words, key=of)
+                    for raw, line in found:
+                        sketch = of(least) if least not in raw else min(map(of, words.difference(raw)), default=0)
+                        t = masked(line)
+                        out.append((number(leaf_of(t, depth)), sketch, digest, templates(t, depth)))
             leaf, sketch, digest, keys = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(sketch, pa.int64()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "sketch", "digest", "keys"])
 
