@@ -192,3 +192,38 @@ def merged(base: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Union of two node or edge tables; where both have a row, that of ``base`` stays."""
     both = base.withColumn("_p", F.lit(0)).unionByName(incoming.withColumn("_p", F.lit(1)), allowMissingColumns=True)
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_p"))).filter("_n = 1").drop("_p", "_n")
+
+
+def focus_view(edge: DataFrame, focus: str, limit: int) -> DataFrame:
+    """What a focused graph draws: the focus's own edges first, then the forest's, then the strongest others, up to the limit."""
+    own = (F.col("source") == focus) | (F.col("target") == focus)
+    tree = backbone(edge).select("source", "target", F.lit(True).alias("in_tree"))
+    ranked = edge.join(tree, ["source", "target"], "left").withColumn("tier", F.when(own, 0).when(F.coalesce("in_tree", F.lit(False)), 1).otherwise(2))
+    return ranked.orderBy("tier", *edge_order()).limit(limit).select("source", "target", "support", "score", "tier")
+
+
+def query_nodes(node: DataFrame, edge: DataFrame, query: str, limit: int) -> DataFrame:
+    """Skills whose name holds the query, by demand, and then their neighbours."""
+    q = query.strip().lower()
+    hit = node.filter(F.contains(F.lower("skill"), F.lit(q))).select("skill", F.lit(0).alias("tier"), "demand_count")
+    both = edge.select("source", "target").unionByName(edge.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    near = both.join(hit.select(F.col("skill").alias("source")), "source", "left_semi").select(F.col("target").alias("skill")).distinct().join(hit.select("skill"), "skill", "left_anti").join(node, "skill").select("skill", F.lit(1).alias("tier"), "demand_count")
+    return hit.unionByName(near).orderBy("tier", F.desc("demand_count"), "skill").limit(limit)
+
+
+def domain_counts(node: DataFrame, skill_domains: DataFrame) -> DataFrame:
+    """Skills and demand per domain; a skill counts in each of its domains, and once as its first."""
+    each = node.join(skill_domains, "skill").select("skill", "demand_count", F.posexplode("domains").alias("pos", "domain"))
+    return each.groupBy("domain").agg(F.count("*").alias("skills"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("primary_skills"), F.sum("demand_count").alias("demand"))
+
+
+def domain_labels(node: DataFrame, skill_domains: DataFrame, n: int) -> DataFrame:
+    """Labels to show: the leading skill of each first domain, then by demand."""
+    first = node.join(skill_domains.select("skill", F.col("domains")[0].alias("domain")), "skill")
+    led = first.withColumn("lead", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("demand_count"), "skill")) == 1)
+    return led.orderBy(F.desc("lead"), F.desc("demand_count"), "skill").limit(n).select("skill", "domain", "lead")
+
+
+def detail_level(zoom):
+    """How much of the graph a zoom shows."""
+    return F.when(zoom < 0.35, "overview").when(zoom < 0.9, "hubs").when(zoom < 1.8, "labels").otherwise("full")

@@ -129,3 +129,38 @@ def reason_text(followed, names):
     n = F.size(names)
     searched = F.when(n == 1, F.concat(F.lit("search: "), names[0])).when(n > 1, F.concat(F.lit("search: "), names[0], F.lit(" +"), (n - 1).cast("string")))
     return F.concat_ws(", ", searched, F.when(followed, "followed company"))
+
+
+def seed(state: DataFrame, catalog: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources after seeding, and postings after retirements.
+
+    A catalog row with a known base_url updates it; one whose former_url is known
+    moves it; the rest is new.  A source that the catalog marks retired is
+    stopped and its open postings are closed.  Seeding again changes nothing.
+
+    ``state``: source_id, base_url, family, status; ``catalog``: source_id, base_url, former_url, family, retired.
+    """
+    known = state.select(F.col("source_id").alias("_id"), F.col("base_url").alias("_url"), F.col("status").alias("_status"))
+    # A join on either address, as an equality: the catalog row once per address.
+    hit = catalog.withColumn("_url", F.explode(F.array_distinct(F.array_compact(F.array("base_url", "former_url"))))).join(known, "_url", "left")
+    one = hit.groupBy("base_url", "family", "retired", F.col("source_id").alias("_new")).agg(F.max(F.struct(F.col("_id").isNotNull().alias("known"), (F.col("_url") == F.col("base_url")).alias("same"), "_id", "_status")).alias("k"))
+    seeded = one.select(F.coalesce("k._id", "_new").alias("source_id"), "base_url", "family", F.when(F.col("retired"), "stopped").otherwise(F.coalesce("k._status", F.lit("needs_connector"))).alias("status"), "retired")
+    kept = state.join(seeded.select("source_id"), "source_id", "left_anti").withColumn("retired", F.lit(False))
+    after = kept.select("source_id", "base_url", "family", "status", "retired").unionByName(seeded)
+    gone = after.filter("retired").select("source_id", F.lit(True).alias("_gone"))
+    closed = postings.join(gone, "source_id", "left").withColumn("status", F.when(F.coalesce("_gone", F.lit(False)) & (F.col("status") == "open"), "closed").otherwise(F.col("status"))).drop("_gone")
+    return after.drop("retired"), closed
+
+
+def set_status(sources: DataFrame, ids: list, status: str) -> DataFrame:
+    """Sources with a status set by hand; allowing one clears its error."""
+    chosen = F.col("source_id").isin(*ids)
+    error = F.when(chosen & F.lit(status == "allowed"), F.lit(None).cast("string")).otherwise(F.col("last_error_code"))
+    return sources.withColumn("last_error_code", error).withColumn("status", F.when(chosen, status).otherwise(F.col("status")))
+
+
+def position_summary(positions):
+    """Of an array of positions (type, low, high): the common type or mixed, the least low and the largest high."""
+    types = F.array_distinct(F.filter(F.transform(positions, lambda p: p["type"]), lambda t: t.isNotNull()))
+    kind = F.when(F.size(types) == 1, types[0]).when(F.size(types) > 1, "mixed")
+    return F.struct(kind.alias("career_type"), F.array_min(F.transform(positions, lambda p: p["low"])).alias("career_min"), F.array_max(F.transform(positions, lambda p: p["high"])).alias("career_max"))

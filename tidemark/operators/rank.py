@@ -133,3 +133,57 @@ def popular(posts: DataFrame, tab: str, followed: Sequence = ()) -> DataFrame:
 def keep_order(prior: DataFrame, ranked: DataFrame) -> DataFrame:
     """Items in their prior order (item, place), new ones appended by rank."""
     return ranked.join(prior, "item", "left").withColumn("_new", F.col("place").isNull()).orderBy("_new", "place", "rank").drop("_new")
+
+
+def excerpt(c, size: int = 1200):
+    return F.substring(F.coalesce(c, F.lit("")), 1, size)
+
+
+def summaries(postings: DataFrame, groups: DataFrame, body: str | None = None) -> DataFrame:
+    """Postings with their three skill arrays and categories (empty where none is confirmed), and the start of their text."""
+    arrays = ["required_skills", "preferred_skills", "unspecified_skills", "categories"]
+    out = postings.join(groups.select("posting_id", *arrays), "posting_id", "left")
+    for a in arrays:
+        out = out.withColumn(a, F.coalesce(a, F.array().cast("array<string>")))
+    return out.withColumn("excerpt", excerpt(F.col(body))) if body else out
+
+
+def detail(postings: DataFrame, found: DataFrame, posting_id) -> DataFrame:
+    """One posting with its skills as an array, stronger requirements first, then by name; no row for an id that isn't there."""
+    rank = F.when(F.col("requirement_type") == "required", 0).when(F.col("requirement_type") == "preferred", 1).otherwise(2)
+    skills = found.filter(F.col("posting_id") == posting_id).groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "skill", "category", "requirement_type"))).alias("skills"))
+    return postings.filter(F.col("posting_id") == posting_id).join(skills, "posting_id", "left")
+
+
+def jobs_summary(postings: DataFrame) -> DataFrame:
+    """How many postings, of how many companies, and when the latest came."""
+    return postings.agg(F.count("*").alias("postings"), F.countDistinct("company_id").alias("companies"), F.max("first_seen_at").alias("latest"))
+
+
+# Orders of the market's skill list.
+SKILL_SORTS = {
+    "demand": ["-posting_count", "skill"], "companies": ["-company_count", "-posting_count", "skill"], "required": ["-required_count", "-posting_count", "skill"], "preferred": ["-preferred_count", "-posting_count", "skill"], "name": ["skill"], "rare": ["posting_count", "skill"],
+}
+
+
+def sorted_skills(stats: DataFrame, mode: str) -> DataFrame:
+    return stats.orderBy(*(F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in SKILL_SORTS[mode]))
+
+
+def post_relevance(title, body, tags, query: str):
+    """0 title or tag exact, 1 title prefix, 2 in the title, 3 in a tag, 4 in the text; null otherwise."""
+    q = query.strip().lower()
+    t, low = F.lower(F.trim(title)), F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.lower(x))
+    return F.when((t == q) | F.array_contains(low, q), 0).when(F.startswith(t, F.lit(q)), 1).when(F.contains(t, F.lit(q)), 2).when(F.exists(low, lambda x: F.contains(x, F.lit(q))), 3).when(F.contains(F.lower(body), F.lit(q)), 4)
+
+
+def new_for_searches(matches: DataFrame, newest: int = 5) -> DataFrame:
+    """Per user and search its newest postings, then one row per user and posting with the searches' names."""
+    w = Window.partitionBy("user_id", "search_id").orderBy(F.desc("first_seen_at"), F.desc("posting_id"))
+    few = matches.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= newest)
+    return few.groupBy("user_id", "posting_id").agg(F.max("first_seen_at").alias("first_seen_at"), F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def unseen(page: DataFrame, seen: DataFrame, key: str = "item") -> DataFrame:
+    """A page without what an earlier tab has shown."""
+    return page.dropDuplicates([key]).join(seen.select(key), key, "left_anti")

@@ -105,3 +105,20 @@ def body_quality(bodies: DataFrame, group: str, key: str, text: str, images: Col
 def report_tops(sources: DataFrame, n: int) -> DataFrame:
     """Sources by priority, open postings and name, all descending."""
     return sources.orderBy(F.desc("priority"), F.desc("open_postings"), F.desc("company_name")).limit(n)
+
+
+def report_json(totals: DataFrame, families: DataFrame) -> DataFrame:
+    """The monitor's report as one JSON document: totals, and families by name (as many as there are connector families)."""
+    inner = families.agg(F.array_sort(F.collect_list(F.struct(*families.columns))).alias("families"))
+    return totals.select(F.to_json(F.struct(F.struct(*totals.columns).alias("totals"), inner.scalar().alias("families"))).alias("report"))
+
+
+def report_markdown(families: DataFrame) -> DataFrame:
+    """A Markdown table of the families, one line per row."""
+    escape = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return families.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(escape(c) for c in families.columns)), F.lit(" |")).alias("line"))
+
+
+def preview(parsed: DataFrame, n: int = 5) -> DataFrame:
+    """A dry run: the first openings by id, nothing written."""
+    return parsed.filter("error is null").orderBy("source_id", "external_id").limit(n)

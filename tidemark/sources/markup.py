@@ -166,3 +166,19 @@ def html_links(page: pd.Series, base: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StructType().add("url", T.StringType()).add("alt", T.StringType())))
 def description_images(page: pd.Series, text: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([images(p, t, u) for p, t, u in zip(page, text, url)])
+
+
+def next_page(page: str | None, base: str | None) -> str | None:
+    """The following page of an HTML listing: ``rel=next``, or a next link of its pagination that isn't disabled."""
+    for kind, tag, attrs in events(page or ""):
+        if kind != "open" or tag != "a" or not attrs.get("href"):
+            continue
+        names = set(re.split(r"\s+", attrs.get("class") or ""))
+        if "next" in (attrs.get("rel") or "").split() or "next" in names and not names & {"disabled", "is-disabled"} and attrs.get("aria-disabled") != "true":
+            return urljoin(base or "", attrs["href"])
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def html_next_page(page: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([next_page(p, b) for p, b in zip(page, base)], dtype=object)
