@@ -13,14 +13,18 @@ def requirement_rank(c: Column) -> Column:
     return F.when(c == "required", 3).when(c == "preferred", 2).otherwise(1)
 
 
-def best_mentions(mentions: DataFrame, order: str) -> DataFrame:
-    """One row per (posting_id, skill): confirmed first, then the stronger requirement, then the larger ``order``.
+def best_mentions(mentions: DataFrame) -> DataFrame:
+    """One row per (posting_id, skill): confirmed first, then the stronger requirement; an unknown requirement is unspecified.
 
-    A maximum over a struct combines before the shuffle; a window would sort every mention.
+    What is left undecided reaches no output.  The order is one small number, so
+    the maximum stays in a hash aggregate; mentions are dealt by posting, so that
+    what joins postings next finds its rows in place.  A posting's mentions are
+    few and hardly repeat: combining them before the shuffle would not pay.
     """
-    best = F.max(F.struct(F.col("confirmed").cast("int").alias("c"), requirement_rank(F.col("requirement_type")).alias("r"), F.col(order).alias("o"), "requirement_type"))
-    grouped = mentions.groupBy("posting_id", "skill").agg(F.first("category").alias("category"), best.alias("b"))
-    return grouped.select("posting_id", "skill", "category", F.col("b.requirement_type").alias("requirement_type"), (F.col("b.c") == 1).alias("confirmed"))
+    order = F.when(F.col("confirmed"), 4).otherwise(0) + requirement_rank(F.col("requirement_type"))
+    best = mentions.repartition("posting_id").groupBy("posting_id", "skill", "category").agg(F.max(order).alias("b"))
+    kind = F.when(F.col("b") % 4 == 3, "required").when(F.col("b") % 4 == 2, "preferred").otherwise("unspecified")
+    return best.select("posting_id", "skill", "category", kind.alias("requirement_type"), (F.col("b") >= 4).alias("confirmed"))
 
 
 def confirmed_open(evidence: DataFrame, postings: DataFrame, career_type: str | None = None) -> DataFrame:

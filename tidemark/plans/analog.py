@@ -34,13 +34,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     kind = F.when(F.col("l_returnflag") == "R", "required").when(F.col("l_returnflag") == "A", "preferred").otherwise("unspecified")
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("posting_id"), F.col("p_brand").alias("skill"), _by_number(CATEGORIES, brand_number(F.col("p_brand"))).alias("category"), kind.alias("requirement_type"), (F.col("l_quantity") >= 10).alias("confirmed"), F.col("l_quantity").alias("strength")
+        F.col("l_orderkey").alias("posting_id"), F.col("p_brand").alias("skill"), _by_number(CATEGORIES, brand_number(F.col("p_brand"))).alias("category"), kind.alias("requirement_type"), (F.col("l_quantity") >= 10).alias("confirmed")
     )
 
 
-def postings(spark: SparkSession, sf_dir: str, dated: bool = False, sourced: bool = False) -> DataFrame:
-    """Postings; closing dates and sources cost an aggregation over the items and are added only when asked for."""
+def postings(spark: SparkSession, sf_dir: str, dated: bool = False, sourced: bool = False, open_only: bool = False) -> DataFrame:
+    """Postings; ``open_only`` is decided in the scan; closing dates and sources cost an aggregation over the items and are added only when asked for."""
     orders, customers, nations = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    if open_only:
+        orders = orders.filter(F.col("o_orderstatus") == "O")
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "closed").otherwise("delayed")
     out = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("company_id"), F.col("c_name").alias("company_name"), status.alias("status"), F.concat_ws(" ", F.initcap("c_mktsegment"), F.substring("o_orderpriority", 3, 20)).alias("title"),

@@ -31,11 +31,11 @@ def query(oracle: str | None = None):
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.best_mentions(mentions(spark, sf_dir), "strength")
+    return evidence.best_mentions(mentions(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str, career: str | None = None) -> DataFrame:
-    return evidence.confirmed_open(best(spark, sf_dir), postings(spark, sf_dir), career)
+    return evidence.confirmed_open(best(spark, sf_dir), postings(spark, sf_dir, open_only=True), career)
 
 
 STATS = """SELECT skill, category, count(DISTINCT posting_id) AS posting_count, count(DISTINCT company_id) AS company_count,
@@ -112,23 +112,23 @@ BRAND = "(contains(lower(title), '#25') OR contains(lower(location), '#25') OR c
 
 @query(sql(LIST.format(rows="p WHERE status = 'open'", limit=100, offset=20), POSTINGS))
 def posting_list_diverse(spark, sf_dir):
-    return rank.diverse(rank.filtered(postings(spark, sf_dir)), 20, 100).select("posting_id", "company_id", "company_round")
+    return rank.diverse(rank.filtered(postings(spark, sf_dir, open_only=True)), 20, 100).select("posting_id", "company_id", "company_round")
 
 
 @query(sql(LIST.format(rows=f"p WHERE status = 'open' AND {SEARCH}", limit=50, offset=0), MENTIONS, POSTINGS, FOUND))
 def posting_list_search(spark, sf_dir):
-    rows = rank.filtered(postings(spark, sf_dir), found(spark, sf_dir), query="House")
+    rows = rank.filtered(postings(spark, sf_dir, open_only=True), found(spark, sf_dir), query="House")
     return rank.diverse(rows, 0, 50).select("posting_id", "company_id", "company_round")
 
 
 @query(sql(f"SELECT count(*) AS total FROM p WHERE status = 'open' AND {BRAND}", MENTIONS, POSTINGS, FOUND))
 def posting_count_skill_search(spark, sf_dir):
-    return rank.filtered(postings(spark, sf_dir), found(spark, sf_dir), query="#25").agg(F.count("*").alias("total"))
+    return rank.filtered(postings(spark, sf_dir, open_only=True), found(spark, sf_dir), query="#25").agg(F.count("*").alias("total"))
 
 
 @query(sql("SELECT count(*) AS total FROM p WHERE status = 'open' AND company_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) AND posting_id IN (SELECT posting_id FROM o WHERE category = 'data')", MENTIONS, POSTINGS, FOUND))
 def posting_count_filtered(spark, sf_dir):
-    return rank.filtered(postings(spark, sf_dir), found(spark, sf_dir), companies=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89], category="data").agg(F.count("*").alias("total"))
+    return rank.filtered(postings(spark, sf_dir, open_only=True), found(spark, sf_dir), companies=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89], category="data").agg(F.count("*").alias("total"))
 
 
 MATCH = f"""
@@ -154,13 +154,13 @@ q AS (SELECT *, row_number() OVER (PARTITION BY matched ORDER BY company_round,
 
 @query(sql("SELECT posting_id, matched, company_round FROM (SELECT *, CASE WHEN matched THEN pos + pos // 4 ELSE 5 * pos + 4 END AS slot FROM q) ORDER BY slot, matched DESC LIMIT 60 OFFSET 15", MENTIONS, POSTINGS, FOUND, MATCH, PERSONAL))
 def posting_list_personalised(spark, sf_dir):
-    page = rank.personalised(postings(spark, sf_dir).filter("status = 'open'"), found(spark, sf_dir), OWNED, 15, 60)
+    page = rank.personalised(postings(spark, sf_dir, open_only=True).filter("status = 'open'"), found(spark, sf_dir), OWNED, 15, 60)
     return page.select("posting_id", "matched", "company_round")
 
 
 @query(sql("SELECT posting_id, first_seen_at::VARCHAR AS first_seen FROM p WHERE status = 'open' AND (first_seen_at < TIMESTAMP '1998-01-01' OR (first_seen_at = TIMESTAMP '1998-01-01' AND posting_id < 5000)) ORDER BY first_seen_at DESC, posting_id DESC LIMIT 51", POSTINGS))
 def posting_keyset_page(spark, sf_dir):
-    page = rank.keyset(rank.filtered(postings(spark, sf_dir)), "first_seen_at", "posting_id", ("1998-01-01", 5000), 99)
+    page = rank.keyset(rank.filtered(postings(spark, sf_dir, open_only=True)), "first_seen_at", "posting_id", ("1998-01-01", 5000), 99)
     return page.select("posting_id", F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
@@ -173,7 +173,7 @@ LEFT JOIN (SELECT company_id, count(DISTINCT skill) AS skill_count, count(*) FIL
     )
 )
 def company_profile(spark, sf_dir):
-    return market.company_profile(found(spark, sf_dir), postings(spark, sf_dir)).withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
+    return market.company_profile(found(spark, sf_dir), postings(spark, sf_dir, open_only=True)).withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
 
 
 @query(
@@ -185,12 +185,12 @@ LEFT JOIN (SELECT company_id, string_agg(skill, ',' ORDER BY rn) AS top_skills F
     )
 )
 def company_search_groups(spark, sf_dir):
-    return market.company_groups(found(spark, sf_dir), postings(spark, sf_dir))
+    return market.company_groups(found(spark, sf_dir), postings(spark, sf_dir, open_only=True))
 
 
 @query(sql("SELECT location AS label, count(*) AS n FROM p WHERE status = 'open' GROUP BY 1", POSTINGS))
 def location_distribution(spark, sf_dir):
-    return market.distribution(postings(spark, sf_dir).filter("status = 'open'"), "location")
+    return market.distribution(postings(spark, sf_dir, open_only=True).filter("status = 'open'"), "location")
 
 
 @query(
@@ -211,7 +211,7 @@ RANGE = "closes_at >= TIMESTAMP '1998-07-01' - INTERVAL 9 HOUR AND closes_at < T
 
 @query(sql(f"SELECT posting_id, strftime(closes_at, '%Y-%m-%d %H:%M:%S') AS closes FROM d WHERE status = 'open' AND {RANGE} ORDER BY closes_at, first_seen_at DESC, posting_id LIMIT 500", POSTINGS, DATED))
 def hiring_deadlines(spark, sf_dir):
-    return calendar.deadlines(postings(spark, sf_dir, dated=True), START, END, 500).select("posting_id", F.date_format("closes_at", "yyyy-MM-dd HH:mm:ss").alias("closes"))
+    return calendar.deadlines(postings(spark, sf_dir, dated=True, open_only=True), START, END, 500).select("posting_id", F.date_format("closes_at", "yyyy-MM-dd HH:mm:ss").alias("closes"))
 
 
 @query(
@@ -222,7 +222,7 @@ FROM d WHERE status = 'open'""",
     )
 )
 def hiring_summary(spark, sf_dir):
-    return calendar.summary(postings(spark, sf_dir, dated=True), START, END, NOW)
+    return calendar.summary(postings(spark, sf_dir, dated=True, open_only=True), START, END, NOW)
 
 
 @query(
@@ -233,7 +233,7 @@ def hiring_summary(spark, sf_dir):
     )
 )
 def hiring_active_companies(spark, sf_dir):
-    rows = calendar.active_companies(postings(spark, sf_dir, dated=True), NOW, 30)
+    rows = calendar.active_companies(postings(spark, sf_dir, dated=True, open_only=True), NOW, 30)
     return rows.select("company_id", "company_name", "new_postings", F.date_format("nearest_deadline", "yyyy-MM-dd").alias("nearest_deadline"), "open_postings")
 
 
@@ -245,7 +245,7 @@ h AS (SELECT CAST(first_seen_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS o
 
 @query(sql("SELECT strftime(g.day, '%Y-%m-%d') AS day, coalesce(deadlines, 0) AS deadlines, coalesce(opened, 0) AS opened, month(g.day) = 7 AS in_month FROM g LEFT JOIN c ON g.day = c.day LEFT JOIN h ON g.day = h.day", POSTINGS, DATED, GRID))
 def hiring_calendar_grid(spark, sf_dir):
-    return calendar.month_grid(postings(spark, sf_dir, dated=True), 1998, 7).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return calendar.month_grid(postings(spark, sf_dir, dated=True, open_only=True), 1998, 7).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 # Trends over events: skill = event type, posting = user.

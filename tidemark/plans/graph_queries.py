@@ -224,7 +224,7 @@ cl AS (SELECT * FROM ct WHERE tier = 1 OR (tier = 2 AND posting_id NOT IN (SELEC
 def classified(spark, sf_dir):
     f = found(spark, sf_dir)
     skills = f.groupBy("posting_id").agg(F.array_sort(F.collect_list("skill")).alias("skills"), F.array_sort(F.collect_list(F.when(F.col("requirement_type") == "required", F.col("skill")))).alias("required_skills"))
-    open_ = postings(spark, sf_dir).filter("status = 'open'").join(skills, "posting_id", "left").withColumn("body", F.col("location"))
+    open_ = postings(spark, sf_dir, open_only=True).join(skills, "posting_id", "left").withColumn("body", F.col("location"))
     return career.classify(open_, RULES), f
 
 
