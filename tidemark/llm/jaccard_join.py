@@ -39,7 +39,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Cache, checkpointed, small
 
-COORDINATES = 32
+COORDINATES = 64
+SALTS = 4
+#: Share of agreeing pairs from which a large node is compared in blocks and not split.
+DENSE = 0.25
+#: Columns of an incidence matrix, and sets in a block of a large node or class.
+WIDTH = 1024
+BLOCK = 2048
 WORD = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
 A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,35 +77,48 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
 
 def signature(grams: np.ndarray) -> np.ndarray:
     """Min-hash per coordinate, as signed 32-bit integers."""
-    out = np.empty(COORDINATES, np.uint64)
+    least = np.full(COORDINATES, np.uint64(2**64 - 1))
     with np.errstate(over="ignore"):
-        for i in range(COORDINATES):
-            out[i] = (grams * A[i]).min()
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        for at in range(0, len(grams), 2048):
+            np.minimum(least, (grams[at : at + 2048, None] * A).min(0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which sets of ``a`` and ``b`` reach the Jaccard threshold; shared n-grams are counted by blocks of a product of incidence matrices."""
+    """Which sets of ``a`` and ``b`` reach the Jaccard threshold.
+
+    Shared n-grams are counted exactly: those of many sets by a product of
+    incidence matrices, those of few by adding up their own pairs.
+    """
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     if len(a) == 1 and len(b) == 1:
         shared = np.array([[len(np.intersect1d(a[0], b[0], assume_unique=True))]], float)
     else:
-        values = np.concatenate([*a, *b])
-        rows = np.repeat(np.arange(len(a) + len(b)), np.concatenate([na, nb]))
-        _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-        common = count > 1  # an n-gram of one set is shared with none
-        column = np.cumsum(common) - 1
-        some = common[inverse]
-        rows, cols = rows[some], column[inverse[some]]
         shared = np.zeros((len(a), len(b)), np.float32)
-        order = np.argsort(cols, kind="stable")
-        rows, cols = rows[order], cols[order]
-        width = 4096
-        for start in range(0, int(common.sum()), width):
-            i, j = np.searchsorted(cols, [start, start + width])
-            matrix = np.zeros((len(a) + len(b), width), np.float32)
-            matrix[rows[i:j], cols[i:j] - start] = 1
-            shared += matrix[: len(a)] @ matrix[len(a) :].T
+        va, vb = np.concatenate(a), np.concatenate(b)
+        both = np.intersect1d(va, vb)
+        sides = []
+        for values, n in ((va, na), (vb, nb)):
+            at = np.searchsorted(both, values)
+            at[at == len(both)] = 0
+            hit = both[at] == values if len(both) else np.zeros(len(values), bool)
+            rows, cols = np.repeat(np.arange(len(n)), n)[hit], at[hit]
+            order = np.argsort(cols, kind="stable")
+            sides.append((rows[order], cols[order], np.bincount(cols, minlength=len(both))))
+        (ra, ca, fa), (rb, cb, fb) = sides
+        often = fa * fb > len(a) * len(b) / 200 + 4
+        column = np.cumsum(often) - 1
+        for start in range(0, int(often.sum()), WIDTH):
+            parts = []
+            for rows, cols, size in ((ra, ca, len(a)), (rb, cb, len(b))):
+                here = often[cols] & (column[cols] >= start) & (column[cols] < start + WIDTH)
+                matrix = np.zeros((size, WIDTH), np.float32)
+                matrix[rows[here], column[cols[here]] - start] = 1
+                parts.append(matrix)
+            shared += parts[0] @ parts[1].T
+        ea, eb = np.cumsum(fa), np.cumsum(fb)
+        for g in np.flatnonzero(~often).tolist():
+            shared[ra[ea[g] - fa[g] : ea[g]][:, None], rb[eb[g] - fb[g] : eb[g]]] += 1
     union = na[:, None] + nb[None, :] - shared
     return shared >= threshold * union - 1e-9
 
@@ -167,7 +186,7 @@ def split_sides(rows: list[tuple], diagonal: bool) -> tuple[list[int], list[int]
     return ids, [r for r, _ in right], grams, [unpack(g) for _, g in right]
 
 
-def in_blocks(members: DataFrame, group: str, size, limit: int) -> DataFrame:
+def in_blocks(members: DataFrame, size, limit: int) -> DataFrame:
     """Deal the sets of each group to all pairs of its blocks of about ``limit``: adds bi, bj, side."""
     blocks = F.ceil(size / F.lit(float(limit))).cast("int")
     own = F.pmod(F.xxhash64("rid", F.lit(11)), blocks).cast("int")
@@ -210,25 +229,42 @@ def children(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _leaves(sigs: DataFrame, runs: range, threshold: float, limit: int, depth: int) -> tuple[DataFrame, int]:
-    """Nodes to compare (run, node, rid, n), and the deepest level; ``sigs``: rid, root, sig.  Nodes within one root are skipped."""
+    """Nodes to compare (run, node, rid, n), and the deepest level; ``sigs``: rid, root, sig.  Nodes within one root are skipped.
+
+    Large dense nodes of different runs and levels that hold the same near copies
+    have the same core, the commonest values of three coordinates: they are put
+    together by it and compared once.
+    """
     level = children(sigs.withColumn("run", F.explode(F.array(*map(F.lit, runs)))).withColumn("node", F.lit(0).cast("long")), threshold)
-    leaves, columns = None, ["run", "node", "rid", "n"]
+    leaves, cores = [], []
     for d in range(1, depth + 1):
         # Counts are combined before the shuffle; nodes of one set or one root go no further.
         size = level.groupBy("run", "node").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1 and lo <> hi").drop("lo", "hi")
         rows = checkpointed(level.join(size, ["run", "node"]))
         big = rows.filter(F.col("n") > limit)
         if d == depth or big.isEmpty():
-            return (rows.select(columns) if leaves is None else leaves.union(rows.select(columns))), d
-        big = big.join(sigs.select("rid", "sig"), "rid")
-        # Share of pairs that agree in a coordinate, over four of them: the node's mean similarity.
-        sample = big.select("run", "node", "n", F.posexplode(F.slice("sig", 1, 4)).alias("c", "v")).groupBy("run", "node", "n", "c", "v").count()
-        density = sample.groupBy("run", "node").agg((F.sum(F.col("count") * F.col("count")) / (4.0 * F.max("n") * F.max("n"))).alias("density"))
-        big = checkpointed(big.join(density, ["run", "node"]))
-        settled = rows.filter(F.col("n") <= limit).select(columns).union(big.filter(F.col("density") >= DENSE).select(columns))
-        leaves = settled if leaves is None else leaves.union(settled)
-        level = children(big.filter(F.col("density") < DENSE), threshold)
-    raise ValueError("depth must be at least 1")
+            leaves.append(rows)
+            break
+        leaves.append(rows.filter(F.col("n") <= limit))
+        big = big.join(sigs.select("rid", F.slice("sig", 1, 3).alias("v")), "rid")
+        joint = big.groupBy("run", "node", "n", "v").agg(F.count("*").alias("c"))
+        # Share of pairs that agree in all three coordinates.
+        stat = joint.groupBy("run", "node").agg((F.sum(F.col("c") * F.col("c")) / (F.max("n") * F.max("n"))).alias("density"), F.max(F.struct("c", "v")).alias("top"))
+        big = checkpointed(big.join(stat.select("run", "node", "density", F.xxhash64("top.v").alias("core")), ["run", "node"]))
+        cores.append(big.filter(F.col("density") >= DENSE).select("core", "rid"))
+        level = children(big.filter(F.col("density") < DENSE).select("run", "node", "rid", "root").join(sigs.select("rid", "sig"), "rid"), threshold)
+    columns = ["run", "node", "rid", "n"]
+    out = leaves[0].select(columns)
+    for more in leaves[1:]:
+        out = out.union(more.select(columns))
+    if cores:
+        together = cores[0]
+        for more in cores[1:]:
+            together = together.union(more)
+        together = together.distinct()
+        sized = together.join(together.groupBy("core").agg(F.count("*").alias("n")), "core")
+        out = out.union(sized.select(F.lit(-1).alias("run"), F.col("core").alias("node"), "rid", "n"))
+    return out, d
 
 
 def _spanning(rows: list[tuple], threshold: float, diagonal: bool) -> list[tuple[int, int]]:
@@ -253,43 +289,70 @@ def _spanning(rows: list[tuple], threshold: float, diagonal: bool) -> list[tuple
     return [(r, i) for i in parent if (r := root(i)) != i]
 
 
-def _compare(leaves: DataFrame, sets: DataFrame, threshold: float, limit: int) -> DataFrame:
+def partnered(rows: list[tuple], own: int, bound: float) -> list[int]:
+    """Which rows (root, signature) of a node agree with a row of another root in at least ``bound`` of the coordinates."""
+    roots = np.array([r for r, _ in rows])
+    sig = np.array([s for _, s in rows], np.int32)
+    need, hit = bound * COORDINATES, np.zeros(len(rows), bool)
+    for at in range(0, len(rows), own):
+        agree = np.zeros((min(own, len(rows) - at), len(rows)), np.int16)
+        for c in range(COORDINATES):
+            agree += sig[at : at + own, c][:, None] == sig[None, :, c]
+        hit[at : at + own] = ((agree >= need) & (roots[at : at + own][:, None] != roots[None, :])).any(1)
+    return np.flatnonzero(hit).tolist()
+
+
+def _candidates(leaves: DataFrame, sigs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``leaves`` without the sets that have no partner in their node by their signatures; nodes over ``block`` sets stay whole."""
+    bound = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    small_ = leaves.filter(F.col("n") <= block).join(sigs, "rid").select("run", "node", F.lit(0).alias("side"), "rid", F.struct("root", "sig").alias("x"))
+
+    def each(key: tuple, rows: list[tuple]) -> list[tuple]:
+        kept = partnered([(x["root"], x["sig"]) for _, _, x in rows], 256, bound)
+        return [(*key, rows[i][1], len(kept)) for i in kept]
+
+    kept = grouped(small_, ["run", "node"], each, "run int, node long, rid long, n long")
+    return kept.union(leaves.filter(F.col("n") > block).select("run", "node", "rid", "n"))
+
+
+def _compare(leaves: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """Links (a, b) within the nodes.  Nodes with the same sets are compared once."""
+    leaves = checkpointed(_candidates(leaves, sigs, threshold, block))
     digest = leaves.groupBy("run", "node").agg(F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("h"), F.max("n").alias("n"))
     once = digest.groupBy("h", "n").agg(F.min(F.struct("run", "node")).alias("x")).select("x.run", "x.node")
-    dealt = in_blocks(leaves.join(once, ["run", "node"], "left_semi"), "node", F.col("n"), limit)
+    dealt = in_blocks(leaves.join(once, ["run", "node"], "left_semi"), F.col("n"), block)
     with_sets = dealt.join(sets.select("rid", "grams"), "rid").select("run", "node", "bi", "bj", "side", "rid", "grams")
     return grouped(with_sets, ["run", "node", "bi", "bj"], lambda key, rows: _spanning(rows, threshold, key[-1] == key[-2]), "a long, b long")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, limit: int = 512, depth: int = 5, count_links: bool = True) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = 256, depth: int = 5, block: int = BLOCK, count_links: bool = True) -> DataFrame:
     """One row per row of ``df``: key, class_id, class_size and (with ``count_links``) n_links, the other rows that reach the threshold."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("rid"))
     texts = df.select(F.when(F.length(text) > 0, F.xxhash64(text)).alias("rid"), text)
     # Sets stay where they are dealt by rid: the joins with them move ids alone.  Lost parts are computed again.
     sets = _sets(texts, text, n).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").dropDuplicates(["rid"]).persist(StorageLevel.DISK_ONLY)
-    sigs = checkpointed(sets.select("rid", "sig"))
+    sigs = sets.select("rid", "sig").persist(StorageLevel.DISK_ONLY)
     nodes = checkpointed(rows.filter("rid is not null").groupBy("rid").agg(F.min("k").alias("first"), F.count("*").alias("weight")).join(sigs.select("rid"), "rid"))
 
-    own = sigs.withColumn("root", F.col("rid"))
+    own = first = sigs.withColumn("root", F.col("rid"))
     leaves, deepest = _leaves(own, range(1), threshold, limit, depth)
-    edges = checkpointed(_compare(leaves, sets, threshold, limit))
-    wanted = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, deepest + 1)))
+    edges = checkpointed(_compare(leaves, own, sets, threshold, block))
+    wanted = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, deepest)))
     if wanted > 1 and not edges.isEmpty():
         # Sets known to be in one class need no second comparison: each takes the least label it is linked to.
         near = edges.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("m")), F.struct(F.col("b").alias("rid"), F.col("a").alias("m")))).alias("e")).groupBy("e.rid").agg(F.min("e.m").alias("m"))
-        own = checkpointed(sigs.join(near, "rid", "left").select("rid", F.least("rid", "m").alias("root"), "sig"))
+        own = sigs.join(near, "rid", "left").select("rid", F.least("rid", "m").alias("root"), "sig").persist(StorageLevel.DISK_ONLY)
     if wanted > 1:
         more, _ = _leaves(own, range(1, wanted), threshold, limit, depth)
-        edges = edges.union(checkpointed(_compare(more, sets, threshold, limit)))
+        edges = edges.union(checkpointed(_compare(more, own, sets, threshold, block)))
     roots = components(edges)
 
     classes = checkpointed(nodes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
     per_class = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"), F.count("*").alias("m"))
     joined = classes.join(per_class, "root")
     if count_links:
-        counted = _count_links(joined.filter("m > 1").select("root", "rid", "m", "weight"), sets, threshold, limit)
+        counted = _count_links(joined.filter("m > 1").select("root", "rid", "m", "weight"), sets, threshold, block)
         joined = joined.join(counted, "rid", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("others", F.lit(0)))
     out = ["class_id", "class_size"] + ["n_links"] * count_links
     # A text may have any number of rows: they are dealt by text and salt.
@@ -298,18 +361,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     alone = {"class_id": F.col("k"), "class_size": F.lit(1), "n_links": F.lit(0)}
     result = salted.join(dealt, ["rid", "salt"], "left").select(F.col("k").alias(key), *[F.coalesce(c, alone[c]).cast(dict(rows.dtypes)["k"] if c == "class_id" else "long").alias(c) for c in out])
     result = checkpointed(result)
-    sets.unpersist()
+    for kept in (sets, sigs, *[own] * (own is not first)):
+        kept.unpersist()
     return result
 
 
-SALTS = 4
-#: Mean similarity from which a large node is compared in blocks and not split.
-DENSE = 0.4
-
-
-def _count_links(members: DataFrame, sets: DataFrame, threshold: float, limit: int) -> DataFrame:
+def _count_links(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(rid, others): rows of other sets that each set links to, by weight."""
-    dealt = in_blocks(members, "root", F.col("m"), limit).join(sets.select("rid", "grams"), "rid")
+    dealt = in_blocks(members, F.col("m"), block).join(sets.select("rid", "grams"), "rid")
     weighted = dealt.select("root", "bi", "bj", "side", "rid", F.struct("weight", "grams").alias("grams"))
 
     def each(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
