@@ -31,9 +31,13 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.join(docs, count_links=False)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    """Repeated rows of a document count once.  A document without an id can't be its class's first by id: such documents stay, each text once."""
+    docs = docs.select(COLUMNS)
+    named = docs.filter("doc_id is not null")
+    classes = jaccard_join.join(named, count_links=False)
+    first = classes.filter("doc_id = class_id").select("doc_id")
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])  # dealt by doc_id already
+    return kept.select(COLUMNS).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]).select(COLUMNS))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
