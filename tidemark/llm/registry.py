@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """A list of files dealt one by one: its rows are too small for their bytes to say how many tasks to make."""
+    return files.repartition(max(1, files.count()), "file")
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +58,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = checkpointed(warc.write(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc")))
-    found = warc.captures(warc.read_records(files.repartition("file")))
+    found = warc.captures(spread(files))
     body = warc.http_body("response.block")
     stated = F.regexp_extract(F.col("response.block").cast("string"), r"\r\nContent-Length: (\d+)", 1).cast("long")
     is_revisit = F.col("response.type") == "revisit"
@@ -76,7 +81,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = checkpointed(token_output.write(table(spark, sf_dir, "documents"), "doc_id", "text", fresh_dir(spark, "tokens"), vocabulary("word_bpe_49k.json"), 2))
-    found = token_output.read(token_output.with_starts(files).repartition("file"))
+    found = token_output.read(spread(token_output.with_starts(files)))
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -104,7 +109,42 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+def license_sql() -> str:
+    """Op 10 in SQL: sentences, identifiers by the same patterns, then one step per rule over the sequence."""
+    cases = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '|{n}|'" for n, p in license_scan.SENTENCES)
+    steps = "SELECT doc_id, n_sentences, sentences, rest AS r0 FROM q"
+    for k, (_, seq) in enumerate(license_scan.RULES):
+        key = "".join(f"|{i}|" for i in seq)
+        steps = f"SELECT *, contains(r{k}, '{key}') AS f{k}, replace(r{k}, '{key}', '#') AS r{k + 1} FROM ({steps})"
+    names = [n for n, _ in license_scan.RULES]
+    found = ", ".join(f"CASE WHEN {' OR '.join(f'f{i}' for i, m in enumerate(names) if m == n)} THEN '{n}' END" for n in dict.fromkeys(names))
+    return f"""
+        WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS s,
+                          unnest(range(len(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))))) AS i FROM documents),
+        n AS (SELECT doc_id, i, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(lower(s), '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '.', ' '), chr(1), '.'), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g')) AS s FROM t
+              WHERE regexp_matches(s, '(?i)licen|permission|warranty|redistribut|rights|public|creative|cc')),
+        k AS (SELECT doc_id, i, CASE {cases} END AS id FROM n),
+        g AS (SELECT doc_id, count(*) AS n_sentences, string_agg(replace(id, '|', ''), ',' ORDER BY i) AS sentences, string_agg(id, '' ORDER BY i) AS rest FROM k WHERE id IS NOT NULL GROUP BY 1),
+        q AS (SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentences, '') AS sentences, coalesce(rest, '') AS rest FROM documents d LEFT JOIN g USING (doc_id))
+        SELECT doc_id, n_sentences, sentences, concat_ws(',', {found}) AS licenses FROM ({steps})
+    """
+
+
+WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH it AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM it WHERE len(w) > 0)),
+        d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d JOIN (SELECT DISTINCT m FROM iw) ON len(w) >= m)),
+        h AS (SELECT dw.doc_id, dw.i, dw.m, iw.item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.win = iw.win),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY 1),
+        o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM h GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+    """,
+    "op10_license_scan": license_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)

@@ -7,7 +7,8 @@ that a task that runs again (lost executor, speculation) leaves the same file.
 
 ``read_records`` gives the records of archives; ``captures`` assembles
 transactions: records that are concurrent to one another become one row with
-nested request, response and metadata.
+nested request, response and metadata.  Records move as the gzip members that
+archives hold, and are inflated at the ends.
 
 Equal payloads of at least ``min_revisit`` bytes are stored once: the record
 with the smallest key is the response, the others are revisits of it.  Null
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import checkpointed, small
 
 #: Time of all records: the archives depend on their input alone.
 DATE = "2024-01-01T00:00:00Z"
@@ -44,7 +45,7 @@ def record_id(kind: str, key: str) -> str:
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member."""
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}", "", ""]
-    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 3, mtime=0)
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def digests(df: DataFrame, key: str, payload: str) -> DataFrame:
@@ -70,7 +71,16 @@ def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payl
     """Write the archives below ``path`` (a URI of a shared file system); returns their list: file, records."""
     later = revisits(df, key, payload, min_revisit).withColumnRenamed("k", "k2")
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(uri), F.lit("")).alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p"))
-    rows = rows.join(later, F.col("k") == F.col("k2"), "left").select(F.col("k").cast("string"), "u", "p", F.col("refers_to").cast("string"))
+    kind = dict(rows.dtypes)["k"]
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            made = [answer("" if k is None else str(k), u, p.encode()) for k, u, p in zip(*(c.to_pylist() for c in b.columns))]
+            n, digest, response = zip(*made)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(response, pa.binary())], ["k", "u", "n", "digest", "response"])
+
+    answers = rows.mapInArrow(prepare, f"k {kind}, u string, n long, digest string, response binary")
+    joined = answers.join(later, F.col("k") == F.col("k2"), "left").select(F.col("k").cast("string"), "u", "n", "digest", "response", F.col("refers_to").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -84,45 +94,60 @@ def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payl
         with store.open_output_stream(partial, compression=None) as out:
             out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", name)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"))
             for b in small(batches):
-                for k, u, p, refers in zip(*(c.to_pylist() for c in b.columns)):
-                    out.write(b"".join(transaction(k, u, p.encode(), refers)))
+                for k, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                    out.write(b"".join(transaction(k or "", *rest)))
                     records += 3
         if store.get_file_info(name).type != fs.FileType.NotFound:  # an earlier attempt's file, with the same records
             store.delete_file(name)
         store.move(partial, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], ["file", "records"])
 
-    return rows.mapInArrow(run, "file string, records long")
+    return joined.mapInArrow(run, "file string, records long")
+
+
+def common(uri: str) -> list[tuple[str, str]]:
+    return [("WARC-Date", DATE), ("WARC-Target-URI", " ".join(uri.split()))]
+
 
+def http_head(n: int) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
 
-def transaction(key: str | None, uri: str, payload: bytes, refers: str | None) -> Iterator[bytes]:
-    key = "" if key is None else key
-    uri = " ".join(uri.split())
-    response = record_id("response", key)
+
+def answer(key: str, uri: str, payload: bytes) -> tuple[int, str, bytes]:
+    """Length and digest of a payload, and its response record."""
     digest = hashlib.sha256(payload).hexdigest()
-    same = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
-    yield record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", response), *same, ("Content-Type", "application/http;msgtype=request")], f"GET {uri} HTTP/1.1\r\nHost: {uri.split('/')[2] if uri.count('/') > 1 else ''}\r\n\r\n".encode())
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    return len(payload), digest, record([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key)), *common(uri), *kind], http_head(len(payload)) + payload)
+
+
+def transaction(key: str, uri: str, n: int, digest: str, response: bytes, refers: str | None) -> Iterator[bytes]:
+    """The three records of a capture; one that refers to another's payload keeps the HTTP head alone."""
+    own, same = record_id("response", key), common(uri)
+    target = same[1][1]
+    yield record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/http;msgtype=request")], f"GET {target} HTTP/1.1\r\nHost: {target.split('/')[2] if target.count('/') > 1 else ''}\r\n\r\n".encode())
     if refers is None:
-        yield record([("WARC-Type", "response"), ("WARC-Record-ID", response), *same, *kind], head + payload)
+        yield response
     else:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", response), ("WARC-Refers-To", record_id("response", refers)), ("WARC-Profile", REVISIT), *same, *kind], head)
-    yield record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", response), *same, ("Content-Type", "application/warc-fields")], f"captureKey: {key}\r\n".encode())
+        kind = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id("response", refers)), ("WARC-Profile", REVISIT), *same, *kind], http_head(n))
+    yield record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/warc-fields")], f"captureKey: {key}\r\n".encode())
 
 
-def members(stream) -> Iterator[bytes]:
-    """Each gzip member of a stream, inflated; a record's length bounds the memory."""
-    unzip, parts, data = zlib.decompressobj(31), [], stream.read(1 << 20)
+def members(stream) -> Iterator[tuple[bytes, bytes]]:
+    """Each gzip member of a stream, as it is and inflated; a record's length bounds the memory."""
+    unzip, raw, parts, data = zlib.decompressobj(31), [], [], stream.read(1 << 20)
     while data:
         parts.append(unzip.decompress(data))
         if unzip.eof:
-            yield b"".join(parts)
-            data = unzip.unused_data or stream.read(1 << 20)
-            unzip, parts = zlib.decompressobj(31), []
+            rest = unzip.unused_data
+            raw.append(data[: len(data) - len(rest)])
+            yield b"".join(raw), b"".join(parts)
+            data = rest or stream.read(1 << 20)
+            unzip, raw, parts = zlib.decompressobj(31), [], []
         else:
+            raw.append(data)
             data = stream.read(1 << 20)
-    if parts:
+    if raw:
         raise ValueError("the archive ends within a record")
 
 
@@ -136,7 +161,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers.get("content-length", 0))]
 
 
-RECORD = "file string, type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, block binary"
+RECORD = "file string, type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, record binary"
 
 
 def read_records(files: DataFrame, column: str = "file") -> DataFrame:
@@ -148,17 +173,17 @@ def read_records(files: DataFrame, column: str = "file") -> DataFrame:
         names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows))], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "record" else pa.string()) for n, c in zip(names, zip(*rows))], names)
 
         for b in batches:
             for file in b.column(0).to_pylist():
                 store, where = fs.FileSystem.from_uri(file) if "://" in file else (fs.LocalFileSystem(), file)
                 rows, size = [], 0
                 with store.open_input_stream(where, compression=None) as stream:
-                    for raw in members(stream):
-                        h, block = parse(raw)
-                        rows.append((file, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), block))
-                        size += len(block)
+                    for member, raw in members(stream):
+                        h, _ = parse(raw)
+                        rows.append((file, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), member))
+                        size += len(member)
                         if size > 8 << 20:
                             yield batch(rows)
                             rows, size = [], 0
@@ -168,17 +193,83 @@ def read_records(files: DataFrame, column: str = "file") -> DataFrame:
     return files.select(column).mapInArrow(run, RECORD)
 
 
-def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: records with one transaction id (own id, or the one they are concurrent to)."""
-    one = F.struct("id", "uri", "date", "block")
-    answer = F.struct("type", "id", "uri", "date", "refers_to", "payload_digest", "block")
-    pick = lambda kind, what: F.first(F.when(F.col("type").isin(*kind), what), ignorenulls=True)
-    return (
-        records.filter(F.col("type").isin("request", "response", "revisit", "metadata"))
-        .withColumn("capture_id", F.coalesce("concurrent_to", "id"))
-        .groupBy("capture_id")
-        .agg(pick(("request",), one).alias("request"), pick(("response", "revisit"), answer).alias("response"), pick(("metadata",), one).alias("metadata"))
-    )
+# Fields of the nested records and the headers they come from.
+ONE = {"id": "warc-record-id", "uri": "warc-target-uri", "date": "warc-date"}
+ANSWER = {"type": "warc-type", **ONE, "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
+
+
+SLOTS = {"request": 0, "response": 1, "revisit": 1, "metadata": 2}
+#: Captures of a file that wait for their other records at once.
+PENDING = 512
+
+
+def _transactions(files: DataFrame, column: str, whole: bool) -> DataFrame:
+    """Per file: the captures that are whole in it, or what is left over (a record may stand far from its fellows or in another file)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        names = ["capture_id", "request", "response", "metadata"]
+
+        def batch(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.string()) for i, c in enumerate(zip(*rows))], names)
+
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                store, where = fs.FileSystem.from_uri(file) if "://" in file else (fs.LocalFileSystem(), file)
+                waiting: dict[str, list] = {}
+                rows, size = [], 0
+                with store.open_input_stream(where, compression=None) as stream:
+                    for member, raw in members(stream):
+                        h, _ = parse(raw)
+                        slot = SLOTS.get(h.get("warc-type", ""))
+                        key = h.get("warc-concurrent-to") or h.get("warc-record-id")
+                        if slot is None or key is None:
+                            continue
+                        mine = waiting.setdefault(key, [key, None, None, None])
+                        mine[slot + 1] = mine[slot + 1] or member
+                        done = all(mine)
+                        out = waiting.pop(key) if done else waiting.pop(next(iter(waiting))) if len(waiting) > PENDING else None
+                        if out and done == whole:
+                            rows.append(out)
+                            size += sum(len(x) for x in out[1:] if x)
+                        if size > 8 << 20:
+                            yield batch(rows)
+                            rows, size = [], 0
+                rows += [] if whole else waiting.values()
+                if rows:
+                    yield batch(rows)
+
+    return files.select(column).mapInArrow(run, "capture_id string, request binary, response binary, metadata binary")
+
+
+def captures(files: DataFrame, column: str = "file") -> DataFrame:
+    """One nested row per capture of the archives named in ``files``: records with one transaction id (own id, or the one they are concurrent to).
+
+    A capture whose request, response and metadata stand near each other in one
+    file, as writers put them, is assembled where it is read.  Records left over
+    are joined by their transaction id, across files, and go with no capture that
+    is whole elsewhere.
+    """
+    whole = _transactions(files, column, True)
+    rest = checkpointed(_transactions(files, column, False))
+    if not rest.isEmpty():
+        met = rest.groupBy("capture_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("request", "response", "metadata")))
+        whole = whole.unionByName(met.join(whole.select("capture_id"), "capture_id", "left_anti"))
+    shapes = {"request": ONE, "response": ANSWER, "metadata": ONE}
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 100):
+            out = [b.column(0)]
+            for column, fields in zip(b.columns[1:], shapes.values()):
+                opened = [None if m is None else parse(zlib.decompress(m, 31)) for m in column.to_pylist()]
+                heads = [pa.array([o and o[0].get(h) for o in opened], pa.string()) for h in fields.values()]
+                blocks = pa.array([o and o[1] for o in opened], pa.binary())
+                out.append(pa.StructArray.from_arrays([*heads, blocks], [*fields, "block"], mask=pa.array([o is None for o in opened])))
+            yield pa.RecordBatch.from_arrays(out, ["capture_id", *shapes])
+
+    struct = lambda fields: f"struct<{','.join(f'{f}:string' for f in fields)},block:binary>"
+    return whole.mapInArrow(inflate, "capture_id string, " + ", ".join(f"{n} {struct(f)}" for n, f in shapes.items()))
 
 
 def http_body(block):
