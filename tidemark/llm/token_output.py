@@ -23,7 +23,9 @@ ordered by it: such rows come first, as key -2**63.
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,12 +168,24 @@ def segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 _loaded: dict = {}
 
 
+def _byte_characters() -> list[str]:
+    """Byte -> the character that byte-level vocabularies write it as: itself if it shows, else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+#: Latin-1 bytes that the short way leaves to the library: controls and odd spaces, and numbers that aren't digits.
+ODD = bytes(c for c in range(256) if c < 0x20 and c not in b"\t\n\r" or 0x7F <= c <= 0xA0 or c in b"\xb2\xb3\xb9\xbc\xbd\xbe")
+
+
 def _tokenizer(path: str):
     """encode(text) -> packed ids, as the library's encode(text, add_special_tokens=False).
 
-    Where the file's pre-tokenizer begins with a removing, inverted split, the
-    parts between its matches are independent and are cached by themselves;
-    texts with a special token's string, and other files, go through the
+    Where the file's pre-tokenizer begins with a removing, inverted split whose
+    matches hold no white space, the words between white space are independent:
+    each is encoded once by the library and remembered.  Texts with a special
+    token's string or letters beyond Latin, and other files, go through the
     library whole.
     """
     if path not in _loaded:
@@ -187,16 +201,36 @@ def _tokenizer(path: str):
         special = [t["content"] for t in spec["added_tokens"]]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        by_word = steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and normal == ["NFC", "Replace", "Lowercase"]
+        by_word = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and sys.byteorder == "little" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and normal == ["NFC", "Replace", "Lowercase"]
         whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        if by_word:
-            split, word = regex.compile(steps[0]["pattern"]["Regex"]).findall, Cache(whole).__getitem__
-            odd = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u02AF\\u1E00-\\u1EFF\\u2010-\\u2027\\u20A0-\\u20BF]|İ").search
+        if by_word and "\\s" in steps[0]["pattern"]["Regex"]:
+            split, tokenize, byte_chars = regex.compile(steps[0]["pattern"]["Regex"]).findall, tokenizer.model.tokenize, _byte_characters()
+
+            def merged(piece: str) -> bytes:
+                # Behind the split the library writes a piece's bytes as characters and gives them to its model.
+                chars = piece if piece.isascii() else "".join(map(byte_chars.__getitem__, piece.encode("utf-8")))
+                return array("I", [t.id for t in tokenize(chars)]).tobytes()
+
+            def of_word(w: str) -> bytes:
+                if w.isalpha():
+                    return merged(w)
+                if w[:-1].isalpha() and w[-1] in ".,;:!?":  # a run of letters, a mark: the same two parts
+                    return word(w[:-1]) + word(w[-1])
+                parts = split(w)
+                return merged(w) if len(parts) == 1 else b"".join(map(word, parts))
+
+            word = Cache(of_word, limit=400_000).__getitem__
+            latin = regex.compile("[\\t\\n\\r\\x20-\\x7E\\xA1-\\xB1\\xB4-\\xB8\\xBA\\xBB\\xBF-\\u012F\\u0131-\\u02AF\\u1E00-\\u1EFF\\u2010-\\u2027\\u20A0-\\u20BF]*").fullmatch
 
             def encode(t: str) -> bytes:
-                if any(s in t for s in special) or odd(t):
+                try:
+                    raw = t.encode("latin-1")
+                    plain = len(raw.translate(None, ODD)) == len(raw)
+                except UnicodeEncodeError:
+                    plain = latin(t)
+                if not plain or any(s in t for s in special):
                     return whole(t)
-                return b"".join(map(word, split(unicodedata.normalize("NFC", t).lower())))
+                return b"".join(map(word, unicodedata.normalize("NFC", t).lower().split()))
         else:
             encode = whole
         _loaded[path] = encode
