@@ -333,6 +333,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     # Sets stay where they are dealt by rid: the joins with them move ids alone.  Lost parts are computed again.
     sets = _sets(texts, text, n).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").dropDuplicates(["rid"]).persist(StorageLevel.DISK_ONLY)
     sigs = sets.select("rid", "sig").persist(StorageLevel.DISK_ONLY)
+    sigs.count()  # fills both once; two stages that want them at one time would each make the sets
     nodes = checkpointed(rows.filter("rid is not null").groupBy("rid").agg(F.min("k").alias("first"), F.count("*").alias("weight")).join(sigs.select("rid"), "rid"))
 
     own = first = sigs.withColumn("root", F.col("rid"))
