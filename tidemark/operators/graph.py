@@ -27,6 +27,11 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows of a node or edge table, computed once: the dictionary of skills bounds them, postings don't."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def edges(found: DataFrame, seed: str | None = None) -> DataFrame:
     """source < target, support, required_pairs, score.
 
@@ -61,6 +66,7 @@ def selection(found: DataFrame, edge: DataFrame, seed: str, depth: int, limit: i
     """
     limit = max(5, min(limit, 60))
     capacity = limit - 1
+    edge = held(edge)
     direct = neighbours(edge, seed)
     start = found.filter(F.col("skill") == seed).select("skill").limit(1).select("skill", F.lit(0).alias("tier"), F.lit(0).alias("rank"))
     if depth == 1:
@@ -163,22 +169,23 @@ def strongest_path(edge: DataFrame, starts: list[str], goal: str, hops: int = 4)
     One join per hop over the small edge table, keeping each skill's cheapest path (ties: the smaller path).
     """
     cost = F.lit(1.0) + 4.0 * (1.0 - F.col("score")) + 1.0 / F.sqrt(F.col("support") + 1.0)
-    one = edge.select("source", "target", cost.alias("step"))
+    one = held(edge).select("source", "target", cost.alias("step"))
     both = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "step"))
     reached = edge.sparkSession.createDataFrame([(s, 0.0, [s]) for s in starts], "skill string, cost double, path array<string>")
     for _ in range(min(hops, 8)):
         further = reached.join(both, reached["skill"] == both["source"]).filter(~F.array_contains("path", F.col("target"))).select(F.col("target").alias("skill"), (F.col("cost") + F.col("step")).alias("cost"), F.array_append("path", F.col("target")).alias("path"))
-        reached = reached.unionByName(further).groupBy("skill").agg(F.min(F.struct("cost", "path")).alias("b")).select("skill", "b.cost", "b.path")
+        reached = held(reached.unionByName(further).groupBy("skill").agg(F.min(F.struct("cost", "path")).alias("b")).select("skill", "b.cost", "b.path"))
     return reached.filter(F.col("skill") == goal).select("skill", "cost", F.array_join("path", ">").alias("path"))
 
 
 def within(edge: DataFrame, starts: list[str], hops: int) -> DataFrame:
     """Skills within ``hops`` edges of the starts, with their distance."""
-    both = edge.select("source", "target").unionByName(edge.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    edge = held(edge.select("source", "target"))
+    both = edge.unionByName(edge.select(F.col("target").alias("source"), F.col("source").alias("target")))
     reached = edge.sparkSession.createDataFrame([(s, 0) for s in starts], "skill string, distance int")
     for _ in range(hops):
         further = reached.join(both, reached["skill"] == both["source"]).select(F.col("target").alias("skill"), (F.col("distance") + 1).alias("distance"))
-        reached = reached.unionByName(further).groupBy("skill").agg(F.min("distance").alias("distance"))
+        reached = held(reached.unionByName(further).groupBy("skill").agg(F.min("distance").alias("distance")))
     return reached
 
 
@@ -196,6 +203,7 @@ def merged(base: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
 
 def focus_view(edge: DataFrame, focus: str, limit: int) -> DataFrame:
     """What a focused graph draws: the focus's own edges first, then the forest's, then the strongest others, up to the limit."""
+    edge = held(edge)
     own = (F.col("source") == focus) | (F.col("target") == focus)
     tree = backbone(edge).select("source", "target", F.lit(True).alias("in_tree"))
     ranked = edge.join(tree, ["source", "target"], "left").withColumn("tier", F.when(own, 0).when(F.coalesce("in_tree", F.lit(False)), 1).otherwise(2))

@@ -108,6 +108,7 @@ SPARSE = "sp AS (SELECT * FROM ej WHERE score >= (SELECT score FROM ej ORDER BY
 
 def sparse(edge):
     """The 60 strongest edges and their equals: a graph with paths longer than one edge."""
+    edge = graph.held(edge)
     cut = edge.orderBy(*graph.edge_order()).limit(60).agg(F.min("score")).scalar()
     return edge.filter(F.col("score") >= cut)
 
