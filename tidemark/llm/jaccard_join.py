@@ -274,19 +274,35 @@ def _spanning(rows: list[tuple], threshold: float, diagonal: bool) -> list[tuple
         return []
     if diagonal and len(ids) == 2:
         return [(ids[0], ids[1])] if links(a[:1], b[1:], threshold)[0, 0] else []
-    x, y = np.nonzero(links(a, b, threshold))
-    parent: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while (p := parent.get(i, i)) != i:
-            parent[i] = i = parent.get(p, p)
-        return i
-
-    for i, j in zip(x.tolist(), y.tolist()):
-        p, q = root(ids[i]), root(others[j])
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-    return [(r, i) for i in parent if (r := root(i)) != i]
+    hit = links(a, b, threshold)
+    return stars(ids, ids if diagonal else others, hit, hit if diagonal else hit.T)
+
+
+def stars(ids: list[int], others: list[int], hit: np.ndarray, back: np.ndarray) -> list[tuple[int, int]]:
+    """The classes of a link matrix as stars around their least id.  Rows are searched breadth first: the links are never listed."""
+    out, one = [], ids is others
+    rows = np.ones(len(ids), bool)
+    cols = rows if one else np.ones(len(others), bool)
+    for start in range(len(ids)):
+        if not rows[start]:
+            continue
+        rows[start] = False
+        mine, theirs, front = [start], [], np.array([start])
+        while len(front):
+            near = np.flatnonzero(hit[front].any(0) & cols)
+            cols[near] = False
+            if one:
+                mine += near.tolist()
+                front = near
+            else:
+                theirs += near.tolist()
+                front = np.flatnonzero(back[near].any(0) & rows)
+                rows[front] = False
+                mine += front.tolist()
+        members = {*(ids[i] for i in mine), *(others[j] for j in theirs)}
+        least = min(members)
+        out += [(least, i) for i in members if i != least]
+    return out
 
 
 def partnered(rows: list[tuple], own: int, bound: float) -> list[int]:
