@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
-from tidemark.llm.common import fresh_dir
+from tidemark.llm.common import fresh_dir, short_batches
 from tidemark.llm.registry import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,11 +27,13 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return line_dedup.dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated rows of a document count once.  A document without an id can't be its class's first by id: such documents stay, each text once."""
+    short_batches(spark)
     docs = docs.select(COLUMNS)
     named = docs.filter("doc_id is not null")
     classes = jaccard_join.join(named, count_links=False)
@@ -48,6 +50,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def stage_tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    short_batches(spark)
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(docs, "doc_id", "text", path, public_tokenizers.PATTERN)
     return byte_bpe.decode(ids, "ids", path).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -69,7 +69,7 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def pieces(ranks: dict[bytes, int]) -> Cache:
     """pre-token -> its ids as little-endian unsigned 32-bit integers."""
-    return Cache(lambda piece: np.array(merge(piece.encode("utf-8"), ranks), "<u4").tobytes())
+    return Cache(lambda piece: np.array(merge(piece.encode("utf-8"), ranks), "<u4").tobytes(), limit=100_000)
 
 
 _loaded: dict = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -46,6 +48,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches to Python of at most ``rows`` rows: 10,000 whole texts at once would fill the memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """The UTF-8 bytes of a string column, without a copy; nulls stay."""
     return column.cast(pa.binary())
@@ -81,7 +90,7 @@ class Cache(dict):
     new one, so frequent keys stay and memory is bounded.
     """
 
-    def __init__(self, compute, limit: int = 100_000, longest: int = 48):
+    def __init__(self, compute, limit: int = 60_000, longest: int = 48):
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
@@ -96,3 +105,14 @@ class Cache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+@contextlib.contextmanager
+def undisturbed() -> Iterator[None]:
+    """No search for reference cycles within, and none later among what it made: for code that makes many objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, token_counts, token_output, warc
-from tidemark.llm.common import checkpointed, fresh_dir
+from tidemark.llm.common import checkpointed, fresh_dir, short_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
