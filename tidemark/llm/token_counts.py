@@ -10,8 +10,9 @@ Pre-tokens are the words between white space, with the word mark in front.  A
 character that no piece covers costs the lowest score less ``unknown`` and
 counts as its UTF-8 bytes.
 
-Each worker keeps a trie of at most ``max_nodes`` nodes and starts anew beyond
-it: memory stays bounded and the counts do not depend on what is kept.  Null
+Each worker keeps a trie of about ``max_nodes`` nodes, which starts anew beyond
+that, and the counts at the terminal nodes of frequent pre-tokens: memory stays
+bounded and the counts do not depend on what is kept.  Null
 and empty texts have no tokens.
 """
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import Cache, small, undisturbed
 
 MARK = "▁"
-#: Longer pre-tokens are counted without the trie, by the same recurrence.
+#: Longer pre-tokens are counted by the same steps and leave no nodes.
 LONG = 64
 
 
@@ -41,65 +42,71 @@ def rank_scores(path: str) -> dict[str, float]:
     return {p: -math.log(r) - norm for r, p in enumerate(pieces, 1)}
 
 
-class Trie(dict):
-    """Pre-token -> (tokens); misses are inserted.  A node is [score, tokens, children]."""
+class Trie:
+    """Tokens of pre-tokens.  A node is [score, tokens, children, alive].
 
-    def __init__(self, scores: dict[str, float], unknown: float = 10.0, max_nodes: int = 2_000_000):
-        super().__init__()
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+    ``alive`` has, for each earlier boundary from which a piece may still end
+    further on, the place in the vocabulary's own trie and the score and tokens
+    up to the boundary: a new node follows its parent's by one character and
+    looks at nothing else.
+    """
+
+    def __init__(self, scores: dict[str, float], unknown: float = 10.0, max_nodes: int = 300_000):
+        self.max_nodes = max_nodes
         self.floor = min(scores.values(), default=0.0) - unknown
-        self.chars = {c for c in scores if len(c) == 1}
+        self.vocabulary: dict = {}
+        for piece, score in scores.items():
+            at = self.vocabulary
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[""] = score
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
         self.nodes = 1
-        self.root = [0.0, 0, {}]
-
-    def step(self, text: str, i: int, before: list) -> tuple[float, int]:
-        """Best score and fewest tokens of text[: i + 1]; ``before``: those of the shorter prefixes, [0] of the empty one."""
-        best, fewest = -math.inf, 0
-        scores = self.scores
-        for j in range(max(0, i + 1 - self.longest), i + 1):
-            s = scores.get(text[j : i + 1])
-            if s is not None:
-                total = before[j][0] + s
-                n = before[j][1] + 1
-                if total > best or total == best and n < fewest:
-                    best, fewest = total, n
-        if text[i] not in self.chars:
-            total, n = before[i][0] + self.floor, before[i][1] + len(text[i].encode("utf-8"))
-            if total > best or total == best and n < fewest:
-                best, fewest = total, n
-        return best, fewest
-
-    def __missing__(self, word: str) -> int:
+        self.root = [0.0, 0, None, []]
+
+    def step(self, node: list, c: str) -> list:
+        """The node one character further: best score, then fewest tokens."""
+        score, tokens, _, open_ = node
+        alive, best, fewest = [], -math.inf, 0
+        for at, s, n in (*open_, (self.vocabulary, score, tokens)):
+            at = at.get(c)
+            if at is not None:
+                alive.append((at, s, n))
+                own = at.get("")
+                if own is not None and (s + own > best or s + own == best and n + 1 < fewest):
+                    best, fewest = s + own, n + 1
+        if "" not in self.vocabulary.get(c, ()):  # no piece for the character alone
+            s, n = score + self.floor, tokens + len(c.encode("utf-8"))
+            if s > best or s == best and n < fewest:
+                best, fewest = s, n
+        return [best, fewest, None, alive]
+
+    def count(self, word: str) -> int:
         text = MARK + word
-        if len(text) > LONG:
-            before: list = [(0.0, 0)]
-            for i in range(len(text)):
-                before.append(self.step(text, i, before))
-            return before[-1][1]
         if self.nodes > self.max_nodes:
             self.reset()
-        node, path = self.root, [self.root]
-        for i, c in enumerate(text):
-            child = node[2].get(c)
+        node, keep = self.root, len(text) <= LONG
+        for c in text:
+            children = node[2]
+            child = children.get(c) if children is not None else None
             if child is None:
-                child = [*self.step(text, i, path), {}]
-                node[2][c] = child
-                self.nodes += 1
+                child = self.step(node, c)
+                if keep:
+                    if children is None:
+                        node[2] = {c: child}
+                    else:
+                        children[c] = child
+                    self.nodes += 1
             node = child
-            path.append(node)
-        self[word] = node[1]
         return node[1]
 
 
 _tries: dict = {}
 
 
-def count(df: DataFrame, text: str, scores_of, source: str, out: str = "n_tokens", max_nodes: int = 2_000_000) -> DataFrame:
+def count(df: DataFrame, text: str, scores_of, source: str, out: str = "n_tokens", max_nodes: int = 300_000) -> DataFrame:
     """``df`` with ``n_pretokens`` and ``out``.  ``scores_of(source)`` gives the vocabulary's scores, once in each worker."""
     df = df.drop("n_pretokens", out)
     names = df.columns
@@ -107,14 +114,15 @@ def count(df: DataFrame, text: str, scores_of, source: str, out: str = "n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (source, max_nodes) not in _tries:
-            _tries[source, max_nodes] = Trie(scores_of(source), max_nodes=max_nodes)
+            _tries[source, max_nodes] = Cache(Trie(scores_of(source), max_nodes=max_nodes).count, limit=300_000)
         tokens = _tries[source, max_nodes].__getitem__
         for b in small(batches):
             pre, total = [], []
-            for t in b.column(names.index(text)).to_pylist():
-                words = t.split() if t else []
-                pre.append(len(words))
-                total.append(sum(map(tokens, words)))
+            with undisturbed():
+                for t in b.column(names.index(text)).to_pylist():
+                    words = t.split() if t else []
+                    pre.append(len(words))
+                    total.append(sum(map(tokens, words)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pre, pa.int64()), pa.array(total, pa.int64())], [*names, "n_pretokens", out])
 
     return df.mapInArrow(run, f"{fields}n_pretokens long, `{out}` long").select(*[F.col(f"`{n}`") for n in names], "n_pretokens", out)
