@@ -101,7 +101,7 @@ def test_trie_counts_as_plain_dynamic_programming(words, nodes):
     scores = {p: -float(i) for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "abc", "c", "bca", "▁ab", "cc", "aaaa"], 1)}
     trie = token_counts.Trie(scores, max_nodes=nodes)
     for w in words * 2:
-        assert trie[w] == brute("▁" + w, scores, trie.floor)
+        assert trie.count(w) == brute("▁" + w, scores, trie.floor)
 
 
 def test_token_count_query(spark, sf):
@@ -111,7 +111,7 @@ def test_token_count_query(spark, sf):
     found = {r["doc_id"]: r for r in registry.op7_token_counts(spark, sf).collect()}
     for k, t in docs.items():
         words = (t or "").split()
-        assert found[k]["n_pretokens"] == len(words) and found[k]["n_tokens"] == sum(brute("▁" + w, scores, trie.floor) for w in words[:200]) + sum(trie[w] for w in words[200:])
+        assert found[k]["n_pretokens"] == len(words) and found[k]["n_tokens"] == sum(brute("▁" + w, scores, trie.floor) for w in words[:200]) + sum(trie.count(w) for w in words[200:])
 
 
 def test_counts_of_odd_rows(spark):
@@ -155,8 +155,18 @@ def test_output_files(spark, sf, monkeypatch, size):
 def test_words_are_the_librarys_words():
     tokenizer = Tokenizer.from_file(WORDS_PATH)
     encode = token_output._tokenizer(WORDS_PATH)
-    for t in [*filter(None, TEXTS), "Éclair ÀÉÎ ñandú ß ŒUVRE", "a\x1cb\x85c d", "é", "!!'s x'd", "日本語とEnglish"]:
-        assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts = [*(t or "" for t in TEXTS), "Éclair ÀÉÎ ñandú ß ŒUVRE", "a\x1cb\x85c d", "é", "e\u0301 É", "!!'s x'd", "日本語とEnglish", "x² ½ ª º", "", "a", "İi ı"]
+    for found, t in zip(encode(texts), texts):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert encode([]) == [] and encode([""]) == [b""] and encode(["日本"]) == [encode(["x", "日本"])[1]]
+
+
+def test_latin_points_are_the_librarys():
+    tokenizer, encode = Tokenizer.from_file(WORDS_PATH), token_output._tokenizer(WORDS_PATH)
+    points = [chr(c) for c in [*range(0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2030), *range(0x20A0, 0x20C1)]]
+    texts = [f"a{c}b {c} {c}{c}1 x{c}." for c in points]
+    for found, t in zip(encode(texts), texts):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_output_of_odd_rows(spark):

@@ -30,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Cache, small
+from tidemark.llm.common import small
 
 BLOCK = 128
 SEGMENT = 1 << 20
+#: Words that a worker remembers before it begins a new generation.
+WORDS = 300_000
 # Fixed values of the format: bits of an id and ids in a word, by selector.
 WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17, 20, 30, 60])
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 3, 2, 1])
@@ -180,7 +183,7 @@ ODD = bytes(c for c in range(256) if c < 0x20 and c not in b"\t\n\r" or 0x7F <=
 
 
 def _tokenizer(path: str):
-    """encode(text) -> packed ids, as the library's encode(text, add_special_tokens=False).
+    """encode(texts) -> packed ids of each, as the library's encode(text, add_special_tokens=False).
 
     Where the file's pre-tokenizer begins with a removing, inverted split whose
     matches hold no white space, the words between white space are independent:
@@ -206,33 +209,66 @@ def _tokenizer(path: str):
         if by_word and "\\s" in steps[0]["pattern"]["Regex"]:
             split, tokenize, byte_chars = regex.compile(steps[0]["pattern"]["Regex"]).findall, tokenizer.model.tokenize, _byte_characters()
 
+            recent: dict[str, bytes] = {}
+            older: dict[str, bytes] = {}
+
             def merged(piece: str) -> bytes:
                 # Behind the split the library writes a piece's bytes as characters and gives them to its model.
                 chars = piece if piece.isascii() else "".join(map(byte_chars.__getitem__, piece.encode("utf-8")))
                 return array("I", [t.id for t in tokenize(chars)]).tobytes()
 
-            def of_word(w: str) -> bytes:
-                if w.isalpha():
-                    return merged(w)
-                if w[:-1].isalpha() and w[-1] in ".,;:!?":  # a run of letters, a mark: the same two parts
-                    return word(w[:-1]) + word(w[-1])
-                parts = split(w)
-                return merged(w) if len(parts) == 1 else b"".join(map(word, parts))
+            def packed_words(words: list[str]) -> list[bytes]:
+                """Ids of each word, from two generations of at most ``WORDS`` remembered ones."""
+                nonlocal recent, older
+                out, known, before = [], recent.get, older.get
+                for w in words:
+                    ids = known(w)
+                    if ids is None:
+                        ids = before(w)
+                        if ids is None:
+                            body = w[:-1]
+                            if w.isalpha():
+                                ids = merged(w)
+                            elif body.isalpha() and w[-1] in ".,;:!?":  # a run of letters, a mark: two pieces
+                                ids = known(body) or before(body) or merged(body)
+                                ids += known(w[-1]) or merged(w[-1])
+                            else:
+                                ids = b"".join([known(x) or merged(x) for x in split(w)])
+                        if len(w) <= 48:
+                            recent[w] = ids
+                    out.append(ids)
+                if len(recent) >= WORDS:
+                    recent, older = {}, recent
+                return out
 
-            word = Cache(of_word, limit=400_000).__getitem__
             latin = regex.compile("[\\t\\n\\r\\x20-\\x7E\\xA1-\\xB1\\xB4-\\xB8\\xBA\\xBB\\xBF-\\u012F\\u0131-\\u02AF\\u1E00-\\u1EFF\\u2010-\\u2027\\u20A0-\\u20BF]*").fullmatch
 
-            def encode(t: str) -> bytes:
+            def easy(t: str) -> bool:
                 try:
                     raw = t.encode("latin-1")
                     plain = len(raw.translate(None, ODD)) == len(raw)
                 except UnicodeEncodeError:
                     plain = latin(t)
-                if not plain or any(s in t for s in special):
-                    return whole(t)
-                return b"".join(map(word, unicodedata.normalize("NFC", t).lower().split()))
+                return bool(plain) and not any(s in t for s in special)
+
+            def encode(texts: list[str]) -> list[bytes]:
+                """The texts' words are numbered in bulk, each different one is looked up once, and ids are gathered by number."""
+                out = [None if easy(t) else whole(t) for t in texts]
+                mine = [i for i, x in enumerate(out) if x is None]
+                lists = pc.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", texts[i]).lower() for i in mine], pa.string()))
+                numbered = lists.flatten().dictionary_encode()
+                packed = packed_words(numbered.dictionary.to_pylist())
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                at, number = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
+                each = sizes[number]
+                ends = np.append(0, np.cumsum(each))
+                ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(at[number] - ends[:-1], each) + np.arange(ends[-1])]
+                cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if mine else []
+                for j, i in enumerate(mine):
+                    out[i] = ids[cuts[j] : cuts[j + 1]].tobytes()
+                return out
         else:
-            encode = whole
+            encode = lambda texts: list(map(whole, texts))
         _loaded[path] = encode
     return _loaded[path]
 
@@ -258,10 +294,10 @@ def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id:
         name, partial = f"{folder}/part-{part:06d}.s8b", f"{folder}/.{uuid.uuid4().hex}.tmp"
         keys, packed, size, docs, n_ids = [], [], 0, 0, 0
         with store.open_output_stream(partial, compression=None) as out:
-            for b in small(batches):
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for b in small(batches, 1000):
+                for k, found in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                     keys.append(k)
-                    packed.append(encode(t) + end)
+                    packed.append(found + end)
                     size += len(packed[-1]) // 4
                     if size >= SEGMENT:
                         out.write(segment(keys, packed))
