@@ -184,6 +184,17 @@ def test_recurring_lines_go_and_copies_stay(spark):
             assert r["text"] == dict(rows)[r["doc_id"]] and r["n_dropped"] == 0
 
 
+def test_a_line_recurs_however_often_it_repeats(spark):
+    often, mixed = "This line is found in a thousand documents or more", "This one stands in five documents and many copies of another"
+    rows = [(i, f"{prose(i, 60)}\n{often}") for i in range(1500)]
+    rows += [(5000 + i, f"{prose(5000 + i, 60)}\n{mixed}") for i in range(5)]
+    rows += [(6000 + i, f"{edited(prose(6000, 60), i, 2)}\n{mixed}") for i in range(300)]  # copies of one text
+    rows += [(7000 + i, f"{edited(prose(7000, 60), i, 2)}\nThis line has been seen nowhere but in copies") for i in range(300)]
+    for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        lines = dict(rows)[r["doc_id"]].split("\n")
+        assert r["text"].split("\n") == lines[: 1 if r["doc_id"] < 7000 else 2]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -10,9 +10,13 @@ matters and a leaf may spread over all tasks.
 
 A template recurs if it stands in at least ``min_docs`` documents of different
 content.  Copies and near copies of one document must not condemn all its
-lines, so content is told by a sketch, the smallest hash of a text's words
-outside the line: documents with one sketch count once, and the sketches must be at least
-``spread`` of the different texts that hold the template.  Lines of recurring
+lines, so content is told by a sketch: ``COORDINATES`` min-hashes, a byte each,
+over the runs of three words in a text's other lines.  Sketches that agree in
+half of their coordinates or more are near copies (about half of the runs in
+common); a template's sketches are taken in one by one, each unless it is near
+one taken in before, until there are ``min_docs``.  Runs of words do not
+saturate as a vocabulary does, and how often a template repeats, or how many
+copies stand beside the different documents, changes nothing.  Lines of recurring
 templates are dropped, all of them and in every document; lines of under
 ``min_tokens`` tokens are left alone, and so is every other line, in place.
 
@@ -28,7 +32,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,6 +46,11 @@ DIGIT = re.compile(rb"[0-9]").search
 MASK = b"<*>"
 STRETCHES = 4
 SALTS = 16
+COORDINATES = 32
+_RANDOM = np.random.default_rng(4)
+XORS = _RANDOM.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
+FACTORS = _RANDOM.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+WORD_FACTORS = _RANDOM.integers(0, 1 << 63, 3, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def number(data: bytes) -> int:
@@ -74,46 +85,96 @@ def templates(tokens: list[bytes], depth: int) -> list[int]:
 _hash = Cache(lambda word: xxhash.xxh3_64_intdigest(word, 7) >> 1)
 
 
+def sketches(lines: list[list[bytes]], cells: int = 1 << 22) -> list[bytes]:
+    """Per line of a text (its tokens; no empty line) the sketch of all the others; ``cells`` bounds what is held at once."""
+    of, words, starts = _hash.__getitem__, [], []
+    for tokens in lines:
+        starts.append(len(words))
+        words.extend(map(of, tokens))
+        words += (0, 0)  # no run crosses a line; a line's last runs are padded
+    w = np.array([*words, 0, 0], np.uint64)
+    runs = w[:-2] * WORD_FACTORS[0] + (w[1:-1] * WORD_FACTORS[1] ^ w[2:] * WORD_FACTORS[2])
+    runs ^= runs >> np.uint64(29)
+    inside, n = w[:-2] > 0, len(lines)
+    first = np.array(starts) - 2 * np.arange(n)  # where the padding is left out
+    runs = runs[inside]
+    out, step = np.empty((COORDINATES, n), np.uint8), max(1, cells // len(runs))
+    none = np.iinfo(np.uint64).max
+    for c in range(0, COORDINATES, step):
+        least = np.minimum.reduceat((runs ^ XORS[c : c + step]) * FACTORS[c : c + step], first, axis=1)
+        before, after = np.full_like(least, none), np.full_like(least, none)
+        np.minimum.accumulate(least[:, :-1], axis=1, out=before[:, 1:])
+        after[:, :-1] = np.minimum.accumulate(least[:, :0:-1], axis=1)[:, ::-1]
+        out[c : c + step] = np.minimum(before, after) & np.uint64(255)
+    flat = out.T.tobytes()
+    return [flat[i : i + COORDINATES] for i in range(0, len(flat), COORDINATES)]
+
+
+def near(a: bytes, b: bytes) -> bool:
+    """Whether two sketches are of near copies."""
+    return 2 * sum(map(eq, a, b)) >= COORDINATES
+
+
 def _lines(df: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
     """Per different line of ``min_tokens`` of a text: leaf, sketch, digest of the text, template keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _hash.__getitem__
         for b in small(batches):
             out: list[tuple] = []
             for digest, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                found = [(raw, line) for line in set(data.split(b"\n")) if len(raw := line.split()) >= min_tokens]
-                if found:
-                    words = {w for raw, _ in found for w in raw}  # as they are: a text's numbers tell it from others
-                    least = min(words, key=of)
-                    for raw, line in found:
-                        sketch = of(least) if least not in raw else min(map(of, words.difference(raw)), default=0)
-                        t = masked(line)
-                        out.append((number(leaf_of(t, depth)), sketch, digest, templates(t, depth)))
+                # Short lines are no templates, but they tell one text from another.
+                found = [(raw, line) for line in dict.fromkeys(data.split(b"\n")) if (raw := line.split())]
+                if any(len(raw) >= min_tokens for raw, _ in found):
+                    for (raw, line), sketch in zip(found, sketches([raw for raw, _ in found])):
+                        if len(raw) >= min_tokens:
+                            t = masked(line)
+                            out.append((number(leaf_of(t, depth)), sketch, digest, templates(t, depth)))
             leaf, sketch, digest, keys = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(sketch, pa.int64()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "sketch", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(sketch, pa.binary()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "sketch", "digest", "keys"])
 
     rows = df.filter(F.length(text) > 0).select(F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "leaf long, sketch long, digest long, keys array<long>")
+    return rows.mapInArrow(run, "leaf long, sketch binary, digest long, keys array<long>")
 
 
-def recurring(df: DataFrame, text: str, min_docs: int = 5, spread: float = 0.3, depth: int = 3, min_tokens: int = 5) -> DataFrame:
+def _different(rows: DataFrame, min_docs: int) -> DataFrame:
+    """(key, sketch): per key of a partition at most ``min_docs`` sketches, none near another; ``rows`` lie sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken = None, []
+        for b in batches:
+            keys, found = [], []
+            for key, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key != last:
+                    last, taken = key, []
+                if len(taken) < min_docs and not any(near(sketch, x) for x in taken):
+                    taken.append(sketch)
+                    keys.append(key)
+                    found.append(sketch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "sketch"])
+
+    return rows.select("key", "sketch").mapInArrow(run, "key long, sketch binary")
+
+
+def recurring(df: DataFrame, text: str, min_docs: int = 5, depth: int = 3, min_tokens: int = 5) -> DataFrame:
     """(digest of a text, its recurring template keys)."""
-    lines = checkpointed(_lines(df, text, depth, min_tokens))  # the texts are parsed once; 100 bytes or so a line
+    lines = checkpointed(_lines(df, text, depth, min_tokens))  # the texts are parsed once; 120 bytes or so a line
     busy = lines.select("leaf", "sketch").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     # What is left is small: lines that agree in length and leading tokens with lines of other documents.
     lines = checkpointed(lines.join(busy, "leaf", "left_semi").select("sketch", "digest", F.explode("keys").alias("key")).distinct())
-    # Per key and sketch first: a text's sketch is its own, so texts add up.
-    by_sketch = lines.groupBy("key", "sketch").agg(F.count("*").alias("texts"))
-    found = by_sketch.groupBy("key").agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
-    found = found.filter((F.col("sketches") >= min_docs) & (F.col("sketches") >= spread * F.col("texts"))).select("key")
+    by_sketch = lines.select("key", "sketch").distinct()
+    several = by_sketch.groupBy("key").count().filter(F.col("count") >= min_docs).select("key")
+    # A key may have any number of sketches: they are dealt by key and salt first, what each salt takes in comes together after.
+    dealt = by_sketch.join(several, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(SALTS)))
+    some = _different(dealt.repartition("key", "salt").sortWithinPartitions("key", "sketch"), min_docs)
+    found = _different(some.repartition("key").sortWithinPartitions("key", "sketch"), min_docs)
+    found = found.groupBy("key").count().filter(F.col("count") >= min_docs).select("key")
     return lines.join(found, "key", "left_semi").groupBy("digest").agg(F.collect_set("key").alias("drop_keys"))
 
 
-def dedup(df: DataFrame, text: str = "text", min_docs: int = 5, spread: float = 0.3, depth: int = 3, min_tokens: int = 5) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", min_docs: int = 5, depth: int = 3, min_tokens: int = 5) -> DataFrame:
     """``df`` with ``text`` without its recurring lines, and ``n_lines``, ``n_dropped`` (clashing names are replaced)."""
     names = [n for n in df.columns if n not in ("n_lines", "n_dropped")]
-    drops = recurring(df, text, min_docs, spread, depth, min_tokens)
+    drops = recurring(df, text, min_docs, depth, min_tokens)
 
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{n}` {kinds[n]}" for n in names)
