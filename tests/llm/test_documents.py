@@ -195,6 +195,15 @@ def test_a_line_recurs_however_often_it_repeats(spark):
         assert r["text"].split("\n") == lines[: 1 if r["doc_id"] < 7000 else 2]
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    long, short, copied = prose(900, 50), prose(901, 49), prose(902, 50)
+    rows = [(i, f"{prose(i, 70)}\n{long}") for i in range(2)] + [(5 + i, f"{prose(5 + i, 70)}\n{short}") for i in range(2)]
+    rows += [(10 + i, f"{edited(prose(10, 70), i, 2)}\n{copied}") for i in range(4)]  # near copies
+    for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        lines = dict(rows)[r["doc_id"]].split("\n")
+        assert r["text"].split("\n") == lines[: 1 if r["doc_id"] < 2 else 2]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

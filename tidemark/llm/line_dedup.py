@@ -16,7 +16,10 @@ half of their coordinates or more are near copies (about half of the runs in
 common); a template's sketches are taken in one by one, each unless it is near
 one taken in before, until there are ``min_docs``.  Runs of words do not
 saturate as a vocabulary does, and how often a template repeats, or how many
-copies stand beside the different documents, changes nothing.  Lines of recurring
+copies stand beside the different documents, changes nothing.  A line of
+``LONG`` tokens or more is no chance match: it recurs in ``LONG_DOCS`` documents
+as well, if their sketches agree in less than a quarter (one pair decides, so a
+pair of near copies must not be taken for different ones).  Lines of recurring
 templates are dropped, all of them and in every document; lines of under
 ``min_tokens`` tokens are left alone, and so is every other line, in place.
 
@@ -47,6 +50,7 @@ MASK = b"<*>"
 STRETCHES = 4
 SALTS = 16
 COORDINATES = 32
+LONG, LONG_DOCS = 50, 2
 _RANDOM = np.random.default_rng(4)
 XORS = _RANDOM.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
 FACTORS = _RANDOM.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -110,13 +114,13 @@ def sketches(lines: list[list[bytes]], cells: int = 1 << 22) -> list[bytes]:
     return [flat[i : i + COORDINATES] for i in range(0, len(flat), COORDINATES)]
 
 
-def near(a: bytes, b: bytes) -> bool:
-    """Whether two sketches are of near copies."""
-    return 2 * sum(map(eq, a, b)) >= COORDINATES
+def agreement(a: bytes, b: bytes) -> int:
+    """In how many coordinates two sketches agree."""
+    return sum(map(eq, a, b))
 
 
-def _lines(df: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """Per different line of ``min_tokens`` of a text: leaf, sketch, digest of the text, template keys."""
+def _lines(df: DataFrame, text: str, depth: int, min_tokens: int, min_docs: int) -> DataFrame:
+    """Per different line of ``min_tokens`` of a text: leaf, documents it needs to recur, sketch, digest of the text, template keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -128,46 +132,52 @@ def _lines(df: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
                     for (raw, line), sketch in zip(found, sketches([raw for raw, _ in found])):
                         if len(raw) >= min_tokens:
                             t = masked(line)
-                            out.append((number(leaf_of(t, depth)), sketch, digest, templates(t, depth)))
-            leaf, sketch, digest, keys = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(sketch, pa.binary()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "sketch", "digest", "keys"])
+                            need = min(min_docs, LONG_DOCS) if len(raw) >= LONG else min_docs
+                            out.append((number(leaf_of(t, depth)), need, sketch, digest, templates(t, depth)))
+            leaf, need, sketch, digest, keys = zip(*out) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(need, pa.int32()), pa.array(sketch, pa.binary()), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["leaf", "need", "sketch", "digest", "keys"])
 
     rows = df.filter(F.length(text) > 0).select(F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "leaf long, sketch binary, digest long, keys array<long>")
+    return rows.mapInArrow(run, "leaf long, need int, sketch binary, digest long, keys array<long>")
 
 
 def _different(rows: DataFrame, min_docs: int) -> DataFrame:
-    """(key, sketch): per key of a partition at most ``min_docs`` sketches, none near another; ``rows`` lie sorted by key."""
+    """(key, need, sketch, far): per key of a partition at most ``min_docs`` sketches, none near another, and whether one is far from one before; ``rows`` lie sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, taken = None, []
         for b in batches:
-            keys, found = [], []
-            for key, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = []
+            for key, need, sketch in zip(*(c.to_pylist() for c in b.columns)):
                 if key != last:
                     last, taken = key, []
-                if len(taken) < min_docs and not any(near(sketch, x) for x in taken):
-                    taken.append(sketch)
-                    keys.append(key)
-                    found.append(sketch)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "sketch"])
+                if len(taken) < min_docs:
+                    same = [agreement(sketch, x) for x in taken]
+                    if 2 * max(same, default=0) < COORDINATES:
+                        taken.append(sketch)
+                        out.append((key, need, sketch, 4 * min(same, default=COORDINATES) < COORDINATES))
+            keys, needs, found, far = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(needs, pa.int32()), pa.array(found, pa.binary()), pa.array(far, pa.bool_())], ["key", "need", "sketch", "far"])
 
-    return rows.select("key", "sketch").mapInArrow(run, "key long, sketch binary")
+    return rows.select("key", "need", "sketch").mapInArrow(run, "key long, need int, sketch binary, far boolean")
 
 
 def recurring(df: DataFrame, text: str, min_docs: int = 5, depth: int = 3, min_tokens: int = 5) -> DataFrame:
     """(digest of a text, its recurring template keys)."""
-    lines = checkpointed(_lines(df, text, depth, min_tokens))  # the texts are parsed once; 120 bytes or so a line
-    busy = lines.select("leaf", "sketch").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    lines = checkpointed(_lines(df, text, depth, min_tokens, min_docs))  # the texts are parsed once; 120 bytes or so a line
+    enough = F.col("count") >= F.col("need")
+    # A leaf's lines have one length, so all of a leaf and of a key need the same.
+    busy = lines.select("leaf", "need", "sketch").distinct().groupBy("leaf", "need").count().filter(enough).select("leaf")
     # What is left is small: lines that agree in length and leading tokens with lines of other documents.
-    lines = checkpointed(lines.join(busy, "leaf", "left_semi").select("sketch", "digest", F.explode("keys").alias("key")).distinct())
-    by_sketch = lines.select("key", "sketch").distinct()
-    several = by_sketch.groupBy("key").count().filter(F.col("count") >= min_docs).select("key")
+    lines = checkpointed(lines.join(busy, "leaf", "left_semi").select("need", "sketch", "digest", F.explode("keys").alias("key")).distinct())
+    by_sketch = lines.select("key", "need", "sketch").distinct()
+    several = by_sketch.groupBy("key", "need").count().filter(enough).select("key")
     # A key may have any number of sketches: they are dealt by key and salt first, what each salt takes in comes together after.
     dealt = by_sketch.join(several, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(SALTS)))
     some = _different(dealt.repartition("key", "salt").sortWithinPartitions("key", "sketch"), min_docs)
     found = _different(some.repartition("key").sortWithinPartitions("key", "sketch"), min_docs)
-    found = found.groupBy("key").count().filter(F.col("count") >= min_docs).select("key")
+    found = found.groupBy("key", "need").agg(F.count("*").alias("count"), F.max("far").alias("far"))
+    found = found.filter((F.col("count") >= min_docs) | enough & F.col("far")).select("key")
     return lines.join(found, "key", "left_semi").groupBy("digest").agg(F.collect_set("key").alias("drop_keys"))
 
 
