@@ -198,6 +198,29 @@ def test_risky_names(line, skill, ok):
     assert (got.get(skill, 0) >= skills.CONFIRMED) == ok
 
 
+def test_dictionary_is_whole(spark):
+    assert len(skills.DICTIONARY) == len({s.name for s in skills.DICTIONARY}) == 155 and all(s.kind and s.domains for s in skills.DICTIONARY)
+    policies = [a.policy for s in skills.DICTIONARY for a in s.aliases]
+    assert (policies.count("contextual"), policies.count("strict")) == (44, 4)
+    assert skills.catalog(spark).count() == 155
+    typed = spark.createDataFrame([(1, "JS"), (2, "spark"), (3, "노드"), (4, "graphql")], "id int, skill string")
+    assert [r["skill"] for r in skills.canonical(typed, "skill").orderBy("id").collect()] == ["JavaScript", "Apache Spark", "Node.js", "GraphQL"]
+
+
+RISKY = [(s.name, a) for s in skills.DICTIONARY for a in s.aliases if a.policy != "distinct"]
+
+
+@pytest.mark.parametrize("name,alias", RISKY, ids=[a.value for _, a in RISKY])
+def test_risky_names_need_their_words(name, alias):
+    sure = lambda line: any(m["skill"] == name and m["confidence"] >= skills.CONFIRMED for m in skills.Matcher(skills.DICTIONARY).matches("", "", line))
+    assert all(sure(f"{alias.value} {word}") for word in alias.context) and not sure(f"{alias.value} zzz")
+
+
+@pytest.mark.parametrize("line,skill", [(s.aliases[0].value, s.name) for s in skills.DICTIONARY if s.aliases[0].policy == "distinct"])
+def test_distinct_names_are_found(line, skill):
+    assert skill in {m["skill"] for m in skills.Matcher(skills.DICTIONARY).matches("", "", f"uses {line} daily")}
+
+
 def test_sections():
     got = {b["text"]: (b["requirement_type"], b["technical"]) for b in skills.blocks("", "<p><b>자격 요건</b></p><ul><li>one</li><li>two 우대</li></ul><h3>Tech stack</h3><p>three</p><h3>Benefits</h3><div>four</div>", "")}
     assert got == {"one": ("required", False), "two 우대": ("preferred", False), "three": ("unspecified", True), "four": ("unspecified", False)}

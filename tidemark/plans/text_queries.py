@@ -180,7 +180,7 @@ def document_skills(spark, sf_dir):
 
 @query()
 def skill_catalog(spark, sf_dir):
-    return skills.catalog(spark).select("skill", "category", F.array_join("domains", ",").alias("domains"))
+    return skills.catalog(spark).select("skill", "category", "kind", F.array_join("domains", ",").alias("domains"))
 
 
 @query("SELECT * FROM (VALUES (1, 'Go'), (2, 'Kubernetes'), (3, 'Python'), (4, 'Cobol 85')) t(id, skill)")
