@@ -1,6 +1,7 @@
 """Similarity join, quality, line dedup, decontamination, licences: brute force and odd rows."""
 
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -285,6 +286,27 @@ def test_licenses(spark, text, want):
     assert license_scan.scan(df).collect()[0]["licenses"] == want
 
 
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy and modify, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("width", [30, 60, 72, 78])
+@pytest.mark.parametrize("prefix,head", [("", ""), ("# ", "A heading\n"), (" * ", "Copyright (c) 2020 X\n")])
+@pytest.mark.parametrize("text,ids,want", [(MIT, ["MIT-GRANT", "MIT-COND", "ASIS-SOFTWARE"], "MIT"), (BSD, ["BSD-REDIST", "BSD-NAMES"], "BSD-3-Clause"), (GPL, ["GPL-FREE"], "GPL")])
+def test_wrapped_licenses(spark, text, ids, want, prefix, head, width):
+    lines = [line for part in text.split("\n\n") for line in (*textwrap.wrap(part, width), "")]
+    wrapped = "\n".join(prefix + line for line in (head + "\n".join(lines)).split("\n"))
+    row = license_scan.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).collect()[0]
+    assert (row["sentence_ids"], row["licenses"]) == (ids, [want])
+
+
+def test_notices_of_a_line_stay_apart(spark):
+    text = "Released under CC0 1.0\nReleased under the MIT License\nprose between\nAll rights reserved\nLicensed under the Apache License,\nVersion 2.0"
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row["sentence_ids"] == ["CC0-NOTICE", "MIT-NOTICE", "RESERVED", "APACHE-NOTICE"]
+
+
 def test_license_query_is_native_and_whole(spark, sf):
     df = registry.op10_license_scan(spark, sf)
     plan = df._jdf.queryExecution().toString()

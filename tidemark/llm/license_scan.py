@@ -1,8 +1,10 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text is split into sentences; a normalised sentence (lower case, runs of
-anything but letters, digits and dots between digits as one space) that a known
-pattern matches gets that sentence's identifier.  The sequence of a text's
+A text is split into sentences, which may be wrapped over lines; in a normalised
+sentence (lower case, runs of anything but letters, digits and dots between
+digits as one space) each run of whole lines, one or more, that a known pattern
+matches gets that pattern's identifier, so notices of a line and wrapped texts
+are found alike, also below a heading without an empty line between.  The sequence of a text's
 identifiers, in order, is matched against ordered rules: a rule holds where its
 identifiers appear next to each other; the first rules win, and what a rule has
 taken no later rule takes.
@@ -72,22 +74,24 @@ RULES = (
 
 #: A sentence without any of these words is no license sentence; each pattern above has one of them.
 WORDS = ("licen", "permission", "warranty", "redistribut", "rights reserved", "public domain", "creative commons", "cc by", "cc0")
-#: A sentence ends at a line's end, at an empty stretch, or at . ! ? ; before white space.
-SENTENCE_END = r"\n|(?<=[.!?;])\s+"
+#: A sentence ends at a line without letters and digits, or at . ! ? ; before white space.
+SENTENCE_END = r"(?:\n[^\p{L}\p{N}\n]*){2,}|(?<=[.!?;])\s+"
+#: A pattern over whole lines: its spaces may be line ends, what is open at its end is the rest of the line.
+WRAPPED = r"(?m)^(?:" + "|".join(p.replace(".* ", r"[\s\S]*? ").replace(".*", r"[^\n]*").replace(" ", r"[ \n]") for _, p in SENTENCES) + r")$"
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower case; dots stay only between digits; every other run of non-letters, non-digits is a space."""
+    """Lower case; dots stay only between digits; every other run of non-letters, non-digits in a line is a space."""
     plain = F.regexp_replace(F.lower(sentence), r"(?<![0-9])\.|\.(?![0-9])", " ")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}.]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}.\n]+", " "), r" ?\n ?", "\n"))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     hint = "(?i)" + "|".join(WORDS).replace(" ", "[^a-z0-9]+")
     candidates = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(hint))
-    ids = F.transform(F.transform(candidates, normalised), _identify)
-    found = F.filter(ids, lambda i: i.isNotNull())
+    known = F.flatten(F.transform(candidates, lambda s: F.regexp_extract_all(normalised(s), F.lit(WRAPPED), F.lit(0))))
+    found = F.transform(known, lambda s: _identify(F.translate(s, "\n", " ")))
     return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<string>"))
 
 
