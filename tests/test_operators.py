@@ -264,3 +264,31 @@ def test_library_stands_without_the_llm_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any(n.startswith(("tidemark.llm", "corpus_pipeline")) for n in names), path
+
+
+def test_upsert_takes_a_repeated_key_once(spark):
+    from tidemark.operators import ingest
+
+    state = spark.createDataFrame([(1, "a", "u1", "A", "open", "2024-01-02", "2024-01-02", 2), (2, "b", "u1", "B", "open", "2024-01-01", "2024-01-01", 0), (3, "c", "u3", "C", "open", "2024-01-03", "2024-01-03", 1)], "source_id int, external_id string, url string, title string, status string, first_seen_at string, last_seen_at string, missing_runs int")
+    for c in ("first_seen_at", "last_seen_at"):
+        state = state.withColumn(c, F.col(c).cast("timestamp"))
+    batch = spark.createDataFrame([(9, "z", "u1", "first", "open", 1), (9, "z", "u1", "last", "open", 2), (9, "y", "u9", "new", "open", 1), (9, "y", "u8", "newer", "open", 3), (3, "c", "u3", "C2", "open", 1), (3, "c", "u3", "C3", "open", 0)], "source_id int, external_id string, url string, title string, status string, at int")
+    got = {(r["source_id"], r["external_id"]): r for r in ingest.upsert(state, batch, "2025-01-01", "at").collect()}
+    assert {k: (r["title"], r["action"]) for k, r in got.items()} == {(9, "z"): ("last", "move"), (9, "y"): ("newer", "insert"), (3, "c"): ("C2", "update")}
+    assert str(got[9, "z"]["first_seen_at"])[:10] == "2024-01-01"
+    assert ingest.upsert(state, batch.limit(0), "2025-01-01").count() == 3
+
+
+def test_a_null_family_is_no_total(spark):
+    from tidemark.operators import source_health
+
+    items = spark.createDataFrame([("f", "healthy", 3, 1), (None, "stale", 2, 0)], "family string, health string, open_postings long, tech_open_postings long")
+    got = source_health.family_health(items).collect()
+    assert sorted((r["is_total"], r["family"] or "", r["sources"]) for r in got) == [(False, "", 1), (False, "f", 1), (True, "", 2)]
+
+
+@pytest.mark.parametrize("page,want", [("<div class=G-reCAPTCHA>", True), ("Please verify you are human", True), ("CAPTCHA abuse detection experience", False), ("access denied events in logs", False), (None, None)])
+def test_challenges(spark, page, want):
+    from tidemark.sources import listing_checks
+
+    assert spark.createDataFrame([(page,)], "p string").select(listing_checks.challenge(F.col("p"))).first()[0] is want

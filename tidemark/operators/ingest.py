@@ -16,17 +16,24 @@ QUARANTINE_HOURS = 72
 MAX_SEARCHES, MAX_NOTIFICATIONS, LOOKBACK_DAYS, RETENTION_DAYS = 10, 20, 30, 180
 
 
-def upsert(state: DataFrame, batch: DataFrame, now) -> DataFrame:
+def upsert(state: DataFrame, batch: DataFrame, now, order: str | None = None) -> DataFrame:
     """Postings after a batch: known (source_id, external_id) are updated, a known url under another source moves, the rest is new.
 
     ``state`` and ``batch``: source_id, external_id, url, title, status; ``state``
     adds first_seen_at, last_seen_at, missing_runs.  ``action`` says what happened.
+    A key that the batch repeats counts once, by its last row: the one with the
+    greatest ``order`` (a column of the batch, if it has one), then url, title and
+    status.  A url that several postings hold moves with the earliest first_seen_at.
     """
     now = F.lit(now).cast("timestamp")
     key = ["source_id", "external_id"]
-    by_key = state.select(*key, F.lit(True).alias("_known"))
+    fields = [F.col(c) for c in ("url", "title", "status")]
+    last = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), *fields)).alias("_last")
+    batch = batch.groupBy(key).agg(last).select(*key, "_last.url", "_last.title", "_last.status")
+    by_key = state.select(*key, F.lit(True).alias("_known")).distinct()
+    by_url = state.filter("url is not null").groupBy("url").agg(F.min("first_seen_at").alias("_first"))
     new = batch.join(by_key, key, "left")
-    moved = new.filter("_known is null").join(state.select("url", F.col("first_seen_at").alias("_first")), "url", "left")
+    moved = new.filter("_known is null").join(by_url, "url", "left")
     inserted = moved.select(*key, "url", "title", "status", F.coalesce("_first", now).alias("first_seen_at"), F.when(F.col("_first").isNull(), "insert").otherwise("move").alias("action"))
     updated = batch.join(state.select(*key, "first_seen_at"), key).select(*key, "url", "title", "status", "first_seen_at", F.lit("update").alias("action"))
     touched = updated.unionByName(inserted).withColumn("last_seen_at", now).withColumn("missing_runs", F.lit(0))

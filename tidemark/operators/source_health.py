@@ -59,9 +59,9 @@ def monitor(sources: DataFrame, active: DataFrame, since) -> DataFrame:
 
 
 def family_health(items: DataFrame) -> DataFrame:
-    """Per connector family, and in total (family null): sources by health and sums, in one aggregation."""
+    """Per connector family, and in total (``is_total``; a source may have a null family): sources by health and sums, in one aggregation."""
     kinds = [_n(F.col("health") == k).alias(k) for k in ("healthy", "stale", "failing", "blocked", "stopped", "pending")]
-    return items.rollup("family").agg(F.count("*").alias("sources"), *kinds, F.sum("open_postings").alias("open_postings"), F.sum("tech_open_postings").alias("tech_open_postings"))
+    return items.rollup("family").agg((F.grouping("family") == 1).alias("is_total"), F.count("*").alias("sources"), *kinds, F.sum("open_postings").alias("open_postings"), F.sum("tech_open_postings").alias("tech_open_postings"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -57,12 +57,12 @@ FAMILY = "count(*) AS sources, count(*) FILTER (health = 'healthy') AS healthy,
 
 @query(sql(f"SELECT family, {FAMILY} FROM it GROUP BY 1", *MONITOR))
 def source_family_health(spark, sf_dir):
-    return source_health.family_health(_items(spark, sf_dir)).filter("family is not null")
+    return source_health.family_health(_items(spark, sf_dir)).filter("not is_total").drop("is_total")
 
 
 @query(sql(f"SELECT {FAMILY} FROM it", *MONITOR))
 def source_totals(spark, sf_dir):
-    return source_health.family_health(_items(spark, sf_dir)).filter("family is null").drop("family")
+    return source_health.family_health(_items(spark, sf_dir)).filter("is_total").drop("family", "is_total")
 
 
 @query(sql("SELECT 'status' AS field, status AS value, count(*) AS n FROM s GROUP BY 2 UNION ALL SELECT 'policy_status', policy_status, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'family', family, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'last_error_code', coalesce(last_error_code, 'unknown'), count(*) FROM s GROUP BY 2", SOURCES))

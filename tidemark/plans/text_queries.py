@@ -50,9 +50,9 @@ def distinct_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query("SELECT status, attempt, CASE WHEN status = 429 THEN greatest(coalesce(greatest(0, least(retry_after, 60)), 0), least(attempt * 10, 60)) ELSE least(2.0 ^ (attempt - 1), 8) END::DOUBLE AS delay FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END AS status, event_id % 7 + 1 AS attempt, CASE WHEN event_id % 3 = 0 THEN value END AS retry_after FROM events WHERE event_id < 200)")
+@query("SELECT status, attempt, CASE WHEN status = 429 THEN greatest(coalesce(greatest(0, least(retry_after, 60)), 0), least(attempt * 10, 60)) ELSE least(2.0 ^ (attempt - 1), 8) END::DOUBLE AS delay FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END AS status, event_id % 7 + 1 AS attempt, CASE WHEN event_id % 3 = 0 THEN value END AS retry_after FROM events)")
 def retry_delays(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 200").select(F.when(F.col("event_id") % 2 == 0, 429).otherwise(503).alias("status"), (F.col("event_id") % 7 + 1).alias("attempt"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("retry_after"))
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, 429).otherwise(503).alias("status"), (F.col("event_id") % 7 + 1).alias("attempt"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("retry_after"))
     return e.select("status", "attempt", identity.retry_delay(F.col("status"), F.col("attempt"), F.col("retry_after")).alias("delay"))
 
 
@@ -147,10 +147,19 @@ def sitemap_discovery(spark, sf_dir):
     return openings.sitemap_urls(df).select("url")
 
 
-@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'blocked'), (3, 'retry'), (4, 'retry'), (5, 'blocked'), (6, 'failed')) t(id, state)")
+CHALLENGED = " OR ".join(f"contains(lower(body), '{x}')" for x in listing_checks.CHALLENGES)
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN status IN (401, 403) OR coalesce({CHALLENGED}, FALSE) THEN 'blocked' WHEN status = 429 OR status >= 500 THEN 'retry' WHEN status < 400 THEN 'ok' ELSE 'failed' END AS state
+FROM (SELECT page_id, [200, 200, 403, 429, 503, 404, 401][page_id % 7 + 1] AS status,
+      CASE page_id % 5 WHEN 0 THEN html || '<div class="G-Recaptcha"></div>' WHEN 1 THEN html || '<p>CAPTCHA abuse detection experience</p>' WHEN 2 THEN NULL ELSE html END AS body FROM pages)"""
+)
 def fetch_states(spark, sf_dir):
-    rows = [(1, 200, "<html>jobs</html>"), (2, 403, ""), (3, 429, ""), (4, 503, None), (5, 200, "Please solve the CAPTCHA"), (6, 404, "")]
-    return spark.createDataFrame(rows, "id int, status int, body string").select("id", listing_checks.fetch_state(F.col("status"), F.col("body")).alias("state"))
+    k = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 200, 403, 429, 503, 404, 401))), (k % 7 + 1).cast("int"))
+    body = F.when(k % 5 == 0, F.concat("html", F.lit('<div class="G-Recaptcha"></div>'))).when(k % 5 == 1, F.concat("html", F.lit("<p>CAPTCHA abuse detection experience</p>"))).when(k % 5 != 2, F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", listing_checks.fetch_state(status, body).alias("state"))
 
 
 POSTING = [

@@ -27,9 +27,9 @@ def query(oracle: str | None = None):
     return add
 
 
-@query(sql("SELECT p.posting_id, p.title, p.company_name, coalesce((SELECT string_agg(skill, ',' ORDER BY skill) FROM o WHERE o.posting_id = p.posting_id AND requirement_type = 'required'), '') AS required_skills, (SELECT count(*) FROM o WHERE o.posting_id = p.posting_id) AS n_skills FROM p WHERE status = 'open' AND posting_id % 50 = 0", *BASE))
+@query(sql("SELECT p.posting_id, p.title, p.company_name, coalesce(required, '') AS required_skills, coalesce(n, 0) AS n_skills FROM p LEFT JOIN (SELECT posting_id, string_agg(skill, ',' ORDER BY skill) FILTER (requirement_type = 'required') AS required, count(*) AS n FROM o GROUP BY 1) USING (posting_id) WHERE status = 'open'", *BASE))
 def posting_summary(spark, sf_dir):
-    jobs = postings(spark, sf_dir).filter("status = 'open' and posting_id % 50 = 0")
+    jobs = postings(spark, sf_dir).filter("status = 'open'")
     s = rank.summaries(jobs, evidence.skill_groups(found(spark, sf_dir)))
     return s.select("posting_id", "title", "company_name", F.array_join("required_skills", ",").alias("required_skills"), (F.size("required_skills") + F.size("preferred_skills") + F.size("unspecified_skills")).cast("long").alias("n_skills"))
 
@@ -97,9 +97,9 @@ def saved_search_client_check(spark, sf_dir):
     return rank.new_for_searches(by_search).select("user_id", "posting_id", F.array_join("names", ",").alias("names"))
 
 
-@query(sql("SELECT source_id, CASE WHEN source_id % 10 = 0 THEN 'allowed' ELSE status END AS status, CASE WHEN source_id % 10 = 0 THEN NULL ELSE last_error_code END AS last_error_code FROM s WHERE source_id < 100", SOURCES))
+@query(sql("SELECT source_id, CASE WHEN source_id < 100 AND source_id % 10 = 0 THEN 'allowed' ELSE status END AS status, CASE WHEN source_id < 100 AND source_id % 10 = 0 THEN NULL ELSE last_error_code END AS last_error_code FROM s", SOURCES))
 def source_set_status(spark, sf_dir):
-    return ingest.set_status(sources(spark, sf_dir), [*range(0, 100, 10)], "allowed").filter("source_id < 100").select("source_id", "status", "last_error_code")
+    return ingest.set_status(sources(spark, sf_dir), [*range(0, 100, 10)], "allowed").select("source_id", "status", "last_error_code")
 
 
 @query(
@@ -142,7 +142,7 @@ def source_report_markdown(spark, sf_dir):
 @query()
 def source_report_json(spark, sf_dir):
     families = source_health.family_health(source_queries._items(spark, sf_dir))
-    return source_health.report_json(families.filter("family is null").drop("family"), families.filter("family is not null"))
+    return source_health.report_json(families.filter("is_total").drop("family", "is_total"), families.filter("not is_total").drop("is_total"))
 
 
 @query(sql("SELECT post_id, rel FROM (SELECT post_id, created_at, CASE WHEN lower(trim(title)) = 'the' THEN 0 WHEN starts_with(lower(trim(title)), 'the') THEN 1 WHEN contains(lower(trim(title)), 'the') THEN 2 WHEN contains(lower(body), 'the') THEN 4 END AS rel FROM po) WHERE rel IS NOT NULL", community_queries.POSTS))
