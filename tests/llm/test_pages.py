@@ -1,6 +1,7 @@
 """HTML extraction and WARC archives."""
 
 import hashlib
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from tidemark.llm.common import checkpointed, fresh_dir
         ("<article><div class='sidebar'>never closed<p>x</article><p>after</p>", ""),
         ("<article>a < b &lt;c&gt; <!-- <p>no</p> -->d</article>", "a < b <c> d"),
         ("<article><style>p{}</style><ul><li>1</li><li>2</li></ul><textarea>t</textarea></article>", "1\n2"),
+        ("<article><div class='share-price'>ACME share rose 5%</div><p id='search-for-truth'>x</p><div class='social share_buttons'>s</div><p class=comments-list>c</p><div id=ad2>a</div></article>", "ACME share rose 5%\nx"),
         ("plain text only", "plain text only"),
         ("", ""),
         (None, ""),
@@ -45,6 +47,49 @@ def test_hosts_boilerplate_goes_from_unmarked_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def brute_unmarked(pages, run=8, min_pages=2):
+    """(host, html) -> text of pages without an article: every run of tokens is looked up in every other page of the host."""
+    streams = {(h, "\n".join(html_extract.blocks(p)[1])) for h, p in pages}
+    held = {}
+    for h, stream in streams:
+        words = stream.split()
+        for i in range(len(words) - run + 1):
+            held.setdefault((h, *words[i : i + run]), set()).add(stream)
+    out = {}
+    for h, p in pages:
+        lines = html_extract.blocks(p)[1]
+        words = [w for x in lines for w in x.split(" ")]
+        drop = {j for i in range(len(words) - run + 1) if len(held[(h, *words[i : i + run])]) >= min_pages for j in range(i, i + run)}
+        kept, at = [], 0
+        for line in lines:
+            own = line.split(" ")
+            flags = [at + j in drop for j in range(len(own))]
+            left = []
+            for gone, part in itertools.groupby(range(len(own)), key=flags.__getitem__):
+                part = list(part)
+                if not gone or len(part) < min(run, len(own)):
+                    left += [own[j] for j in part]
+            at += len(own)
+            if left:
+                kept.append(" ".join(left))
+        out[h, p] = "\n".join(kept)
+    return out
+
+
+def test_unmarked_pages_are_brute_force(spark):
+    """The table's pages with their article elements made plain, whole; names that clash; an empty article; repeated rows."""
+    import re
+
+    pages = [(r["page_id"], r["url"], re.sub(r"(?i)</?article[^>]*>", "<div>", r["html"])) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    pages += [(-1, "http://e.example/", "<article></article><p>only this here</p>"), (-2, "http://e.example/", "<!-- <article> --><p>and that there</p>"), pages[0], (-3, "http://l.example/", "<p>" + "w1 w2 w3 w4 w5 w6 w7 w8 w9 " * 30_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("h")).withColumn("lines", F.lit("l")).withColumn("_host", F.lit(1)).repartition(4)
+    host = {r["url"]: r["x"] for r in df.select("url", html_extract.host("url").alias("x")).distinct().collect()}
+    want = brute_unmarked([(host[u], p) for _, u, p in pages])
+    got = html_extract.extract(df).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((k, want[host[u], p]) for k, u, p in pages)
+    assert {(r["host"], r["lines"], r["_host"]) for r in got} == {("h", "l", 1)}
+
+
 def test_extraction_query_is_the_article(spark, sf):
     import html
     import re
@@ -83,7 +128,7 @@ def test_transactions(spark):
 def test_records_far_apart_meet(spark, tmp_path, monkeypatch):
     """Fellows in another file, beyond what waits, missing or repeated."""
     def made(k):
-        return list(warc.transaction(k, f"http://x.example/{k}", *warc.answer(k, f"http://x.example/{k}", f"payload {k}".encode()), None))
+        return list(warc.transaction(k, k, f"http://x.example/{k}", *warc.answer(k, f"http://x.example/{k}", f"payload {k}".encode()), None))
 
     one, two, three, four = map(made, "1234")
     a = [*one, two[1], three[0], *(x for k in range(10, 16) for x in made(str(k))[:2]), three[1], three[2]]
@@ -99,6 +144,20 @@ def test_records_far_apart_meet(spark, tmp_path, monkeypatch):
     assert warc.read_records(files).count() == len(a) + len(b)
 
 
+def test_repeated_rows_and_null_keys_are_captures(spark, tmp_path):
+    body, large = "<html>" + "same " * 40, "<p>" + "large é " * 400_000
+    rows = [(1, "u", body), (2, "u", body), (2, "u", body), (1, "v", body), (None, "u", body), (None, None, None), (3, "u", large), (3, "u", large), (7, "w", "tiny"), (7, "w", "tiny")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit("clash")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.op6_warc(spark, str(tmp_path)).collect()
+    size = lambda h: len((h or "").encode())
+    sha = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got), key=key) == sorted(((k, size(h), sha(h)) for k, _, h in rows), key=key)
+    same = [(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_digest"] == sha(body)]
+    assert sorted(same, key=key) == sorted([(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (2, "revisit", 1), (None, "revisit", 1)], key=key)
+    assert sorted(r["record_type"] for r in got if r["page_id"] == 3) == ["response", "revisit"] and {r["record_type"] for r in got if r["page_id"] == 7} == {"response"}
+
+
 def test_archives_of_nothing(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     files = checkpointed(warc.write(df, fresh_dir(spark, "warc")))
@@ -108,7 +167,7 @@ def test_archives_of_nothing(spark):
 def test_cut_archive_is_refused():
     import io
 
-    data = b"".join(warc.transaction("1", "http://x.example/", *warc.answer("1", "http://x.example/", b"payload"), None))
+    data = b"".join(warc.transaction("1", "1", "http://x.example/", *warc.answer("1", "http://x.example/", b"payload"), None))
     assert [warc.parse(m)[0]["warc-type"] for _, m in warc.members(io.BytesIO(data))] == ["request", "response", "metadata"]
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(data[:-4])))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests in one JVM) a temporary folder is made and used.
+    and driver and executors are one process, a temporary folder is made and used.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = sc._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -76,11 +79,24 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``: bounds what a worker holds as Python objects at once."""
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and, but for single rows, ``size`` bytes: bounds what a worker holds as Python objects at once."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        parts = [b.slice(at, rows) for at in range(0, b.num_rows, rows)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def chunks(items: Iterable, n: int) -> Iterator[list]:
+    """The items in lists of at most ``n``."""
+    items = iter(items)
+    while part := list(itertools.islice(items, n)):
+        yield part
 
 
 class Cache(dict):

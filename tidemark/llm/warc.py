@@ -11,10 +11,14 @@ nested request, response and metadata.  Records move as the gzip members that
 archives hold, and are inflated at the ends.
 
 Equal payloads of at least ``min_revisit`` bytes are stored once: the record
-with the smallest key is the response, the others are revisits of it.  Null
-payloads are empty; a null uri is an empty target; repeated keys are not
-supported, as a record id stands for one capture: later rows of a key take the
-id of their position.
+with the smallest key is the response, the others are revisits of it.
+
+Defined results: every row is a capture of its own, with record ids by the
+number of its row, so repeated keys and repeated rows stay what they are; of
+rows that share the smallest key the first is the response.  A null key is the
+largest and is written as no key; null payloads are empty; a null uri is an
+empty target; a payload of any length is one record, held whole by one task at a
+time.  Only key, uri and payload are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ SPACE = uuid.UUID("6f2f6a52-5b1c-4d8e-9a56-0d6f8f1f7a10")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(kind: str, key: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{key}')}>"
+def record_id(kind: str, row: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{row}')}>"
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -48,39 +52,37 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def digests(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, digest (bare lower-case hex SHA-256), bytes."""
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    return df.select(F.col(key).alias("k"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
+def numbered(df: DataFrame, key: str, uri: str, payload: str) -> DataFrame:
+    """k, u, p (empty for null) and row, the number that tells the rows of one key apart."""
+    return df.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{uri}`"), F.lit("")).alias("u"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("p"), F.monotonically_increasing_id().alias("row"))
 
 
-def revisits(df: DataFrame, key: str, payload: str, min_revisit: int, salts: int = 16) -> DataFrame:
-    """(k, refers_to) of every capture whose payload a smaller key has.
+def revisits(rows: DataFrame, min_revisit: int, salts: int = 16) -> DataFrame:
+    """(row, refers_to: a row) of every capture (k, p, row) whose payload a smaller key, or an earlier row of the key, has.
 
-    First keys are found with a map-side minimum; the join back is dealt by
+    First rows are found with a map-side minimum; the join back is dealt by
     digest and salt, so that a payload with a third of all rows is spread.
     """
-    seen = digests(df, key, payload).filter(F.col("bytes") >= min_revisit).select("k", "digest")
-    first = seen.groupBy("digest").agg(F.min("k").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
-    return salted.join(first, ["digest", "salt"]).filter(F.col("k") > F.col("refers_to")).select("k", "refers_to")
+    seen = rows.filter(F.octet_length("p") >= min_revisit).select(F.sha2(F.col("p").cast("binary"), 256).alias("digest"), F.struct(F.col("k").isNull(), "k", "row").alias("f"))
+    first = seen.groupBy("digest").agg(F.min("f").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = first.select("digest", F.col("first.row").alias("refers_to"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = seen.select("digest", F.col("f.row").alias("row"), F.pmod(F.xxhash64("f.row"), F.lit(salts)).cast("int").alias("salt"))
+    return salted.join(first, ["digest", "salt"]).filter("row <> refers_to").select("row", "refers_to")
 
 
 def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_revisit: int = 100) -> DataFrame:
     """Write the archives below ``path`` (a URI of a shared file system); returns their list: file, records."""
-    later = revisits(df, key, payload, min_revisit).withColumnRenamed("k", "k2")
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(uri), F.lit("")).alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p"))
-    kind = dict(rows.dtypes)["k"]
+    rows = numbered(df, key, uri, payload)
+    later = revisits(rows, min_revisit)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            made = [answer("" if k is None else str(k), u, p.encode()) for k, u, p in zip(*(c.to_pylist() for c in b.columns))]
+            made = [answer(str(row), u, p.encode()) for _, row, u, p in zip(*(c.to_pylist() for c in b.columns))]
             n, digest, response = zip(*made)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(response, pa.binary())], ["k", "u", "n", "digest", "response"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(response, pa.binary())], ["k", "row", "u", "n", "digest", "response"])
 
-    answers = rows.mapInArrow(prepare, f"k {kind}, u string, n long, digest string, response binary")
-    joined = answers.join(later, F.col("k") == F.col("k2"), "left").select(F.col("k").cast("string"), "u", "n", "digest", "response", F.col("refers_to").cast("string"))
+    answers = rows.select(F.col("k").cast("string"), "row", "u", "p").mapInArrow(prepare, "k string, row long, u string, n long, digest string, response binary")
+    joined = answers.join(later, "row", "left").select("k", F.col("row").cast("string"), "u", "n", "digest", "response", F.col("refers_to").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -94,8 +96,8 @@ def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payl
         with store.open_output_stream(partial, compression=None) as out:
             out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", name)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"))
             for b in small(batches):
-                for k, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                    out.write(b"".join(transaction(k or "", *rest)))
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    out.write(b"".join(transaction(*row)))
                     records += 3
         if store.get_file_info(name).type != fs.FileType.NotFound:  # an earlier attempt's file, with the same records
             store.delete_file(name)
@@ -113,24 +115,24 @@ def http_head(n: int) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
 
 
-def answer(key: str, uri: str, payload: bytes) -> tuple[int, str, bytes]:
+def answer(row: str, uri: str, payload: bytes) -> tuple[int, str, bytes]:
     """Length and digest of a payload, and its response record."""
     digest = hashlib.sha256(payload).hexdigest()
     kind = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    return len(payload), digest, record([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key)), *common(uri), *kind], http_head(len(payload)) + payload)
+    return len(payload), digest, record([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", row)), *common(uri), *kind], http_head(len(payload)) + payload)
 
 
-def transaction(key: str, uri: str, n: int, digest: str, response: bytes, refers: str | None) -> Iterator[bytes]:
+def transaction(key: str | None, row: str, uri: str, n: int, digest: str, response: bytes, refers: str | None) -> Iterator[bytes]:
     """The three records of a capture; one that refers to another's payload keeps the HTTP head alone."""
-    own, same = record_id("response", key), common(uri)
+    own, same = record_id("response", row), common(uri)
     target = same[1][1]
-    yield record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/http;msgtype=request")], f"GET {target} HTTP/1.1\r\nHost: {target.split('/')[2] if target.count('/') > 1 else ''}\r\n\r\n".encode())
+    yield record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", row)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/http;msgtype=request")], f"GET {target} HTTP/1.1\r\nHost: {target.split('/')[2] if target.count('/') > 1 else ''}\r\n\r\n".encode())
     if refers is None:
         yield response
     else:
         kind = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id("response", refers)), ("WARC-Profile", REVISIT), *same, *kind], http_head(n))
-    yield record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/warc-fields")], f"captureKey: {key}\r\n".encode())
+    yield record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", row)), ("WARC-Concurrent-To", own), *same, ("Content-Type", "application/warc-fields")], ("" if key is None else f"captureKey: {key}\r\n").encode())
 
 
 def members(stream) -> Iterator[tuple[bytes, bytes]]:
