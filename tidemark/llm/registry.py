@@ -21,8 +21,8 @@ def vocabulary(name: str) -> str:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """A list of files dealt one by one: its rows are too small for their bytes to say how many tasks to make."""
-    return files.repartition(max(1, files.count()), "file")
+    """A list of files dealt one to a task: its rows are too small for their bytes to say how many tasks to make."""
+    return files.repartitionByRange(max(1, files.count()), "file")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_revisit = F.col("response.type") == "revisit"
     one = found.select(
         "capture_id",
-        F.regexp_extract(F.col("metadata.block").cast("string"), r"captureKey: (-?\d+)", 1).cast("long").alias("page_id"),
+        F.regexp_extract(F.col("metadata.block").cast("string"), r"captureKey: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.when(is_revisit, stated).otherwise(F.octet_length(body)).cast("long").alias("payload_bytes"),
         F.when(is_revisit, F.regexp_replace("response.payload_digest", "^sha256:", "")).otherwise(F.sha2(body, 256)).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
@@ -123,7 +123,7 @@ def license_sql() -> str:
         WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS s,
                           unnest(range(len(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))))) AS i FROM documents),
         n AS (SELECT doc_id, i, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(lower(s), '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '.', ' '), chr(1), '.'), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g')) AS s FROM t
-              WHERE regexp_matches(s, '(?i)licen|permission|warranty|redistribut|rights|public|creative|cc')),
+              WHERE regexp_matches(s, '(?i)licen|permission|warrant|redistribut|rights|public|creative|cc|free|gpl|mpl|version|advertising')),
         k AS (SELECT doc_id, i, CASE {cases} END AS id FROM n),
         g AS (SELECT doc_id, count(*) AS n_sentences, string_agg(replace(id, '|', ''), ',' ORDER BY i) AS sentences, string_agg(id, '' ORDER BY i) AS rest FROM k WHERE id IS NOT NULL GROUP BY 1),
         q AS (SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentences, '') AS sentences, coalesce(rest, '') AS rest FROM documents d LEFT JOIN g USING (doc_id))
