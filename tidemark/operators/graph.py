@@ -7,7 +7,7 @@ after works on the small edge table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.market import pairs
@@ -27,9 +27,21 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
 
 
+#: Rows of a node or edge table that may come to the driver: pairs of a dictionary of some 600 skills.
+HELD = 200_000
+
+
+def bounded(df: DataFrame) -> list[Row]:
+    """The rows of a node or edge table, which the dictionary of skills bounds; a table beyond that is refused, not gathered."""
+    rows = df.limit(HELD + 1).collect()
+    if len(rows) > HELD:
+        raise ValueError(f"a graph table of more than {HELD} rows is none of a dictionary's")
+    return rows
+
+
 def held(df: DataFrame) -> DataFrame:
-    """The rows of a node or edge table, computed once: the dictionary of skills bounds them, postings don't."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A node or edge table, computed once."""
+    return df.sparkSession.createDataFrame(bounded(df), df.schema)
 
 
 def edges(found: DataFrame, seed: str | None = None) -> DataFrame:
@@ -98,6 +110,14 @@ def _placed(df: DataFrame, limit: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.orderBy("tier", "rank"))).filter(F.col("place") <= limit).select("skill", "tier", "place")
 
 
+def shown_skills(found: DataFrame, edge: DataFrame, node: DataFrame, seed: str | None, depth: int, limit: int) -> DataFrame:
+    """(skill, place, seeded): the nodes around a seed; without one, or for a seed that no posting names, the leaders, which stand without edges."""
+    if seed is not None and not found.filter(F.col("skill") == seed).isEmpty():
+        return selection(found, edge, seed, depth, limit).select("skill", "place", F.lit(True).alias("seeded"))
+    order = Window.orderBy(F.desc("demand_count"), F.desc("required_count"), F.lower("skill"))  # over at most 60 rows
+    return leaders(node, limit).withColumn("place", F.row_number().over(order)).select("skill", "place", F.lit(False).alias("seeded"))
+
+
 def leaders(node: DataFrame, limit: int) -> DataFrame:
     """Skills by demand, for a graph without a seed."""
     return node.orderBy(F.desc("demand_count"), F.desc("required_count"), F.lower("skill")).limit(max(5, min(limit, 60)))
@@ -137,13 +157,13 @@ def hub_labels(node: DataFrame, edge: DataFrame, owned: list[str], n: int = 24)
 
 
 def backbone(edge: DataFrame, limit: int | None = None) -> DataFrame:
-    """Maximum spanning forest by rounds: every component takes its best edge out, and the components an edge joins become one.
+    """Maximum spanning forest: edges in order of their rank, each if it joins two components.
 
-    The edge table is bounded by the dictionary, so a round's components are a
-    small table; each round at least halves their number.
+    The edge table is bounded by the dictionary and checked to be (``bounded``),
+    so the forest is grown on the driver.
     """
     spark = edge.sparkSession
-    ranked = edge.withColumn("rank", F.row_number().over(Window.orderBy(*edge_order()))).select("source", "target", "score", "support", "rank").collect()
+    ranked = bounded(edge.orderBy(*edge_order()).select("source", "target", "score", "support"))
     parent: dict[str, str] = {}
 
     def root(x: str) -> str:

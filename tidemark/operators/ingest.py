@@ -91,7 +91,8 @@ def search_matches(searches: DataFrame, postings: DataFrame, found: DataFrame, n
     """(user_id, search_id, posting_id) of open postings first seen after the search's checkpoint (at most 30 days back) that meet it.
 
     The window of time is cut first; a search joins postings on its career type
-    where it names one, and its text is tested within the joined row.
+    where it names one, else on its category, and its text is tested within the
+    joined row.
     """
     now_ = F.lit(now).cast("timestamp")
     floor = now_ - F.make_interval(days=F.lit(LOOKBACK_DAYS))
@@ -102,9 +103,25 @@ def search_matches(searches: DataFrame, postings: DataFrame, found: DataFrame, n
     query = F.lower(F.trim("query_text"))
     fits = (F.col("first_seen_at") > F.col("_from")) & ((F.coalesce("_category", F.lit("")) == "") | F.coalesce(F.array_contains("_categories", F.col("_category")), F.lit(False))) & ((query == "") | F.contains("_text", query))
     named = wanted.filter(F.coalesce("_career", F.lit("")) != "").join(recent, F.col("_career") == F.col("career_type"))
-    # Searches that name no career type meet every recent posting; one equal key per side lets the join be dealt by posting.
-    any_ = wanted.filter(F.coalesce("_career", F.lit("")) == "").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")).join(recent.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(16)).cast("int")), "_salt").drop("_salt")
-    return named.unionByName(any_).filter(fits).select("user_id", "search_id", "name", "posting_id", "first_seen_at")
+    open_ = wanted.filter(F.coalesce("_career", F.lit("")) == "")
+    by_category = open_.filter(F.coalesce("_category", F.lit("")) != "").join(recent.withColumn("_one", F.explode("_categories")), F.col("_category") == F.col("_one")).drop("_one")
+    # Searches by text alone are tested on every recent posting, as their feature is; one equal key per side lets that be dealt by posting.
+    any_ = open_.filter(F.coalesce("_category", F.lit("")) == "").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")).join(recent.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(16)).cast("int")), "_salt").drop("_salt")
+    return named.unionByName(by_category).unionByName(any_).filter(fits).select("user_id", "search_id", "name", "posting_id", "first_seen_at")
+
+
+def advanced(searches: DataFrame, states: DataFrame, now, limit: int = MAX_SEARCHES) -> DataFrame:
+    """``searches`` after an evaluation, with ``evaluated``: the latest enabled ones of each user are checked up to ``now``.
+
+    A user who has notifications off (``states``: user_id, job_notifications_enabled)
+    is not evaluated, but the checkpoints move on, so that nothing old is sent when
+    they are on again.  ``searches`` has user_id, search_id, updated_at, last_checked_at, is_enabled.
+    """
+    taken = bounded_searches(searches.filter("is_enabled"), limit).select("user_id", "search_id", F.lit(True).alias("_taken"))
+    off = states.filter(~F.col("job_notifications_enabled")).select("user_id", F.lit(True).alias("_off")).distinct()
+    joined = searches.join(taken, ["user_id", "search_id"], "left").join(off, "user_id", "left")
+    moved = F.coalesce("_taken", F.lit(False))
+    return joined.withColumn("last_checked_at", F.when(moved, F.lit(now).cast("timestamp")).otherwise(F.col("last_checked_at"))).withColumn("evaluated", moved & ~F.coalesce("_off", F.lit(False))).drop("_taken", "_off")
 
 
 def followed_matches(follows: DataFrame, postings: DataFrame, now) -> DataFrame:

@@ -83,6 +83,12 @@ def graph_demand_leaders(spark, sf_dir):
     return graph.visible(graph.edges(f), graph.leaders(graph.nodes(f), 8)).select("source", "target", "support", "score")
 
 
+@query(sql("SELECT skill, CAST(row_number() OVER (ORDER BY demand_count DESC, required_count DESC, lower(skill)) AS INT) AS place, FALSE AS seeded FROM n QUALIFY place <= 8", *BASE, NODES))
+def graph_unknown_seed(spark, sf_dir):
+    f = found(spark, sf_dir)
+    return graph.shown_skills(f, graph.edges(f), graph.nodes(f), "No such skill", 2, 8)
+
+
 @query(sql("SELECT posting_id, company_name, requirement_type, (SELECT count(*) FROM o WHERE skill = 'Brand#3') AS total FROM (SELECT *, row_number() OVER (ORDER BY CASE requirement_type WHEN 'required' THEN 0 WHEN 'preferred' THEN 1 ELSE 2 END, last_verified_at DESC, posting_id) AS rn FROM o WHERE skill = 'Brand#3') WHERE rn <= 20", *BASE))
 def graph_evidence(spark, sf_dir):
     return graph.skill_evidence(found(spark, sf_dir), "Brand#3", 20).select("posting_id", "company_name", "requirement_type", "total")

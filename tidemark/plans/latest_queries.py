@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, views
+from tidemark.operators import evidence, ingest, views
 from tidemark.plans.analog import FOUND, MENTIONS, POSTINGS, SOURCES, mentions, postings, sources, sql, table
 from tidemark.plans.community_queries import POSTS, posts
 from tidemark.plans.evidence_queries import found
@@ -163,6 +163,19 @@ def owned_posts_edit(spark, sf_dir):
     return after.select("post_id", "author_id", "title", F.date_format("updated_at", "yyyy-MM-dd HH").alias("updated"))
 
 
+@query(
+    """SELECT search_id, user_id, strftime(CASE WHEN r <= 10 THEN DATE '2002-01-01' ELSE seen END, '%Y-%m-%d') AS checked, coalesce(r <= 10 AND user_id % 7 <> 0, FALSE) AS evaluated
+FROM (SELECT o_orderkey AS search_id, o_custkey % 200 AS user_id, o_orderdate AS seen FROM orders) LEFT JOIN
+(SELECT o_orderkey AS search_id, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 5 <> 0) USING (search_id)"""
+)
+def search_checkpoints(spark, sf_dir):
+    at = F.col("o_orderdate").cast("timestamp")
+    searches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("search_id"), (F.col("o_custkey") % 200).alias("user_id"), at.alias("updated_at"), at.alias("last_checked_at"), (F.col("o_orderkey") % 5 != 0).alias("is_enabled"))
+    states = spark.range(200).select(F.col("id").alias("user_id"), (F.col("id") % 7 != 0).alias("job_notifications_enabled"))
+    out = ingest.advanced(searches, states, datetime(2002, 1, 1))
+    return out.select("search_id", "user_id", F.date_format("last_checked_at", "yyyy-MM-dd").alias("checked"), "evaluated")
+
+
 @query(sql("SELECT w.posting_id, CAST(w.place AS INT) AS place, CASE WHEN p.posting_id IS NULL THEN 'unavailable' ELSE 'item' END AS state, p.title FROM (SELECT x * 5 AS posting_id, x AS place FROM range(1, 25) t(x)) w LEFT JOIN p USING (posting_id)", POSTINGS))
 def saved_lookup(spark, sf_dir):
     wanted = spark.range(1, 60).select((F.col("id") * 5).alias("posting_id"), F.col("id").cast("int").alias("place"))
