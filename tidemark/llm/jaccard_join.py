@@ -7,13 +7,16 @@ coordinate go to the same child, so two sets that reach the threshold stay
 together at least once per level in expectation.  A node with at most ``limit``
 sets is compared by brute force, on the sets themselves; so is one that is
 larger but dense (mostly mutual near copies, which no split would part), in
-blocks, each pair of blocks once.  Runs with other samples are repeated until a
-pair at the threshold is found with probability ``recall`` at the depth the runs
-reached.
+blocks, each pair of blocks once.  ``RUNS`` runs with other samples are made at
+once, which suffices for trees of two levels; if the deepest node of all runs
+lies deeper, as many more are made until a pair at the threshold is found with
+probability ``recall`` at that depth.  (The formula takes samples for
+independent; they are drawn from ``COORDINATES`` coordinates, so tests measure
+recall against brute force as well.)
 
 Work that is saved without losing a link: equal sets are one node with a weight;
-after the first run, nodes whose sets are all in one class already are skipped;
-a comparison emits only links that join classes, never all pairs.  Classes are
+nodes of different runs that hold the same candidates are compared once; a
+comparison emits only links that join classes, never all pairs.  Classes are
 the connected components, found by alternating star contractions.  As linked
 sets are in one class, the numbers of links are then counted class by class, in
 pairs of blocks, without emitting pairs.
@@ -21,7 +24,9 @@ pairs of blocks, without emitting pairs.
 Words are runs of letters, digits and underscores in lower case; a text of under
 n words is one n-gram; a text without words (null, empty) has no set, no link,
 and is its own class.  The class id is the class's smallest key; rows of equal
-text and equal key are rows of their own.
+text and equal key are rows of their own; other columns are left out, so names
+cannot clash.  Very long texts are read whole; a block holds at most ``block``
+sets and about ``BLOCK_BYTES`` of them, and never less than one set.
 """
 
 from __future__ import annotations
@@ -46,6 +51,9 @@ DENSE = 0.25
 #: Columns of an incidence matrix, and sets in a block of a large node or class.
 WIDTH = 1024
 BLOCK = 2048
+BLOCK_BYTES = 32 << 20
+#: Runs that are made at once: enough for recall 0.999 at threshold 0.8 and two levels.
+RUNS = 6
 WORD = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
 A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,7 +132,7 @@ def links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndar
 
 
 def _sets(df: DataFrame, text: str, n: int) -> DataFrame:
-    """rid, set (its n-grams' upper 32 bits) and signature of each text with a word; once per partition and text."""
+    """rid, set (its n-grams' upper 32 bits), its bytes and signature of each text with a word; once per partition and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,10 +144,12 @@ def _sets(df: DataFrame, text: str, n: int) -> DataFrame:
                 seen.add(rid)
                 grams = ngram_set(t, n)
                 if len(grams):
-                    out.append((rid, np.unique((grams >> np.uint64(32)).astype("<u4")).tobytes(), signature(grams)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["rid", "grams", "sig"])
+                    packed = np.unique((grams >> np.uint64(32)).astype("<u4")).tobytes()
+                    out.append((rid, packed, len(packed), signature(grams)))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["rid", "grams", "size", "sig"])
 
-    return df.select("rid", F.col(text).alias("t")).filter("rid is not null").mapInArrow(run, "rid long, grams binary, sig array<int>")
+    return df.select("rid", F.col(text).alias("t")).filter("rid is not null").mapInArrow(run, "rid long, grams binary, size long, sig array<int>")
 
 
 def unpack(grams: bytes) -> np.ndarray:
@@ -186,9 +196,9 @@ def split_sides(rows: list[tuple], diagonal: bool) -> tuple[list[int], list[int]
     return ids, [r for r, _ in right], grams, [unpack(g) for _, g in right]
 
 
-def in_blocks(members: DataFrame, size, limit: int) -> DataFrame:
-    """Deal the sets of each group to all pairs of its blocks of about ``limit``: adds bi, bj, side."""
-    blocks = F.ceil(size / F.lit(float(limit))).cast("int")
+def in_blocks(members: DataFrame, n, size, block: int) -> DataFrame:
+    """Deal the sets of each group (of ``n`` sets and ``size`` bytes) to all pairs of its blocks: adds bi, bj, side."""
+    blocks = F.ceil(F.greatest(n / F.lit(float(block)), size / F.lit(float(BLOCK_BYTES)), F.lit(1.0))).cast("int")
     own = F.pmod(F.xxhash64("rid", F.lit(11)), blocks).cast("int")
     pairs = members.withColumn("_n", blocks).withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return pairs.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).withColumn("side", F.when(F.col("_b") > F.col("_o"), 1).otherwise(0)).drop("_n", "_b", "_o")
@@ -197,19 +207,19 @@ def in_blocks(members: DataFrame, size, limit: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(rid, root) of every rid that ``edges`` (a, b) name: alternating large-star and small-star steps until nothing changes."""
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    while True:
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    before = state(edges)
+    while before[0]:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # b > a >= m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = checkpointed(small)
+        edges = checkpointed(large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct())
         now = state(edges)
         if now == before:
-            return edges.select(F.col("a").alias("rid"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("rid"), F.col("b").alias("root")).distinct())
+            break
         before = now
+    return edges.select(F.col("a").alias("rid"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("rid"), F.col("b").alias("root")).distinct())
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -221,49 +231,53 @@ def survival(threshold: float, depth: int) -> float:
 
 
 def children(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows (run, node, rid, root, sig) -> the next level's (run, node, rid, root)."""
+    """rows (run, node, rid, size, sig) -> the next level's (run, node, rid, size)."""
     pick = lambda i, n: F.pmod(F.xxhash64("run", "node", F.lit(i)), F.lit(n)).cast("int")
     first, second, lucky = pick(1, COORDINATES), pick(2, COORDINATES), pick(3, 1000) < int(1000 * (1 / threshold - 1))
     at = F.when(lucky & (first != second), F.array(first, second)).otherwise(F.array(first))
-    return rows.withColumn("c", F.explode(at)).select("run", F.xxhash64("run", "node", "c", F.element_at("sig", F.col("c") + 1)).alias("node"), "rid", "root")
+    return rows.withColumn("c", F.explode(at)).select("run", F.xxhash64("run", "node", "c", F.element_at("sig", F.col("c") + 1)).alias("node"), "rid", "size")
+
+
+NODE = ["run", "node", "rid", "n", "bytes"]
 
 
 def _leaves(sigs: DataFrame, runs: range, threshold: float, limit: int, depth: int) -> tuple[DataFrame, int]:
-    """Nodes to compare (run, node, rid, n), and the deepest level; ``sigs``: rid, root, sig.  Nodes within one root are skipped.
+    """Nodes to compare (run, node, rid, n, bytes), and the deepest level; ``sigs``: rid, size, sig.
 
     Large dense nodes of different runs and levels that hold the same near copies
     have the same core, the commonest values of three coordinates: they are put
     together by it and compared once.
     """
+    # Numbers of sets are combined before the shuffle; nodes of one set go no further.
+    of_node = (F.count("*").alias("n"), F.sum("size").alias("bytes"))
     level = children(sigs.withColumn("run", F.explode(F.array(*map(F.lit, runs)))).withColumn("node", F.lit(0).cast("long")), threshold)
     leaves, cores = [], []
     for d in range(1, depth + 1):
-        # Counts are combined before the shuffle; nodes of one set or one root go no further.
-        size = level.groupBy("run", "node").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1 and lo <> hi").drop("lo", "hi")
-        rows = checkpointed(level.join(size, ["run", "node"]))
+        sized = level.groupBy("run", "node").agg(*of_node).filter("n > 1")
+        rows = checkpointed(level.join(sized, ["run", "node"]))
         big = rows.filter(F.col("n") > limit)
         if d == depth or big.isEmpty():
-            leaves.append(rows)
+            leaves.append(rows.select(NODE))
             break
-        leaves.append(rows.filter(F.col("n") <= limit))
-        big = big.join(sigs.select("rid", F.slice("sig", 1, 3).alias("v")), "rid")
+        leaves.append(rows.filter(F.col("n") <= limit).select(NODE))
+        big = big.join(sigs.select("rid", "sig"), "rid").withColumn("v", F.slice("sig", 1, 3))
         joint = big.groupBy("run", "node", "n", "v").agg(F.count("*").alias("c"))
         # Share of pairs that agree in all three coordinates.
         stat = joint.groupBy("run", "node").agg((F.sum(F.col("c") * F.col("c")) / (F.max("n") * F.max("n"))).alias("density"), F.max(F.struct("c", "v")).alias("top"))
-        big = checkpointed(big.join(stat.select("run", "node", "density", F.xxhash64("top.v").alias("core")), ["run", "node"]))
-        cores.append(big.filter(F.col("density") >= DENSE).select("core", "rid"))
-        level = children(big.filter(F.col("density") < DENSE).select("run", "node", "rid", "root").join(sigs.select("rid", "sig"), "rid"), threshold)
-    columns = ["run", "node", "rid", "n"]
-    out = leaves[0].select(columns)
+        stat = checkpointed(stat.select("run", "node", F.when(F.col("density") >= DENSE, F.xxhash64("top.v")).alias("core")))  # a row per large node
+        big = big.join(stat, ["run", "node"])
+        cores.append(big.filter("core is not null").select("core", "rid", "size"))
+        level = children(big.filter("core is null").select("run", "node", "rid", "size", "sig"), threshold)
+    out = leaves[0]
     for more in leaves[1:]:
-        out = out.union(more.select(columns))
+        out = out.union(more)
     if cores:
         together = cores[0]
         for more in cores[1:]:
             together = together.union(more)
-        together = together.distinct()
-        sized = together.join(together.groupBy("core").agg(F.count("*").alias("n")), "core")
-        out = out.union(sized.select(F.lit(-1).alias("run"), F.col("core").alias("node"), "rid", "n"))
+        together = checkpointed(together.distinct())
+        sized = together.groupBy("core").agg(*of_node)
+        out = out.union(together.join(sized, "core").select(F.lit(-1).alias("run"), F.col("core").alias("node"), "rid", "n", "bytes"))
     return out, d
 
 
@@ -305,71 +319,65 @@ def stars(ids: list[int], others: list[int], hit: np.ndarray, back: np.ndarray)
     return out
 
 
-def partnered(rows: list[tuple], own: int, bound: float) -> list[int]:
-    """Which rows (root, signature) of a node agree with a row of another root in at least ``bound`` of the coordinates."""
-    roots = np.array([r for r, _ in rows])
-    sig = np.array([s for _, s in rows], np.int32)
-    need, hit = bound * COORDINATES, np.zeros(len(rows), bool)
-    for at in range(0, len(rows), own):
-        agree = np.zeros((min(own, len(rows) - at), len(rows)), np.int16)
+def partnered(sig: np.ndarray, own: int, bound: float) -> list[int]:
+    """Which signatures of a node agree with another in at least ``bound`` of the coordinates."""
+    need, hit = bound * COORDINATES, np.zeros(len(sig), bool)
+    for at in range(0, len(sig), own):
+        agree = np.zeros((min(own, len(sig) - at), len(sig)), np.uint8)
         for c in range(COORDINATES):
             agree += sig[at : at + own, c][:, None] == sig[None, :, c]
-        hit[at : at + own] = ((agree >= need) & (roots[at : at + own][:, None] != roots[None, :])).any(1)
+        np.fill_diagonal(agree[:, at:], 0)
+        hit[at : at + own] = (agree >= need).any(1)
     return np.flatnonzero(hit).tolist()
 
 
 def _candidates(leaves: DataFrame, sigs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``leaves`` without the sets that have no partner in their node by their signatures; nodes over ``block`` sets stay whole."""
+    """(h, rid, n, bytes): sets that have a partner in their node by their signatures; nodes with the same candidates are one, and those of over ``block`` sets stay whole."""
     bound = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    small_ = leaves.filter(F.col("n") <= block).join(sigs, "rid").select("run", "node", F.lit(0).alias("side"), "rid", F.struct("root", "sig").alias("x"))
+    small_ = leaves.filter(F.col("n") <= block).join(sigs, "rid").select("run", "node", F.lit(0).alias("side"), "rid", F.struct("sig", "size").alias("x"))
 
     def each(key: tuple, rows: list[tuple]) -> list[tuple]:
-        kept = partnered([(x["root"], x["sig"]) for _, _, x in rows], 256, bound)
-        return [(*key, rows[i][1], len(kept)) for i in kept]
+        kept = partnered(np.array([x["sig"] for _, _, x in rows], np.int32), 256, bound)
+        rids, size = [rows[i][1] for i in kept], sum(rows[i][2]["size"] for i in kept)
+        h = xxhash.xxh3_64_intdigest(np.array(rids, "<i8").tobytes()) - (1 << 63)  # rows come sorted by rid
+        return [(h, rid, len(kept), size) for rid in rids]
 
-    kept = grouped(small_, ["run", "node"], each, "run int, node long, rid long, n long")
-    return kept.union(leaves.filter(F.col("n") > block).select("run", "node", "rid", "n"))
+    kept = grouped(small_, ["run", "node"], each, "h long, rid long, n long, bytes long")
+    return kept.union(leaves.filter(F.col("n") > block).select(F.xxhash64("run", "node").alias("h"), "rid", "n", "bytes")).distinct()
 
 
 def _compare(leaves: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links (a, b) within the nodes.  Nodes with the same sets are compared once."""
-    leaves = checkpointed(_candidates(leaves, sigs, threshold, block))
-    digest = leaves.groupBy("run", "node").agg(F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("h"), F.max("n").alias("n"))
-    once = digest.groupBy("h", "n").agg(F.min(F.struct("run", "node")).alias("x")).select("x.run", "x.node")
-    dealt = in_blocks(leaves.join(once, ["run", "node"], "left_semi"), F.col("n"), block)
-    with_sets = dealt.join(sets.select("rid", "grams"), "rid").select("run", "node", "bi", "bj", "side", "rid", "grams")
-    return grouped(with_sets, ["run", "node", "bi", "bj"], lambda key, rows: _spanning(rows, threshold, key[-1] == key[-2]), "a long, b long")
+    """Links (a, b) within the nodes."""
+    dealt = in_blocks(_candidates(leaves, sigs, threshold, block), F.col("n"), F.col("bytes"), block)
+    with_sets = dealt.join(sets.select("rid", "grams"), "rid").select("h", "bi", "bj", "side", "rid", "grams")
+    return grouped(with_sets, ["h", "bi", "bj"], lambda key, rows: _spanning(rows, threshold, key[-1] == key[-2]), "a long, b long")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = 256, depth: int = 5, block: int = BLOCK, count_links: bool = True) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, limit: int = BLOCK, depth: int = 5, block: int = BLOCK, count_links: bool = True) -> DataFrame:
     """One row per row of ``df``: key, class_id, class_size and (with ``count_links``) n_links, the other rows that reach the threshold."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("rid"))
     texts = df.select(F.when(F.length(text) > 0, F.xxhash64(text)).alias("rid"), text)
     # Sets stay where they are dealt by rid: the joins with them move ids alone.  Lost parts are computed again.
     sets = _sets(texts, text, n).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid").dropDuplicates(["rid"]).persist(StorageLevel.DISK_ONLY)
-    sigs = sets.select("rid", "sig").persist(StorageLevel.DISK_ONLY)
+    sigs = sets.select("rid", "size", "sig").persist(StorageLevel.DISK_ONLY)
     sigs.count()  # fills both once; two stages that want them at one time would each make the sets
-    nodes = checkpointed(rows.filter("rid is not null").groupBy("rid").agg(F.min("k").alias("first"), F.count("*").alias("weight")).join(sigs.select("rid"), "rid"))
-
-    own = first = sigs.withColumn("root", F.col("rid"))
-    leaves, deepest = _leaves(own, range(1), threshold, limit, depth)
-    edges = checkpointed(_compare(leaves, own, sets, threshold, block))
-    wanted = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, deepest)))
-    if wanted > 1 and not edges.isEmpty():
-        # Sets known to be in one class need no second comparison: each takes the least label it is linked to.
-        near = edges.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("m")), F.struct(F.col("b").alias("rid"), F.col("a").alias("m")))).alias("e")).groupBy("e.rid").agg(F.min("e.m").alias("m"))
-        own = sigs.join(near, "rid", "left").select("rid", F.least("rid", "m").alias("root"), "sig").persist(StorageLevel.DISK_ONLY)
-    if wanted > 1:
-        more, _ = _leaves(own, range(1, wanted), threshold, limit, depth)
-        edges = edges.union(checkpointed(_compare(more, own, sets, threshold, block)))
+    nodes = checkpointed(rows.filter("rid is not null").groupBy("rid").agg(F.min("k").alias("first"), F.count("*").alias("weight")).join(sigs.select("rid", "size"), "rid"))
+
+    edges, made, wanted, deepest = None, 0, RUNS, 0
+    while made < wanted:
+        leaves, level = _leaves(sigs, range(made, wanted), threshold, limit, depth)
+        links_ = _compare(leaves, sigs, sets, threshold, block)
+        edges = links_ if edges is None else checkpointed(edges).union(links_)
+        deepest, made = max(deepest, level), wanted
+        wanted = max(made, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, deepest)))) if threshold < 1 else made
     roots = components(edges)
 
     classes = checkpointed(nodes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
-    per_class = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"), F.count("*").alias("m"))
-    joined = classes.join(per_class, "root")
+    per_class = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"), F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    joined = classes.drop("size").join(per_class, "root")
     if count_links:
-        counted = _count_links(joined.filter("m > 1").select("root", "rid", "m", "weight"), sets, threshold, block)
+        counted = _count_links(joined.filter("m > 1").select("root", "rid", "m", "bytes", "weight"), sets, threshold, block)
         joined = joined.join(counted, "rid", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("others", F.lit(0)))
     out = ["class_id", "class_size"] + ["n_links"] * count_links
     # A text may have any number of rows: they are dealt by text and salt.
@@ -378,14 +386,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     alone = {"class_id": F.col("k"), "class_size": F.lit(1), "n_links": F.lit(0)}
     result = salted.join(dealt, ["rid", "salt"], "left").select(F.col("k").alias(key), *[F.coalesce(c, alone[c]).cast(dict(rows.dtypes)["k"] if c == "class_id" else "long").alias(c) for c in out])
     result = checkpointed(result)
-    for kept in (sets, sigs, *[own] * (own is not first)):
+    for kept in (sets, sigs):
         kept.unpersist()
     return result
 
 
 def _count_links(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(rid, others): rows of other sets that each set links to, by weight."""
-    dealt = in_blocks(members, F.col("m"), block).join(sets.select("rid", "grams"), "rid")
+    dealt = in_blocks(members, F.col("m"), F.col("bytes"), block).join(sets.select("rid", "grams"), "rid")
     weighted = dealt.select("root", "bi", "bj", "side", "rid", F.struct("weight", "grams").alias("grams"))
 
     def each(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
