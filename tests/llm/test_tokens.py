@@ -1,6 +1,7 @@
 """Byte-level BPE, trie counts and packed output, against the libraries and brute force."""
 
 import base64
+import functools
 import hashlib
 import math
 import zlib
@@ -105,13 +106,23 @@ def test_trie_counts_as_plain_dynamic_programming(words, nodes):
 
 
 def test_token_count_query(spark, sf):
+    """Every document, every word, against plain dynamic programming."""
     scores = token_counts.rank_scores(P.path("piece_bpe_32k.model"))
-    trie = token_counts.Trie(scores)
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()}
-    found = {r["doc_id"]: r for r in registry.op7_token_counts(spark, sf).collect()}
-    for k, t in docs.items():
-        words = (t or "").split()
-        assert found[k]["n_pretokens"] == len(words) and found[k]["n_tokens"] == sum(brute("▁" + w, scores, trie.floor) for w in words[:200]) + sum(trie.count(w) for w in words[200:])
+    floor, longest = token_counts.Trie(scores).floor, max(map(len, scores))
+
+    @functools.cache
+    def pieces(word):
+        best = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            options = [(best[j][0] + scores[word[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if word[j:i] in scores]
+            if word[i - 1] not in scores:
+                options.append((best[i - 1][0] + floor, best[i - 1][1] - len(word[i - 1].encode())))
+            best.append(max(options))
+        return -best[-1][1]
+
+    docs = {r["doc_id"]: (r["text"] or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in registry.op7_token_counts(spark, sf).collect()}
+    assert found == {k: (len(words), sum(pieces("▁" + w) for w in words)) for k, words in docs.items()}
 
 
 def test_counts_of_odd_rows(spark):
@@ -175,7 +186,9 @@ def test_output_of_odd_rows(spark):
     df = spark.createDataFrame([(5, None), (2, "b"), (2, "a"), (None, "none"), (9, "")], "doc_id long, text string").withColumn("start", F.lit(1))
     files = checkpointed(token_output.write(df, "doc_id", "text", fresh_dir(spark, "t"), WORDS_PATH, 2))
     rows = sorted(token_output.read(token_output.with_starts(files)).collect(), key=lambda r: r["start"])
-    assert [r["key"] for r in rows] == [-(2**63), 2, 2, 5, 9] and [r["n_tokens"] for r in rows][3:] == [1, 1]
+    assert [r["key"] for r in rows] == [None, 2, 2, 5, 9] and [r["n_tokens"] for r in rows][3:] == [1, 1]
+    with pytest.raises(TypeError):
+        token_output.write(df.withColumn("doc_id", F.lit("a")), "doc_id", "text", fresh_dir(spark, "t"), WORDS_PATH, 2)
     empty = checkpointed(token_output.write(df.limit(0), "doc_id", "text", fresh_dir(spark, "t"), WORDS_PATH, 2))
     assert token_output.read(token_output.with_starts(empty)).count() == 0
 

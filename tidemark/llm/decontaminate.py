@@ -13,12 +13,15 @@ over UTF-8 that is a table of bytes.
 The patterns go to the executors in blocks of at most ``block_bytes``; a larger
 benchmark takes several passes over the documents, whose hits are united by
 document.  Null texts have no words; a document row keeps its row even where
-its key is null or repeated; items with the same text all count.
+its key is null or repeated; items with the same text all count; an empty
+benchmark hits nothing; very long texts are searched whole.  Columns named
+``n_words``, ``hits`` and ``hit_items`` are replaced, all others kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, small
+from tidemark.llm.common import as_bytes, checkpointed, small
 
 #: Byte -> itself in a word (A-Z lower-cased), else a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -116,35 +119,44 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     blocks = item_blocks(items.select(F.col(item_key).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), "i", "t", block_bytes)
     if len(blocks) == 1:
         return _pass(docs, text, blocks[0], window)
-    # A row number joins the passes, so that repeated keys stay apart; each pass reads the same files in the same order.
-    from tidemark.llm.common import checkpointed
-
-    docs = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    out = _pass(docs, text, blocks[0], window)
+    # A row number joins the passes, so that repeated keys stay apart; rows are numbered once, texts joined once.
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    more = None
     for block in blocks[1:]:
-        more = _pass(docs.select("_row", text), text, block, window).select("_row", F.col("hits").alias("h2"), F.col("hit_items").alias("i2"))
-        out = out.join(more, "_row").withColumn("hits", F.concat("hits", "h2")).withColumn("hit_items", F.array_sort(F.array_union("hit_items", "i2"))).drop("h2", "i2")
-    position = F.array_distinct(F.flatten(F.transform("hits", lambda r: F.sequence(r["a"], r["b"] - 1))))
+        one = _pass(docs.select(row, text), text, block, window).filter(F.size("hits") > 0).select(row, "hits", "hit_items")
+        more = one if more is None else more.union(one)
+    more = more.groupBy(row).agg(F.flatten(F.collect_list("hits")).alias("h2"), F.flatten(F.collect_list("hit_items")).alias("i2"))  # at most one of each per block
+    out = _pass(docs, text, blocks[0], window).join(more, row, "left")
+    hits, owners = F.concat("hits", F.coalesce("h2", F.slice("hits", 1, 0))), F.concat("hit_items", F.coalesce("i2", F.slice("hit_items", 1, 0)))
+    position = F.array_distinct(F.flatten(F.transform(hits, lambda r: F.sequence(r["a"], r["b"] - 1))))
     ranges = F.transform(position, lambda p: F.struct(p.alias("a"), (p + 1).alias("b")))
-    return out.withColumn("hits", ranges).drop("_row")
+    return out.withColumn("hits", ranges).withColumn("hit_items", F.array_sort(F.array_distinct(owners))).drop(row, "h2", "i2")
+
+
+_built: dict = {}
 
 
 def _pass(docs: DataFrame, text: str, items: DataFrame, window: int) -> DataFrame:
     rows = [(r["i"], r["t"].encode()) for r in items.collect()]  # at most block_bytes
     names = [r[0] for r in rows]
-    tables = docs.sparkSession.sparkContext.broadcast(([(i, t) for i, (_, t) in enumerate(rows)], names, window))
+    tables = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(i, t) for i, (_, t) in enumerate(rows)], names, window))
     columns = docs.columns
     fields = "".join(f"`{n}` {t}, " for n, t in docs.dtypes)
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, names, window = tables.value
-        built = build(items, window)
+        token, items, names, window = tables.value
+        if token not in _built:  # once per worker; tables of an earlier pass go
+            _built.clear()
+            _built[token] = build(items, window)
         for b in small(batches):
             n, hits, owners = [], [], []
             for data in as_bytes(b.column(columns.index(text))).to_pylist():
                 found = words(data)
-                ranges, own = scan(found, built)
+                ranges, own = scan(found, _built[token])
                 n.append(len(found))
                 hits.append([{"a": x, "b": y} for x, y in ranges])
                 owners.append(sorted({names[i] for i in own if names[i] is not None}))
