@@ -23,10 +23,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null or empty text has no words and goes; rows with null or repeated ids are judged each by its own text."""
     return quality.assess(docs.select(COLUMNS), table(spark, sf_dir, "labels")).filter("kept").select(COLUMNS)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, a text all of whose lines go is empty; a null text stays null; copies of a text count once."""
     short_batches(spark)
     return line_dedup.dedup(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -43,11 +45,13 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row by its own text; null and empty texts hold no window and stay."""
     found = decontaminate.find(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("hits") == 0).select(COLUMNS)
 
 
 def stage_tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row, also for null or repeated ids; a null text is empty and has no ids."""
     import public_tokenizers
 
     short_batches(spark)

@@ -115,9 +115,19 @@ def connector_openings(spark, sf_dir):
     return openings.parse(df).select("source_id", "external_id", "title", "location", "career_type", "error")
 
 
-@query()
+@query(
+    """SELECT page_id AS source_id, 'J' || page_id AS external_id, 'https://jobs.example.org/' || page_id AS url, 'Engineer ' || page_id AS title, NULL AS error FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, x || page_id, 'https://jobs.lever.co/x/' || x || page_id, 'Analyst ' || x, NULL FROM pages, (VALUES ('a'), ('b')) t(x) WHERE page_id % 3 = 1
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'unsupported_connector' FROM pages WHERE page_id % 12 = 2"""
+)
 def page_openings(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), F.lit("browser").alias("family"), F.col("html").alias("payload"), F.col("url").alias("base_url"))
+    """Pages as they are give no opening; every third begins with a structured posting, every third is a board's list, and some are of no known family."""
+    k = F.col("page_id")
+    said = F.format_string('<script type="application/ld+json">{"@type":"JobPosting","title":"Engineer %1$d","url":"https://jobs.example.org/%1$d","identifier":"J%1$d"}</script>', k)
+    one = lambda x: F.format_string(f'{{"id":"{x}%1$d","text":"Analyst {x}","hostedUrl":"https://jobs.lever.co/x/{x}%1$d"}}', k)
+    payload = F.when(k % 3 == 0, F.concat(said, "html")).when(k % 3 == 1, F.concat(F.lit("["), one("a"), F.lit(","), one("b"), F.lit("]"))).otherwise(F.col("html"))
+    family = F.when(k % 3 == 1, "lever").when(k % 12 == 2, "nobody").otherwise("browser")
+    df = table(spark, sf_dir, "pages").select(k.alias("source_id"), family.alias("family"), payload.alias("payload"), F.col("url").alias("base_url"))
     return openings.parse(df).select("source_id", "external_id", "url", "title", "error")
 
 
