@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, license_scan, line_dedup, quality, registry
@@ -157,6 +158,14 @@ def test_quality_holds_out(spark):
     assert right / len(found) > 0.97 and all(r["kept"] for r in found if r["quality"] == 1)
 
 
+def test_quality_of_string_keys_and_long_texts(spark):
+    rows = [(f"k{i}", prose(i)) for i in range(20)] + [("bad", "$$$ ### " * 80), (None, prose(3)), ("long", prose(4, 100_000))]
+    labels = spark.createDataFrame([(f"k{i}", 1) for i in range(10)] + [("k0", 0), ("bad", 0), ("bad", 0), (None, 0)], "doc_id string, quality int")
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("k", F.lit(1)).withColumn("label", F.lit(7))
+    got = quality.assess(docs, labels).collect()
+    assert len(got) == len(rows) and all(r["kept"] == (r["doc_id"] != "bad") and r["k"] == 1 and r["label"] == 7 for r in got)
+
+
 def test_quality_without_labels(spark):
     docs, none = spark.createDataFrame(ODD, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert all(r["llr"] is None and r["kept"] == (not r["base_failed"]) for r in quality.assess(docs, none).collect())
@@ -209,10 +218,113 @@ def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_templates_agree_but_for_one_stretch():
-    a, b, c = (line_dedup.masked(x.encode()) for x in ("one two three " + "a b c d e f g h", "one two three " + "a b c d X Y g h", "one two three " + "X b c d e f g Y"))
-    same = lambda x, y: bool(set(line_dedup.templates(x, 3)) & set(line_dedup.templates(y, 3)))
-    assert same(a, b) and not same(a, c) and not same(b, c)
+def different_enough(sketches, need, min_docs):
+    """The rule for different content on all sketches of a template, salt by salt as the operator deals them."""
+    def taken(found):
+        out = []
+        for x in sorted(found):
+            same = [line_dedup.agreement(x, y) for y in out]
+            if len(out) < min_docs and 16 * max(same, default=0) < 3 * line_dedup.COORDINATES:
+                out.append(x)
+        return out
+
+    dealt = {}
+    for x in set(sketches) - {None}:
+        dealt.setdefault((xxhash.xxh64_intdigest(x, 42) - (1 << 64) * (xxhash.xxh64_intdigest(x, 42) >> 63)) % line_dedup.SALTS, []).append(x)
+    some = taken([x for part in dealt.values() for x in taken(part)])
+    far = any(16 * min(line_dedup.agreement(x, y) for y in some[:i]) < line_dedup.COORDINATES for i, x in enumerate(some) if i)
+    return len(some) >= min_docs or len(some) >= need and far
+
+
+def brute_dedup(texts, min_docs=5, depth=3):
+    """text -> the text without recurring lines and their number: the tree with dictionaries, all of it in memory."""
+    lines, leaf = {}, {}
+    for t in {t for t in texts if t}:
+        found = [x for x in dict.fromkeys(t.encode().split(b"\n")) if x.split()]
+        for x, sketch in zip(found, line_dedup.sketches(found) if found else []):
+            words = tuple(w.decode("utf-8") for w in x.split())
+            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+            own = ("own", masked if masked == words or len(masked) - masked.count("<*>") >= 2 else ("=", *words))
+            sketch = sketch if 3 * len(words) <= 2 * sum(len(y.split()) for y in found) else None
+            lines.setdefault(own, {"masked": masked, "in": set()})["in"].add((t, sketch))
+            if len(words) >= 4:
+                deep = depth if len(words) < 50 else 3 * depth
+                for k in ((len(words), masked[:deep]), (len(words), "*", masked[-deep:])):
+                    leaf.setdefault(k, set()).add((own, t, sketch))
+    need = lambda n: min(min_docs, line_dedup.LONG_DOCS) if n >= line_dedup.LONG else min_docs
+    bad = {k for k, v in lines.items() if different_enough([s for _, s in v["in"]], need(len(v["masked"])), min_docs)}
+    generalised = set()
+    busy = {k for k, rows in leaf.items() if different_enough([s for _, _, s in rows], need(k[0]), min_docs)}
+    led = {own for k in busy if len(k) == 2 for own, _, _ in leaf[k]}
+    for k in busy:
+        n, rows = k[0], leaf[k]
+        if len(k) == 3:  # the wildcard branch: lines whose leading leaf does not recur
+            rows = {(own, t, s) for own, t, s in rows if own not in led}
+        rows = [(own, t, s) for own, t, s in rows if own not in bad]
+        made = {}
+        at = [Counter(lines[own]["masked"][i] for own, _ in {(own, t) for own, t, _ in rows}) for i in range(n)]
+        for own, _, sketch in rows:
+            masked = lines[own]["masked"]
+            key = tuple(w if w == "<*>" or at[i][w] >= need(n) else None for i, w in enumerate(masked))
+            fixed = n - key.count("<*>") - key.count(None)
+            if 0 < 4 * key.count(None) <= n and fixed >= 2 and 2 * fixed >= n:
+                made.setdefault(key, []).append((own, sketch))
+        for key, held in made.items():
+            if different_enough([s for _, s in held], need(n), min_docs):
+                generalised.update(own for own, _ in held)
+    bad |= generalised
+    kept = {}
+    for t in {t for t in texts if t}:
+        out = []
+        for x in t.split("\n"):
+            words = tuple(w.decode("utf-8") for w in x.encode().split())
+            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+            own = ("own", masked if masked == words or len(masked) - masked.count("<*>") >= 2 else ("=", *words))
+            if not words or own not in bad:
+                out.append(x)
+        kept[t] = "\n".join(out), len(t.split("\n")) - len(out)
+    return kept
+
+
+def test_line_dedup_is_brute_force(spark):
+    """Whole table, and templates with several variable fields, at the front, in the middle and of digits."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(1)
+    made = ["All rights reserved.", "{a} wrote on {n} that the old {b} was late again today", "{a} {b} has left the room of the house by the lake", "{n} {n} GET {n} OK {n}", "{n} {n} {n}"]
+    texts += ["\n".join([prose(10_000 + i, 200), *(x.format(a=f"Name{chr(65 + i)}x", b=f"thing{chr(97 + i)}y".replace("1", ""), n=rng.integers(0, 9999)) for x in made)]) for i in range(8)]
+    texts += [None, "", "\n \n", texts[0], texts[0]]
+    want = brute_dedup(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("drop_keys", F.lit("kept")).withColumn("_salt", F.lit(1)).repartition(6)
+    got = line_dedup.dedup(df).collect()
+    assert len(got) == len(texts) and all(r["drop_keys"] == "kept" and r["_salt"] == 1 for r in got)
+    for r in got:
+        before = texts[r["doc_id"]]
+        assert r["text"] == (want[before][0] if before else before)
+        assert (r["n_lines"], r["n_dropped"]) == ((len(before.split("\n")), want[before][1]) if before else (0, 0))
+    last = [r["text"] for r in got if 0 <= r["doc_id"] - len(texts) + 13 < 8]
+    assert last and all("All rights" not in x and "wrote on" not in x and "has left" not in x and "GET" not in x and len(x.split("\n")) == 2 for x in last)
+
+
+def test_copies_that_are_mostly_one_line_are_no_witnesses(spark):
+    short = [f"This small line number {w} stands in many documents" for w in ("alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma")]
+    rows = [(i, edited(prose(7, 87), i, 2) + f"\n{short[i % 7]}") for i in range(60)] + [(100 + i, edited(prose(7, 87), 100 + i, 2)) for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].split("\n")[0] == t.split("\n")[0] for k, t in rows)
+
+
+def test_sketches_are_those_of_the_other_lines():
+    lines = [b" a b\tc d ", b"e", b"f  g h\x0b", b"a b c"]
+    for i, sketch in enumerate(line_dedup.sketches(lines)):
+        others = line_dedup.sketches([*lines[:i], *lines[i + 1 :], b"x"])
+        assert sketch == others[-1]
+    assert line_dedup.sketches(lines, cells=1) == line_dedup.sketches(lines)
+
+
+def test_short_lines_and_long_texts(spark):
+    big = "\n".join(prose(i, 30) for i in range(4000))
+    rows = [(i, f"{prose(i, 60)}\nAll rights reserved.\nOK") for i in range(6)] + [(10, big), (11, big), (12, "OK")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == prose(i, 60) for i in range(6)) and got[10] == got[11] == big and got[12] == ""
 
 
 # decontamination
@@ -242,7 +354,8 @@ def hits(df, items, **more):
 def test_search_is_brute_force(spark, block):
     items = [(1, prose(1, 25)), (2, prose(2, 10)), (3, "Four Short WORDS here"), (4, "one"), (5, ""), (6, None), (7, "!!!"), (10, prose(1, 25)), (11, "a a a a a a a a a a a a"), (12, "Été über")]
     rows = [(1, None), (2, ""), (3, prose(1, 25)), (4, f"x {prose(2, 10).upper()}. y"), (5, "four-short words, HERE four short words here"), (6, "one two one"), (7, " ".join(prose(1, 25).split()[3:16])), (8, "a " * 30), (9, prose(44)), (9, prose(44)), (None, "ÉTÉ ÜBER été über Été über"), (10, prose(1, 25) * 2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hits", F.lit(0)).withColumn("n_words", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hits", F.lit(0)).withColumn("n_words", F.lit("clash")).withColumn("_row", F.lit("kept"))
+    assert {r["_row"] for r in decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()} == {"kept"}
     got = hits(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
     assert got == Counter((t, n, h, tuple(own)) for _, t in rows for n, h, own in [brute_hits(t, items)])
 
@@ -301,6 +414,53 @@ def test_wrapped_licenses(spark, text, ids, want, prefix, head, width):
     assert (row["sentence_ids"], row["licenses"]) == (ids, [want])
 
 
+NOTICES = {
+    "BSD-2-Clause": 'Copyright (c) 2020, X\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and limitations under the License.',
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.',
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+    "GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-2.0": "This software is released under the GPL v2.",
+}
+
+
+def plain_scan(text):
+    """Sentence identifiers by another way: every run of a sentence's lines is tried, the longest first, as one string."""
+    ids = []
+    for sentence in re.split(r"(?:\n[^\w\n]*){2,}|(?<=[.!?;])\s+", text):
+        lines = [" ".join(re.sub(r"(?<![0-9])\.|\.(?![0-9])|[^\w.]|_", " ", x.lower()).split()) for x in sentence.split("\n")]
+        i = 0
+        while i < len(lines):
+            for j in range(len(lines), i, -1):
+                known = [n for n, p in license_scan.SENTENCES if re.fullmatch(p, " ".join(lines[i:j]))]
+                if known and lines[i]:
+                    ids.append(known[0])
+                    i = j - 1
+                    break
+            i += 1
+    return ids
+
+
+@pytest.mark.parametrize("width", [50, 80, 1000])
+def test_notices_as_published(spark, width):
+    rows = [(n, "\n".join(line for part in t.split("\n") for line in textwrap.wrap(part, width) or [""])) for n, t in NOTICES.items()]
+    df = spark.createDataFrame([*rows, rows[0], ("none", prose(1)), ("none", None)], "name string, text string").withColumn("sentence_ids", F.lit(1)).withColumn("rest", F.lit(2))
+    got = license_scan.scan(df).collect()
+    assert len(got) == len(rows) + 3
+    for r in got:
+        assert [x for x in r["licenses"] if x != "All-Rights-Reserved"] == ([r["name"]] if r["name"] != "none" else []), r
+        assert width < 1000 or r["sentence_ids"] == plain_scan(r["text"] or ""), r
+    assert license_scan.scan(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(f"{prose(3, 200_000)}\n{NOTICES['ISC']}",)], "text string")
+    assert license_scan.scan(long).collect()[0]["licenses"] == ["ISC"]
+
+
 def test_notices_of_a_line_stay_apart(spark):
     text = "Released under CC0 1.0\nReleased under the MIT License\nprose between\nAll rights reserved\nLicensed under the Apache License,\nVersion 2.0"
     row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
