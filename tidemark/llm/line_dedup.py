@@ -46,6 +46,7 @@ hold one byte a line and coordinate).  Columns may have any name: ``n_lines`` an
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -226,15 +227,65 @@ def _recurring(rows: DataFrame, min_docs: int) -> DataFrame:
     return some.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(second, "key long")
 
 
+#: Places and tokens of a leaf's lines that a worker counts before it passes the counts on.
+COUNTED = 100_000
+
+
 def _templates(held: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(leaf, line, key): the template of each line in its leaf, where it generalises; ``held``: leaf, line, need, texts; ``tokens``: line, tokens."""
-    each = held.join(tokens, "line").select("leaf", "line", "need", "texts", F.posexplode("tokens").alias("at", "token"))
-    constant = each.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("texts"), F.first("need").alias("need")).filter("texts >= need and token <> 0")
-    marked = each.drop("texts").join(constant.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
-    field = F.when(F.col("token") == 0, 0).when(F.col("constant"), F.col("token")).otherwise(-1)
-    made = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", field.alias("token")))).alias("x"), F.count("*").alias("n"), F.count("constant").alias("fixed"), F.count_if((F.col("token") != 0) & F.col("constant").isNull()).alias("open"))
-    made = made.filter("open > 0 and 4 * open <= n and fixed >= 2 and 2 * fixed >= n")
-    return made.select("leaf", "line", F.xxhash64("leaf", F.col("x.token")).alias("key"))
+    """(leaf, line, key): the template of each line in its leaf, where it generalises; ``held``: leaf, line, need, texts; ``tokens``: line, tokens.
+
+    A leaf may have any number of lines: they are dealt by leaf and salt, a salt's
+    tokens are counted before they move, and each salt is given the leaf's constants
+    ahead of its lines, so that no line moves as one row a token.
+    """
+    salt = F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int").alias("salt")
+    lines = checkpointed(held.join(tokens, "line").select("leaf", salt, F.lit(1).alias("side"), "line", "need", "texts", "tokens"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            leaf, need, at, token = zip(*seen)
+            out = (pa.array(leaf, pa.int64()), pa.array(need, pa.int32()), pa.array(at, pa.int32()), pa.array(token, pa.int64()), pa.array(list(seen.values()), pa.int64()))
+            seen.clear()
+            return pa.RecordBatch.from_arrays(list(out), ["leaf", "need", "at", "token", "texts"])
+
+        for b in small(batches):
+            for leaf, need, texts, own in zip(*(b.column(n).to_pylist() for n in ("leaf", "need", "texts", "tokens"))):
+                for at, token in enumerate(own):
+                    if token:
+                        seen[leaf, need, at, token] += texts
+                if len(seen) > COUNTED:
+                    yield passed()
+        if seen:
+            yield passed()
+
+    dealt = lines.repartition("leaf", "salt")
+    counted = dealt.sortWithinPartitions("leaf").mapInArrow(count, "leaf long, need int, at int, token long, texts long")
+    constant = counted.groupBy("leaf", "need", "at", "token").agg(F.sum("texts").alias("texts")).filter("texts >= need")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    constant = constant.select("leaf", every, F.lit(0).alias("side"), F.lit(0).cast("long").alias("line"), F.array(F.col("at").cast("long"), "token").alias("tokens"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, fixed = None, set()
+        for b in small(batches):
+            out = []
+            for leaf, salt, side, line, own in zip(*(c.to_pylist() for c in b.columns)):
+                if (leaf, salt) != group:
+                    group, fixed = (leaf, salt), set()
+                if side == 0:
+                    fixed.add(tuple(own))
+                    continue
+                shape = [token if not token or (at, token) in fixed else -1 for at, token in enumerate(own)]
+                n, masked, open_ = len(shape), shape.count(0), shape.count(-1)
+                constants = n - masked - open_
+                if 0 < 4 * open_ <= n and constants >= 2 and 2 * constants >= n:
+                    out.append((leaf, line, number(np.array([leaf, *shape], "<i8").tobytes())))
+            columns = zip(*out) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "key"])
+
+    both = lines.select("leaf", "salt", "side", "line", "tokens").unionByName(constant)
+    return both.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "side").mapInArrow(mark, "leaf long, line long, key long")
 
 
 #: Lines whose numbers may be broadcast (some 16 bytes each); more are joined by a shuffle.
