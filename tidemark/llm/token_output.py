@@ -6,7 +6,7 @@ document back.  A file is a row of segments of about a million ids, so that
 writers and readers hold one segment at a time.  A segment is, little-endian:
 
     magic "S8B1", u32 number of documents, u64 number of ids, u64 number of words
-    per document: i64 key, u64 end of its ids within the segment
+    per document: i64 key, u64 end of its ids within the segment; the end's highest bit says that there is no key
     per block of 128 ids: u64 number of words before it
     the words
 
@@ -16,8 +16,11 @@ next word is one id of up to 64 bits.  Blocks begin on a word, so blocks encode
 and decode side by side.
 
 Defined results: a null text is empty and has its end id alone; documents with
-equal keys are ordered by their ids; a null key is refused, since files are
-ordered by it: such rows come first, as key -2**63.
+equal keys, repeated rows among them, are ordered by their texts; null keys come
+first and are read back as nulls; keys must be whole numbers, other types are
+refused before any work.  A very long text is encoded whole and may make a
+segment longer than a million ids.  Other columns are left out, so names cannot
+clash; an empty table has no files.
 """
 
 from __future__ import annotations
@@ -44,6 +47,16 @@ WORDS = 300_000
 WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 17, 20, 30, 60])
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 3, 2, 1])
 MAGIC = b"S8B1"
+#: The least id that is too large for selector 1, 2, ...; a selector that packs twelve ids.
+LIMITS = np.uint64(1) << WIDTH[1:].astype(np.uint64)
+FEW = 5
+
+
+def _selectors(flat: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+    """The first selector, from ``first`` on, that fits the ids at each place; 0 if none does."""
+    most = np.maximum.accumulate(flat[at[:, None] + np.arange(COUNT[first])], axis=1)
+    fit = most[:, COUNT[first:] - 1] < np.arange(first, 16)
+    return np.where(fit.any(1), fit.argmax(1) + first, 0)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,39 +66,27 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     blocks = -(-n // BLOCK)
-    stop = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    bits = np.ones(n, np.uint8)
-    for w in sorted({int(w) for w in WIDTH[1:]} - {1}):
-        below = max(x for x in WIDTH[1:] if x < w)
-        bits[ids >= (np.uint64(1) << np.uint64(below))] = w
-    bits[ids >= np.uint64(1 << 60)] = 64
-    # For each id: the first selector that fits the ids from it on, were a word to begin there.
-    choice = np.zeros(n, np.uint8)
-    open_ = bits <= 60
-    for s in range(1, 16):
-        c, w = int(COUNT[s]), int(WIDTH[s])
-        if not open_.any():
-            break
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(bits > w, out=over[1:])
-        at = np.arange(n)
-        fits = open_ & (at + c <= stop)
-        fits[fits] = over[at[fits] + c] == over[at[fits]]
-        choice[fits] = s
-        open_ &= ~fits
-    # All blocks walk their words in step.
-    at = np.arange(blocks) * BLOCK
-    end = np.minimum(at + BLOCK, n)
+    # Per id the least selector less one that holds it (15: none but the escape); what lies behind a block fits nothing.
+    least = np.full(blocks * BLOCK, 16, np.uint8)
+    least[:n] = np.searchsorted(LIMITS, ids, side="right")
+    rows = np.full((blocks, BLOCK + int(COUNT[1])), 16, np.uint8)
+    rows[:, :BLOCK] = least.reshape(blocks, BLOCK)
+    flat, begins = rows.ravel(), np.arange(blocks) * rows.shape[1]
+    # All blocks walk their words in step; few ids fill a word if they are large, so few are looked at first.
+    at, end = np.zeros(blocks, np.int64), np.minimum(n - np.arange(blocks) * BLOCK, BLOCK)
     live, steps = np.arange(blocks), []
     while len(live):
-        steps.append((live, at[live]))
-        at[live] += COUNT[choice[at[live]]]
+        here = begins[live] + at[live]
+        sel = _selectors(flat, here, FEW)
+        more = np.flatnonzero(sel == FEW)
+        if len(more):
+            sel[more] = _selectors(flat, here[more], 1)
+        steps.append((live * BLOCK + at[live], sel))
+        at[live] += COUNT[sel]
         live = live[at[live] < end[live]]
-    block = np.concatenate([b for b, _ in steps])
-    begin = np.concatenate([a for _, a in steps])
-    order = np.lexsort((begin, block))
-    begin, block = begin[order], block[order]
-    sel = choice[begin]
+    begin, sel = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(begin)
+    begin, sel = begin[order], sel[order]
     size = np.where(sel == 0, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -100,7 +101,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(int(COUNT[s])):
             word |= ids[begin[mine] + i] << np.uint64(i * int(WIDTH[s]))
         words[place[mine]] = word
-    first = np.searchsorted(block, np.arange(blocks))
+    first = np.searchsorted(begin, np.arange(blocks) * BLOCK)
     return place[first].astype(np.uint64), words
 
 
@@ -143,17 +144,18 @@ def _heads(sel: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return head
 
 
-def segment(keys: list[int], packed: list[bytes]) -> bytes:
+def segment(keys: list[int | None], packed: list[bytes]) -> bytes:
     """One segment of documents' ids (each little-endian u32)."""
     ids = np.frombuffer(b"".join(packed), "<u4")
     offsets, words = pack(ids)
     table = np.empty(len(keys), [("key", "<i8"), ("end", "<u8")])
-    table["key"], table["end"] = keys, np.cumsum([len(p) // 4 for p in packed])
+    table["key"], table["end"] = [k or 0 for k in keys], np.cumsum([len(p) // 4 for p in packed])
+    table["end"] |= np.array([k is None for k in keys], "<u8") << np.uint64(63)
     return b"".join((MAGIC, struct.pack("<IQQ", len(keys), len(ids), len(words)), table.tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
 def segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """keys, ends and ids of each segment of a file."""
+    """keys (masked where there is none), ends and ids of each segment of a file."""
     while head := stream.read(24):
         if len(head) < 24 or head[:4] != MAGIC:
             raise ValueError("not a file of packed ids")
@@ -165,7 +167,8 @@ def segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         table = np.frombuffer(data, [("key", "<i8"), ("end", "<u8")], docs)
         offsets = np.frombuffer(data, "<u8", blocks, 16 * docs)
         words = np.frombuffer(data, "<u8", n_words, 16 * docs + 8 * blocks)
-        yield table["key"], table["end"], unpack(words, offsets, n)
+        ends = table["end"] & np.uint64((1 << 63) - 1)
+        yield np.ma.array(table["key"], mask=table["end"] != ends), ends, unpack(words, offsets, n)
 
 
 _loaded: dict = {}
@@ -279,7 +282,9 @@ def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id:
     The texts, not the ids, are dealt by range of keys: the sampling of the
     ranges then reads keys only, and each text is tokenised once.
     """
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"keys must be whole numbers; {key} is {dict(df.dtypes)[key]}")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ranged = rows.repartitionByRange(partitions, "k") if partitions else rows.repartitionByRange("k")
     ranged = ranged.sortWithinPartitions("k", "t")
 
@@ -338,7 +343,7 @@ def read(files: DataFrame) -> DataFrame:
                         ends = ends.astype(np.int64)
                         begins = np.append(0, ends[:-1]).astype(np.int64)
                         packed = [flat[4 * x : 4 * y] for x, y in zip(begins.tolist(), ends.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(begins + base), pa.array(ends - begins), pa.array(packed, pa.binary())], ["key", "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.data, pa.int64(), mask=np.ma.getmaskarray(keys)), pa.array(begins + base), pa.array(ends - begins), pa.array(packed, pa.binary())], ["key", "start", "n_tokens", "ids"])
                         base += len(ids)
 
     return files.select("file", "file_start").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
