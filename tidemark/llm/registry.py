@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, token_counts, token_output, warc
+from tidemark.llm import byte_bpe, decontaminate, exact_topk, hard_negatives, html_extract, jaccard_join, license_scan, line_dedup, quality, token_counts, token_output, warc, whitening
 from tidemark.llm.common import checkpointed, fresh_dir, short_batches
 
 
@@ -97,6 +97,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), moved)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_join": op2_jaccard_join,
@@ -108,8 +121,12 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_html_extract": op9_html_extract,
     "op10_license_scan": op10_license_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_whitening": op13_whitening,
 }
 
+
 def license_sql() -> str:
     """Op 10 in SQL: sentences, identifiers by the same patterns, then one step per rule over the sequence."""
     cases = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '|{n}|'" for n, p in license_scan.SENTENCES)
@@ -133,7 +150,24 @@ def license_sql() -> str:
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: Whole-number vectors of the rows that take part, told apart by r.
+VECTORS_SQL = "WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"
+
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        {VECTORS_SQL},
+        m AS (SELECT r, vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+        s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score FROM m a JOIN m c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id) AS rank
+              FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+    "op12_exact_topk": f"""
+        {VECTORS_SQL},
+        s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
+    """,
     "op5_decontaminate": f"""
         WITH it AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
         iw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM it WHERE len(w) > 0)),
