@@ -62,7 +62,7 @@ def product(a: list[np.ndarray], c: list[np.ndarray], primes: list[int]) -> np.n
         r = np.zeros(score.shape, np.float32)
         for at in range(0, ap.shape[1], CHUNK):
             r = centred(r + centred(ap[:, at : at + CHUNK] @ cp[:, at : at + CHUNK].T, np.float32(p)), np.float32(p))
-        digit = (r.astype(np.int64) - score) * pow(radix, -1, p) % p
+        digit = (r.astype(np.int64) - score) % p * pow(radix, -1, p) % p
         digit[digit > p // 2] -= p
         score += digit * radix
         radix *= p
