@@ -1,7 +1,9 @@
 """Similarity join, quality, line dedup, decontamination, licences: brute force and odd rows."""
 
+import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -476,3 +478,38 @@ def test_license_query_is_native_and_whole(spark, sf):
     for r in df.collect():
         want = {n for n, p in rules.items() if re.search(p, docs[r["doc_id"]] or "", re.M)}
         assert want <= set(r["licenses"].split(",")) | {""} and len(want) <= r["n_sentences"]
+
+
+def test_license_scan_survives_hostile_texts(spark):
+    granted = "This work is released under the MIT license"
+    texts = ["\n" * 100_000 + granted, "\n \t*" * 50_000 + "\n\n" + granted, "word " * 1_000_000 + ".\n" + granted, "neither the name of\n" * 3_000 + "\n" + granted, "license " * 100_000, ("x. " + "\n" * 500) * 200 + granted]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert [i for i, found in got.items() if found != ["MIT"]] == [4] and license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_large_benchmarks_fit_and_null_items_hit(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=40)).encode()) for i in range(3000)]
+    tables = decontaminate.build(items, 10)
+    for number, data in rng.sample(items, 200):
+        found = decontaminate.words(data)
+        text = [b"w1", *found[3:20], b"other", *found[-9:]]
+        ranges, own = decontaminate.scan(text, tables)
+        assert ranges == [(1, 18)] and own == {number}
+    held = sum(t.keys.nbytes + t.item.nbytes + t.place.nbytes + len(t.shift) for t in tables)
+    assert held < 8 * sum(len(t) for _, t in items)
+    words = "one two three four five six seven eight nine ten"
+    row = decontaminate.find(spark.createDataFrame([(1, f"a {words} b")], "doc_id long, text string"), spark.createDataFrame([(None, words), (7, words)], "item_id long, text string")).withColumn("n_hit", decontaminate.n_hit()).first()
+    assert (row["n_hit"], row["hit_items"]) == (10, ["7"])
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(8)
+    texts = [prose(i, int(rng.integers(1, 300))) for i in range(100)]
+    weights = rng.normal(size=997)
+    together = quality.scores(pa.array(texts), weights)
+    assert all(quality.scores(pa.array([t]), weights)[0] == s for t, s in zip(texts, together))

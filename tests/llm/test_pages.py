@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,15 @@ def test_cut_archive_is_refused():
     assert [warc.parse(m)[0]["warc-type"] for _, m in warc.members(io.BytesIO(data))] == ["request", "response", "metadata"]
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(data[:-4])))
+
+
+def test_pages_cut_anywhere_end_in_time():
+    page = "<html><body><article class=\"a 'b\"><p>One &amp; two</p><!-- x > y --><a title='it\"s' data-j='{\"a\":\"b>c\"}' href=\"u\">three</a></article><p>tail</body></html>"
+    for at in range(len(page) + 1):
+        assert "<" not in html_extract.text_of(page[:at]).removesuffix("<") and "data-j" not in html_extract.text_of(page[:at])
+    began = time.perf_counter()
+    for hard in ("<a " + "\"" * 5001, "<a " + "\"'" * 5000, "<a " * 20_000, "<a '" * 20_000 + ">", "<!-- " * 20_000, "<p>" * 20_000 + "x", "<a b=\"" * 20_000 + ">x"):
+        html_extract.text_of(hard)
+        html_extract.text_of("<p>before</p>" + hard)
+    assert time.perf_counter() - began < 20
+    assert html_extract.text_of("<p>a < b</p><p>kept</p><a href=\"cut") == "a < b\nkept" and html_extract.text_of("<p>a</p>b<!-- never > ends") == "a\nb"

@@ -4,16 +4,17 @@ A benchmark item's patterns are its windows of ``window`` consecutive words (an
 item of fewer words is one window).  Per pattern length m, blocks of two words
 index a shift table: a block that ends no pattern within its first m words lets
 the search skip m - 1 words; a block at distance d from a pattern's end lets it
-skip d; shift 0 selects the patterns whose last two words are the block, and a
-direct comparison confirms the occurrence.
+skip d; at shift 0 the hash of the words before selects the patterns, and a
+direct comparison confirms the occurrence.  All of it lies in arrays.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after A-Z is lower-cased;
 over UTF-8 that is a table of bytes.
 
-The patterns go to the executors in blocks of at most ``block_bytes``; a larger
-benchmark takes several passes over the documents, whose hits are united by
+The patterns go to the executors in blocks of at most ``block_bytes`` of text,
+which take some fifteen times that in a worker; a larger benchmark takes several passes over the documents, whose hits are united by
 document.  Null texts have no words; a document row keeps its row even where
-its key is null or repeated; items with the same text all count; an empty
+its key is null or repeated; items with the same text all count; an item without an id has no
+name to count in ``hit_items``, though its words are hit; an empty
 benchmark hits nothing; very long texts are searched whole.  Columns named
 ``n_words``, ``hits`` and ``hit_items`` are replaced, all others kept.
 """
@@ -22,9 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,58 +36,82 @@ from tidemark.llm.common import as_bytes, checkpointed, small
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Hashes of words are combined by this factor, modulo 2^64.
+MIX, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
 def words(data: bytes | None) -> list[bytes]:
     return data.translate(WORD_BYTES).split() if data else []
 
 
 class WuManber:
-    """Patterns of one length, as tuples of words, with the items that own them."""
-
-    def __init__(self, length: int):
-        self.length, self.block = length, min(2, length)
-        self.shift: dict[tuple, int] = {}
-        self.ending: dict[tuple, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
-
-    def add(self, pattern: tuple, owner: int) -> None:
-        for end in range(self.block, self.length + 1):
-            b = pattern[end - self.block : end]
-            self.shift[b] = min(self.shift.get(b, self.length), self.length - end)
-        self.ending[pattern[-self.block :]][pattern].add(owner)
+    """Patterns of one length m as arrays: a shift table, and the windows sorted by hash.
+
+    A pattern is known by its item and first word; what it holds is read from the
+    item's words, so a window costs some 20 bytes whatever its words.  The shift
+    table has four places a window at least, and blocks that share a place share
+    the smaller shift, which only costs a comparison.
+    """
+
+    def __init__(self, length: int, items: list[list[bytes]], numbers: list[int]):
+        self.length, self.block, self.items, self.numbers = length, min(2, length), items, numbers
+        sizes = np.array([len(w) for w in items])
+        h = np.fromiter((hash(w) for words in items for w in words), np.int64, int(sizes.sum())).view(np.uint64)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+        place = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        starts = np.flatnonzero(place + length <= sizes[item])
+        size = 1 << max(10, (4 * len(starts)).bit_length())
+        self.mask = size - 1
+        with np.errstate(over="ignore"):
+            blocks = h if self.block == 1 else np.append(h[:-1] * np.uint64(MIX) + h[1:], h[-1:])  # by first word
+            at = (blocks & np.uint64(self.mask)).astype(np.int64)
+            table = np.full(size, min(255, length - self.block + 1), np.uint8)
+            for end in range(self.block, length + 1):  # the nearer to the pattern's end, the later written
+                table[at[starts + end - self.block]] = min(255, length - end)
+            key = np.zeros(len(starts), np.uint64)
+            for i in range(length):
+                key = key * np.uint64(MIX) + h[starts + i]
+        order = np.argsort(key, kind="stable")
+        self.shift, self.keys, self.item, self.place = table.tobytes(), key[order], item[starts[order]], place[starts[order]]
+
+    def owners(self, found: list[bytes]) -> set[int]:
+        """Items that hold these words: those of equal hash, each compared word by word."""
+        key = 0
+        for w in found:
+            key = (key * MIX + hash(w)) & ALL
+        own, i = set(), int(np.searchsorted(self.keys, np.uint64(key)))
+        while i < len(self.keys) and int(self.keys[i]) == key:
+            item, place = int(self.item[i]), int(self.place[i])
+            if self.items[item][place : place + self.length] == found:
+                own.add(self.numbers[item])
+            i += 1
+        return own
 
     def search(self, text: list[bytes]) -> Iterator[tuple[int, set[int]]]:
         """(start, owners) of each occurrence."""
-        m, skip, shift = self.length, self.length - self.block + 1, self.shift.get
-        i, n = m, len(text)
-        if self.block == 1:
-            while i <= n:
-                s = shift((text[i - 1],), skip)
-                if s == 0 and (owners := self.ending[text[i - 1],].get(tuple(text[i - m : i]))):
-                    yield i - m, owners
-                i += s or 1
-            return
+        m, shift, mask, hashes = self.length, self.shift, self.mask, [hash(w) for w in text]
+        i, n, pair = m, len(text), self.block == 2
         while i <= n:
-            s = shift((text[i - 2], text[i - 1]), skip)
+            s = shift[(hashes[i - 2] * MIX + hashes[i - 1] if pair else hashes[i - 1]) & mask]
             if s:
                 i += s
                 continue
-            if owners := self.ending[text[i - 2], text[i - 1]].get(tuple(text[i - m : i])):
+            if owners := self.owners(text[i - m : i]):
                 yield i - m, owners
             i += 1
 
 
 def build(items: list[tuple[int, bytes]], window: int) -> list[WuManber]:
-    """Tables by pattern length; ``items``: number and text."""
-    tables: dict[int, WuManber] = {}
+    """Tables by pattern length; ``items``: number and text.  Equal words are one string."""
+    known: dict[bytes, bytes] = {}
+    by_length: dict[int, tuple[list, list]] = {}
     for number, data in items:
-        found = words(data)
-        m = min(window, len(found))
-        if m:
-            table = tables.setdefault(m, WuManber(m))
-            for i in range(len(found) - m + 1):
-                table.add(tuple(found[i : i + m]), number)
-    for table in tables.values():
-        table.ending = {k: dict(v) for k, v in table.ending.items()}
-    return list(tables.values())
+        found = [known.setdefault(w, w) for w in words(data)]
+        if found:
+            held, numbers = by_length.setdefault(min(window, len(found)), ([], []))
+            held.append(found)
+            numbers.append(number)
+    return [WuManber(m, *held) for m, held in by_length.items()]
 
 
 def scan(text: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -113,7 +138,7 @@ def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> list
     return [items.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == i) for i in range(n)]
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (ranges of hit words) and ``hit_items`` (ids as strings, sorted)."""
     docs = docs.drop("n_words", "hits", "hit_items")
     blocks = item_blocks(items.select(F.col(item_key).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), "i", "t", block_bytes)

@@ -155,8 +155,10 @@ RULES += tuple((t, (f"TAG-{t}",)) for t in TAGS)
 
 #: A sentence without any of these words is no license sentence; each pattern above has one of them.
 WORDS = ("licen", "permission", "warranty", "redistribut", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "free software", "gpl", "mpl was not", "anyone is free", "warranties", "either version", "advertising materials")
-#: A sentence ends at a line without letters and digits, or at . ! ? ; before white space.
-SENTENCE_END = r"(?:\n[^\p{L}\p{N}\n]*){2,}|(?<=[.!?;])\s+"
+#: A line without letters and digits, which becomes an empty one.  Possessive, as all runs here: Java recurses once per turn of a repeated group.
+BLANK = r"\n[^\p{L}\p{N}\n]++(?=\n)"
+#: A sentence ends at an empty line, or at . ! ? ; before white space.
+SENTENCE_END = r"\n\n++|(?<=[.!?;])\s++"
 #: A pattern over whole lines: its spaces may be line ends, what is open at its end is the rest of the line.
 WRAPPED = r"(?m)^(?:" + "|".join(p.replace(".* ", r"[\s\S]*? ").replace(".*", r"[^\n]*").replace(" ", r"[ \n]") for _, p in SENTENCES) + r")$"
 
@@ -170,7 +172,7 @@ def normalised(sentence: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     hint = "(?i)" + "|".join(WORDS).replace(" ", "[^a-z0-9]+")
-    candidates = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(hint))
+    candidates = F.filter(F.split(F.regexp_replace(text, BLANK, "\n"), SENTENCE_END), lambda s: s.rlike(hint))
     known = F.flatten(F.transform(candidates, lambda s: F.regexp_extract_all(normalised(s), F.lit(WRAPPED), F.lit(0))))
     found = F.transform(known, lambda s: _identify(F.translate(s, "\n", " ")))
     return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<string>"))

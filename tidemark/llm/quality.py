@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import as_bytes, checkpointed, flat_bytes, row_sums, small
 
 N = 4
+#: Weights are multiples of one part of this and summed as whole numbers, so a text's sum is the same whatever batch it is in.
+UNIT = 1 << 32
 #: Byte -> its shape; bytes of non-ASCII characters are letters.
 SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
 SPACE = np.zeros(256, np.int8)
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for r in found:
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
-    weights = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    weights = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * UNIT) / UNIT
 
     shared = sc.broadcast(weights)
 
@@ -151,10 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     flat, offsets = flat_bytes(texts)
     at, inside = hashed_ngrams(flat, offsets, len(weights))
-    each = np.zeros(len(flat))
-    each[: len(at)] = np.where(inside, weights[at], 0.0)
+    each = np.zeros(len(flat), np.int64)
+    each[: len(at)] = np.where(inside, np.rint(weights * UNIT).astype(np.int64)[at], 0)
     n = np.maximum(np.diff(offsets) - N + 1, 0)
-    return np.where(n > 0, row_sums(each, offsets) / np.maximum(n, 1), 0.0)
+    return np.where(n > 0, row_sums(each, offsets) / UNIT / np.maximum(n, 1), 0.0)
 
 
 def threshold(seen: list[Row], slack: float) -> float:
