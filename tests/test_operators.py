@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identity, skills, text
 from tidemark.functions import time as tm
-from tidemark.operators import career, community, evidence, fit, graph, ingest, market, rank, source_health
+from tidemark.operators import career, community, evidence, fit, graph, ingest, market, rank, source_health, skill_mentions
 from tidemark.sources import listing_checks, markup, openings
 
 P = "posting_id long, company_id long, company_name string, status string, career_type string, first_seen_at timestamp, last_verified_at timestamp, location string, title string"
@@ -186,16 +186,31 @@ def test_client_state(spark):
     assert community.keep_first(spark.createDataFrame([(1, ["Go", "go", "AWS"])], "user_id int, s array<string>"), "user_id", "s").first()["s"] == ["AWS", "Go"]
 
 
-@pytest.mark.parametrize(
-    "line,skill,ok",
-    [
-        ("Experience with Go language", "Go", True), ("We go to market", "Go", False), ("run go test daily, a programming task", "Go", True), ("C/C++ developer", "C", True), ("Vitamin C intake", "C", False), ("R&D center", "R", False), ("Python, R users", "R", True), ("C++17 required", "C++", True),
-        ("React quickly to change", "React", False), ("frontend with React", "React", True), ("Spring 2026 intern", "Spring", False), ("Java and Spring backend", "Spring", True), ("we can do it", "CAN", False), ("vehicle CAN, LIN", "CAN", True), ("node.js or NodeJS.", "Node.js", True), ("JavaScript", "Java", False), ("쿠버네티스 운영", "Kubernetes", True),
-    ],
-)
-def test_risky_names(line, skill, ok):
-    got = {m["skill"]: m["confidence"] for m in skills.Matcher(skills.DICTIONARY).matches("", "", line)}
-    assert (got.get(skill, 0) >= skills.CONFIRMED) == ok
+@pytest.fixture(scope="module")
+def named(spark):
+    """Confidence by skill of each line, all lines in one job."""
+
+    def run(lines):
+        df = spark.createDataFrame(list(enumerate(lines)), "posting_id int, body string")
+        out = [{} for _ in lines]
+        for r in skill_mentions.extract(df, title=None, page=None, text="body").collect():
+            out[r["posting_id"]][r["skill"]] = r["confidence"]
+        return out
+
+    return run
+
+
+RISKY_LINES = [
+    ("Experience with Go language", "Go", True), ("We go to market", "Go", False), ("run go test daily, a programming task", "Go", True), ("C/C++ developer", "C", True), ("Vitamin C intake", "C", False), ("R&D center", "R", False), ("Python, R users", "R", True), ("C++17 required", "C++", True),
+    ("React quickly to change", "React", False), ("frontend with React", "React", True), ("Spring 2026 intern", "Spring", False), ("Java and Spring backend", "Spring", True), ("we can do it", "CAN", False), ("vehicle CAN, LIN", "CAN", True), ("node.js or NodeJS.", "Node.js", True), ("JavaScript", "Java", False), ("쿠버네티스 운영", "Kubernetes", True),
+]
+
+
+def test_risky_names(named):
+    more = [("C++20, C++11 and C++23", "C++", True), ("C++18", "C++", False), ("xC++17", "C++", False), ("go.mod file", "Go", False), ("go build in a server", "Go", True), ("go tests", "Go", False), ("Python", "Python", True), ("Python3", "Python", False), ("파이썬을 씁니다", "Python", True), ("İ Python İ", "Python", True)]
+    cases = [*RISKY_LINES, *more]
+    got = named([line for line, _, _ in cases])
+    assert [(line, skill) for (line, skill, ok), found in zip(cases, got) if (found.get(skill, 0) >= skills.CONFIRMED) != ok] == []
 
 
 def test_dictionary_is_whole(spark):
@@ -207,23 +222,28 @@ def test_dictionary_is_whole(spark):
     assert [r["skill"] for r in skills.canonical(typed, "skill").orderBy("id").collect()] == ["JavaScript", "Apache Spark", "Node.js", "GraphQL"]
 
 
-RISKY = [(s.name, a) for s in skills.DICTIONARY for a in s.aliases if a.policy != "distinct"]
-
-
-@pytest.mark.parametrize("name,alias", RISKY, ids=[a.value for _, a in RISKY])
-def test_risky_names_need_their_words(name, alias):
-    sure = lambda line: any(m["skill"] == name and m["confidence"] >= skills.CONFIRMED for m in skills.Matcher(skills.DICTIONARY).matches("", "", line))
-    assert all(sure(f"{alias.value} {word}") for word in alias.context) and not sure(f"{alias.value} zzz")
+def test_risky_names_need_their_words(named):
+    cases = [(s.name, f"{a.value} {word}", True) for s in skills.DICTIONARY for a in s.aliases if a.policy != "distinct" for word in a.context]
+    cases += [(s.name, f"{a.value} zzz", False) for s in skills.DICTIONARY for a in s.aliases if a.policy != "distinct"]
+    got = named([line for _, line, _ in cases])
+    assert [(name, line) for (name, line, sure), found in zip(cases, got) if (found.get(name, 0) >= skills.CONFIRMED) != sure] == []
 
 
-@pytest.mark.parametrize("line,skill", [(s.aliases[0].value, s.name) for s in skills.DICTIONARY if s.aliases[0].policy == "distinct"])
-def test_distinct_names_are_found(line, skill):
-    assert skill in {m["skill"] for m in skills.Matcher(skills.DICTIONARY).matches("", "", f"uses {line} daily")}
+def test_distinct_names_are_found(named):
+    cases = [(s.name, f"uses {a.value} daily") for s in skills.DICTIONARY for a in s.aliases if a.policy == "distinct"]
+    assert [c for c, found in zip(cases, named([line for _, line in cases])) if found.get(c[0]) != 1.0] == []
 
 
-def test_sections():
-    got = {b["text"]: (b["requirement_type"], b["technical"]) for b in skills.blocks("", "<p><b>자격 요건</b></p><ul><li>one</li><li>two 우대</li></ul><h3>Tech stack</h3><p>three</p><h3>Benefits</h3><div>four</div>", "")}
-    assert got == {"one": ("required", False), "two 우대": ("preferred", False), "three": ("unspecified", True), "four": ("unspecified", False)}
+def test_sections(spark):
+    page = "<p><b>자격 요건</b></p><ul><li>one</li><li>two 우대</li></ul><h3>Tech stack</h3><p>three</p><h3>Benefits</h3><div>four</div>"
+    df = spark.createDataFrame([(1, "", page, "unread"), (2, " a  title ", "<h2>x</h2>", "Requirements:\none. two required\n\nBenefits\nthree"), (3, None, None, None)], "posting_id int, title string, page string, body string")
+    got = {(r["posting_id"], r["position"], r["text"]): (r["requirement_type"], r["technical"], r["list_item"]) for r in skill_mentions.blocks(df, "posting_id", "title", "page", "body").collect()}
+    assert got == {
+        (1, 0, "one"): ("required", False, True), (1, 1, "two 우대"): ("preferred", False, True), (1, 2, "three"): ("unspecified", True, False), (1, 3, "four"): ("unspecified", False, False),
+        (2, 0, "a title"): ("unspecified", False, False), (2, 1, "one."): ("required", False, False), (2, 2, "two required"): ("required", False, False), (2, 3, "three"): ("unspecified", False, False),
+    }
+    lines = "\n" * 50_000 + "Requirements\n" + "Python\n" * 3000
+    assert skill_mentions.blocks(spark.createDataFrame([(1, lines)], "k int, t string"), "k", None, None, "t").filter("requirement_type = 'required'").count() == 3000
 
 
 def test_structured_text():

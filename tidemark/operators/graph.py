@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.market import pairs
+from tidemark.sources.store import cut
 
 
 def nodes(found: DataFrame) -> DataFrame:
@@ -156,31 +157,49 @@ def hub_labels(node: DataFrame, edge: DataFrame, owned: list[str], n: int = 24)
     return weighed.withColumn("label_score", score).orderBy(F.desc("label_score"), "skill").limit(n).select("skill", "label_score")
 
 
-def backbone(edge: DataFrame, limit: int | None = None) -> DataFrame:
-    """Maximum spanning forest: edges in order of their rank, each if it joins two components.
+def by_rank() -> Column:
+    """An edge's rank as a value: the smallest is the first by ``edge_order``."""
+    return F.struct((-F.col("score")).alias("a"), (-F.col("support")).alias("b"), F.concat_ws("::", "source", "target").alias("c"))
+
 
-    The edge table is bounded by the dictionary and checked to be (``bounded``),
-    so the forest is grown on the driver.
+def forest(edge: DataFrame) -> DataFrame:
+    """(source, target) of the maximum spanning forest, by Boruvka's rounds.
+
+    In a round every component takes its first edge to another one.  The edges
+    taken join components to trees with one edge that both its ends took; the
+    smaller end of it is the root, and pointers are doubled until all name their
+    root.  At least half of the components go in a round, so rounds are few;
+    each is joins over the edges left, cut by a checkpoint, and only counts come
+    to the driver.  Edges are told apart by their names, so equal scores are no
+    cycle.
     """
-    spark = edge.sparkSession
-    ranked = bounded(edge.orderBy(*edge_order()).select("source", "target", "score", "support"))
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    tree, rest = [], []
-    for r in ranked:
-        a, b = root(r["source"]), root(r["target"])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            tree.append((r["source"], r["target"], r["score"], r["support"], True))
-        else:
-            rest.append((r["source"], r["target"], r["score"], r["support"], False))
-    rows = tree + rest[: max(0, (limit or len(tree)) - len(tree))]
-    return spark.createDataFrame(rows, "source string, target string, score double, support long, in_tree boolean")
+    left = cut(edge.filter("source <> target").select("source", "target", by_rank().alias("o"), F.col("source").alias("s"), F.col("target").alias("t")))
+    tree = None
+    while not left.isEmpty():
+        ends = left.select("source", "target", "o", F.explode(F.array(F.struct(F.col("s").alias("c"), F.col("t").alias("parent")), F.struct(F.col("t").alias("c"), F.col("s").alias("parent")))).alias("e"))
+        first = cut(ends.groupBy("e.c").agg(F.min_by(F.struct("source", "target", "e.parent"), "o").alias("f")).select("c", "f.*"))
+        taken = first.select("source", "target").distinct()
+        tree = taken if tree is None else tree.unionByName(taken)
+        back = first.select(F.col("c").alias("parent"), F.col("parent").alias("back"))
+        up = first.select("c", "parent").join(back, "parent").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("parent")), F.col("c")).otherwise(F.col("parent")).alias("parent"))
+        while True:
+            up = cut(up)
+            grand = up.select(F.col("c").alias("parent"), F.col("parent").alias("grand"))
+            further = up.join(grand, "parent")
+            if further.filter("parent <> grand").isEmpty():
+                break
+            up = further.select("c", F.col("grand").alias("parent"))
+        root = lambda end: up.select(F.col("c").alias(end), F.col("parent").alias(f"{end}_root"))
+        left = cut(left.join(root("s"), "s").join(root("t"), "t").filter("s_root <> t_root").select("source", "target", "o", F.col("s_root").alias("s"), F.col("t_root").alias("t")))
+    return tree if tree is not None else edge.select("source", "target").limit(0)
+
+
+def backbone(edge: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges with ``in_tree``: the maximum spanning forest in order of rank and, up to ``limit``, the strongest others.  Without a limit the forest alone."""
+    marked = edge.select("source", "target", "score", "support").join(forest(edge).withColumn("in_tree", F.lit(True)), ["source", "target"], "left").withColumn("in_tree", F.coalesce("in_tree", F.lit(False)))
+    if limit is None:
+        return marked.filter("in_tree")
+    return marked.orderBy(F.desc("in_tree"), *edge_order()).limit(limit)
 
 
 def strongest_path(edge: DataFrame, starts: list[str], goal: str, hops: int = 4) -> DataFrame:
@@ -222,14 +241,76 @@ def merged(base: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
 
 
 def focus_view(edge: DataFrame, focus: str, limit: int) -> DataFrame:
-    """What a focused graph draws: the focus's own edges first, then the forest's, then the strongest others, up to the limit."""
-    edge = held(edge)
+    """What a focused graph draws, up to the limit: the focus's own edges, then the forest of the others, then the strongest rest (``tier`` 0, 1, 2)."""
+    edge = cut(edge.select("source", "target", "score", "support"))
     own = (F.col("source") == focus) | (F.col("target") == focus)
-    tree = backbone(edge).select("source", "target", F.lit(True).alias("in_tree"))
-    ranked = edge.join(tree, ["source", "target"], "left").withColumn("tier", F.when(own, 0).when(F.coalesce("in_tree", F.lit(False)), 1).otherwise(2))
+    other = edge.filter(~own)
+    tree = backbone(other).select("source", "target", F.lit(1).alias("tier"))
+    ranked = edge.join(tree, ["source", "target"], "left").withColumn("tier", F.when(own, 0).otherwise(F.coalesce("tier", F.lit(2))))
     return ranked.orderBy("tier", *edge_order()).limit(limit).select("source", "target", "support", "score", "tier")
 
 
+#: Share of a focused graph that is for nodes two edges away.
+SECOND_SHARE = 0.35
+
+
+def focus_nodes(node: DataFrame, edge: DataFrame, focus: str, limit: int) -> DataFrame:
+    """(skill, place, hop): the focus, its neighbours, and nodes of the second hop, each with a neighbour it hangs on.
+
+    Second-hop nodes get up to 35 % of the places.  They are taken in order of
+    the edge that reaches them, and each needs its parent: one that would need
+    a further parent must leave room for both.  The parents of those taken come
+    first among the neighbours, then the others in order.  A focus that is no
+    node gives the leaders.
+
+    Only the first few connections of each parent can be taken (a place behind
+    twice the quota is behind as many taken or known ones), so what is folded in
+    order is neighbours times that.
+    """
+    names = node.select("skill").distinct()
+    if names.filter(F.col("skill") == focus).isEmpty():
+        order = Window.orderBy(F.desc("demand_count"), F.desc("required_count"), F.lower("skill"))  # over at most 60 rows
+        return leaders(node, limit).withColumn("place", F.row_number().over(order)).select("skill", "place", F.lit(0).alias("hop"))
+    edge = edge.join(names.withColumnRenamed("skill", "source"), "source", "left_semi").join(names.withColumnRenamed("skill", "target"), "target", "left_semi")
+    capacity = max(0, limit - 1)
+    quota = max(1, int(capacity * SECOND_SHARE))
+    direct = cut(neighbours(edge, focus))
+    sided = edge.filter((F.col("source") != focus) & (F.col("target") != focus)).withColumn("o", by_rank())
+    either = sided.select(F.col("source").alias("parent"), F.col("target").alias("skill"), "o").unionByName(sided.select(F.col("target").alias("parent"), F.col("source").alias("skill"), "o"))
+    reached = either.join(direct.select(F.col("skill").alias("parent")), "parent", "left_semi").join(direct.select("skill"), "skill", "left_anti")
+    likely = reached.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("o"))).filter(F.col("n") <= 2 * quota)
+
+    def step(held, c):
+        second, parents = held["second"], held["parents"]
+        known = F.array_contains(parents, c["parent"])
+        fits = (F.size(second) < quota) & ~F.array_contains(second, c["skill"]) & (F.size(second) + F.size(parents) + F.when(known, 1).otherwise(2) <= capacity)
+        return F.struct(F.when(fits, F.array_append(second, c["skill"])).otherwise(second).alias("second"), F.when(fits & ~known, F.array_append(parents, c["parent"])).otherwise(parents).alias("parents"))
+
+    none = F.array().cast("array<string>")
+    taken = cut(likely.agg(F.array_sort(F.collect_list(F.struct("o", "skill", "parent"))).alias("c")).select(F.aggregate("c", F.struct(none.alias("second"), none.alias("parents")), step).alias("t")).select("t.*"))
+    near = direct.join(taken.select(F.explode("parents").alias("skill"), F.lit(0).alias("late")), "skill", "left").withColumn("late", F.coalesce("late", F.lit(1)))
+    room = F.lit(capacity) - taken.select(F.size("second")).scalar()
+    first = near.withColumn("rank", F.row_number().over(Window.orderBy("late", "rank"))).filter(F.col("rank") <= room)  # the focus's neighbours
+    rows = [
+        names.filter(F.col("skill") == focus).select("skill", F.lit(0).alias("hop"), F.lit(0).alias("rank")),
+        first.select("skill", F.lit(1).alias("hop"), "rank"),
+        taken.select(F.posexplode("second").alias("rank", "skill")).select("skill", F.lit(2).alias("hop"), "rank"),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("place", F.row_number().over(Window.orderBy("hop", "rank"))).select("skill", "place", "hop")
+
+
+def atlas_nodes(node: DataFrame, selected: str | None, limit: int) -> DataFrame:
+    """(skill, place): the leading nodes; a selected node that isn't among them takes the last place."""
+    order = [F.desc("demand_count"), F.desc("required_count"), F.lower("skill")]
+    forced = F.lower(F.regexp_replace("skill", r"\s+", "")) == F.lit("".join((selected or "").lower().split()))
+    lead = node.orderBy(*order).limit(limit).withColumn("kept", F.row_number().over(Window.orderBy(*order)))  # limit rows
+    mine = node.filter(forced).orderBy(*order).limit(1)
+    missing = mine.join(lead.select("skill"), "skill", "left_anti")
+    room = F.lit(limit) - missing.agg(F.count("*")).scalar()
+    both = lead.filter(F.col("kept") <= room).drop("kept").unionByName(missing)
+    return both.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("skill", "place")
+
+
 def query_nodes(node: DataFrame, edge: DataFrame, query: str, limit: int) -> DataFrame:
     """Skills whose name holds the query, by demand, and then their neighbours."""
     q = query.strip().lower()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import local_date
+from tidemark.operators import text_index
 
 MISSING_LIMIT = 3
 QUARANTINE_HOURS = 72
@@ -91,8 +92,8 @@ def search_matches(searches: DataFrame, postings: DataFrame, found: DataFrame, n
     """(user_id, search_id, posting_id) of open postings first seen after the search's checkpoint (at most 30 days back) that meet it.
 
     The window of time is cut first; a search joins postings on its career type
-    where it names one, else on its category, and its text is tested within the
-    joined row.
+    where it names one, else on its category, else on the rarest characters of its
+    text; the rest is tested within the joined row.
     """
     now_ = F.lit(now).cast("timestamp")
     floor = now_ - F.make_interval(days=F.lit(LOOKBACK_DAYS))
@@ -105,9 +106,11 @@ def search_matches(searches: DataFrame, postings: DataFrame, found: DataFrame, n
     named = wanted.filter(F.coalesce("_career", F.lit("")) != "").join(recent, F.col("_career") == F.col("career_type"))
     open_ = wanted.filter(F.coalesce("_career", F.lit("")) == "")
     by_category = open_.filter(F.coalesce("_category", F.lit("")) != "").join(recent.withColumn("_one", F.explode("_categories")), F.col("_category") == F.col("_one")).drop("_one")
-    # Searches by text alone are tested on every recent posting, as their feature is; one equal key per side lets that be dealt by posting.
-    any_ = open_.filter(F.coalesce("_category", F.lit("")) == "").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")).join(recent.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(16)).cast("int")), "_salt").drop("_salt")
-    return named.unionByName(by_category).unionByName(any_).filter(fits).select("user_id", "search_id", "name", "posting_id", "first_seen_at")
+    any_ = open_.filter(F.coalesce("_category", F.lit("")) == "")
+    by_text = text_index.containing(recent, "posting_id", "_text", any_.withColumn("_query", query), "_query").drop("_query")
+    # A search that names nothing matches every recent posting: its result is that long.  One equal key a side lets it be dealt by posting.
+    blank = any_.filter(query == "").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")).join(recent.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(16)).cast("int")), "_salt").drop("_salt")
+    return named.unionByName(by_category).unionByName(by_text).unionByName(blank).filter(fits).select("user_id", "search_id", "name", "posting_id", "first_seen_at")
 
 
 def advanced(searches: DataFrame, states: DataFrame, now, limit: int = MAX_SEARCHES) -> DataFrame:

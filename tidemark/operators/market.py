@@ -47,6 +47,19 @@ def pairs(found: DataFrame, strength: dict[str, int] | None = None) -> DataFrame
     return skills.select("posting_id", F.explode(both).alias("p")).select("posting_id", "p.*").groupBy("source", "target").agg(F.count("*").alias("support"), F.sum("w").alias("strength"), _count(F.col("r")).alias("required_pairs"), F.min("posting_id").alias("first_posting"))
 
 
+def supporting(found: DataFrame, n: int = 5) -> DataFrame:
+    """(source, target, posting_ids): of each pair of skills the ``n`` smallest ids of postings with both.
+
+    Pairs are made inside a posting's row.  The rank's limit is taken in every
+    task before pairs are dealt, so at most n ids of a pair leave a task.
+    """
+    skills = found.groupBy("posting_id").agg(F.array_sort(F.collect_set("skill")).alias("s"))
+    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("source"), y.alias("target")))))
+    each = skills.select("posting_id", F.explode(both).alias("p")).select("posting_id", "p.*")
+    least = each.withColumn("_r", F.row_number().over(Window.partitionBy("source", "target").orderBy("posting_id"))).filter(F.col("_r") <= n)
+    return least.groupBy("source", "target").agg(F.array_sort(F.collect_list("posting_id")).alias("posting_ids"))
+
+
 def market_fields(classified: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per domain: the field's counts, its five leading locations, its eight leading skills.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.market import supporting
+
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 KEPT_ENTRIES, KEPT_SLUGS, LOOKUP_IDS, TOP = 24, 60, 24, 10
 #: Uses of a skill that count as recent.
@@ -87,11 +89,12 @@ def named_like(name: Column, query: str) -> Column:
 
 
 def edge_evidence(edges: DataFrame, held: DataFrame, n: int = 5) -> DataFrame:
-    """(posting_id) that support a visible edge: of each edge (source, target) the ``n`` smallest ids, each once."""
-    a, b = (held.select("posting_id", F.col("skill").alias(c)).distinct() for c in ("source", "target"))
-    both = edges.select("source", "target").join(a, "source").join(b, ["posting_id", "target"])
-    w = Window.partitionBy("source", "target").orderBy("posting_id")
-    return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select("posting_id").distinct()
+    """(posting_id) that support a visible edge: of each edge (source, target) the ``n`` smallest ids, each once.
+
+    The ids come from the postings' own pairs; edges meet the table of pairs, which the dictionary bounds, and never the evidence.
+    """
+    ends = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
+    return supporting(held, n).join(ends, ["source", "target"], "left_semi").select(F.explode("posting_ids").alias("posting_id")).distinct()
 
 
 def recent_use(usage: Column, name: Column, key: Column) -> Column:

@@ -104,11 +104,6 @@ def graph_relations(spark, sf_dir):
     return graph.relations(graph.edges(found(spark, sf_dir)), SEED)
 
 
-@query()
-def graph_backbone(spark, sf_dir):
-    return graph.backbone(graph.edges(found(spark, sf_dir)), 30)
-
-
 SPARSE = "sp AS (SELECT * FROM ej WHERE score >= (SELECT score FROM ej ORDER BY score DESC, support DESC, source || '::' || target LIMIT 1 OFFSET 59))"
 
 
@@ -119,6 +114,57 @@ def sparse(edge):
     return edge.filter(F.col("score") >= cut)
 
 
+def bottleneck(edges: str) -> str:
+    """fo: the edges with ``tree``: an edge is in the maximum spanning forest if no path of stronger edges joins its ends."""
+    steps = "".join(f", b{i} AS (SELECT a.u, b.v, min(greatest(a.r, b.r)) AS r FROM b{i - 1} a JOIN b{i - 1} b ON a.v = b.u GROUP BY 1, 2)" for i in range(1, 6))  # paths of up to 32 edges
+    return f"""
+rk AS (SELECT source, target, score, support, row_number() OVER (ORDER BY score DESC, support DESC, source || '::' || target) AS r FROM {edges}),
+b0 AS (SELECT u, v, min(r) AS r FROM (SELECT source AS u, target AS v, r FROM rk UNION ALL SELECT target, source, r FROM rk UNION ALL SELECT source, source, 0 FROM rk UNION ALL SELECT target, target, 0 FROM rk) GROUP BY 1, 2){steps},
+fo AS (SELECT rk.*, rk.r <= b5.r AS tree FROM rk JOIN b5 ON b5.u = source AND b5.v = target)"""
+
+
+@query(sql("SELECT source, target, score, support, tree AS in_tree FROM fo ORDER BY tree DESC, r LIMIT 30", *BASE, NODES, PAIRS, JACCARD, bottleneck("ej")))
+def graph_backbone(spark, sf_dir):
+    return graph.backbone(graph.edges(found(spark, sf_dir)), 30)
+
+
+@query(sql("SELECT source, target FROM fo WHERE tree", *BASE, NODES, PAIRS, JACCARD, SPARSE, bottleneck("sp")))
+def graph_forest_sparse(spark, sf_dir):
+    return graph.forest(sparse(graph.edges(found(spark, sf_dir))))
+
+
+FOCUS_LIMIT = 12
+FOCUS = f"""
+nd AS (SELECT CASE WHEN source = 'Brand#1' THEN target ELSE source END AS skill, row_number() OVER (ORDER BY score DESC, support DESC, source || '::' || target) AS rank FROM sp WHERE source = 'Brand#1' OR target = 'Brand#1'),
+cn AS (SELECT *, row_number() OVER (ORDER BY score DESC, support DESC, id) AS i FROM (SELECT score, support, source || '::' || target AS id, CASE WHEN source IN (SELECT skill FROM nd) THEN source ELSE target END AS parent, CASE WHEN source IN (SELECT skill FROM nd) THEN target ELSE source END AS skill
+       FROM sp WHERE source <> 'Brand#1' AND target <> 'Brand#1' AND (source IN (SELECT skill FROM nd)) <> (target IN (SELECT skill FROM nd)))),
+gr(i, second, parents) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL
+  SELECT cn.i, CASE WHEN ok THEN list_append(second, skill) ELSE second END, CASE WHEN ok AND NOT list_contains(parents, parent) THEN list_append(parents, parent) ELSE parents END
+  FROM gr JOIN cn ON cn.i = gr.i + 1 CROSS JOIN LATERAL (SELECT len(second) < {max(1, int((FOCUS_LIMIT - 1) * 0.35))} AND NOT list_contains(second, skill) AND len(second) + len(parents) + CASE WHEN list_contains(parents, parent) THEN 1 ELSE 2 END <= {FOCUS_LIMIT - 1} AS ok)),
+tk AS (SELECT second, parents FROM gr ORDER BY i DESC LIMIT 1),
+dr AS (SELECT skill, row_number() OVER (ORDER BY NOT list_contains((SELECT parents FROM tk), skill), rank) AS rank FROM nd),
+fn AS (SELECT 'Brand#1' AS skill, 0 AS hop, 0 AS rank UNION ALL SELECT skill, 1, rank FROM dr WHERE rank <= {FOCUS_LIMIT - 1} - len((SELECT second FROM tk)) UNION ALL SELECT unnest(second), 2, unnest(range(len(second))) FROM tk)"""
+
+
+@query(sql("SELECT skill, CAST(row_number() OVER (ORDER BY hop, rank) AS INT) AS place, hop FROM fn", *BASE, NODES, PAIRS, JACCARD, SPARSE, FOCUS).replace("WITH ", "WITH RECURSIVE ", 1))
+def graph_focus_nodes(spark, sf_dir):
+    f = found(spark, sf_dir)
+    return graph.focus_nodes(graph.nodes(f), sparse(graph.edges(f)), SEED, FOCUS_LIMIT)
+
+
+@query(sql("SELECT skill, CAST(row_number() OVER (ORDER BY demand_count DESC, required_count DESC, lower(skill)) AS INT) AS place FROM (SELECT *, row_number() OVER (ORDER BY demand_count DESC, required_count DESC, lower(skill)) AS r, count(*) OVER () AS c FROM n) WHERE r <= 7 OR r = c", *BASE, NODES))
+def graph_atlas_nodes(spark, sf_dir):
+    """Eight leading nodes, the last of all nodes forced among them."""
+    node = graph.held(graph.nodes(found(spark, sf_dir)))
+    last = node.orderBy("demand_count", "required_count", F.lower("skill").desc()).first()["skill"]
+    return graph.atlas_nodes(node, f" {last.upper()} ", 8)
+
+
+@query(sql("SELECT source, target, array_to_string(list(posting_id ORDER BY posting_id)[1:5], ',') AS posting_ids FROM (SELECT DISTINCT a.skill AS source, b.skill AS target, a.posting_id FROM o a JOIN o b ON a.posting_id = b.posting_id AND a.skill < b.skill) GROUP BY 1, 2", *BASE))
+def graph_edge_support(spark, sf_dir):
+    return market.supporting(found(spark, sf_dir)).select("source", "target", F.array_join(F.col("posting_ids").cast("array<string>"), ",").alias("posting_ids"))
+
+
 @query(
     sql(
         """SELECT skill, cost, path FROM (SELECT skill, cost, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY skill ORDER BY cost, path) AS rn FROM walk WHERE skill = 'Brand#25') WHERE rn = 1""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import identity, roles, skills
+from tidemark.functions import identity, roles
 from tidemark.functions import text as tx
 from tidemark.functions import time as tm
 from tidemark.plans.analog import table
@@ -170,38 +170,3 @@ def fetch_states(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, (200, 200, 403, 429, 503, 404, 401))), (k % 7 + 1).cast("int"))
     body = F.when(k % 5 == 0, F.concat("html", F.lit('<div class="G-Recaptcha"></div>'))).when(k % 5 == 1, F.concat("html", F.lit("<p>CAPTCHA abuse detection experience</p>"))).when(k % 5 != 2, F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", listing_checks.fetch_state(status, body).alias("state"))
-
-
-POSTING = [
-    (1, "Backend Engineer", "<h2>Requirements</h2><ul><li>Python, Go and PostgreSQL</li><li>C/C++ experience</li></ul><h3>Preferred</h3><ul><li>Kafka</li></ul><h2>Benefits</h2><p>We go to market fast</p>", ""),
-    (2, "데이터 분석가", "", "자격 요건\nPython, R 활용 필수\n우대 사항\nSQL 가능자\n주요 업무\nR&D 지원"),
-    (3, "Office manager", "<p>React quickly to requests. A spring 2026 intern.</p>", ""),
-]
-SCHEMA = "posting_id int, title string, description_html string, description_text string"
-
-
-@query("SELECT * FROM (VALUES (1, 'C', 'required', true), (1, 'C++', 'required', true), (1, 'Go', 'required', true), (1, 'Kafka', 'preferred', true), (1, 'PostgreSQL', 'required', true), (1, 'Python', 'required', true), (2, 'Python', 'required', true), (2, 'R', 'required', true), (2, 'SQL', 'preferred', true)) t(posting_id, skill, requirement_type, confirmed)")
-def skill_extraction(spark, sf_dir):
-    return skills.extract(spark.createDataFrame(POSTING, SCHEMA)).select("posting_id", "skill", "requirement_type", "confirmed")
-
-
-@query()
-def evidence_blocks(spark, sf_dir):
-    df = spark.createDataFrame(POSTING, SCHEMA)
-    return df.select("posting_id", F.explode(skills.evidence_blocks("title", "description_html", "description_text")).alias("b")).select("posting_id", "b.*")
-
-
-@query()
-def document_skills(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.lit("").alias("description_html"), F.col("text").alias("description_text"))
-    return skills.extract(docs, "doc_id").groupBy("skill", "requirement_type", "confirmed").agg(F.count("*").alias("n"))
-
-
-@query()
-def skill_catalog(spark, sf_dir):
-    return skills.catalog(spark).select("skill", "category", "kind", F.array_join("domains", ",").alias("domains"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Go'), (2, 'Kubernetes'), (3, 'Python'), (4, 'Cobol 85')) t(id, skill)")
-def canonical_skills(spark, sf_dir):
-    return skills.canonical(spark.createDataFrame([(1, " golang "), (2, "K8S"), (3, "파이썬"), (4, "Cobol   85")], "id int, skill string"), "skill")

@@ -9,7 +9,7 @@ from tidemark.operators import evidence, graph, ingest, market, rank, source_hea
 from tidemark.plans import community_queries, source_queries
 from tidemark.plans.analog import DOMAIN, FOUND, MENTIONS, POSTINGS, SOURCES, postings, skill_domains, sources, sql, table
 from tidemark.plans.evidence_queries import found
-from tidemark.plans.graph_queries import JACCARD, NODES, PAIRS
+from tidemark.plans.graph_queries import JACCARD, NODES, PAIRS, SPARSE, bottleneck, sparse
 from tidemark.sources import markup
 
 QUERIES: dict = {}
@@ -80,9 +80,18 @@ def graph_query_nodes(spark, sf_dir):
     return graph.query_nodes(graph.nodes(f), graph.edges(f), "#2", 15).select("skill", "tier")
 
 
-@query()
+OTHERS = "ot AS (SELECT * FROM sp WHERE source <> 'Brand#1' AND target <> 'Brand#1')"
+
+
+@query(
+    sql(
+        """SELECT source, target, support, score, CAST(tier AS INT) AS tier FROM (SELECT source, target, support, score, 0 AS tier FROM sp WHERE source = 'Brand#1' OR target = 'Brand#1' UNION ALL SELECT source, target, support, score, CASE WHEN tree THEN 1 ELSE 2 END FROM fo)
+ORDER BY tier, score DESC, support DESC, source || '::' || target LIMIT 40""",
+        *BASE, NODES, PAIRS, JACCARD, SPARSE, OTHERS, bottleneck("ot"),
+    )
+)
 def graph_focus_view(spark, sf_dir):
-    return graph.focus_view(graph.edges(found(spark, sf_dir)), "Brand#1", 40)
+    return graph.focus_view(sparse(graph.edges(found(spark, sf_dir))), "Brand#1", 40)
 
 
 @query("SELECT zoom, CASE WHEN zoom < 0.35 THEN 'overview' WHEN zoom < 0.9 THEN 'hubs' WHEN zoom < 1.8 THEN 'labels' ELSE 'full' END AS level FROM (SELECT DISTINCT (event_id % 40) / 16.0::DOUBLE AS zoom FROM events)")
