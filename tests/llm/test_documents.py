@@ -138,19 +138,35 @@ def test_scores_are_the_ratio(spark):
     weights, cut = quality.fit(docs, labels, buckets=997)
     counts = {}
     for name, chosen in (("raw", rows), ("target", rows[:10])):
-        c = np.ones(997)
+        c = np.zeros(997)
         for _, t in chosen:
-            b = [97 if 97 <= x <= 122 or x >= 128 else 65 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in t.encode()]
-            for i in range(len(b) - 3):
-                gram = int.from_bytes(bytes(b[i : i + 4]), "little")
+            b = [x + 32 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in t.encode()]
+            for i in range(len(b) - 2):
+                gram = int.from_bytes(bytes(b[i : i + 3]), "little")
                 c[((gram * 2654435761 & 0xFFFFFFFF) >> 7) % 997] += 1
-        counts[name] = np.log(c / c.sum())
-    assert np.allclose(weights, counts["target"] - counts["raw"])
+        counts[name] = c
+    raw, target = counts["raw"] + 1, counts["target"] * round(counts["raw"].sum() / counts["target"].sum() * 65536) / 65536
+    target += target.sum() / counts["raw"].sum()
+    assert np.allclose(weights, np.log(target / target.sum()) - np.log(raw / raw.sum()), atol=1e-9)
     kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs, labels, buckets=997).collect()}
     assert all(kept[i] for i in range(20)) and not any(kept[100 + i] for i in range(10))
     assert cut < quality.scores(pa.array([rows[0][1]]), weights)[0]
 
 
+def test_letter_soup_goes_and_rare_languages_stay(spark):
+    rng = np.random.default_rng(2)
+    other = lambda i: prose(i).translate(str.maketrans("aeioutnsrl", "øåæéüþðßñç"))
+    soup = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(120)) for _ in range(10)]
+    rows = [(i, prose(i), "a") for i in range(60)] + [(100 + i, other(i), "b") for i in range(40)] + [(200 + i, t, "a") for i, t in enumerate(soup)] + [(300, prose(99), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100, 1), (101, 1), (200, 0), (201, 0)], "doc_id long, quality int")
+    found = quality.assess(docs, labels, group="lang")
+    kept = {r["doc_id"]: r["kept"] for r in found.collect()}
+    assert [i for i, k in kept.items() if k != (not 200 <= i < 300)] == []
+    again = quality.assess(docs.repartition(7, "text"), labels, group="lang")
+    assert {r["doc_id"]: r["llr"] for r in again.collect()} == {r["doc_id"]: r["llr"] for r in found.collect()}
+
+
 def test_quality_holds_out(spark):
     """Threshold set on half of the labels, judged on the other half."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")

@@ -1,14 +1,17 @@
 """Quality rules: hashed n-gram log-likelihood ratio, and base rules on words.
 
-Two multinomials over hashed n-grams of character shapes are compared: one of
-trusted target texts, one of the raw corpus.  A shape is a lower-case letter, an
-upper-case letter, a digit, or the character itself (marks, white space): what is
-learnt is how text is written and not in which language, so that languages that
-are rare in the trusted sample aren't judged by their letters.  A document's score is the sum of
-log p_target - log p_raw over its n-grams, divided by their number.  Every
-document is kept or dropped by one threshold on that score; nothing is drawn at
-random.
-
+Two multinomials over hashed n-grams of characters are compared: one of trusted
+target texts, one of the raw corpus.  Capitals count as their small letters and
+digits as one.  A document's score is the sum of log p_target - log p_raw over
+its n-grams, divided by their number.  Every document is kept or dropped by one
+threshold on that score; nothing is drawn at random.
+
+* An n-gram that neither side has speaks for nothing: the target is smoothed in
+  proportion to its size.  One that only the raw corpus has, as letter soup has
+  them, speaks against a text.
+* Where ``group`` names a column (a language), each group weighs as much in the
+  target as in the raw corpus, so a language that is rare among the trusted rows
+  isn't judged by its letters.  A group without trusted rows has no such weight.
 * Raw counts cover every document.
 * Target texts: labelled rows with ``quality = 1``, at most ``sample_rows`` of
   them, those with the smallest hash of their id; the threshold is set on those of
@@ -36,11 +39,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, checkpointed, flat_bytes, row_sums, small
 
-N = 4
+N = 3
 #: Weights are multiples of one part of this and summed as whole numbers, so a text's sum is the same whatever batch it is in.
 UNIT = 1 << 32
-#: Byte -> its shape; bytes of non-ASCII characters are letters.
-SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
+#: Groups whose counts a task holds at once.
+HELD = 64
+#: Byte -> what counts for it: small letters for capitals, one digit for all.
+FOLD = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
 SPACE = np.zeros(256, np.int8)
 SPACE[[0x20, *range(0x09, 0x0E)]] = 1
 SYMBOL = np.zeros(256, np.int8)
@@ -52,9 +57,9 @@ POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.int8)
 def hashed_ngrams(flat: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the n-gram that begins at each byte, and which of them lie within one text."""
     n = max(0, len(flat) - N + 1)
-    shapes, gram = SHAPE[flat], np.zeros(n, np.uint32)
+    folded, gram = FOLD[flat], np.zeros(n, np.uint32)
     for i in range(N):
-        gram |= shapes[i : i + n] << np.uint32(8 * i)
+        gram |= folded[i : i + n] << np.uint32(8 * i)
     mixed = gram * np.uint32(2654435761)
     inside = np.ones(n, bool)
     for i in range(1, N):
@@ -106,33 +111,51 @@ def labelled_sample(labels: DataFrame, key: str, quality: str, rows: int) -> Dat
     return checkpointed(one[0].unionByName(one[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 20_000, buckets: int = 10_000, alpha: float = 1.0, slack: float = 0.1, min_words: int = 50, repeat_percent: int = 50) -> tuple[np.ndarray, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 20_000, buckets: int = 20_000, alpha: float = 1.0, slack: float = 0.1, min_words: int = 50, repeat_percent: int = 50, group: str | None = None) -> tuple[np.ndarray, float] | None:
     """Weights per bucket and the threshold; None without trusted rows."""
     sample = labelled_sample(labels, key, quality, sample_rows)
     if sample.filter("label = 1").isEmpty():
         return None
     sc = docs.sparkSession.sparkContext
     # The sample is bounded by ``sample_rows``, so its side of the join may be broadcast.
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k", "left").select("label", "t")
+    kind = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), kind.alias("g")).join(F.broadcast(sample), "k", "left").select("label", "t", "g")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for g, (raw, target) in held.items():
+                some = np.flatnonzero(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["g", "b", "raw", "target"])
+            held.clear()
+
         for b in small(batches, 100):
             flat, offsets = flat_bytes(b.column(1))
             at, inside = hashed_ngrams(flat, offsets, buckets)
-            raw += np.bincount(at[inside], minlength=buckets)
-            is_target = b.column(0).fill_null(-1).to_numpy() == 1
-            inside &= np.repeat(is_target, np.diff(offsets))[: len(inside)]
-            target += np.bincount(at[inside], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["b", "raw", "target"])
-
+            spread = lambda row: np.repeat(row, np.diff(offsets))[: len(inside)]
+            names = b.column(2).to_numpy(zero_copy_only=False)
+            is_target = inside & spread(b.column(0).fill_null(-1).to_numpy() == 1)
+            for g in set(names):
+                mine = spread(names == g)
+                raw, target = held.setdefault(g, np.zeros((2, buckets), np.int64))
+                raw += np.bincount(at[inside & mine], minlength=buckets)
+                target += np.bincount(at[is_target & mine], minlength=buckets)
+            if len(held) > HELD:
+                yield from out()
+        yield from out()
+
+    counts = checkpointed(rows.mapInArrow(count, "g string, b int, raw long, target long").groupBy("g", "b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    # A group's weight is a whole number of 65536ths, so that sums are exact in any order.
+    weight = F.when(F.sum("target") > 0, F.round(F.sum("raw") / F.sum("target") * 65536).cast("decimal(19,0)")).otherwise(0)
+    balanced = counts.join(counts.groupBy("g").agg(weight.alias("w")), "g")
     # At most `buckets` rows come to the driver.
-    found = rows.mapInArrow(count, "b int, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.full(buckets, alpha), np.full(buckets, alpha)
+    found = balanced.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum(F.col("target").cast("decimal(19,0)") * F.col("w")).alias("target")).collect()
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in found:
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
+        raw[r["b"]], target[r["b"]] = r["raw"], float(r["target"] or 0) / 65536
+    target += alpha * max(target.sum(), 1.0) / max(raw.sum(), 1.0)
+    raw += alpha
     weights = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * UNIT) / UNIT
 
     shared = sc.broadcast(weights)
