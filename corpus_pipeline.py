@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null or empty text has no words and goes; rows with null or repeated ids are judged each by its own text."""
-    return quality.assess(docs.select(COLUMNS), table(spark, sf_dir, "labels")).filter("kept").select(COLUMNS)
+    return quality.assess(docs.select(COLUMNS), table(spark, sf_dir, "labels"), group="lang").filter("kept").select(COLUMNS)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
