@@ -30,13 +30,13 @@ MARKERS, STOP, HOME = ("the ", "tion", "ment", "ung"), ("idiot", "scum", "!!"),
 @query(
     """SELECT doc_id, tech, detail, home FROM (SELECT doc_id, (contains(t, 'the ') OR contains(t, 'tion') OR contains(t, 'ment') OR contains(t, 'ung')) AND NOT b AS tech,
   ((contains(t, 'the ') OR contains(t, 'tion') OR contains(t, 'ment') OR contains(t, 'ung')) AND NOT b) OR (NOT b AND (CASE WHEN contains(d, 'the ') THEN 1 ELSE 0 END + CASE WHEN contains(d, 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(d, 'ment') THEN 1 ELSE 0 END + CASE WHEN contains(d, 'ung') THEN 1 ELSE 0 END) >= 2) AS detail,
-  (contains(lang, 'en') OR contains(lang, 'de') OR contains(substr(t, 1, 20), 'en') OR contains(substr(t, 1, 20), 'de')) AND (contains(t, 'the ') OR contains(t, 'tion') OR contains(t, 'ment') OR contains(t, 'ung')) AND NOT b AS home
-FROM (SELECT *, contains(t, 'idiot') OR contains(t, 'scum') OR contains(t, '!!') AS b FROM (SELECT doc_id, lang, lower(trim(substr(text, 1, 60), ' ')) AS t, lower(trim(text, ' ')) AS d FROM documents)))"""
+  (contains(lang, 'en') OR contains(lang, 'de') OR starts_with(trim(t, ' '), 'the ')) AND (contains(t, 'the ') OR contains(t, 'tion') OR contains(t, 'ment') OR contains(t, 'ung')) AND NOT b AS home
+FROM (SELECT *, contains(t, 'idiot') OR contains(t, 'scum') OR contains(t, '!!') AS b FROM (SELECT doc_id, lang, lower(substr(text, 1, 60)) AS t, lower(text) AS d FROM documents)))"""
 )
 def technical_role_filter(spark, sf_dir):
     title = F.substring("text", 1, 60)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", roles.technical(title, MARKERS, STOP).alias("tech"), roles.technical_in_detail(title, F.col("text"), MARKERS, STOP).alias("detail"), roles.technical_at_home(title, F.col("lang"), MARKERS, STOP, HOME).alias("home")
+        "doc_id", roles.technical(title, MARKERS, STOP).alias("tech"), roles.technical_in_detail(title, F.col("text"), MARKERS, STOP).alias("detail"), roles.technical_at_home(title, F.col("lang"), MARKERS, STOP, HOME, ("the ",)).alias("home")
     )
 
 
