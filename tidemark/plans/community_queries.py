@@ -103,12 +103,17 @@ def feed_interleave(spark, sf_dir):
     return rank.feed(mine, jobs, 30).select("kind", "item")
 
 
-TAGS = [(1, ["spark", "sql"]), (2, ["a", "b", "c", "d", "e"]), (3, ["Data", "data"]), (4, [" padded"]), (5, []), (6, ["x" * 41]), (7, ["tab\tbed"]), (8, ["한글", "ai"]), (9, [""])]
+#: Tags by number, and whether they are fine.
+TAGS = ((["spark", "sql"], True), (["a", "b", "c", "d"], True), (["Data", "data"], False), ([" padded"], False), ([], True), (["x" * 41], False), (["tab\tbed"], False), (["한글", "ai"], True), ([""], False))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, true), (6, false), (7, false), (8, true), (9, false)) t(id, valid)")
+@query(f"SELECT conv_id, {[ok for _, ok in TAGS]}[conv_id % 9 + 1] AND NOT (conv_id % 4 = 0 AND conv_id % 9 = 1) AS valid FROM conversations WHERE turn = 0")
 def tag_validation(spark, sf_dir):
-    return spark.createDataFrame(TAGS, "id int, tags array<string>").select("id", tx.tags_valid(F.col("tags")).alias("valid"))
+    """Every fourth post has one more tag, its number: too many for those that have four."""
+    k = F.col("conv_id")
+    tags = F.element_at(F.array(*(F.array(*map(F.lit, t)).cast("array<string>") for t, _ in TAGS)), (k % 9 + 1).cast("int"))
+    tags = F.when(k % 4 == 0, F.array_append(tags, k.cast("string"))).otherwise(tags)
+    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", tx.tags_valid(tags).alias("valid"))
 
 
 @query("SELECT user_id, item_count, last_item FROM (SELECT user_id, count(*) AS item_count, arg_max(v, pos) AS last_item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) AS r FROM (SELECT user_id, (event_id % 90)::VARCHAR AS v, max(event_id) AS pos FROM events WHERE event_type = 'view' GROUP BY 1, 2)) WHERE r <= 24 GROUP BY 1)")
@@ -130,13 +135,19 @@ def saved_library_lookup(spark, sf_dir):
     return community.lookup(saved, posts(spark, sf_dir)).select("post_id", "available")
 
 
-SERVER = [(1, "lead", ["a", "b"], {"x": "1", "y": "2"}), (2, "", ["c"], None)]
-CLIENT = [(1, "", ["b", "d"], {"y": "3", "z": "4"}), (3, "new", ["e"], {"q": "5"})]
-
-
-@query("SELECT * FROM (VALUES (1, 'lead', 'a,b,d', 'x=1,y=3,z=4'), (2, '', 'c', NULL), (3, 'new', 'e', 'q=5')) t(user_id, role, skills, stages)")
+@query(
+    """WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'lead ' || c_custkey END AS role, ['a', 'b' || c_custkey % 5] AS sk, MAP {'x': c_custkey::VARCHAR, 'y': '2'} AS st FROM customer WHERE c_custkey % 4 <> 1),
+c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new' END AS role, ['b' || c_custkey % 3, 'd'] AS sk, MAP {'y': '3', 'z' || c_custkey % 2: '4'} AS st FROM customer WHERE c_custkey % 4 <> 2)
+SELECT coalesce(s.k, c.k) AS user_id, CASE WHEN c.role <> '' THEN c.role ELSE s.role END AS role, array_to_string(list_filter(list_concat(coalesce(s.sk, []), coalesce(c.sk, [])), lambda x, i: list_position(list_concat(coalesce(s.sk, []), coalesce(c.sk, [])), x) = i), ',') AS skills,
+  array_to_string(list_sort(list_concat(CASE WHEN s.k IS NULL THEN [] ELSE ['x=' || (s.k::VARCHAR)] END, CASE WHEN c.k IS NOT NULL THEN ['y=3', 'z' || (c.k % 2) || '=4'] ELSE ['y=2'] END)), ',') AS stages FROM s FULL JOIN c ON s.k = c.k"""
+)
 def account_state_merge(spark, sf_dir):
-    schema = "user_id int, role string, skills array<string>, stages map<string,string>"
-    merged = community.merge_state(spark.createDataFrame(SERVER, schema), spark.createDataFrame(CLIENT, schema), "user_id", ["role"], ["skills"], ["stages"])
+    """What the server and a device know of a customer; either may know nothing."""
+    k = F.col("c_custkey")
+    word = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"))
+    state = lambda role, skills, stages: table(spark, sf_dir, "customer").select(k.alias("user_id"), role.alias("role"), skills.alias("skills"), stages.alias("stages"))
+    server = state(F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("lead "), k.cast("string"))), F.array(F.lit("a"), word("b", 5)), F.create_map(F.lit("x"), k.cast("string"), F.lit("y"), F.lit("2"))).filter("user_id % 4 <> 1")
+    client = state(F.when(k % 2 == 0, "").otherwise("new"), F.array(word("b", 3), F.lit("d")), F.create_map(F.lit("y"), F.lit("3"), word("z", 2), F.lit("4"))).filter("user_id % 4 <> 2")
+    merged = community.merge_state(server, client, "user_id", ["role"], ["skills"], ["stages"])
     pairs = F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return merged.select("user_id", "role", F.array_join("skills", ",").alias("skills"), F.array_join(pairs, ",").alias("stages"))

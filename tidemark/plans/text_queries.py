@@ -67,20 +67,35 @@ def event_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("int")).alias("k"), F.count("*").alias("n"))
 
 
-PLACES = [(1, "서울 강남구"), (2, "Pangyo, Gyeonggi"), (3, "부산/대전"), (4, "재택 근무"), (5, " Jeju  Island "), (6, ""), (7, "성남시 분당구")]
+PLACES = (("서울 강남구", "seoul"), ("Pangyo, Gyeonggi", "gyeonggi"), ("부산/대전", "busan,daejeon"), ("재택 근무", "remote"), (" Jeju  Island ", "jejuisland"), ("", ""), ("성남시 분당구", "gyeonggi"), ("SEOUL or 원격", "remote,seoul"))
 
 
-@query("SELECT * FROM (VALUES (1, 'seoul'), (2, 'gyeonggi'), (3, 'busan,daejeon'), (4, 'remote'), (5, 'jejuisland'), (6, ''), (7, 'gyeonggi')) t(id, regions)")
-def location_regions(spark, sf_dir):
-    return spark.createDataFrame(PLACES, "id int, place string").select("id", F.array_join(F.array_sort(tx.location_keys(F.col("place"))), ",").alias("regions"))
+def pick(values, number):
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
-DATES = [(1, "2026-07-01"), (2, "2026.7.3"), (3, "2026-07-01T09:00:00Z"), (4, "2026-07-01 18:30"), (5, "20260701"), (6, "1782864000000"), (7, "채용시까지"), (8, None), (9, "2026-07-01T09:00:00+09:00")]
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 9 = 8 THEN lower(replace(c_name, ' ', '')) ELSE {[want for _, want in PLACES]}[c_custkey % 8 + 1] END AS regions FROM customer")
+def location_regions(spark, sf_dir):
+    """Places by number, every ninth the customer's name."""
+    k = F.col("c_custkey")
+    place = F.when(k % 9 == 8, F.col("c_name")).otherwise(pick([p for p, _ in PLACES], k))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_sort(tx.location_keys(place)), ",").alias("regions"))
 
 
-@query("SELECT * FROM (VALUES (1, '2026-06-30 15:00:00'), (2, '2026-07-02 15:00:00'), (3, '2026-07-01 09:00:00'), (4, '2026-07-01 09:30:00'), (5, '2026-06-30 15:00:00'), (6, '2026-07-01 00:00:00'), (7, NULL), (8, NULL), (9, '2026-07-01 00:00:00')) t(id, stamp)")
+@query(
+    """SELECT o_orderkey, strftime(CASE o_orderkey % 10 WHEN 0 THEN d - INTERVAL 9 HOUR WHEN 1 THEN d - INTERVAL 9 HOUR WHEN 2 THEN d + INTERVAL 9 HOUR WHEN 3 THEN d + INTERVAL '9:30' HOUR TO MINUTE WHEN 4 THEN d - INTERVAL 9 HOUR WHEN 5 THEN d WHEN 6 THEN d WHEN 9 THEN d END, '%Y-%m-%d %H:%M:%S') AS stamp
+FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 30 YEAR AS d FROM orders)""".replace("INTERVAL '9:30' HOUR TO MINUTE", "INTERVAL 570 MINUTE")
+)
 def lenient_dates(spark, sf_dir):
-    return spark.createDataFrame(DATES, "id int, raw string").select("id", F.date_format(tm.lenient_timestamp(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    """Order dates, thirty years on, as boards write them: dashes, dots without zeros, zoned, local time, compact, epoch, words, nothing, another zone."""
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 30 YEARS")
+    as_ = lambda f: F.date_format(d, f)
+    raw = (
+        F.when(k % 10 == 0, as_("yyyy-MM-dd")).when(k % 10 == 1, as_("yyyy.M.d")).when(k % 10 == 2, F.concat(as_("yyyy-MM-dd"), F.lit("T09:00:00Z"))).when(k % 10 == 3, F.concat(as_("yyyy-MM-dd"), F.lit(" 18:30"))).when(k % 10 == 4, as_("yyyyMMdd"))
+        .when(k % 10 == 5, (F.unix_timestamp(d.cast("timestamp")) * 1000).cast("string")).when(k % 10 == 6, F.unix_timestamp(d.cast("timestamp")).cast("string")).when(k % 10 == 7, F.lit("채용시까지")).when(k % 10 == 9, F.concat(as_("yyyy-MM-dd"), F.lit("T09:00:00+09:00")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(tm.lenient_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 @query()
@@ -98,20 +113,31 @@ def page_images(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(markup.description_images("html", F.lit(""), "url")).alias("n_images"))
 
 
-LD = '<html><script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Backend Engineer","url":"/jobs/1","identifier":{"value":"A-1"},"description":"<p>Python and Kafka</p>","employmentType":["FULL_TIME"],"datePosted":"2026-07-01","validThrough":"2026-08-01","jobLocation":{"address":{"addressLocality":"Seoul","addressCountry":"KR"}}}]}</script></html>'
-NEXT = '<script id="__NEXT_DATA__" type="application/json">{"props":{"list":[{"id":7,"title":"신입 데이터 분석","description":"<p>SQL</p>","endDate":"2026-09-01"},{"id":8,"name":"menu"}]}}</script>'
-LISTING = '<ul><li><a href="/jobs/view?id=11">플랫폼 개발자 2026.07.01 ~ 2026.07.31</a></li><li><a href="/about">About us</a></li><li><a href="https://other.example/jobs/9">Elsewhere engineer</a></li></ul>'
-LEVER = '[{"id":"x1","text":"Data Engineer","hostedUrl":"https://jobs.lever.co/x/x1","categories":{"location":"Seoul","commitment":"Full-time"},"descriptionPlain":"Spark and SQL"}]'
-GREENHOUSE = '{"jobs":[{"id":5,"title":"경력 SRE","absolute_url":"https://boards.greenhouse.io/x/5","location":{"name":"Remote"},"content":"&lt;p&gt;Kubernetes&lt;/p&gt;"}]}'
-PAYLOADS = [(1, "jsonld", LD), (2, "next_data", NEXT), (3, "html_listing", LISTING), (4, "lever", LEVER), (5, "greenhouse", GREENHOUSE), (6, "lever", "<broken"), (7, "nobody", "{}"), (8, "browser", LISTING)]
+LD = '<html><script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Backend Engineer","url":"/jobs/1","identifier":{"value":"A-%1$d"},"description":"<p>Python and Kafka</p>","employmentType":["FULL_TIME"],"datePosted":"2026-07-01","validThrough":"2026-08-01","jobLocation":{"address":{"addressLocality":"Seoul","addressCountry":"KR"}}}]}</script></html>'
+NEXT = '<script id="__NEXT_DATA__" type="application/json">{"props":{"list":[{"id":7%1$d,"title":"신입 데이터 분석","description":"<p>SQL</p>","endDate":"2026-09-01"},{"id":8,"name":"menu"}]}}</script>'
+LISTING = '<ul><li><a href="/jobs/view?id=11%1$d">플랫폼 개발자 2026.07.01 ~ 2026.07.31</a></li><li><a href="/about">About us</a></li><li><a href="https://other.example/jobs/9">Elsewhere engineer</a></li></ul>'
+LEVER = '[{"id":"x%1$d","text":"Data Engineer","hostedUrl":"https://jobs.lever.co/x/x1","categories":{"location":"Seoul","commitment":"Full-time"},"descriptionPlain":"Spark and SQL"}]'
+GREENHOUSE = '{"jobs":[{"id":5%1$d,"title":"경력 SRE","absolute_url":"https://boards.greenhouse.io/x/5","location":{"name":"Remote"},"content":"&lt;p&gt;Kubernetes&lt;/p&gt;"}]}'
+ASHBY = '{"jobs":[{"id":"a%1$d","title":"ML Engineer","jobUrl":"https://jobs.ashbyhq.com/x/a","location":"Seoul"}]}'
+#: Families and their payloads by page number, and what comes of each: external id's beginning, title, location, career type, error.
+LANDED = (
+    ("jsonld", LD, "A-", "Backend Engineer", "Seoul, KR", None, None), ("next_data", NEXT, "7", "신입 데이터 분석", None, "new_comer", None), ("html_listing", LISTING, "11", "플랫폼 개발자", None, None, None), ("lever", LEVER, "x", "Data Engineer", "Seoul", None, None),
+    ("greenhouse", GREENHOUSE, "5", "경력 SRE", "Remote", "experienced", None), ("ashby", ASHBY, "a", "ML Engineer", "Seoul", None, None), ("lever", "<broken %1$d", None, None, None, None, "listing_parse_error: ValueError"), ("nobody", "{%1$d}", None, None, None, None, "unsupported_connector"),
+    ("browser", LISTING, "11", "플랫폼 개발자", None, None, None),
+)
 
 
-@query(
-    """SELECT * FROM (VALUES (1, 'A-1', 'Backend Engineer', 'Seoul, KR', NULL, NULL), (2, '7', '신입 데이터 분석', NULL, 'new_comer', NULL), (3, '11', '플랫폼 개발자', NULL, NULL, NULL), (4, 'x1', 'Data Engineer', 'Seoul', NULL, NULL), (5, '5', '경력 SRE', 'Remote', 'experienced', NULL),
-(6, NULL, NULL, NULL, NULL, 'listing_parse_error: ValueError'), (7, NULL, NULL, NULL, NULL, 'unsupported_connector'), (8, '11', '플랫폼 개발자', NULL, NULL, NULL)) t(source_id, external_id, title, location, career_type, error)"""
-)
+def value(v) -> str:
+    return "NULL::VARCHAR" if v is None else "'" + v + "'"
+
+
+@query(f"SELECT page_id AS source_id, ident || page_id AS external_id, title, location, career_type, error FROM pages JOIN (VALUES {', '.join(f'({i}, ' + ', '.join(map(value, row[2:])) + ')' for i, row in enumerate(LANDED))}) t(i, ident, title, location, career_type, error) ON page_id % {len(LANDED)} = i")
 def connector_openings(spark, sf_dir):
-    df = spark.createDataFrame([(*p, "https://jobs.example.org/") for p in PAYLOADS], "source_id int, family string, payload string, base_url string")
+    k = F.col("page_id")
+    payload = F.format_string(LANDED[-1][1], k)
+    for i, row in enumerate(LANDED[:-1]):
+        payload = F.when(k % len(LANDED) == i, F.format_string(row[1], k)).otherwise(payload)
+    df = table(spark, sf_dir, "pages").select(k.alias("source_id"), pick([row[0] for row in LANDED], k).alias("family"), payload.alias("payload"), F.lit("https://jobs.example.org/").alias("base_url"))
     return openings.parse(df).select("source_id", "external_id", "title", "location", "career_type", "error")
 
 
@@ -131,13 +157,28 @@ def page_openings(spark, sf_dir):
     return openings.parse(df).select("source_id", "external_id", "url", "title", "error")
 
 
-CHECKS = [(1, '{"jobs":[{"id":1},{"id":2,"status":"closed"}],"total":2}'), (2, '{"jobs":[],"total":0}'), (3, '{"jobs":[]}'), (4, '{"error":"denied"}'), (5, '{"jobs":[{"id":1}],"total":9}'), (6, '{"items":[{"id":1}],"hasNext":true}'), (7, "oops"), (8, 'cb({"list":[{"id":1}]});'), (9, '{"title":"x"}')]
+#: A customer's orders as a listing, by number: what surrounds the list (%s the items, %d their number), its address, and the state that comes of it.
+LISTINGS = (
+    ('{"jobs":[%s],"total":%d}', "", "complete"), ('{"jobs":[%s],"total":1%d}', "", "incomplete"), ('{"data":{"list":[%s],"page":1,"totalPages":1},"n":%d}', "", "complete"), ('{"data":{"list":[%s],"page":1,"totalPages":3},"n":%d}', "", "incomplete"), ('{"items":[%s],"hasNext":true,"n":%d}', "", "incomplete"),
+    ('{"items":[%s],"hasNext":false,"n":%d}', "?page=1", "complete"), ('{"items":[%s],"n":%d}', "?page=1", "incomplete"), ('{"items":[%s],"n":%d}', "?page=2&size=1000", "incomplete"), ('{"items":[%s],"n":%d}', "?page=1&size=1000", "complete"), ('{"items":[%s],"n":%d}', "?limit=1", "incomplete"),
+    ('{"results":[%s],"meta":{"error":{"code":%d}}}', "", "error_envelope"), ('cb({"list":[%s],"n":%d});', "", "complete"), ('{"jobs":[],"was":[%s],"total":0,"n":%d}', "", "empty"), ('{"jobs":[],"was":[%s],"n":%d}', "", "unexplained_empty"), ('{"list":[%s],"filteredCount":%d,"total":99999}', "", "complete"),
+    ('oops [%s] %d', "", "listing_parse_error"), ('{"was":[%s],"n":%d}', "", "missing_collection"), ("<p>No open positions</p><!--%s %d-->", "", "empty"), ('<a class="next" href="/p">more</a><!--%s %d-->', "", "incomplete"),
+)
 
 
-@query("SELECT * FROM (VALUES (1, 'complete', 2, 1), (2, 'empty', 0, 0), (3, 'unexplained_empty', 0, 0), (4, 'error_envelope', 0, 0), (5, 'incomplete', 1, 1), (6, 'incomplete', 1, 1), (7, 'listing_parse_error', 0, 0), (8, 'complete', 1, 1), (9, 'missing_collection', 0, 0)) t(id, state, listed, active)")
+@query(
+    f"""SELECT source_id, state, CASE WHEN state IN ('complete', 'incomplete') AND source_id % {len(LISTINGS)} < 17 THEN n ELSE 0 END::INTEGER AS listed, CASE WHEN state IN ('complete', 'incomplete') AND source_id % {len(LISTINGS)} < 17 THEN active ELSE 0 END::INTEGER AS active
+FROM (SELECT o_custkey AS source_id, {[row[2] for row in LISTINGS]}[o_custkey % {len(LISTINGS)} + 1] AS state, count(*) AS n, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 7 <> 0) AS active FROM orders GROUP BY 1)"""
+)
 def listing_completeness(spark, sf_dir):
-    df = spark.createDataFrame(CHECKS, "id int, payload string").select("id", listing_checks.listing_verdict("payload").alias("v"))
-    return df.select("id", "v.state", F.col("v.rows").alias("listed"), "v.active")
+    k = F.col("source_id")
+    item = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "closed").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(True)).alias("isHidden")))
+    some = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source_id")).agg(F.array_join(F.collect_list(item), ",").alias("items"), F.count("*").alias("n"))
+    payload = F.format_string(LISTINGS[-1][0], "items", "n")
+    for i, row in enumerate(LISTINGS[:-1]):
+        payload = F.when(k % len(LISTINGS) == i, F.format_string(row[0], "items", "n")).otherwise(payload)
+    df = some.select("source_id", listing_checks.listing_verdict(payload, F.concat(F.lit("https://jobs.example.org/list"), pick([row[1] for row in LISTINGS], k))).alias("v"))
+    return df.select("source_id", "v.state", F.col("v.rows").alias("listed"), "v.active")
 
 
 @query("SELECT o_orderpriority AS listing, items, distinct_items, items = distinct_items AND items = stated AS complete FROM (SELECT o_orderpriority, count(o_orderkey) AS items, count(DISTINCT o_orderkey) AS distinct_items, count(*) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS stated FROM orders GROUP BY 1)")
@@ -147,14 +188,16 @@ def paged_listing_merge(spark, sf_dir):
     return openings.combined_pages(orders.join(totals, "o_orderpriority"), "o_orderpriority", "total", "o_orderkey").select(F.col("o_orderpriority").alias("listing"), "items", "distinct_items", "complete")
 
 
-SITEMAP = "<urlset><url><loc>https://jobs.example.org/jobs/1</loc></url><url><loc>https://jobs.example.org/jobs/1</loc></url><url><loc>https://jobs.example.org/about</loc></url><url><loc>https://other.example/jobs/2</loc></url></urlset>"
-ROBOTS = "User-agent: *\nSitemap: https://jobs.example.org/sitemap-jobs.xml"
-
-
-@query("SELECT * FROM (VALUES ('https://jobs.example.org/jobs/1'), ('https://jobs.example.org/sitemap-jobs.xml')) t(url)")
+@query(
+    """SELECT page_id, u AS url FROM (SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages) CROSS JOIN LATERAL (SELECT unnest(CASE WHEN page_id % 4 = 3 THEN ['https://' || host || '/sitemap-' || page_id || '.xml'] ELSE ['https://' || host || '/jobs/' || page_id, 'https://' || host || '/careers/' || page_id || '?id=1'] END) AS u)"""
+)
 def sitemap_discovery(spark, sf_dir):
-    df = spark.createDataFrame([(SITEMAP, "https://jobs.example.org/"), (ROBOTS, "https://jobs.example.org/")], "xml string, base_url string")
-    return openings.sitemap_urls(df).select("url")
+    """A sitemap for each page's host, every fourth a robots file: postings (one twice), another page, another host."""
+    k, host = F.col("page_id"), F.lower(F.try_parse_url("url", F.lit("HOST")))
+    locs = "<urlset><url><loc>https://%2$s/jobs/%1$d</loc></url><url><loc>\n https://%2$s/jobs/%1$d </loc></url><url><loc><![CDATA[https://%2$s/careers/%1$d?id=1]]></loc></url><url><loc>https://%2$s/about</loc></url><url><loc>https://other.invalid/jobs/%1$d</loc></url></urlset>"
+    xml = F.when(k % 4 == 3, F.format_string("User-agent: *\nSitemap: https://%2$s/sitemap-%1$d.xml\nDisallow: /jobs/x", k, host)).otherwise(F.format_string(locs, k, host))
+    df = table(spark, sf_dir, "pages").select("page_id", xml.alias("xml"), F.concat(F.lit("https://"), host, F.lit("/")).alias("base_url"))
+    return openings.sitemap_urls(df, keep=("page_id",)).select("page_id", "url")
 
 
 CHALLENGED = " OR ".join(f"contains(lower(body), '{x}')" for x in listing_checks.CHALLENGES)

@@ -135,10 +135,19 @@ def position_summaries(spark, sf_dir):
     return rows.select("company_id", ingest.position_summary(F.col("ps")).alias("s")).select("company_id", "s.*")
 
 
-@query("SELECT * FROM (VALUES (1, 'https://x.example/p?page=2'), (2, NULL), (3, 'https://x.example/3')) t(id, next_url)")
+#: Ends of listing pages, and the next page each names (%d the page).
+ENDS = (
+    ('<a href="/a">1</a><a rel="next" href="/p?page=%1$d">&gt;</a>', "https://x.example/p?page="), ('<div class="pagination"><a class="next disabled" href="/p?page=%1$d">next</a></div>', None), ('<a class="btn next" href="https://x.example/%1$d">next</a>', "https://x.example/"),
+    ('<a class="next" aria-disabled="true" href="/%1$d">next</a>', None),
+)
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://x.example/p?page=' || page_id WHEN 2 THEN 'https://x.example/' || page_id END AS next_url FROM pages")
 def listing_next_page(spark, sf_dir):
-    rows = [(1, '<a href="/a">1</a><a rel="next" href="/p?page=2">&gt;</a>'), (2, '<div class="pagination"><a class="next disabled" href="/p?page=9">next</a></div>'), (3, '<a class="btn next" href="https://x.example/3">next</a>')]
-    return spark.createDataFrame(rows, "id int, html string").select("id", markup.html_next_page("html", F.lit("https://x.example/list")).alias("next_url"))
+    k, end = F.col("page_id"), F.lit("")
+    for i, (html, _) in enumerate(ENDS):
+        end = F.when(k % 5 == i, F.format_string(html, k)).otherwise(end)
+    return table(spark, sf_dir, "pages").select("page_id", markup.html_next_page(F.concat("html", end), F.lit("https://x.example/list")).alias("next_url"))
 
 
 @query(sql("SELECT family AS f, '| ' || family || ' | ' || n || ' |' AS line FROM (SELECT family, count(*) AS n FROM s GROUP BY 1)", SOURCES))

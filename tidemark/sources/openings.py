@@ -235,10 +235,10 @@ def combined_pages(pages: DataFrame, listing: str, total: str, item: str, url: s
     return pages.groupBy(listing).agg(F.count(item).alias("items"), F.countDistinct(item).alias("distinct_items"), F.min(total).alias("lo"), F.max(total).alias("hi")).withColumn("complete", (F.col("lo") == F.col("hi")) & (F.col("items") == F.col("distinct_items")) & (F.col("items") == F.col("hi")))
 
 
-def sitemap_urls(df: DataFrame, xml: str = "xml", base: str = "base_url") -> DataFrame:
-    """Addresses like a posting's in sitemaps or robots files, each once, on the file's own host."""
+def sitemap_urls(df: DataFrame, xml: str = "xml", base: str = "base_url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Addresses like a posting's in sitemaps or robots files, each once, on the file's own host; ``keep`` names columns that go along."""
     locs = F.regexp_extract_all(F.col(xml), F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)"), F.lit(1))
     robots = F.regexp_extract_all(F.col(xml), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
-    rows = df.select(base, F.explode(F.concat(locs, robots)).alias("url"))
+    rows = df.select(*keep, base, F.explode(F.concat(locs, robots)).alias("url"))
     own = F.try_parse_url(F.col("url"), F.lit("HOST")) == F.try_parse_url(F.col(base), F.lit("HOST"))
     return rows.filter(own & (F.col("url").rlike("(?i)" + r"/(?:jobs?|careers?|recruit(?:ment)?|positions?|openings?|posting)(?:/|[?#-])") | F.col("url").rlike(r"(?i)sitemap"))).distinct()
