@@ -112,8 +112,9 @@ def for_tokens(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
 
 
 def grams(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size)))
+    """Distinct runs of ``size`` characters; a shorter text has none."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
 
 
 def containing(texts: DataFrame, key: str, text: str, queries: DataFrame, query: str, size: int = 3) -> DataFrame:
@@ -124,7 +125,7 @@ def containing(texts: DataFrame, key: str, text: str, queries: DataFrame, query:
     those.  Only keys move with the runs, and only runs that a query asks for.
     """
     asked = queries.filter(F.length(query) > 0).withColumn("_gram", F.explode(F.when(F.length(query) >= size, grams(F.col(query), size)).otherwise(F.array(F.col(query)))))
-    every = F.flatten(F.array(*(F.filter(grams(F.col(text), s), lambda g, s=s: F.length(g) == s) for s in range(1, size + 1))))
+    every = F.flatten(F.array(*(grams(F.col(text), s) for s in range(1, size + 1))))
     spots = texts.select(key, F.explode(every).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
     often = spots.groupBy("_gram").agg(F.count("*").alias("_n"))
     rarest = asked.join(often, "_gram").groupBy(*queries.columns).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
