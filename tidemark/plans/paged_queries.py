@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.analog import table
-from tidemark.sources import paged
+from tidemark.sources import details, paged
 from tidemark.sources.store import cut
 
 QUERIES: dict = {}
@@ -94,3 +94,57 @@ FROM c QUALIFY family = 'lge' OR row_number() OVER (PARTITION BY source_id, id O
 )
 def paged_listing_openings(spark, sf_dir):
     return paged.openings(payloads(spark, sf_dir)).drop("employment_type")
+
+
+# Details: an order is a reference, its family by number; every eleventh has a fault.
+LONG = "<p>Work on orders of many kinds, from the first request to the last delivery, with people who care for what they ship every single day.</p>"
+KINDS = ("hyundai", "kia", "lg", "hanwha", "smilegate", "woowahan", "kakaobank", "workable")
+#: Payloads by family: %1$s the id, %2$s the title, %3$s the text.
+BODIES = (
+    '{"data":{"applyInfo":{"recuYy":"%1$s","recuType":"N","recuCls":"1","recuNoticeNm":"%2$s","privJdDtl":"%3$s","privMustReq":"&lt;p&gt;SQL&lt;/p&gt;","aboutTeamNtc":"<style>p{}</style> ","etc":"<p>etc</p>"}}}',
+    '{"data":{"applyInfo":{"recuYy":"%1$s","recuType":"N","recuCls":"1","recuNoticeNm":"%2$s","prefReq":"%3$s"}}}',
+    '{"data":{"jobNoticesDetail":{"jobNoticesDetail":{"jobNoticeId":"%1$s","jobNoticeName":"%2$s","recProcessInfo":"<p>steps</p>"},"recList":[{"jobNoticeId":"%1$s","orgName":"R & D","jobGroupName":"R & D","detailContext":"%3$s"},{"requiredItem":""}]}}}',
+    '{"data":{"item":{"rtSeq":"%1$s","rtNm":"%2$s","unitDt":[{"rtSeq":"%1$s","ruDtlJob":"%3$s","ruWorkpl":"Seoul"}],"rtEct":"<p>more</p>"}}}',
+    '{"announceSeq":"%1$s","title":"%2$s","workInfo":"%3$s","specialDesc":"<script>x</script><p>bonus</p>"}',
+    '{"code":"2000","data":{"recruitNumber":"%1$s","recruitName":"%2$s","recruitContents":"%3$s","careerType":{"recruitItemCode":"BA003002"},"employmentType":{"recruitItemCode":"BA002001"},"careerRestrictionMinYears":3,"isHidden":true,"recruitOpenDate":"2026-07-01"}}',
+    '{"recruitNoticeSn":"%1$s","recruitNoticeName":"  %2$s ","contents":"%3$s","receiveEndDatetime":"2026-08-01"}',
+    '{"id":"%1$s","title":"%2$s","description":"%3$s","requirements":"<p>SQL</p>","type":"full","published":"2026-07-02"}',
+)
+#: What comes of them: the description around the text, status, career, employment, least years, opens, closes.
+MADE = (
+    ("<section><h2>직무 상세</h2>{0}</section><section><h2>필수 요건</h2><p>SQL</p></section><section><h2>기타</h2><p>etc</p></section>", "open", None, None, None, None, None), ("<section><h2>우대 요건</h2>{0}</section>", "open", None, None, None, None, None),
+    ("<section><h2>R &amp; D</h2><section><h3>직무 내용</h3>{0}</section></section><section><h2>전형 절차</h2><p>steps</p></section>", "open", None, None, None, None, None),
+    ("<section><h2>모집 직무</h2>{0}<p>근무지: Seoul</p></section><section><h2>기타 안내</h2><p>more</p></section>", "open", None, None, None, None, None), ("<section><h2>담당 업무</h2>{0}</section><section><h2>우대 사항</h2><p>bonus</p></section>", "open", None, None, None, None, None),
+    ("{0}", "closed", "experienced", "regular", 3, "2026-07-01", None), ("{0}", "open", None, None, None, None, "2026-08-01"), ("{0}<section><h2>자격 요건</h2><p>SQL</p></section>", "open", None, "regular", None, "2026-07-02", None),
+)
+FAULTS = ("hydrated", "missing", "invalid_payload", "identity_mismatch", "title_mismatch", "not_substantive", "hydrated", "missing_content", "hydrated", "hydrated", "hydrated")
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+
+
+@query(
+    "SELECT k AS source_id, kind AS family, external_id, state, CASE WHEN state = 'hydrated' THEN status END AS status, CASE WHEN state = 'hydrated' THEN sha256(replace(made, '{0}', '" + LONG + "' || '<p>' || o_orderpriority || '</p>')) END AS description_sha256, "
+    + ", ".join(f"CASE WHEN state = 'hydrated' THEN {c} END AS {c}" for c in ("career_type", "employment_type", "career_min", "opens_at", "closes_at"))
+    + f" FROM (SELECT *, o_orderkey AS k, o_orderkey::VARCHAR || CASE WHEN o_orderkey % 8 < 2 THEN '-N-1' ELSE '' END AS external_id, CASE WHEN {list(FAULTS)}[o_orderkey % 11 + 1] = 'missing_content' AND o_orderkey % 8 > 3 THEN CASE WHEN o_orderkey % 8 = 5 THEN 'failed' ELSE 'identity_mismatch' END ELSE {list(FAULTS)}[o_orderkey % 11 + 1] END AS state FROM orders) JOIN (VALUES "
+    + ", ".join(f"({i}, '{KINDS[i]}', " + ", ".join(map(literal, row)) + ")" for i, row in enumerate(MADE)) + ") t(i, kind, made, status, career_type, employment_type, career_min, opens_at, closes_at) ON i = k % 8"
+)
+def detail_hydration(spark, sf_dir):
+    k = F.col("k")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    family = F.element_at(F.array(*map(F.lit, KINDS)), (k % 8 + 1).cast("int"))
+    title = F.concat(F.lit("Order "), k.cast("string"))
+    references = o.select(k.alias("source_id"), family.alias("family"), F.concat(k.cast("string"), F.when(k % 8 < 2, "-N-1").otherwise("")).alias("external_id"), F.lit("https://x.example").alias("url"), title.alias("title"))
+    fault = k % 11
+    said_id = F.when(fault == 3, k + 1).otherwise(k).cast("string")
+    said_title = F.when(fault == 4, "Another").otherwise(title)
+    text = F.when(fault == 5, "<p>short</p>").otherwise(F.concat(F.lit(LONG + "<p>"), "o_orderpriority", F.lit("</p>")))
+    body = F.format_string(BODIES[-1], said_id, said_title, text)
+    for i, b in enumerate(BODIES[:-1]):
+        body = F.when(k % 8 == i, F.format_string(b, said_id, said_title, text)).otherwise(body)
+    body = F.when(fault == 2, "{").when(fault == 7, "{}").otherwise(body)
+    landed = o.filter(fault != 1).select(k.alias("source_id"), family.alias("family"), F.concat(k.cast("string"), F.when(k % 8 < 2, "-N-1").otherwise("")).alias("external_id"), body.alias("payload"), F.lit(1).alias("fetched_at"))
+    older = landed.filter("source_id % 3 = 0").withColumn("payload", F.lit("{")).withColumn("fetched_at", F.lit(0))
+    found = details.hydrated(references, cut(landed.unionByName(older)))
+    return found.select("source_id", "family", "external_id", "state", "status", F.sha2("description_html", 256).alias("description_sha256"), "career_type", "employment_type", "career_min", "opens_at", "closes_at")
