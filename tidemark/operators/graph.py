@@ -7,10 +7,12 @@ after works on the small edge table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.market import pairs
+from tidemark.operators.market import pairs, supporting
 from tidemark.sources.store import cut
 
 
@@ -143,18 +145,46 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("skill").agg(F.count("*").alias("degree"))
 
 
+def bounded_to(c: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+
+
+def node_size(demand: Column, largest: Column) -> Column:
+    """3.8 to 12.5 by the logarithm of demand against the largest, at least 4."""
+    share = F.log1p(F.greatest(F.coalesce(demand, F.lit(0)), F.lit(0)).cast("double")) / F.log1p(F.greatest(F.lit(1), largest).cast("double"))
+    return bounded_to(F.lit(3.8) + share * 8.7, 4.0, 12.5)
+
+
+def link_weight(score: Column) -> Column:
+    """0.6 to 1 by score; what is no number counts as 0."""
+    plain = F.when(score.isNull() | F.isnan(score), 0.0).otherwise(score)
+    return bounded_to(F.lit(0.6) + bounded_to(plain, 0.0, 1.0) * 0.4, 0.6, 1.0)
+
+
+def sized(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Nodes with degree and size."""
+    largest = node.agg(F.max("demand_count")).scalar()
+    return node.join(degrees(edge), "skill", "left").fillna({"degree": 0}).withColumn("size", node_size(F.col("demand_count"), largest))
+
+
 def layout(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """Degree, size and a place on a spiral by demand for every node."""
-    ranked = node.join(degrees(edge), "skill", "left").fillna({"degree": 0}).withColumn("i", F.row_number().over(Window.orderBy(F.desc("demand_count"), "skill")) - 1)
-    angle, radius = F.col("i") * 2.399963229728653, F.sqrt(F.col("i") + 1) * 12.0
-    size = F.least(F.lit(12.5), F.greatest(F.lit(4.0), F.lit(2.0) + F.log1p(F.col("demand_count").cast("double"))))
-    return ranked.select("skill", "demand_count", "degree", size.alias("size"), F.round(radius * F.cos(angle), 4).alias("x"), F.round(radius * F.sin(angle), 4).alias("y"))
+    """Degree, size and place of every node: by demand around a circle once, each farther out by the root of its number."""
+    total = node.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    ranked = sized(node, edge).withColumn("i", F.row_number().over(Window.orderBy(F.desc("demand_count"), F.desc("required_count"), F.lower("skill"))) - 1)  # a dictionary's nodes
+    angle, radius = F.col("i") / total * (2 * math.pi), F.lit(120.0) + F.sqrt(F.col("i") + 1) * 18.0
+    return ranked.select("skill", "demand_count", "degree", F.round("size", 6).alias("size"), rounded(F.cos(angle) * radius, 3).alias("x"), rounded(F.sin(angle) * radius, 3).alias("y"))
+
+
+def links(edge: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(source, target, weight, kind) of what is drawn: edges of the graph and, if given, those from a skill to its evidence."""
+    out = edge.select("source", "target", F.round(link_weight(F.col("score")), 6).alias("weight"), F.lit("cooccurrence").alias("kind"))
+    return out if evidence is None else out.unionByName(evidence.select("source", "target", F.round(link_weight(F.col("score")), 6).alias("weight"), F.lit("evidence").alias("kind")))
 
 
 def hub_labels(node: DataFrame, edge: DataFrame, owned: list[str], n: int = 24) -> DataFrame:
-    weighed = node.join(degrees(edge), "skill", "left").fillna({"degree": 0})
-    score = 3 * F.col("degree") + F.col("demand_count") + 10 * F.col("skill").isin(*owned).cast("int")
-    return weighed.withColumn("label_score", score).orderBy(F.desc("label_score"), "skill").limit(n).select("skill", "label_score")
+    """The nodes to label: three times the degree, demand, twice the size, and ten for what the user has."""
+    score = 3 * F.col("degree") + F.col("demand_count") + 2 * F.col("size") + 10 * F.col("skill").isin(*owned).cast("int")
+    return sized(node, edge).withColumn("label_score", F.round(score, 6)).orderBy(F.desc("label_score"), "skill").limit(n).select("skill", "label_score")
 
 
 def by_rank() -> Column:
@@ -335,4 +365,18 @@ def domain_labels(node: DataFrame, skill_domains: DataFrame, n: int) -> DataFram
 
 def detail_level(zoom):
     """How much of the graph a zoom shows."""
-    return F.when(zoom < 0.35, "overview").when(zoom < 0.9, "hubs").when(zoom < 1.8, "labels").otherwise("full")
+    return F.when(zoom < 0.72, "node-only").when(zoom < 1.35, "hub-labels").otherwise("neighborhood-detail")
+
+
+def answer(found: DataFrame, seed: str | None, depth: int, limit: int, evidence: int = 5) -> DataFrame:
+    """One answer about the graph, as rows (kind, key, other, value): its nodes with demand, the edges between them with score, and the postings that support those."""
+    node, edge = nodes(found), cut(edges(found, seed))
+    shown = cut(shown_skills(found, edge, node, seed, depth, limit).select("skill"))
+    drawn = cut(visible(edge, shown))
+    ids = supporting(found, evidence).join(drawn.select("source", "target"), ["source", "target"], "left_semi").select(F.explode("posting_ids").alias("id")).distinct()
+    none = F.lit(None)
+    return (
+        node.join(shown, "skill", "left_semi").select(F.lit("node").alias("kind"), F.col("skill").alias("key"), none.cast("string").alias("other"), F.col("demand_count").cast("double").alias("value"))
+        .unionByName(drawn.select(F.lit("edge").alias("kind"), F.col("source").alias("key"), F.col("target").alias("other"), F.col("score").alias("value")))
+        .unionByName(ids.select(F.lit("evidence").alias("kind"), F.col("id").cast("string").alias("key"), none.cast("string").alias("other"), none.cast("double").alias("value")))
+    )

@@ -101,12 +101,32 @@ def distribution(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.when(F.col(label) != "", F.col(label)), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
 
 
-def company_groups(found: DataFrame, postings: DataFrame, skills: int = 5) -> DataFrame:
-    """Search results by company: postings, the latest one, the leading skills in one string."""
-    jobs = postings.filter(F.col("status") == "open").groupBy("company_id", "company_name").agg(F.count("*").alias("posting_count"), F.max(F.struct("first_seen_at", "posting_id")).alias("last"))
+def company_skills(found: DataFrame) -> DataFrame:
+    """Per company and skill (letter case aside) how many postings ask for it, by requirement, with ``rank`` in the company."""
+    by = lambda k: _count(F.col("requirement_type") == k).alias(f"{k}_count")
+    key = F.lower(F.trim("skill"))
+    each = found.filter(key != "").groupBy("company_id", key.alias("skill_key")).agg(F.min(F.trim("skill")).alias("skill"), F.count("*").alias("posting_count"), by("required"), by("preferred"), by("unspecified"))
+    order = Window.partitionBy("company_id").orderBy(F.desc("posting_count"), F.desc("required_count"), F.desc("preferred_count"), "skill_key")
+    return each.withColumn("rank", F.row_number().over(order)).drop("skill_key")
+
+
+def combinations(found: DataFrame, n: int = 3, selected: str = "") -> DataFrame:
+    """The pairs of skills that most postings hold together, of those with the selected skill if one is named."""
+    both = pairs(found)
+    wanted = selected.strip().lower()
+    if wanted:
+        both = both.filter((F.lower("source") == wanted) | (F.lower("target") == wanted))
+    return both.orderBy(F.desc("support"), F.concat_ws("::", "source", "target")).limit(n).select("source", "target", F.col("support").alias("posting_count"))
+
+
+def company_groups(found: DataFrame, postings: DataFrame, skills: int = 5, url: str | None = None) -> DataFrame:
+    """Search results by company: postings, the latest one (with its address, if ``url`` names the column), the leading skills in one string."""
+    last = F.max(F.struct("first_seen_at", "posting_id", *([F.col(url).alias("url")] if url else [])))
+    jobs = postings.filter(F.col("status") == "open").groupBy("company_id", "company_name").agg(F.count("*").alias("posting_count"), last.alias("last"))
     leading = top(found.groupBy("company_id", "skill").agg(F.count("*").alias("n")), "company_id", skills, F.desc("n"), F.asc("skill"))
     leading = leading.groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill"))), lambda x: x["skill"]), ",").alias("top_skills"))
-    return jobs.join(leading, "company_id", "left").select("company_id", "company_name", "posting_count", F.col("last.posting_id").alias("latest_posting"), F.coalesce("top_skills", F.lit("")).alias("top_skills"))
+    more = [F.col("last.url").alias("source_url")] if url else []
+    return jobs.join(leading, "company_id", "left").select("company_id", "company_name", "posting_count", F.col("last.posting_id").alias("latest_posting"), F.coalesce("top_skills", F.lit("")).alias("top_skills"), *more)
 
 
 def weekly_trend(demand: DataFrame, weeks: int, skills: list[str] | None = None, minimum: int = 4) -> DataFrame:

@@ -122,7 +122,9 @@ def feed(posts: DataFrame, jobs: DataFrame, limit: int, insights: DataFrame | No
 
 
 def popular(posts: DataFrame, tab: str, followed: Sequence = ()) -> DataFrame:
-    """Order of a feed's tab: popular, following or latest."""
+    """Order of a feed's tab: recommended (as it comes, by ``rank``), popular, following or latest."""
+    if tab == "recommended":
+        return posts.orderBy("rank")
     if tab == "popular":
         return posts.orderBy((F.col("reaction_count") + 2 * F.col("comment_count") + F.col("save_count")).desc(), F.desc("created_at"), "post_id")
     if tab == "following":

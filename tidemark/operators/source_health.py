@@ -90,18 +90,33 @@ def directory_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("collecting"), F.desc("open_postings"), F.lower("company_name"))
 
 
-def body_quality(bodies: DataFrame, group: str, key: str, text: str, images: Column | None = None, examples: int = 3) -> DataFrame:
-    """Per group: substantive, image-only and sparse bodies, and the first few sparse ids."""
+def body_quality(bodies: DataFrame, group: str, key: str, text: str, images: Column | None = None, examples: int = 3, with_skill: Column | None = None) -> DataFrame:
+    """Per group: substantive, image-only and sparse bodies, those without a skill, and the first few sparse ids."""
     size = F.length(collapsed(F.coalesce(F.col(text), F.lit(""))))
-    pictures = images if images is not None else F.lit(0)
-    rows = bodies.select(group, key, (size >= MIN_BODY).alias("long"), (pictures > 0).alias("pictured"))
+    pictures = F.coalesce(images, F.lit(0)) if images is not None else F.lit(0)
+    skilled = F.coalesce(with_skill, F.lit(False)) if with_skill is not None else F.lit(True)
+    rows = bodies.select(group, key, (size >= MIN_BODY).alias("long"), (pictures > 0).alias("pictured"), skilled.alias("skilled"))
     sparse = ~F.col("long") & ~F.col("pictured")
-    counts = rows.groupBy(group).agg(_n(F.col("long") | F.col("pictured")).alias("substantive"), _n(~F.col("long") & F.col("pictured")).alias("image_only"), _n(sparse).alias("sparse"))
+    counts = rows.groupBy(group).agg(
+        _n(F.col("long") | F.col("pictured")).alias("substantive"), _n(~F.col("long") & F.col("pictured")).alias("image_only"), _n(sparse).alias("sparse"), _n(~F.col("skilled")).alias("zero_skill")
+    )
     # The few examples come from a ranked cut, not from gathering a group's ids.
     first = top(rows.filter(sparse).select(group, key), group, examples, F.asc(key)).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k.cast("string")), ",").alias("examples"))
     return counts.join(first, group, "left").fillna({"examples": ""})
 
 
+def with_quality(items: DataFrame, quality: DataFrame) -> DataFrame:
+    """Monitored sources with the quality of their open postings' bodies (``body_quality`` by source_id); what has none counts 0."""
+    names = {n: f"{n}_open_postings" for n in ("substantive", "image_only", "sparse", "zero_skill")}
+    q = quality.select("source_id", *(F.col(a).alias(b) for a, b in names.items()), F.col("examples").alias("sparse_examples"))
+    return items.join(q, "source_id", "left").fillna(dict.fromkeys(names.values(), 0) | {"sparse_examples": ""})
+
+
+def error_tops(sources: DataFrame, n: int) -> DataFrame:
+    """Failing sources by error and name."""
+    return sources.filter(F.col("last_error_code").isNotNull()).orderBy(F.coalesce("last_error_code", F.lit("")), "company_name", "source_id").limit(n)
+
+
 def report_tops(sources: DataFrame, n: int) -> DataFrame:
     """Sources by priority, open postings and name, all descending."""
     return sources.orderBy(F.desc("priority"), F.desc("open_postings"), F.desc("company_name")).limit(n)

@@ -83,6 +83,20 @@ def feed_popular(spark, sf_dir):
     return rank.popular(rows, "popular").limit(25).select("post_id", "score")
 
 
+TAB = "SELECT '{0}' AS tab, post_id, CAST(row_number() OVER (ORDER BY {1}) AS INT) AS place FROM cn {2} QUALIFY place <= 15"
+
+
+@query(sql(" UNION ALL ".join((TAB.format("recommended", "post_id % 13, post_id", ""), TAB.format("following", "created_at DESC, post_id DESC", "WHERE author_id IN (2, 5)"), TAB.format("latest", "created_at DESC, post_id DESC", ""), TAB.format("popular", "reaction_count + 2 * comment_count + save_count DESC, created_at DESC, post_id", ""))), POSTS, COMMENTS, COUNTERS))
+def feed_tabs(spark, sf_dir):
+    rows = _counted(spark, sf_dir).withColumn("rank", F.struct((F.col("post_id") % 13).alias("a"), "post_id"))
+    out = None
+    for tab in ("recommended", "following", "latest", "popular"):
+        first = rank.popular(rows, tab, (2, 5)).limit(15).withColumn("n", F.monotonically_increasing_id())
+        one = first.select(F.lit(tab).alias("tab"), "post_id", F.row_number().over(Window.orderBy("n")).alias("place"))  # 15 rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(sql("""SELECT DISTINCT po.author_id AS user_id, co.author_id AS actor_id, 'comment:' || comment_id AS dedupe_key FROM co JOIN po USING (post_id) WHERE po.author_id <> co.author_id AND comment_id % 5 <> 0
 UNION ALL SELECT * FROM (VALUES (2, 1, 'follow:1'), (4, 1, 'follow:1'), (1, 2, 'follow:2'), (1, 5, 'follow:5'))""", POSTS, COMMENTS))
 def community_notices(spark, sf_dir):

@@ -188,6 +188,23 @@ def company_search_groups(spark, sf_dir):
     return market.company_groups(found(spark, sf_dir), postings(spark, sf_dir, open_only=True))
 
 
+@query(
+    sql(
+        """SELECT company_id, skill, posting_count, required_count, preferred_count, unspecified_count, CAST(row_number() OVER (PARTITION BY company_id ORDER BY posting_count DESC, required_count DESC, preferred_count DESC, lower(skill)) AS INT) AS rank
+FROM (SELECT company_id, skill, count(*) AS posting_count, count(*) FILTER (requirement_type = 'required') AS required_count, count(*) FILTER (requirement_type = 'preferred') AS preferred_count, count(*) FILTER (requirement_type = 'unspecified') AS unspecified_count FROM o GROUP BY 1, 2)""",
+        MENTIONS, POSTINGS, FOUND,
+    )
+)
+def company_skill_counts(spark, sf_dir):
+    return market.company_skills(found(spark, sf_dir))
+
+
+@query(sql("SELECT company_id, posting_count, 'https://jobs.example/' || latest_posting AS source_url FROM (SELECT company_id, count(*) AS posting_count, arg_max(posting_id, (first_seen_at, posting_id)) AS latest_posting FROM p WHERE status = 'open' GROUP BY 1)", POSTINGS))
+def company_search_sources(spark, sf_dir):
+    jobs = postings(spark, sf_dir, open_only=True).withColumn("source_url", F.concat(F.lit("https://jobs.example/"), F.col("posting_id").cast("string")))
+    return market.company_groups(found(spark, sf_dir), jobs, url="source_url").select("company_id", "posting_count", "source_url")
+
+
 @query(sql("SELECT location AS label, count(*) AS n FROM p WHERE status = 'open' GROUP BY 1", POSTINGS))
 def location_distribution(spark, sf_dir):
     return market.distribution(postings(spark, sf_dir, open_only=True).filter("status = 'open'"), "location")

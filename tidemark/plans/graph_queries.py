@@ -177,18 +177,51 @@ def graph_strongest_path(spark, sf_dir):
     return graph.strongest_path(sparse(graph.edges(found(spark, sf_dir))), [SEED], "Brand#25", 4)
 
 
-@query()
+SIZED = """
+sz AS (SELECT *, least(12.5, greatest(4.0, 3.8::DOUBLE + ln(1 + demand_count::DOUBLE) / ln(1 + greatest(1, mx)::DOUBLE) * 8.7)) AS size FROM (SELECT n.*, (SELECT count(*) FROM ej WHERE source = skill OR target = skill) AS degree, max(demand_count) OVER () AS mx FROM n))"""
+
+
+@query(
+    sql(
+        """SELECT skill, demand_count, degree, round(size, 6) AS size, floor(cos(a) * r * 1000 + 0.5) / 1000 AS x, floor(sin(a) * r * 1000 + 0.5) / 1000 AS y
+FROM (SELECT *, i::DOUBLE / c * (2 * pi()) AS a, 120.0::DOUBLE + sqrt(i + 1) * 18.0 AS r FROM (SELECT *, row_number() OVER (ORDER BY demand_count DESC, required_count DESC, lower(skill)) - 1 AS i, count(*) OVER () AS c FROM sz))""",
+        *BASE, NODES, PAIRS, JACCARD, SIZED,
+    )
+)
 def graph_layout(spark, sf_dir):
     f = found(spark, sf_dir)
     return graph.layout(graph.nodes(f), graph.edges(f))
 
 
-@query(sql("SELECT skill, 3 * degree + demand_count + CASE WHEN skill IN ('Brand#1','Brand#2','Brand#3') THEN 10 ELSE 0 END AS label_score FROM (SELECT n.*, (SELECT count(*) FROM ej WHERE source = skill OR target = skill) AS degree FROM n) ORDER BY label_score DESC, skill LIMIT 24", *BASE, NODES, PAIRS, JACCARD))
+@query(sql("SELECT source, target, round(least(1.0, greatest(0.6, 0.6::DOUBLE + least(1.0, greatest(0.0, score)) * 0.4)), 6) AS weight, 'cooccurrence' AS kind FROM ej UNION ALL SELECT skill, posting_id::VARCHAR, 1.0, 'evidence' FROM o WHERE skill = 'Brand#1' AND posting_id % 50 = 0", *BASE, NODES, PAIRS, JACCARD))
+def graph_links(spark, sf_dir):
+    f = found(spark, sf_dir)
+    evidence = f.filter((F.col("skill") == SEED) & (F.col("posting_id") % 50 == 0)).select(F.col("skill").alias("source"), F.col("posting_id").cast("string").alias("target"), F.lit(2.0).alias("score"))
+    return graph.links(graph.edges(f), evidence)
+
+
+@query(sql("SELECT skill, round(3 * degree + demand_count + 2 * size + CASE WHEN skill IN ('Brand#1','Brand#2','Brand#3') THEN 10 ELSE 0 END, 6) AS label_score FROM sz ORDER BY label_score DESC, skill LIMIT 24", *BASE, NODES, PAIRS, JACCARD, SIZED))
 def graph_hub_labels(spark, sf_dir):
     f = found(spark, sf_dir)
     return graph.hub_labels(graph.nodes(f), graph.edges(f), OWNED)
 
 
+@query(
+    sql(
+        """SELECT 'node' AS kind, skill AS key, NULL AS other, demand_count::DOUBLE AS value FROM n WHERE skill IN (SELECT skill FROM sh) UNION ALL SELECT 'edge', source, target, score FROM es WHERE source IN (SELECT skill FROM sh) AND target IN (SELECT skill FROM sh)
+UNION ALL SELECT DISTINCT 'evidence', unnest(ids[1:5])::VARCHAR, NULL, NULL FROM (SELECT a.skill AS source, b.skill AS target, list(DISTINCT a.posting_id ORDER BY a.posting_id) AS ids FROM o a JOIN o b ON a.posting_id = b.posting_id AND a.skill < b.skill WHERE a.skill IN (SELECT skill FROM sh) AND b.skill IN (SELECT skill FROM sh) GROUP BY 1, 2)""",
+        *BASE, NODES, PAIRS, SEEDED, DIRECT, "sh AS (SELECT skill FROM dn WHERE rank <= 7 UNION ALL SELECT 'Brand#1')",
+    )
+)
+def graph_answer(spark, sf_dir):
+    return graph.answer(found(spark, sf_dir), SEED, 1, 8)
+
+
+@query(sql("SELECT source, target, support AS posting_count FROM pr WHERE lower(source) = 'brand#5' OR lower(target) = 'brand#5' ORDER BY support DESC, source || '::' || target LIMIT 6", *BASE, PAIRS))
+def skill_combinations(spark, sf_dir):
+    return market.combinations(found(spark, sf_dir), 6, " brand#5 ")
+
+
 @query(sql("SELECT source, target, support FROM pr ORDER BY support DESC, source, target LIMIT 20", *BASE, PAIRS))
 def skill_pairs_top(spark, sf_dir):
     return market.pairs(found(spark, sf_dir)).select("source", "target", "support").orderBy(F.desc("support"), "source", "target").limit(20)
@@ -343,7 +376,13 @@ def career_recommendations(spark, sf_dir):
     return page.select("posting_id", "direction", (F.col("required_count") - F.col("matched_required")).cast("long").alias("missing_required"), "location_condition")
 
 
-@query()
+@query(
+    sql(
+        """SELECT direction, kind AS kind_rank, count(*) AS posting_count, count(*) FILTER (eligible) AS eligible_count FROM (SELECT be.domain AS direction, kind, tier = 1 AND (ms > 0 OR location = 'NATION_3') AND career_condition <> 'changes' AND employment_condition <> 'changes' AS eligible
+FROM be JOIN mk USING (posting_id) JOIN cc USING (posting_id) WHERE rn = 1) GROUP BY 1, 2 ORDER BY kind_rank, posting_count DESC, direction LIMIT 8""",
+        *BASE, CLASSES, CONDITIONS, RECOMMEND,
+    )
+)
 def career_directions(spark, sf_dir):
     return career.directions(_connected(spark, sf_dir))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import roles
+from tidemark.functions import labels, roles
 from tidemark.functions.domains import DOMAINS, WORK_TYPES
 from tidemark.operators import career, opening_filters
 from tidemark.plans.analog import table
@@ -166,3 +166,30 @@ SAID = f"""list_filter([CASE WHEN isrole AND role <> '' THEN printf('{career.SAY
 def profile_evidence(spark, sf_dir):
     e = career.profile_evidence(customers(spark, sf_dir))
     return e.select("user_id", "domain", "kind", F.array_join("evidence_types", ",").alias("evidence_types"), F.array_join("reasons", "|").alias("reasons"), F.array_join("matched_skills", ",").alias("matched_skills"))
+
+
+CODES = ("new_comer", "experienced", "", "odd_code", "mixed", "not_matter")
+WORK = ("FULL_TIME, CONTRACT", "정규|인턴", "", "UNKNOWN", "intern; intern", "regular/nobody")
+SPOTS = ("SEOUL", " REMOTE ", "", "UNKNOWN_CITY", "서울 강남구", "B2")
+NAMED = (
+    ("신입", "경력", "경력 미기재", "경력 조건 확인 필요", "신입·경력", "경력 무관"), ("정규직 · 계약직", "정규직 · 인턴", "고용 형태 미기재", "고용 형태 확인 필요", "인턴", "정규직"), ("서울", "원격", "근무지 미기재", "근무지 확인 필요", "서울 강남구", "근무지 확인 필요"),
+)
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 9 THEN '경력 미기재' ELSE {list(NAMED[0])}[o_orderkey % 6 + 1] END AS career, {list(NAMED[1])}[o_orderkey % 6 + 1] AS employment, CASE WHEN o_orderkey % 9 = 8 THEN o_orderpriority ELSE {list(NAMED[2])}[o_orderkey % 6 + 1] END AS location FROM orders")
+def posting_labels(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 6 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 10 != 9, pick(CODES)).alias("c"), pick(WORK).alias("w"), F.when(k % 9 == 8, F.col("o_orderpriority")).otherwise(pick(SPOTS)).alias("p"))
+    return o.select("o_orderkey", labels.career(F.col("c")).alias("career"), labels.employment(F.col("w")).alias("employment"), labels.location(F.col("p")).alias("location"))
+
+
+@query(
+    """SELECT page_id, CAST(unnest(range(1, 9)) AS INT) AS at, unnest(['heading', 'paragraph', 'list', 'paragraph', 'heading', 'list', 'paragraph', 'paragraph']) AS kind, unnest([2, NULL, NULL, NULL, 3, NULL, NULL, NULL]) AS level,
+unnest(['Part ' || page_id, 'first line', NULL, '#no head ' || page_id, 'Deep ' || page_id, NULL, 'end-of-text', '-']) AS text, unnest(['', '', 'one ' || page_id || '|two|three', '', '', 'x', '', '']) AS items FROM pages"""
+)
+def description_blocks(spark, sf_dir):
+    """A description for each page: headings, bullets within a line and on lines, white space at the ends."""
+    text = F.format_string("## Part %1$d\r\n  first line  * one %1$d\n\n- two\n•  three \n#no head %1$d #### Deep %1$d\n◦ x\n end-of-text - ", "page_id")
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(labels.description_blocks(text)).alias("at", "b"))
+    return found.select("page_id", (F.col("at") + 1).cast("int").alias("at"), "b.kind", "b.level", "b.text", F.array_join("b.items", "|").alias("items"))

@@ -90,13 +90,40 @@ def source_directory(spark, sf_dir):
     return source_health.directory(sources(spark, sf_dir), _active(spark, sf_dir), NOW)
 
 
+AUDITED = "t AS (SELECT source, doc_id, length(trim(regexp_replace(CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 60) ELSE text END, '\\s+', ' ', 'g'))) >= 120 AS long, doc_id % 4 = 0 AS pictured, contains(lower(text), 'data') AS skilled FROM documents)"
+
+
 @query(
-    """WITH t AS (SELECT source, doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 120 AS long FROM documents)
-SELECT source, count(*) FILTER (long) AS substantive, 0 AS image_only, count(*) FILTER (NOT long) AS sparse,
-  coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM t x WHERE x.source = t.source AND NOT x.long ORDER BY doc_id LIMIT 3)), '') AS examples FROM t GROUP BY source"""
+    f"""WITH {AUDITED}
+SELECT source, count(*) FILTER (long OR pictured) AS substantive, count(*) FILTER (NOT long AND pictured) AS image_only, count(*) FILTER (NOT long AND NOT pictured) AS sparse, count(*) FILTER (NOT coalesce(skilled, FALSE)) AS zero_skill,
+  coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM t x WHERE x.source = t.source AND NOT x.long AND NOT x.pictured ORDER BY doc_id LIMIT 3)), '') AS examples FROM t GROUP BY source"""
 )
 def quality_audit(spark, sf_dir):
-    return source_health.body_quality(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    """Every sixth text is cut short, every fourth has a picture, and a skill is the word data."""
+    d = table(spark, sf_dir, "documents").withColumn("skilled", F.contains(F.lower("text"), F.lit("data"))).withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")))
+    return source_health.body_quality(d, "source", "doc_id", "text", F.when(F.col("doc_id") % 4 == 0, 1), with_skill=F.col("skilled"))
+
+
+@query(
+    sql(
+        """SELECT source_id, health, open_postings, coalesce(substantive, 0) AS substantive_open_postings, coalesce(image_only, 0) AS image_only_open_postings, coalesce(sparse, 0) AS sparse_open_postings, coalesce(zero_skill, 0) AS zero_skill_open_postings, coalesce(examples, '') AS sparse_examples FROM it
+LEFT JOIN (SELECT source_id, count(*) FILTER (posting_id % 3 <> 0 OR posting_id % 5 = 0) AS substantive, count(*) FILTER (posting_id % 3 = 0 AND posting_id % 5 = 0) AS image_only, count(*) FILTER (posting_id % 3 = 0 AND posting_id % 5 <> 0) AS sparse, count(*) FILTER (posting_id % 7 = 0) AS zero_skill,
+  array_to_string(list(posting_id ORDER BY posting_id) FILTER (posting_id % 3 = 0 AND posting_id % 5 <> 0)[1:3], ',') AS examples FROM d WHERE status = 'open' GROUP BY 1) USING (source_id)""",
+        *MONITOR,
+    )
+)
+def source_monitor_quality(spark, sf_dir):
+    """Sources with the quality of their open postings: every third says little, every fifth has a picture, every seventh no skill."""
+    k = F.col("posting_id")
+    open_ = postings(spark, sf_dir, sourced=True, open_only=True).withColumn("body", F.when(k % 3 == 0, F.col("title")).otherwise(F.repeat(F.lit("word "), 30)))
+    quality = source_health.body_quality(open_, "source_id", "posting_id", "body", F.when(k % 5 == 0, 1), with_skill=k % 7 != 0)
+    items = source_health.with_quality(_items(spark, sf_dir), quality)
+    return items.select("source_id", "health", "open_postings", "substantive_open_postings", "image_only_open_postings", "sparse_open_postings", "zero_skill_open_postings", "sparse_examples")
+
+
+@query(sql("SELECT source_id, last_error_code FROM s WHERE last_error_code IS NOT NULL ORDER BY last_error_code, company_name, source_id LIMIT 10", SOURCES))
+def source_error_tops(spark, sf_dir):
+    return source_health.error_tops(sources(spark, sf_dir), 10).select("source_id", "last_error_code")
 
 
 # Incremental: documents with ids below the middle are the state, the rest the batch.

@@ -94,7 +94,7 @@ def graph_focus_view(spark, sf_dir):
     return graph.focus_view(sparse(graph.edges(found(spark, sf_dir))), "Brand#1", 40)
 
 
-@query("SELECT zoom, CASE WHEN zoom < 0.35 THEN 'overview' WHEN zoom < 0.9 THEN 'hubs' WHEN zoom < 1.8 THEN 'labels' ELSE 'full' END AS level FROM (SELECT DISTINCT (event_id % 40) / 16.0::DOUBLE AS zoom FROM events)")
+@query("SELECT zoom, CASE WHEN zoom < 0.72 THEN 'node-only' WHEN zoom < 1.35 THEN 'hub-labels' ELSE 'neighborhood-detail' END AS level FROM (SELECT DISTINCT (event_id % 40) / 16.0::DOUBLE AS zoom FROM events)")
 def graph_detail_level(spark, sf_dir):
     z = table(spark, sf_dir, "events").select((F.col("event_id") % 40 / 16.0).alias("zoom")).distinct()
     return z.withColumn("level", graph.detail_level(F.col("zoom")))
@@ -157,7 +157,12 @@ def source_report_markdown(spark, sf_dir):
     return lines.select(F.regexp_extract("line", r"^\| (\w+)", 1).alias("f"), "line")
 
 
-@query()
+@query(
+    sql(
+        f"""SELECT CAST(to_json(struct_pack(totals := (SELECT t FROM (SELECT {source_queries.FAMILY} FROM it) t), families := (SELECT list(f ORDER BY f.family) FROM (SELECT family, {source_queries.FAMILY} FROM it GROUP BY 1) f))) AS VARCHAR) AS report""",
+        *source_queries.MONITOR,
+    )
+)
 def source_report_json(spark, sf_dir):
     families = source_health.family_health(source_queries._items(spark, sf_dir))
     return source_health.report_json(families.filter("is_total").drop("family", "is_total"), families.filter("not is_total").drop("is_total"))
