@@ -21,6 +21,13 @@ def clipped(c: Column, size: int = 120) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 1), F.lit("…")))
 
 
+def unescaped(c: Column) -> Column:
+    """The five character references of XML as characters."""
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(mark))
+    return c
+
+
 def folded(c: Column) -> Column:
     return F.lower(F.trim(c))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.analog import table
-from tidemark.sources import details, paged
+from tidemark.sources import details, enterprise, paged
 from tidemark.sources.store import cut
 
 QUERIES: dict = {}
@@ -148,3 +148,48 @@ def detail_hydration(spark, sf_dir):
     older = landed.filter("source_id % 3 = 0").withColumn("payload", F.lit("{")).withColumn("fetched_at", F.lit(0))
     found = details.hydrated(references, cut(landed.unionByName(older)))
     return found.select("source_id", "family", "external_id", "state", "status", F.sha2("description_html", 256).alias("description_sha256"), "career_type", "employment_type", "career_min", "opens_at", "closes_at")
+
+
+# Enterprise boards: a customer's orders as the list of its board.
+BOARDS = (
+    ("posco", '{"recuList":[%s]}'), ("sk", '{"list":[%s]}'), ("lg_ai", '{"data":{"list":[%s]}}'), ("smilegate", '{"announce":[%s]}'), ("kt", 'cb({"data":[%s]});'), ("cj", "[%s]"), ("atlassian", "[%s]"), ("jibe", '{"jobs":[%s]}'), ("posco", "{[%s"),
+)
+#: An item of each: %1$d the order's number, %2$s its priority, %3$s its day in digits, %4$s its status, %5$s true for some.
+ITEMS = (
+    '{"HR_AFTC_MRG_ADOP_NTIC_ID":%1$d,"HR_AFTC_MRG_ADOP_NTIC_SUJX":"R &amp; D %2$s","HR_AFTC_MRG_ADOP_CLTA_TP_TP_NM":"정규","END_ACTIVE_DATE":"%3$s","COMPANY_NAME":"POSCO"}',
+    '{"jobNoticeNo":"%1$d","title":"T %2$s","recruitType":"New","workingArea":"Seoul","start":"July 1, 2026(Wed)","end":"soon"}',
+    '{"seq":%1$d,"jbrl":"T %2$s","groupCd":"JX,JCAAAC","officeCd":"JDAAAA","expsYn":"%4$s","jobtypeCd":"JBCCCC","prdStrtYmd":"%3$s","rlmCd":"JAAADD"}', '{"announceSeq":%1$d,"title":"T %2$s","endDate":"%3$s","careerTypeNm":"경력"}',
+    '{"recruitNoticeSn":%1$d,"title":"T %2$s","recruitNoticeUrl":"/n/%1$d","isPost":%5$s,"isInProgress":true}', '{"ZZ_JO_NUM":%1$d,"ZZ_TITLE":"T %2$s","ZZ_TARGET_1":"B","RNUM":2,"ACTIVE_CNT":"3"}',
+    '{"id":%1$d,"title":"T %2$s","portalJobPost":{"portalUrl":"https://p/%1$d"},"locations":["Seoul"]}', '{"data":{"req_id":"%1$d","title":"T %2$s","country_code":"KR","searchable":%5$s,"full_location":" ","short_location":"Seoul"}}', "%1$d%2$s%3$s%4$s%5$s",
+)
+#: What comes of an item: title before the priority, status, url, location, employment, career, opens, closes, department, and which orders stay.
+CAME = (
+    ("R & D ", "open", "/h22a01-front/H22A1001.html?id=#", None, "정규", "정규", None, "@", "POSCO", "TRUE"), ("T ", "open", "/Recruit/Detail/#", "Seoul", None, "신입", "2026-07-01", None, None, "TRUE"),
+    ("T ", "open", "https://www.lgresearch.ai/careers/view?seq=#", "Magok, Seoul", "Internship", None, "=", None, "Language", "o_orderstatus = 'Y'"), ("T ", "open", "https://careers.smilegate.com/apply/announce/view?seq=#", None, None, "경력", None, "=", None, "TRUE"),
+    ("T ", "?", "/n/#", None, None, None, None, None, None, "TRUE"), ("T ", "open", "https://recruit.cj.net/recruit/ko/recruit/recruit/detail.fo?zz_jo_num=#", None, "경력", "경력", None, None, "CJ OliveNetworks", "TRUE"),
+    ("T ", "open", "https://p/#", "Seoul", None, None, None, None, None, "TRUE"), ("T ", "open", None, "Seoul", None, None, None, None, None, "o_orderkey % 3 <> 0"),
+)
+
+
+def day(v) -> str:
+    return "strftime(o_orderdate, '%Y%m%d')" if v == "@" else "strftime(o_orderdate, '%Y-%m-%d')" if v == "=" else literal(v)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT o_custkey AS source_id, '{BOARDS[i][0]}' AS family, o_orderkey::VARCHAR AS external_id, '{t}' || o_orderpriority AS title, {literal(st) if st != '?' else chr(67) + 'ASE WHEN o_orderkey % 3 <> 0 THEN ' + literal('open') + ' ELSE ' + literal('closed') + ' END'} AS status, replace({literal(u)}, '#', o_orderkey::VARCHAR) AS url, "
+        f"{literal(lo)} AS location, {literal(em)} AS employment_type, {literal(ca)} AS career, {day(op)} AS opens_at, {day(cl)} AS closes_at, {literal(de)} AS department FROM orders WHERE o_custkey % 9 = {i} AND {keep.replace(chr(39) + 'Y' + chr(39), chr(39) + 'O' + chr(39))}"
+        for i, (t, st, u, lo, em, ca, op, cl, de, keep) in enumerate(CAME)
+    )
+)
+def enterprise_openings(spark, sf_dir):
+    k = F.col("o_custkey")
+    args = ("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderstatus") == "O", "Y").otherwise("N"), F.when(F.col("o_orderkey") % 3 != 0, "true").otherwise("false"))
+    item = F.format_string(ITEMS[-1], *args)
+    for i, x in enumerate(ITEMS[:-1]):
+        item = F.when(k % 9 == i, F.format_string(x, *args)).otherwise(item)
+    lists = table(spark, sf_dir, "orders").withColumn("item", item).groupBy("o_custkey").agg(F.array_join(F.collect_list("item"), ",").alias("items"))
+    body, family = F.format_string(BOARDS[-1][1], "items"), F.lit(BOARDS[-1][0])
+    for i, (name, around) in enumerate(BOARDS[:-1]):
+        body, family = F.when(k % 9 == i, F.format_string(around, "items")).otherwise(body), F.when(k % 9 == i, name).otherwise(family)
+    return enterprise.openings(cut(lists.select(k.alias("source_id"), family.alias("family"), body.alias("payload")))).drop("description_html")

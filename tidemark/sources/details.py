@@ -86,8 +86,7 @@ def plain(html: Column) -> Column:
 
 def fragment(raw: Column) -> Column:
     """A fragment whose marks may be written as references (up to twice), without scripts and styles."""
-    once = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&#39;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(once(once(F.coalesce(raw, F.lit("")))), r"(?is)<(script|style|noscript|template)\b[^>]*+>.*?</\1\s*>", ""))
+    return F.trim(F.regexp_replace(tx.unescaped(tx.unescaped(F.coalesce(raw, F.lit("")))), r"(?is)<(script|style|noscript|template)\b[^>]*+>.*?</\1\s*>", ""))
 
 
 def section(label: str, raw: Column, level: int = 2) -> Column:
