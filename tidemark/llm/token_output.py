@@ -279,14 +279,15 @@ def _tokenizer(path: str):
 def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Tokenise and write the files of ids below ``path``; returns their list: file, part, docs, n_ids.
 
-    The texts, not the ids, are dealt by range of keys: the sampling of the
-    ranges then reads keys only, and each text is tokenised once.
+    The texts, not the ids, are dealt by range of keys, so each text is tokenised
+    once; a key that stands on many rows is cut into ranges by a hash of its texts,
+    which is also their order.
     """
     if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"keys must be whole numbers; {key} is {dict(df.dtypes)[key]}")
-    rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ranged = rows.repartitionByRange(partitions, "k") if partitions else rows.repartitionByRange("k")
-    ranged = ranged.sortWithinPartitions("k", "t")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    ranged = rows.repartitionByRange(partitions, "k", "h") if partitions else rows.repartitionByRange("k", "h")
+    ranged = ranged.sortWithinPartitions("k", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
