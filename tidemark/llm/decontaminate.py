@@ -63,8 +63,9 @@ class WuManber:
         size = 1 << max(10, (4 * len(starts)).bit_length())
         self.mask = size - 1
         with np.errstate(over="ignore"):
-            blocks = h if self.block == 1 else np.append(h[:-1] * np.uint64(MIX) + h[1:], h[-1:])  # by first word
-            at = (blocks & np.uint64(self.mask)).astype(np.int64)
+            signed = h.view(np.int64)
+            blocks = signed if self.block == 1 else np.append((signed[:-1] >> 7) ^ signed[1:], signed[-1:])  # by first word
+            at = blocks & self.mask
             table = np.full(size, min(255, length - self.block + 1), np.uint8)
             for end in range(self.block, length + 1):  # the nearer to the pattern's end, the later written
                 table[at[starts + end - self.block]] = min(255, length - end)
@@ -89,10 +90,10 @@ class WuManber:
 
     def search(self, text: list[bytes]) -> Iterator[tuple[int, set[int]]]:
         """(start, owners) of each occurrence."""
-        m, shift, mask, hashes = self.length, self.shift, self.mask, [hash(w) for w in text]
+        m, shift, mask = self.length, self.shift, self.mask
         i, n, pair = m, len(text), self.block == 2
         while i <= n:
-            s = shift[(hashes[i - 2] * MIX + hashes[i - 1] if pair else hashes[i - 1]) & mask]
+            s = shift[((hash(text[i - 2]) >> 7) ^ hash(text[i - 1]) if pair else hash(text[i - 1])) & mask]
             if s:
                 i += s
                 continue
