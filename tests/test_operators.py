@@ -253,9 +253,11 @@ def test_structured_text():
 
 
 def test_images():
-    page = '<img src="/a.png" alt="body"><img src="http://x.example/b.png"><img data-src="https://x.example/c.jpg"><img src="https://other.example/d.png"><img src="/logo.png"><img src="/e.png" width="20">'
+    page = '<img src="/a.png" alt="body"><img src="http://x.example/b.png"><img data-src="https://x.example/c.jpg"><img src="https://other.example/d.png"><img src="/logo.png"><img src="/e.png" width="20" height="20px"><img id="site-icon" src="/f.png"><img src="https://u:p@x.example/g.png"><img src="/a.png#again">'
     assert [i["url"] for i in markup.images(page, "", "https://x.example/jobs/1")] == ["https://x.example/a.png", "https://x.example/c.jpg"]
-    assert markup.images(page, "long " * 200, "https://x.example/") == []
+    assert markup.images(page, "long " * 200, "https://x.example/") == [] and markup.images(page, "", "http://x.example/") == [] and markup.images(page, "", None) == []
+    four = "".join(f'<img src="/{i}.png" width="20">' for i in range(4))
+    assert [i["alt"] for i in markup.images(four, "", "https://x.example/")] == [f"채용 공고 상세 내용 이미지 {i}" for i in (1, 2, 3)]
 
 
 def test_payloads():

@@ -10,6 +10,7 @@ from tidemark.functions import skills
 from tidemark.functions.skills import DICTIONARY
 from tidemark.operators import skill_mentions as sm
 from tidemark.plans.analog import table
+from tidemark.sources import markup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +174,33 @@ def skill_catalog(spark, sf_dir):
     names = F.array(*(F.lit(s.name.lower()) for s in DICTIONARY))
     said = table(spark, sf_dir, "documents").select(F.explode(F.filter(names, lambda n: F.contains(F.lower("text"), n))).alias("name")).groupBy("name").agg(F.count("*").alias("documents"))
     return known.join(F.broadcast(said), "name", "left").select("skill", "category", "kind", F.array_join("domains", ",").alias("domains"), F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+
+
+#: A page of a part: %1$d its number, %2$s its name, %3$s its type.
+MADE = (
+    '<html><head><style>p{}</style></head><body><h1>%2$s</h1><p>kind:  %3$s<br>second <b>line</b></p><ul><li>one %1$d</li><li><a href="/p/%1$d">go  there</a></li></ul><script>var x="<p>no</p>"</script>'
+    '<h4>Deep</h4><div>a &amp; b</div><img src="/i/%1$d.png" alt=" part "><img src="/logo.png"><img data-src="https://parts.example/j/%1$d.png#x" width="20"><img src="https://other.example/k.png"><a href="https://other.example/">out</a></body></html>'
+)
+
+
+def made_pages(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.format_string(MADE, "p_partkey", "p_name", "p_type").alias("page"))
+
+
+@query("SELECT p_partkey, '## ' || p_name || chr(10) || 'kind: ' || p_type || chr(10) || 'second line' || chr(10) || '• one ' || p_partkey || chr(10) || '• go there' || chr(10) || '### Deep' || chr(10) || 'a & b' || chr(10) || 'out' AS text FROM part")
+def made_page_text(spark, sf_dir):
+    return made_pages(spark, sf_dir).select("p_partkey", markup.html_text("page").alias("text"))
+
+
+@query("SELECT p_partkey, 'https://parts.example/p/' || p_partkey AS url, 'go there' AS text FROM part UNION ALL SELECT p_partkey, 'https://other.example/', 'out' FROM part")
+def made_page_links(spark, sf_dir):
+    found = made_pages(spark, sf_dir).select("p_partkey", F.explode(markup.html_links("page", F.lit("https://parts.example/list"))).alias("l"))
+    return found.select("p_partkey", "l.url", "l.text")
+
+
+@query("SELECT p_partkey, 'https://parts.example/i/' || p_partkey || '.png' AS url, 'part' AS alt FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'https://parts.example/j/' || p_partkey || '.png', '채용 공고 상세 내용 이미지 2' FROM part WHERE p_partkey % 5 <> 0")
+def made_page_images(spark, sf_dir):
+    """Every fifth part says enough to need no picture."""
+    text = F.when(F.col("p_partkey") % 5 == 0, F.repeat(F.lit("enough "), 100)).otherwise("short")
+    found = made_pages(spark, sf_dir).select("p_partkey", F.explode(markup.description_images("page", text, F.lit("https://parts.example/list"))).alias("i"))
+    return found.select("p_partkey", "i.url", "i.alt")

@@ -17,6 +17,9 @@ HIDDEN = frozenset("script style noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENCODED = re.compile(r"&(?:amp;)*lt;/?(?:p|div|ul|ol|li|br|h[1-6]|section|article|table|script|style)\b", re.I)
+# What a picture's path, name or text says that is none of the posting; the length from which a text needs none; the least larger side.
+DECORATIVE = re.compile(r"(?:^|[\s/_.-])(?:favicon|logo|icon)(?:$|[\s/_.-])", re.I)
+SPARSE, SMALL = 600, 160
 
 
 class Events(HTMLParser):
@@ -98,26 +101,36 @@ def structured_text(page: str | None, fallback: str | None = "") -> str:
     return f"{text}\n{more[len(shown):].strip()}" if more.startswith(shown + " ") else text
 
 
-def images(page: str | None, text: str | None, url: str | None, most: int = 3, enough: int = 600) -> list[dict]:
-    """Up to three pictures that may stand for a short description: https, the page's own host, not decorative, not small."""
-    if not page or len((text or "").strip()) >= enough:
+def side(value: str | None) -> float | None:
+    """A width or height in pixels."""
+    m = re.fullmatch(r"(\d+(?:\.\d+)?)(?:px)?", (value or "").strip(), re.I)
+    return float(m[1]) if m else None
+
+
+def images(page: str | None, text: str | None, url: str | None, most: int = 3, enough: int = SPARSE) -> list[dict]:
+    """Up to three pictures that may stand for a short description: https, on the page's own host, not decorative, not small on both sides."""
+    base = urlsplit(url or "")
+    if not page or len((text or "").strip()) >= enough or base.scheme != "https" or not base.hostname:
         return []
-    host, found = (urlsplit(url or "").hostname or "").removeprefix("www."), []
+    found: list[dict] = []
     for kind, tag, attrs in events(page):
         if kind != "open" or tag != "img":
             continue
-        src = next((attrs[k] for k in ("data-src", "data-original", "src") if attrs.get(k) and not attrs[k].startswith("data:")), None)
-        if not src:
-            continue
-        full = urljoin(url or "", src)
-        parts = urlsplit(full)
-        size = [int(m[0]) for k in ("width", "height") if (m := re.match(r"\d+", attrs.get(k) or ""))]
-        alt = (attrs.get("alt") or "").strip()
-        plain = re.search(r"logo|icon|sprite|banner|avatar|pixel|tracking|spacer", f"{parts.path} {attrs.get('class') or ''} {alt}", re.I)
-        own = parts.hostname and (parts.hostname.removeprefix("www.") == host or parts.hostname.endswith("." + host))
-        if parts.scheme != "https" or not own or plain or any(s < 120 for s in size) or any(f["url"] == full for f in found):
+        known = {f["url"] for f in found}
+        full = None
+        for src in (attrs.get(k) for k in ("src", "data-src", "data-original")):
+            try:
+                at = urlsplit(urljoin(url, src.strip())) if (src or "").strip() else None
+            except ValueError:
+                continue
+            if at and at.scheme == "https" and at.hostname == base.hostname and at.username is None and at.password is None and (made := at._replace(fragment="").geturl()) not in known:
+                full = made
+                break
+        sides = [side(attrs.get(k)) for k in ("width", "height")]
+        says = " ".join((urlsplit(full or "").path, attrs.get("id") or "", attrs.get("class") or "", attrs.get("alt") or ""))
+        if full is None or DECORATIVE.search(says) or None not in sides and max(sides) < SMALL:
             continue
-        found.append({"url": full, "alt": alt})
+        found.append({"url": full, "alt": (attrs.get("alt") or "").strip()[:200] or f"채용 공고 상세 내용 이미지 {len(found) + 1}"})
         if len(found) == most:
             break
     return found
