@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import accounts, graph, ingest, market, quota, resync, text_index, views
+from tidemark.operators import accounts, graph, ingest, market, quota, rank, resync, text_index, views
 from tidemark.sources import paged
 from tidemark.sources.store import fresh_table
 
@@ -214,3 +214,11 @@ def test_state_is_not_moved(spark):
     joined = plan.split("SortMergeJoin")[-1]
     assert "Bucketed: true" in plan and joined.index("FileScan") < joined.index("Exchange") and side
     assert resync.changes(state, docs.withColumn("digest", resync.digest("title", "body")), 4).count() == 0
+
+
+def test_places_in_order_over_partitions(spark):
+    rows = [(i, (i * 37) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(6)
+    got = [(r["v"], r["k"]) for r in rank.in_order(df, "at", "v", "k").orderBy("at").collect()]
+    assert got == sorted((v, k) for k, v in rows)
+    assert sorted(r["at"] for r in rank.in_order(df, "at", "v").collect()) == list(range(1, 201)) and rank.in_order(df.limit(0), "at", "v").count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import relevance
+from tidemark.sources.store import cut
 
 NEWEST = ("first_seen_at", "last_verified_at", "posting_id")
 
@@ -189,3 +190,21 @@ def new_for_searches(matches: DataFrame, newest: int = 5) -> DataFrame:
 def unseen(page: DataFrame, seen: DataFrame, key: str = "item") -> DataFrame:
     """A page without what an earlier tab has shown."""
     return page.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
+
+
+def in_order(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with its place from 1 in an order over all rows.
+
+    A window over all rows would sort them in one task.  Here they are dealt by
+    ranges of the order, and a row's place is that within its partition behind
+    the sizes of the partitions before (one number each, all that goes to the driver).
+    """
+    placed = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = sorted((r["p"], r["count"]) for r in placed.groupBy(F.shiftright("_m", 33).alias("p")).count().collect())
+    starts, before = [], 0
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    numbered = placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p")
+    return numbered.withColumn(name, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m", "_p", "_start")

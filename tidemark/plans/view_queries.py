@@ -179,5 +179,4 @@ def feed_keeps_order(spark, sf_dir):
     items = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("item"), (F.col("conv_id") % 17 * 1000 + F.col("conv_id")).alias("rank"))
     prior = items.filter("item % 3 = 0").select("item", (100000 - F.col("item")).alias("place"))
     kept = rank.keep_order(prior, items)
-    w = Window.orderBy(F.col("place").isNull(), "place", "rank")
-    return kept.withColumn("at", F.row_number().over(w)).select("item", "at")
+    return rank.in_order(kept, "at", F.col("place").isNull(), "place", "rank").select("item", F.col("at").cast("int").alias("at"))

@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if current.isEmpty():
-        if not named and not sc.master.startswith("local"):
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
         current = sc._jsc.sc().getCheckpointDir()
