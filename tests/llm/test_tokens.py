@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import byte_bpe, registry, token_counts, token_output
-from tidemark.llm.common import Cache
+from tidemark.llm.common import Cache, checkpointed, fresh_dir
 
 RANKS_PATH = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS_PATH = P.path("word_bpe_49k.json")
@@ -181,8 +181,6 @@ def test_latin_points_are_the_librarys():
 
 
 def test_output_of_odd_rows(spark):
-    from tidemark.llm.common import checkpointed, fresh_dir
-
     df = spark.createDataFrame([(5, None), (2, "b"), (2, "a"), (None, "none"), (9, "")], "doc_id long, text string").withColumn("start", F.lit(1))
     files = checkpointed(token_output.write(df, "doc_id", "text", fresh_dir(spark, "t"), WORDS_PATH, 2))
     rows = sorted(token_output.read(token_output.with_starts(files)).collect(), key=lambda r: r["start"])
@@ -200,3 +198,15 @@ def test_damaged_file_is_refused():
     assert next(token_output.segments(io.BytesIO(data)))[2].tolist() == [1, 2, 3]
     with pytest.raises(ValueError):
         list(token_output.segments(io.BytesIO(data[:-3])))
+
+
+def test_a_key_on_many_rows_is_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "HOT", 10)
+    rows = [(1, "one word")] + [(7, f"text number {i}") for i in range(300)] + [(None, f"no key {i}") for i in range(50)] + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_output.write(df, "doc_id", "text", fresh_dir(spark, "hot"), WORDS_PATH, 2, 4)
+    files = checkpointed(files)
+    assert files.count() == 4 and max(r["docs"] for r in files.collect()) < 200
+    found = sorted(token_output.read(token_output.with_starts(files)).collect(), key=lambda r: r["start"])
+    keys = [r["key"] for r in found]
+    assert keys == [None] * 50 + [1] + [7] * 300 + [9] and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))

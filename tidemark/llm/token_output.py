@@ -41,6 +41,8 @@ from tidemark.llm.common import small
 
 BLOCK = 128
 SEGMENT = 1 << 20
+#: Rows of one key from which it may be cut into ranges.
+HOT = 1000
 #: Words that a worker remembers before it begins a new generation.
 WORDS = 300_000
 # Fixed values of the format: bits of an id and ids in a word, by selector.
@@ -279,14 +281,18 @@ def _tokenizer(path: str):
 def write(df: DataFrame, key: str, text: str, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Tokenise and write the files of ids below ``path``; returns their list: file, part, docs, n_ids.
 
-    The texts, not the ids, are dealt by range of keys, so each text is tokenised
-    once; a key that stands on many rows is cut into ranges by a hash of its texts,
-    which is also their order.
+    The texts, not the ids, are dealt by range of keys: the sampling of the
+    ranges then reads keys only, and each text is tokenised once.  Rows of one key
+    are in the order of a hash of their texts; where a key stands on more rows than
+    a range should have, ranges are cut by that hash as well.
     """
     if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"keys must be whole numbers; {key} is {dict(df.dtypes)[key]}")
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    ranged = rows.repartitionByRange(partitions, "k", "h") if partitions else rows.repartitionByRange("k", "h")
+    ranges = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, every = rows.groupBy("k").count().agg(F.max("count"), F.sum("count")).first()
+    by = ["k", "h"] if (most or 0) > max(HOT, (every or 0) / ranges) else ["k"]
+    ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
     ranged = ranged.sortWithinPartitions("k", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
