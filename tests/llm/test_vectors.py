@@ -182,3 +182,13 @@ def test_whitening_without_variance(spark):
 
 def test_a_deviation_beyond_a_long_is_null(spark):
     assert {r["deviation"] for r in whitening.whiten(table(spark, [(1, [4e9], 1), (2, [-4e9], 1)])).collect()} == {None}
+
+
+def test_blocks_and_queries_meet_without_a_broadcast(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("label"), V.whole("embedding", 256).alias("x"))
+    shape = V.Shape(rows)
+    blocks = V.pack(rows, shape)
+    queries = V.queries_of(blocks, 50, shape).withColumn("extra", F.array("id"))
+    met = V.meet(blocks, V.pack_queries(queries, 40))
+    assert met.count() == blocks.count() * V.pack_queries(queries, 40).count()
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()

@@ -125,7 +125,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(at), block.key)), "pos": pa.array(at.astype(np.int32)), "floor": pa.array(floor)})
 
     bars = blocks.mapInArrow(floors, "block long, pos int, floor long")
-    queries = checkpointed(V.queries_of(blocks.drop("lists"), every, shape).join(bars, ["block", "pos"]).withColumn("extra", F.array("floor")).drop("floor"))
+    queries = checkpointed(V.queries_of(blocks.drop("lists"), every, shape).join(bars.hint("merge"), ["block", "pos"]).withColumn("extra", F.array("floor")).drop("floor"))
 
     def found(batches):
         lists = None

@@ -104,7 +104,7 @@ def mine(
     ranked = near.withColumn("slot", F.row_number().over(Window.partitionBy("block", "pos").orderBy(F.desc("positive_score"), "positive_id"))).filter(F.col("slot") <= positives)
     chosen = ranked.groupBy("block", "pos").agg(F.sort_array(F.collect_list(F.struct("slot", "positive_score", "positive_id"))).alias("p"))
     pad = lambda name, filler: F.concat(F.transform("p", lambda s: s[name]), F.array_repeat(F.lit(filler).cast("long"), positives - F.size("p")))
-    windows = checkpointed(anchors.join(chosen, ["block", "pos"]).withColumn("extra", F.concat(pad("positive_score", V.LOW), pad("positive_id", 0))).drop("p"))
+    windows = checkpointed(anchors.join(chosen.hint("merge"), ["block", "pos"]).withColumn("extra", F.concat(pad("positive_score", V.LOW), pad("positive_id", 0))).drop("p"))
 
     def in_window(block, queries):
         for at, end, s, _ in slices(block, queries, primes, memo_b):

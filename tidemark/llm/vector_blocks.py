@@ -134,10 +134,15 @@ def pack_queries(rows: DataFrame, n: int) -> DataFrame:
 
 
 def meet(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every block with every query block: blocks are dealt to groups, and a query block goes to each group once."""
+    """Every block with every query block: blocks are dealt to groups, and a query block goes to each group once.
+
+    Both sides are shuffled, at any size: what the optimizer takes a side of packed
+    rows for has nothing to do with its bytes, and the copies of the queries would
+    go through the driver.
+    """
     groups = 2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = blocks.withColumn("g", F.pmod(F.shiftright("block", 28) + F.col("block").bitwiseAND((1 << 28) - 1), F.lit(groups)))
-    return left.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))), "g")
+    return left.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))).hint("merge"), "g")
 
 
 class Block:
