@@ -324,3 +324,24 @@ def named(df, expression):
 def test_domains_fold_title_and_body_once(spark):
     openings = spark.range(2).select(F.concat(F.lit("Title  "), "id").alias("title"), F.concat(F.lit("Body  "), "id").alias("body"), F.array(F.lit("Kafka")).alias("skills"))
     assert named(career.classify(openings), "RegExpReplace") <= 2
+
+
+def test_blocks_strip_a_heading_once_a_unit(spark):
+    rows = spark.createDataFrame([(1, "Requirements\nPython\n" + "-" * 120 + " Benefits\nGo must\n" + "Benefits " + "=" * 120 + "\nJava " * 40 + "\nPreferred:\nSQL")], "posting_id long, text string")
+    found = skill_mentions.blocks(rows, "posting_id", None, None, "text")
+    kinds = [(r["text"][:4].strip(), r["requirement_type"]) for r in found.orderBy("position").collect()]
+    assert kinds == [("Pyth", "required"), ("Go m", "required"), *[("Java", "unspecified")] * 40, ("SQL", "preferred")]
+    assert named(found, "RegExpReplace") <= 15
+
+
+def test_names_in_texts_overlap_and_count_once_a_text(spark):
+    texts = spark.createDataFrame([("JavaScript and java, Java",), ("a script",), (None,), ("",)], "t string")
+    found = skill_mentions.said_in(texts, "t", ["java", "javascript", "script", "go"])
+    assert {r["name"]: r["documents"] for r in found.collect()} == {"java": 1, "javascript": 1, "script": 2}
+    assert named(found, "Contains") == 0
+
+
+def test_pages_of_parts_are_dealt_to_all_tasks(spark, sf):
+    from tidemark.plans import skill_queries
+
+    assert skill_queries.made_pages(spark, sf).rdd.getNumPartitions() == 4

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.functions.skills import CONFIRMED, DICTIONARY, Skill, clean
+from tidemark.functions.text import held
 from tidemark.operators.evidence import requirement_rank
 from tidemark.sources import markup
 
@@ -102,12 +104,6 @@ def lines(text: Column) -> Column:
     return F.transform(F.filter(F.transform(parts, tx.collapsed), lambda p: p != ""), lambda p: F.struct(F.lit("line").alias("kind"), p.alias("text")))
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns computed once a row: without the generator between them the optimizer would put an expression into lambdas, once an element."""
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def blocks(postings: DataFrame, key: str, title: str | None, page: str | None, text: str | None) -> DataFrame:
     """A row per block: key, position, text, requirement_type, technical, list_item.
 
@@ -119,26 +115,45 @@ def blocks(postings: DataFrame, key: str, title: str | None, page: str | None, t
     df = postings.select(F.col(key), *(F.col(c).alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in ((title, "_title"), (text, "_text"))), *([page_leaves(page).alias("_page")] if page else []))
 
     def sections(units: Column) -> Column:
-        def marked(u):
-            h = tx.heading(u["text"])
-            short = (u["kind"] == "heading") | ((u["kind"] != "item") & (F.length(u["text"]) <= F.when(u["kind"] == "line", LINE_HEADING).otherwise(PAGE_HEADING)))
-            opens = F.when(short, F.when(h.rlike(any_of(PREFERRED)), "preferred").when(h.rlike(any_of(REQUIRED)), "required").when(h.rlike(any_of(TECHNICAL)), "technical"))
+        def short(u):
+            return (u["kind"] == "heading") | ((u["kind"] != "item") & (F.length(u["text"]) <= F.when(u["kind"] == "line", LINE_HEADING).otherwise(PAGE_HEADING)))
+
+        def edged(text):
+            return F.substring(text, 1, 20).rlike(r"(?U)^\W{20}") | F.substring(text, -20, 20).rlike(r"(?U)^\W{20}")
+
+        def opened(u):
+            h = u["h"]
+            opens = F.when(u["short"], F.when(h.rlike(any_of(PREFERRED)), "preferred").when(h.rlike(any_of(REQUIRED)), "required").when(h.rlike(any_of(TECHNICAL)), "technical"))
             ends = (u["kind"] == "heading") | ((u["kind"] == "line") & h.isin(*RESET))
-            return F.struct(u["kind"].alias("kind"), u["text"].alias("text"), opens.alias("opens"), (opens.isNotNull() | ends).alias("heads"), (h.contains(WANTED_SKILLS) & (opens == "required")).alias("wanted"))
+            return F.struct(u["kind"].alias("kind"), u["text"].alias("text"), opens.alias("opens"), ends.alias("ends"), h.contains(WANTED_SKILLS).alias("wants"))
 
-        return F.transform(units, marked)
+        # A lambda's value is computed once, an expression in it as often as it is named: hence a step for each.
+        # Only what is short can be a heading, or a line that is long by its edges alone: the phrases that end a section
+        # are much shorter, so twenty characters and more were stripped at an end.
+        said = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), short(u).alias("short"), F.when(short(u) | ((u["kind"] == "line") & edged(u["text"])), tx.heading(u["text"])).alias("h")))
+        made = F.transform(said, opened)
+        return F.transform(made, lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), u["opens"].alias("opens"), (u["opens"].isNotNull() | F.coalesce(u["ends"], F.lit(False))).alias("heads"), (u["wants"] & (u["opens"] == "required")).alias("wanted")))
 
     def body(df: DataFrame, units: Column, name: str) -> DataFrame:
         df = held(df, _units=sections(units))
-        df = held(df, _heads=F.filter(F.transform("_units", lambda u, i: F.struct(i.alias("at"), u["opens"].alias("opens"), u["wanted"].alias("wanted"), u["heads"].alias("heads"))), lambda h: h["heads"]))
+        none = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("opens"), F.lit(False).alias("wanted")))
+        heads = F.filter(F.transform("_units", lambda u, i: F.struct(i.alias("at"), u["opens"].alias("opens"), u["wanted"].alias("wanted"), u["heads"].alias("heads"))), lambda h: h["heads"])
+        df = held(df, _heads=F.concat(none, F.transform(heads, lambda h: F.struct(h["at"].alias("at"), h["opens"].alias("opens"), h["wanted"].alias("wanted")))))
 
-        def block(u, i):
-            above = F.try_element_at(F.filter("_heads", lambda h: h["at"] < i), F.lit(-1))
+        def section(above, n):
+            """The blocks below a heading, to the next one: each unit is looked at once, however many headings there are."""
+            end = F.coalesce(F.try_element_at(F.col("_heads.at"), n + 2), F.size("_units"))
             inherited = F.when(above["opens"].isin("required", "preferred"), above["opens"]).otherwise("unspecified")
-            own = F.when(u["text"].rlike(SAYS_PREFERRED), "preferred").when(u["text"].rlike(SAYS_REQUIRED), "required").otherwise(inherited)
-            return F.struct(u["text"].alias("text"), own.alias("requirement_type"), F.coalesce((above["opens"] == "technical") | above["wanted"], F.lit(False)).alias("technical"), (u["kind"] == "item").alias("list_item"), (u["heads"] | (u["kind"] == "label")).alias("skip"))
+            technical = F.coalesce((above["opens"] == "technical") | above["wanted"], F.lit(False))
 
-        return held(df, **{name: F.filter(F.transform("_units", block), lambda b: ~b["skip"])}).drop("_units", "_heads")
+            def block(u):
+                own = F.when(u["text"].rlike(SAYS_PREFERRED), "preferred").when(u["text"].rlike(SAYS_REQUIRED), "required").otherwise(inherited)
+                return F.struct(u["text"].alias("text"), own.alias("requirement_type"), technical.alias("technical"), (u["kind"] == "item").alias("list_item"), F.lit(False).alias("skip"))
+
+            below = F.slice(F.col("_units"), above["at"] + 2, end - above["at"] - 1)
+            return F.transform(F.filter(below, lambda u: u["kind"] != "label"), block)
+
+        return held(df, **{name: F.flatten(F.transform("_heads", section))}).drop("_units", "_heads")
 
     if page:
         df = body(df, F.col("_page").cast(unit), "_body")
@@ -229,6 +244,26 @@ def mentions(found: DataFrame, dictionary: Sequence[Skill] = DICTIONARY) -> Data
     return found.mapInArrow(run, schema)
 
 
+def said_in(texts: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
+    """(name, documents): in how many texts each name, in lower case, lies anywhere.
+
+    One automaton of all names reads a text once; a batch hands on one row a name.
+    """
+    lowered = texts.filter(F.col(text).isNotNull()).select(F.lower(text).alias("t"))
+    names = sorted(set(names))
+
+    def run(batches):
+        known = ahocorasick.Automaton()
+        for n in names:
+            known.add_word(n, n)
+        known.make_automaton()
+        for b in batches:
+            found = Counter(n for t in b["t"].to_pylist() for n in {n for _, n in known.iter(t)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["name", "documents"])
+
+    return lowered.mapInArrow(run, "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
+
+
 # Scores ----------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import skills
 from tidemark.functions.skills import DICTIONARY
 from tidemark.operators import skill_mentions as sm
-from tidemark.plans.analog import table
+from tidemark.plans.analog import spread, table
 from tidemark.sources import markup
 
 QUERIES: dict = {}
@@ -147,7 +147,7 @@ PARTS_HEAD = f"{listed(HEADS)}[p_partkey % {len(HEADS)} + 1]"
 )
 def page_skills(spark, sf_dir):
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.pmod("p_partkey", F.lit(len(HEADS))) + 1).cast("int"))
-    parts = table(spark, sf_dir, "part").withColumn("head", head).select(F.col("p_partkey").alias("posting_id"), F.col("p_brand").alias("title"), F.expr(PAGE.format(head="head")).alias("page"), F.lit("never read, Java").alias("text"))
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("head", head).select(F.col("p_partkey").alias("posting_id"), F.col("p_brand").alias("title"), F.expr(PAGE.format(head="head")).alias("page"), F.lit("never read, Java").alias("text"))
     return sm.extract(parts, "posting_id", "title", "page", "text").select("posting_id", "skill", "requirement_type", "confidence", "match_reason")
 
 
@@ -171,8 +171,7 @@ def canonical_skills(spark, sf_dir):
 def skill_catalog(spark, sf_dir):
     """The dictionary as rows, each with the documents that write its name anywhere."""
     known = skills.catalog(spark).withColumn("name", F.lower("skill"))
-    names = F.array(*(F.lit(s.name.lower()) for s in DICTIONARY))
-    said = table(spark, sf_dir, "documents").select(F.explode(F.filter(names, lambda n: F.contains(F.lower("text"), n))).alias("name")).groupBy("name").agg(F.count("*").alias("documents"))
+    said = sm.said_in(table(spark, sf_dir, "documents"), "text", [s.name.lower() for s in DICTIONARY])
     return known.join(F.broadcast(said), "name", "left").select("skill", "category", "kind", F.array_join("domains", ",").alias("domains"), F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
@@ -184,7 +183,7 @@ MADE = (
 
 
 def made_pages(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.format_string(MADE, "p_partkey", "p_name", "p_type").alias("page"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.format_string(MADE, "p_partkey", "p_name", "p_type").alias("page"))
 
 
 @query("SELECT p_partkey, '## ' || p_name || chr(10) || 'kind: ' || p_type || chr(10) || 'second line' || chr(10) || '• one ' || p_partkey || chr(10) || '• go there' || chr(10) || '### Deep' || chr(10) || 'a & b' || chr(10) || 'out' AS text FROM part")
