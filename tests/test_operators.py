@@ -345,3 +345,10 @@ def test_pages_of_parts_are_dealt_to_all_tasks(spark, sf):
     from tidemark.plans import skill_queries
 
     assert skill_queries.made_pages(spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_many_mentions_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "ROWS", 10)
+    rows = spark.range(100).select((F.col("id") % 30).alias("posting_id"), F.lit("Go").alias("skill"), F.lit("language").alias("category"), F.lit("required").alias("requirement_type"), F.lit(True).alias("confirmed"))
+    best = evidence.best_mentions(rows, 100)
+    assert best.count() == 30 and "REPARTITION_BY_NUM" in best._jdf.queryExecution().executedPlan().toString() and best.rdd.getNumPartitions() == 10

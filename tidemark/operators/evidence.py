@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,24 @@ def requirement_rank(c: Column) -> Column:
     return F.when(c == "required", 3).when(c == "preferred", 2).otherwise(1)
 
 
-def best_mentions(mentions: DataFrame) -> DataFrame:
+#: Mentions that a task holds at most, where their number is known: what it sorts and counts by is some 400 bytes a mention.
+ROWS = 500_000
+
+
+def best_mentions(mentions: DataFrame, rows: int | None = None) -> DataFrame:
     """One row per (posting_id, skill): confirmed first, then the stronger requirement; an unknown requirement is unspecified.
 
     What is left undecided reaches no output.  The order is one small number, so
     the maximum stays in a hash aggregate; mentions are dealt by posting, so that
     what joins postings next finds its rows in place.  A posting's mentions are
     few and hardly repeat: combining them before the shuffle would not pay.
+    ``rows`` is about how many there are: many are dealt to more tasks, so that
+    one task's share stays the same; few are left to the session's settings.
     """
+    tasks = math.ceil((rows or 0) / ROWS)
+    dealt = mentions.repartition(tasks, "posting_id") if tasks > mentions.sparkSession.sparkContext.defaultParallelism else mentions.repartition("posting_id")
     order = F.when(F.col("confirmed"), 4).otherwise(0) + requirement_rank(F.col("requirement_type"))
-    best = mentions.repartition("posting_id").groupBy("posting_id", "skill", "category").agg(F.max(order).alias("b"))
+    best = dealt.groupBy("posting_id", "skill", "category").agg(F.max(order).alias("b"))
     kind = F.when(F.col("b") % 4 == 3, "required").when(F.col("b") % 4 == 2, "preferred").otherwise("unspecified")
     return best.select("posting_id", "skill", "category", kind.alias("requirement_type"), (F.col("b") >= 4).alias("confirmed"))
 

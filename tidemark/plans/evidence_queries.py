@@ -31,7 +31,7 @@ def query(oracle: str | None = None):
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.best_mentions(mentions(spark, sf_dir))
+    return evidence.best_mentions(mentions(spark, sf_dir), table(spark, sf_dir, "lineitem").count())
 
 
 def found(spark: SparkSession, sf_dir: str, career: str | None = None) -> DataFrame:
