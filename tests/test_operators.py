@@ -352,3 +352,11 @@ def test_many_mentions_are_dealt_to_more_tasks(spark, monkeypatch):
     rows = spark.range(100).select((F.col("id") % 30).alias("posting_id"), F.lit("Go").alias("skill"), F.lit("language").alias("category"), F.lit("required").alias("requirement_type"), F.lit(True).alias("confirmed"))
     best = evidence.best_mentions(rows, 100)
     assert best.count() == 30 and "REPARTITION_BY_NUM" in best._jdf.queryExecution().executedPlan().toString() and best.rdd.getNumPartitions() == 10
+
+
+def test_searches_gather_evidence_of_the_window_only(spark, four):
+    jobs = spark.createDataFrame([posting(i) for i in (1, 2, 3, 4)], P)
+    searches = spark.createDataFrame([("u", 1, "s", "", "language", "", datetime(2026, 6, 20), datetime(2026, 6, 20))], "user_id string, search_id int, name string, query_text string, category string, career_type string, last_checked_at timestamp, updated_at timestamp")
+    plan = ingest.search_matches(searches, jobs, four, datetime(2026, 7, 2))._jdf.queryExecution().analyzed().toString()
+    below = plan[plan.index("collect_set(category") :].split("\n")[1:5]
+    assert any("Join LeftSemi" in line for line in below), below

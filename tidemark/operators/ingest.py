@@ -91,14 +91,14 @@ def bounded_searches(searches: DataFrame, limit: int = MAX_SEARCHES) -> DataFram
 def search_matches(searches: DataFrame, postings: DataFrame, found: DataFrame, now) -> DataFrame:
     """(user_id, search_id, posting_id) of open postings first seen after the search's checkpoint (at most 30 days back) that meet it.
 
-    The window of time is cut first; a search joins postings on its career type
+    The window of time is cut first, for the evidence too; a search joins postings on its career type
     where it names one, else on its category, else on the rarest characters of its
     text; the rest is tested within the joined row.
     """
     now_ = F.lit(now).cast("timestamp")
     floor = now_ - F.make_interval(days=F.lit(LOOKBACK_DAYS))
     recent = postings.filter((F.col("status") == "open") & (F.col("first_seen_at") > floor) & (F.col("first_seen_at") <= now_))
-    skills = found.groupBy("posting_id").agg(F.collect_set("category").alias("_categories"), F.concat_ws("\n", F.collect_set(F.lower("skill"))).alias("_skills"))
+    skills = found.join(recent.select("posting_id"), "posting_id", "left_semi").groupBy("posting_id").agg(F.collect_set("category").alias("_categories"), F.concat_ws("\n", F.collect_set(F.lower("skill"))).alias("_skills"))
     recent = recent.join(skills, "posting_id", "left").withColumn("_text", F.lower(F.concat_ws("\n", "title", "location", "company_name", "_skills")))
     wanted = bounded_searches(searches).withColumn("_from", F.greatest(F.col("last_checked_at"), floor)).withColumnRenamed("career_type", "_career").withColumnRenamed("category", "_category")
     query = F.lower(F.trim("query_text"))
