@@ -360,3 +360,15 @@ def test_searches_gather_evidence_of_the_window_only(spark, four):
     plan = ingest.search_matches(searches, jobs, four, datetime(2026, 7, 2))._jdf.queryExecution().analyzed().toString()
     below = plan[plan.index("collect_set(category") :].split("\n")[1:5]
     assert any("Join LeftSemi" in line for line in below), below
+
+
+def test_many_items_meet_many_parts_in_more_tasks(spark, sf, monkeypatch):
+    from tidemark.plans import analog
+
+    few = analog.mentions(spark, sf)
+    monkeypatch.setattr(evidence, "ROWS", 500)
+    monkeypatch.setattr(analog, "HELD_PARTS", 10)
+    many = analog.mentions(spark, sf)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and many.rdd.getNumPartitions() == 12
+    assert many.exceptAll(few).isEmpty() and many.count() == few.count()

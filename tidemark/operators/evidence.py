@@ -19,6 +19,12 @@ def requirement_rank(c: Column) -> Column:
 ROWS = 500_000
 
 
+def tasks(df: DataFrame, rows: int | None) -> int | None:
+    """The tasks that ``rows`` mentions are dealt to; None if they are few, and the session's settings do."""
+    n = math.ceil((rows or 0) / ROWS)
+    return n if n > df.sparkSession.sparkContext.defaultParallelism else None
+
+
 def best_mentions(mentions: DataFrame, rows: int | None = None) -> DataFrame:
     """One row per (posting_id, skill): confirmed first, then the stronger requirement; an unknown requirement is unspecified.
 
@@ -29,8 +35,8 @@ def best_mentions(mentions: DataFrame, rows: int | None = None) -> DataFrame:
     ``rows`` is about how many there are: many are dealt to more tasks, so that
     one task's share stays the same; few are left to the session's settings.
     """
-    tasks = math.ceil((rows or 0) / ROWS)
-    dealt = mentions.repartition(tasks, "posting_id") if tasks > mentions.sparkSession.sparkContext.defaultParallelism else mentions.repartition("posting_id")
+    n = tasks(mentions, rows)
+    dealt = mentions.repartition(n, "posting_id") if n else mentions.repartition("posting_id")
     order = F.when(F.col("confirmed"), 4).otherwise(0) + requirement_rank(F.col("requirement_type"))
     best = dealt.groupBy("posting_id", "skill", "category").agg(F.max(order).alias("b"))
     kind = F.when(F.col("b") % 4 == 3, "required").when(F.col("b") % 4 == 2, "preferred").otherwise("unspecified")
