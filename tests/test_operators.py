@@ -372,3 +372,32 @@ def test_many_items_meet_many_parts_in_more_tasks(spark, sf, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and many.rdd.getNumPartitions() == 12
     assert many.exceptAll(few).isEmpty() and many.count() == few.count()
+
+
+def test_strict_pages_are_cut_as_by_the_library():
+    import random
+
+    from tidemark.plans.skill_queries import MADE
+
+    pieces = ["<p>", "</p>", "<P class=\"a b\">", "<br>", "<br/>", "<img src=\"x?a=1&amp;b\" alt=\"\"/>", "<script>", "</script>", "<script>var a=1&amp;2;</script>", "<script>x='<p>no</p>'", "</scripts>", "</style ", "</SCRIPT>", "<style>p{}</style >", "<template>", "</template>", "<noscript>", "</noscript>", "<!-- c -->", "<!doctype html>", "<title>", "</title>", "a &amp; b", "&lt", "&", " < ", ">", "\n", "<a href=x>", "</a>", "<a href='y'>", "<li >", "<td\nid=\"q\">", "</", "<", "</br>", "<script/>", "<template/>", "<plaintext>", "</p x>", "</script", "\"", "<h1>"]
+    rng = random.Random(7)
+    pages = ["".join(rng.choices(pieces, k=rng.randrange(1, 9))) for _ in range(30_000)]
+
+    def joined(found):
+        out = []
+        for kind, value in found:
+            if out and out[-1][0] == kind in ("text", "hidden"):
+                out[-1] = (kind, out[-1][1] + value)
+            else:
+                out.append((kind, value))
+        return out
+
+    for page in pages:
+        assert joined(markup.plain_events(page)) == joined((k, v) for k, v, _ in markup.events(page)), page
+    called = []
+    original, markup.events = markup.events, lambda page: called.append(page)
+    try:
+        markup.plain_events(MADE)
+    finally:
+        markup.events = original
+    assert not called  # pages of parts never need the library's parser
