@@ -222,3 +222,26 @@ def test_places_in_order_over_partitions(spark):
     got = [(r["v"], r["k"]) for r in rank.in_order(df, "at", "v", "k").orderBy("at").collect()]
     assert got == sorted((v, k) for k, v in rows)
     assert sorted(r["at"] for r in rank.in_order(df, "at", "v").collect()) == list(range(1, 201)) and rank.in_order(df.limit(0), "at", "v").count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 8_000_000])
+def test_lists_are_dealt_once(spark, tmp_path, monkeypatch, held):
+    """Superseded documents are told by block, whether every task holds them or not; neither an index nor its compaction moves a list twice or an entry alone."""
+    monkeypatch.setattr(text_index, "HELD_DOCS", held)
+    monkeypatch.setattr(text_index, "PER_TASK", 100)
+    path, schema = str(tmp_path / "i"), "doc_id long, text string"
+    old = [(i, f"red fox n{i % 7} red") for i in range(-5000, 5000, 7)]
+    new = [(i, None if i % 2 else "blue fox blue fox") for i in range(-5000, 5000, 35)]
+    text_index.add(spark, path, 1, spark.createDataFrame(old, schema))
+    text_index.add(spark, path, 2, spark.createDataFrame(new, schema))
+    rows = text_index.merged(spark, path)
+    want = {}
+    for i, text in (dict(old) | dict(new)).items():
+        for at, token in enumerate((text or "").split()):
+            want.setdefault((token, i), []).append(at)
+    got = [((r["token"], r["first"] + i), p) for r in rows.collect() for i, p in zip(r["ids"], r["places"])]
+    assert dict(got) == want and len(got) == len(want)
+    assert all(r["first"] >> text_index.BLOCK_BITS == r["block"] and r["ids"] == sorted(r["ids"]) for r in rows.collect())
+    for plan in (rows, text_index.lists(spark.createDataFrame(old, schema), "doc_id", "text", 8)):
+        text = plan.sortWithinPartitions("bucket", "token", "block")._jdf.queryExecution().executedPlan().toString()
+        assert text.count("hashpartitioning(bucket") == 1 and "hashpartitioning(token" not in text and "explode(arrays_zip" not in text

@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 #: Ids that agree but for so many low bits share a block.
 BLOCK_BITS = 12
+IN_BLOCK = (1 << BLOCK_BITS) - 1
+#: Blocks whose numbers agree but for so many low bits share a group: a file holds a bucket's lists of a group.
+GROUP_BITS = 6
+#: Documents whose places a task holds, and documents up to which every task may hold the superseded ones (a byte each).
+PER_TASK, HELD_DOCS = 4096, 8_000_000
 #: A document's place in its block stands above so many bits of a token's place.
 PLACE_BITS = 40
 TOKEN = r"(?U)[^\p{L}\p{N}_+#]+"
@@ -40,19 +45,30 @@ def bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def lists(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, token, block, first, ids, places) of documents: one shuffle, by token and block."""
+def tasks(spark: SparkSession, docs: int) -> int:
+    """Tasks that the lists of so many documents are dealt to: some ``PER_TASK`` documents' places each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs // PER_TASK))
+
+
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """Rows with a token and a block dealt by the token's bucket and the block's group, as they are grouped and written."""
+    placed = df.withColumn("bucket", bucket(F.col("token"))).withColumn("grp", F.shiftright("block", GROUP_BITS))
+    return placed.repartition(n, "bucket", "grp")
+
+
+def lists(docs: DataFrame, key: str, text: str, n: int | None = None) -> DataFrame:
+    """(bucket, token, block, first, ids, places) of documents: one shuffle, into ``n`` tasks or as many as the session says."""
+    n = n or tasks(docs.sparkSession, 0)
     each = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.posexplode(tokens(F.col(text))).alias("place", "token"))
-    dealt = each.withColumn("block", F.shiftright("id", BLOCK_BITS)).repartition("token", "block")
-    entry = dealt.groupBy("token", "block", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    listed = entry.groupBy("token", "block").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("e"), F.min("id").alias("first"))
-    return listed.select(bucket(F.col("token")).alias("bucket"), "token", "block", "first", F.transform("e", lambda x: (x["id"] - F.col("first")).cast("int")).alias("ids"), F.transform("e", lambda x: x["places"]).alias("places"))
+    entry = dealt(each.withColumn("block", F.shiftright("id", BLOCK_BITS)), n).groupBy("bucket", "grp", "token", "block", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    listed = entry.groupBy("bucket", "grp", "token", "block").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("e"), F.min("id").alias("first"))
+    return listed.select("bucket", "token", "block", "first", F.transform("e", lambda x: (x["id"] - F.col("first")).cast("int")).alias("ids"), F.transform("e", lambda x: x["places"]).alias("places"))
 
 
 def add(spark: SparkSession, path: str, segment: int, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
     """Appends a batch as a segment.  A segment that is written again replaces itself."""
     spec = f"segment={segment}"
-    rows = lists(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "token", "block")
+    rows = lists(docs, key, text, tasks(spark, docs.count())).sortWithinPartitions("bucket", "token", "block")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/{spec}")
     docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/docs/{spec}")
 
@@ -64,14 +80,32 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return found, docs.groupBy("id").agg(F.max("segment").alias("segment"))
 
 
+def superseded(docs: DataFrame) -> DataFrame:
+    """(segment, block, gone): by place in its block whether a newer segment has the document; no row where none has."""
+    held = docs.groupBy("id").agg(F.collect_set("segment").alias("s")).filter(F.size("s") > 1)
+    each = held.select("id", F.explode(F.filter("s", lambda x: x < F.array_max("s"))).alias("segment"))
+    gone = each.groupBy("segment", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.collect_set(F.col("id").bitwiseAND(IN_BLOCK).cast("int")).alias("at"))
+    return gone.select("segment", "block", F.transform(F.sequence(F.lit(0), F.lit(IN_BLOCK)), lambda i: F.array_contains("at", i)).alias("gone"))
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The lists of what counts of all segments.  Lists move whole, once; what is superseded is told by block, not by entry."""
+    found, _ = read(spark, path)
+    docs = spark.read.schema("id long, segment int").parquet(f"{path}/docs")
+    n = docs.count()
+    old = F.broadcast(superseded(docs)) if n <= HELD_DOCS else superseded(docs)
+    at = F.transform("ids", lambda i: i + F.col("first").bitwiseAND(IN_BLOCK).cast("int"))
+    each = found.join(old, ["segment", "block"], "left").select("token", "block", "gone", F.arrays_zip(at.alias("id"), F.col("places").alias("places")).alias("e"))
+    live = each.withColumn("e", F.when(F.col("gone").isNull(), F.col("e")).otherwise(F.filter("e", lambda x: ~F.get("gone", x["id"])))).filter(F.size("e") > 0).drop("gone")
+    listed = dealt(live, tasks(spark, n)).groupBy("bucket", "grp", "token", "block").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    least = F.col("e")[0]["id"]
+    return listed.select("bucket", "token", "block", (F.shiftleft("block", BLOCK_BITS) + least).alias("first"), F.transform("e", lambda x: x["id"] - least).alias("ids"), F.transform("e", lambda x: x["places"]).alias("places"))
+
+
 def compacted(spark: SparkSession, path: str, target: str) -> None:
     """What counts of all segments as segment 0 of another index."""
-    found, newest = read(spark, path)
-    each = found.select("token", "block", "segment", F.col("first"), F.explode(F.arrays_zip("ids", "places")).alias("e")).select("token", "block", "segment", (F.col("first") + F.col("e.ids")).alias("id"), F.col("e.places").alias("places"))
-    live = each.join(newest, ["id", "segment"], "left_semi")
-    listed = live.groupBy("token", "block").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("e"), F.min("id").alias("first"))
-    rows = listed.select(bucket(F.col("token")).alias("bucket"), "token", "block", "first", F.transform("e", lambda x: (x["id"] - F.col("first")).cast("int")).alias("ids"), F.transform("e", lambda x: x["places"]).alias("places"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/lists/segment=0")
+    merged(spark, path).sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/lists/segment=0")
+    _, newest = read(spark, path)
     newest.select("id").write.mode("overwrite").parquet(f"{target}/docs/segment=0")
 
 
