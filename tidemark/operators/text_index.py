@@ -51,9 +51,9 @@ def tasks(spark: SparkSession, docs: int) -> int:
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
-    """Rows with a token and a block dealt by the token's bucket and the block's group, as they are grouped and written."""
-    placed = df.withColumn("bucket", bucket(F.col("token"))).withColumn("grp", F.shiftright("block", GROUP_BITS))
-    return placed.repartition(n, "bucket", "grp")
+    """Rows with a token and a block dealt by the token's bucket and the block's group, as they are grouped and written; both are worked out again where they arrive, and not moved."""
+    by = {"bucket": bucket(F.col("token")), "grp": F.shiftright("block", GROUP_BITS)}
+    return df.repartition(n, *by.values()).withColumns(by)
 
 
 def lists(docs: DataFrame, key: str, text: str, n: int | None = None) -> DataFrame:
