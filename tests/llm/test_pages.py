@@ -91,6 +91,28 @@ def test_unmarked_pages_are_brute_force(spark):
     assert {(r["host"], r["lines"], r["_host"]) for r in got} == {("h", "l", 1)}
 
 
+def test_the_suffix_array_holds_every_page(spark):
+    """What the host repeats is told for pages with an article too, seen on them, and checked against the article."""
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    menu = "all trains and ships leave from here every single day"
+    pages += [(-1, "http://m.example/", f"<p>{menu}</p><article>told once</article>"), (-2, "http://m.example/", f"<p>{menu}</p><p>only this here</p>"), (-3, "http://m.example/", f"<article>{menu}</article>")] * 2
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    host = {r["url"]: r["x"] for r in df.select("url", html_extract.host("url").alias("x")).distinct().collect()}
+    lines = [[x for _, x in html_extract.marked_blocks(p)] for _, _, p in pages]
+    held = {}
+    for (_, u, _), mine in zip(pages, lines):
+        words = " ".join(mine).split(" ")
+        for i in range(len(words) - 7):
+            held.setdefault((host[u], *words[i : i + 8]), set()).add("\n".join(mine))
+    want = {}
+    for (k, u, _), mine in zip(pages, lines):
+        words = " ".join(mine).split(" ")
+        want[k] = len({j for i in range(len(words) - 7) if len(held[(host[u], *words[i : i + 8])]) > 1 for j in range(i, i + 8)})
+    got = html_extract.extract(df, repeated="n").collect()
+    assert len(got) == len(pages) and {r["page_id"]: r["n"] for r in got} == want and sum(n > 0 for n in want.values()) > 10
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] < 0} == {-1: "told once", -2: "only this here", -3: menu}
+
+
 def test_extraction_query_is_the_article(spark, sf):
     import html
     import re

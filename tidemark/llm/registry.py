@@ -87,8 +87,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), repeated="n_repeated")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
