@@ -401,3 +401,14 @@ def test_strict_pages_are_cut_as_by_the_library():
     finally:
         markup.events = original
     assert not called  # pages of parts never need the library's parser
+
+
+@pytest.mark.parametrize("name", ["graph_atlas_nodes"])
+def test_graph_queries_over_many_items_and_parts(spark, sf, monkeypatch, name):
+    """The same rows where items and parts are dealt by their number."""
+    from tests import oracle
+    from tidemark.plans import analog, catalog
+
+    monkeypatch.setattr(evidence, "ROWS", 500)
+    monkeypatch.setattr(analog, "HELD_PARTS", 10)
+    assert oracle.compare(spark, oracle.connect(sf), catalog.QUERIES[name], catalog.ORACLE[name], sf) == ""
