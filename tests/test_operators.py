@@ -403,7 +403,7 @@ def test_strict_pages_are_cut_as_by_the_library():
     assert not called  # pages of parts never need the library's parser
 
 
-@pytest.mark.parametrize("name", ["graph_atlas_nodes", "graph_nodes", "graph_query_nodes"])
+@pytest.mark.parametrize("name", ["graph_atlas_nodes", "graph_nodes", "graph_query_nodes", "graph_unknown_seed"])
 def test_graph_queries_over_many_items_and_parts(spark, sf, monkeypatch, name):
     """The same rows where items and parts are dealt by their number."""
     from tests import oracle
