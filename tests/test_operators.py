@@ -374,6 +374,26 @@ def test_many_items_meet_many_parts_in_more_tasks(spark, sf, monkeypatch):
     assert many.exceptAll(few).isEmpty() and many.count() == few.count()
 
 
+@pytest.mark.parametrize("more,join", [(0, "BroadcastHashJoin"), (100_001, "ShuffledHashJoin")])
+def test_many_items_are_not_sorted_for_parts_that_spark_would_not_broadcast(spark, sf, tmp_path, monkeypatch, more, join):
+    from tidemark.plans import analog
+
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand")
+    part.unionByName(spark.range(more).select((-F.col("id") - 1).alias("p_partkey"), F.lit("Brand#0").alias("p_brand"))).write.parquet(f"{tmp_path}/part.parquet")
+    (tmp_path / "lineitem.parquet").symlink_to(f"{sf}/lineitem.parquet")
+    few = analog.mentions(spark, sf)
+    monkeypatch.setattr(evidence, "ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = analog.mentions(spark, str(tmp_path))
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "SortMergeJoin" not in plan
+        assert many.exceptAll(few).isEmpty() and many.count() == few.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_strict_pages_are_cut_as_by_the_library():
     import random
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evidence
 
-#: Parts that may be held whole by every task; Spark decides whether they are.
-HELD_PARTS = 2_000_000
+#: Parts that are held whole by every task where items are many; more of them are dealt.
+HELD_PARTS = 100_000
 
 # Category and domain by brand number modulo 5.
 CATEGORIES = ("language", "web", "data", "infra", "ai")
@@ -40,12 +40,14 @@ def brand_number(c):
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with the brand of their part.  Many items meet many parts in as many tasks as they ask for, and only a task's parts are held, so no task's share grows with the tables."""
+    """Items with the brand of their part.  Many items are never sorted for it: they meet few parts where they are, and many in as many tasks as the items ask for, so no task's share grows with the tables."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_quantity")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     n = evidence.tasks(items, items.count())
     if n and parts.count() > HELD_PARTS:
         items, parts = items.repartition(n, "l_partkey"), parts.hint("shuffle_hash")
+    elif n:
+        parts = F.broadcast(parts)
     kind = F.when(F.col("l_returnflag") == "R", "required").when(F.col("l_returnflag") == "A", "preferred").otherwise("unspecified")
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("posting_id"), F.col("p_brand").alias("skill"), _by_number(CATEGORIES, brand_number(F.col("p_brand"))).alias("category"), kind.alias("requirement_type"), (F.col("l_quantity") >= 10).alias("confirmed")
