@@ -432,3 +432,21 @@ def test_graph_queries_over_many_items_and_parts(spark, sf, monkeypatch, name):
     monkeypatch.setattr(evidence, "ROWS", 500)
     monkeypatch.setattr(analog, "HELD_PARTS", 10)
     assert oracle.compare(spark, oracle.connect(sf), catalog.QUERIES[name], catalog.ORACLE[name], sf) == ""
+
+
+@pytest.mark.parametrize("name", ["graph_nodes"])
+def test_graph_queries_sort_no_items_for_parts(spark, sf, monkeypatch, name):
+    """The same rows where items are many and Spark would broadcast nothing by itself."""
+    from tests import oracle
+    from tidemark.plans import catalog
+
+    met, best = [], evidence.best_mentions
+    monkeypatch.setattr(evidence, "ROWS", 500)
+    monkeypatch.setattr(evidence, "best_mentions", lambda mentions, rows=None: best(met.append(mentions) or mentions, rows))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert oracle.compare(spark, oracle.connect(sf), catalog.QUERIES[name], catalog.ORACLE[name], sf) == ""
+        assert met and all("SortMergeJoin" not in m._jdf.queryExecution().executedPlan().toString() for m in met)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
