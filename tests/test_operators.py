@@ -434,7 +434,7 @@ def test_graph_queries_over_many_items_and_parts(spark, sf, monkeypatch, name):
     assert oracle.compare(spark, oracle.connect(sf), catalog.QUERIES[name], catalog.ORACLE[name], sf) == ""
 
 
-@pytest.mark.parametrize("name", ["graph_nodes", "graph_query_nodes"])
+@pytest.mark.parametrize("name", ["graph_nodes", "graph_query_nodes", "graph_unknown_seed"])
 def test_graph_queries_sort_no_items_for_parts(spark, sf, monkeypatch, name):
     """The same rows where items are many and Spark would broadcast nothing by itself."""
     from tests import oracle
