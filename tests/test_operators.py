@@ -326,6 +326,18 @@ def test_domains_look_for_terms_once(spark):
     assert named(career.classify(openings), "ArrayFilter") <= 40
 
 
+def test_domains_read_texts_to_their_end(spark, tmp_path):
+    from tests import oracle
+    from tidemark.plans import role_queries
+
+    texts = [(3, "x " * 50_000 + "서버 개발, 분산 시스템"), (13, "x" * 1998 + "제품 전략"), (19, "x " * 500 + "서버 개발, 분산 시스템"), (35, "제품 전략"), (4, None), (6, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = role_queries.QUERIES["document_domains"], role_queries.ORACLE["document_domains"]
+    found = {(r["doc_id"], r["domain"]) for r in query(spark, str(tmp_path)).collect()}
+    assert {(3, "backend"), (13, "product"), (19, "backend")} <= found
+    assert oracle.compare(spark, oracle.connect(str(tmp_path)), query, sql, str(tmp_path)) == ""
+
+
 def test_blocks_strip_a_heading_once_a_unit(spark):
     rows = spark.createDataFrame([(1, "Requirements\nPython\n" + "-" * 120 + " Benefits\nGo must\n" + "Benefits " + "=" * 120 + "\nJava " * 40 + "\nPreferred:\nSQL")], "posting_id long, text string")
     found = skill_mentions.blocks(rows, "posting_id", None, None, "text")

@@ -39,9 +39,11 @@ def by_number(values, shift: int = 0):
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("doc_id") + shift, F.lit(len(values))) + 1).cast("int"))
 
 
-def openings(spark, sf_dir):
+def openings(spark, sf_dir, whole: bool = False):
+    """Openings from documents, every fifth with a line alone; without ``whole`` only the first 2,000 characters of a text, as the SQL of technical_roles and source_opening_filters has it."""
     d = table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 5 == 0, by_number(LINES)).otherwise(F.concat(F.substring("text", 1, 2000), F.lit(" "), by_number(LINES)))
+    said = F.col("text") if whole else F.substring("text", 1, 2000)
+    text = F.when(F.col("doc_id") % 5 == 0, by_number(LINES)).otherwise(F.concat(said, F.lit(" "), by_number(LINES)))
     return d.select("doc_id", by_number(TITLES).alias("title"), text.alias("description_text"), by_number(PLACES, 3).alias("location"), F.lit("https://seoul.example/jobs").alias("url"), by_number(FAMILIES, 1).alias("family"), (F.col("doc_id") % 11 != 0).alias("targets_technical_roles"))
 
 
@@ -49,10 +51,14 @@ def numbered(values, shift: int = 0) -> str:
     return f"{listed(values)}[(doc_id + {shift}) % {len(values)} + 1]"
 
 
-OPENINGS = f"""o AS (SELECT doc_id, {numbered(TITLES)} AS title, CASE WHEN doc_id % 5 = 0 THEN {numbered(LINES)} ELSE substring(text, 1, 2000) || ' ' || {numbered(LINES)} END AS body, {numbered(PLACES, 3)} AS location, 'https://seoul.example/jobs' AS url, {numbered(FAMILIES, 1)} AS family, doc_id % 11 <> 0 AS aims FROM documents),
+def openings_sql(text: str) -> str:
+    return f"""o AS (SELECT doc_id, {numbered(TITLES)} AS title, CASE WHEN doc_id % 5 = 0 THEN {numbered(LINES)} ELSE {text} || ' ' || {numbered(LINES)} END AS body, {numbered(PLACES, 3)} AS location, 'https://seoul.example/jobs' AS url, {numbered(FAMILIES, 1)} AS family, doc_id % 11 <> 0 AS aims FROM documents),
 t AS (SELECT *, lower(title) AS lt, lower(coalesce(body, '')) AS lb FROM o)"""
 
 
+OPENINGS = openings_sql("substring(text, 1, 2000)")
+
+
 def tech(text: str) -> str:
     return f"({has(text, roles.TECHNICAL)} AND NOT {has(text, roles.BLOCKED)})"
 
@@ -109,14 +115,14 @@ def skills_sql(number: str, count: int) -> str:
 
 
 @query(
-    f"""WITH {OPENINGS}, s AS (SELECT *, list_transform({skills_sql('doc_id', 3)}, lambda x: lower(x)) AS sk FROM t),
+    f"""WITH {openings_sql("text")}, s AS (SELECT *, list_transform({skills_sql('doc_id', 3)}, lambda x: lower(x)) AS sk FROM t),
 c AS (SELECT doc_id, id, label, len(list_filter(tt, lambda x: contains(lt, x))) AS a, len(list_filter(rt, lambda x: contains(lb, x))) AS b, len(list_intersect(list_distinct(sk), ss)) AS c, len(list_intersect(list_distinct(sk), us)) AS d FROM s CROSS JOIN {DOMAIN_ROWS}),
 k AS (SELECT *, CASE WHEN a > 0 THEN 1 WHEN (b > 0 AND (c + d > 0 OR b >= 2)) OR c >= 2 OR (c > 0 AND d > 0) THEN 2 ELSE 0 END AS tier FROM c),
 m AS (SELECT *, min(CASE WHEN tier > 0 THEN tier END) OVER (PARTITION BY doc_id) AS best FROM k)
 SELECT doc_id, id AS domain, tier = 1 AS explicit, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, b DESC, c DESC, d DESC, label) AS INT) AS place FROM m WHERE tier > 0 AND tier = best"""
 )
 def document_domains(spark, sf_dir):
-    o = openings(spark, sf_dir).withColumn("skills", skills_of(F.col("doc_id"), 3)).withColumnRenamed("description_text", "body")
+    o = openings(spark, sf_dir, whole=True).withColumn("skills", skills_of(F.col("doc_id"), 3)).withColumnRenamed("description_text", "body")
     found = career.classify(o).select("doc_id", F.posexplode("found").alias("at", "d"))
     return found.select("doc_id", "d.domain", (F.col("d.tier") == 1).alias("explicit"), (F.col("at") + 1).cast("int").alias("place"))
 
